@@ -1,0 +1,133 @@
+"""Exact de-duplication by item id.
+
+Merge rule per item id:
+* one member: the row passes unchanged;
+* several members: the primary row is the one with the longest content, ties going to the first seen
+  (smallest ``seq``); it supplies source_type, source_id, title, content, author. published_at is the earliest
+  of the group, url the primary's (else the smallest of the group's urls), and raw_metadata lists the distinct
+  sources, source ids and non-empty urls (sorted) plus one metadata entry per "source_type:source_id", the
+  last seen (largest seq) winning.
+
+Plan: two aggregation levels. Level 1 groups by (item_id, source_type, source_id) with partial (map-side)
+aggregation, so a hot item id is reduced to one row per source per task before any row moves. Level 2 groups
+those few rows by item_id. The merged lists are bounded by the number of distinct sources of an item, never by
+its row count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from articleflow.operators.collect import RAW_COLUMNS
+from articleflow.schemas import ENTRY_METADATA
+
+
+def _entry_meta(col: str = "raw_metadata") -> F.Column:
+    m = F.col(col)
+    return F.struct(*[m.getField(f.name).alias(f.name) for f in ENTRY_METADATA.fields])
+
+
+def _rank_key(content: F.Column, seq: F.Column) -> F.Column:
+    # larger is better: longer content, then smaller seq
+    return F.struct(F.length(F.coalesce(content, F.lit(""))).alias("len"), (-seq).alias("neg_seq"))
+
+
+def dedup_groups(raw: DataFrame) -> DataFrame:
+    """One row per item id with the aggregated parts of the merge (internal form, before shaping)."""
+    row = F.struct(*[F.col(c) for c in ["source_type", "source_id", "title", "content", "author", "url",
+                                        "published_at", "raw_metadata", "seq"]])
+    url_ok = F.when(F.col("url").isNotNull() & (F.col("url") != ""), F.col("url"))
+    level1 = raw.groupBy("item_id", "source_type", "source_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max_by(row, _rank_key(F.col("content"), F.col("seq"))).alias("best"),
+        F.min("published_at").alias("first_published"),
+        F.collect_set(url_ok).alias("urls"),
+        F.max_by(_entry_meta(), F.col("seq")).alias("last_meta"),
+        F.min("seq").alias("min_seq"),
+    )
+    return level1.groupBy("item_id").agg(
+        F.sum("n").alias("n"),
+        F.max_by(F.col("best"), _rank_key(F.col("best.content"), F.col("best.seq"))).alias("primary"),
+        F.min("first_published").alias("published_at"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("all_urls"),
+        F.array_sort(F.collect_set("source_type")).alias("merged_from_sources"),
+        F.array_sort(F.collect_set("source_id")).alias("merged_from_ids"),
+        F.map_from_entries(F.collect_list(F.struct(
+            F.concat_ws(":", "source_type", "source_id").alias("key"), F.col("last_meta").alias("value")
+        ))).alias("source_metadata"),
+        F.min("min_seq").alias("seq"),
+    )
+
+
+def dedup_exact(raw: DataFrame) -> DataFrame:
+    """Raw items → one item per id (A1–A7). Output has the raw item columns plus ``n_merged``."""
+    g = dedup_groups(raw)
+    p = F.col("primary")
+    single = F.col("n") == 1
+    merged_meta = F.struct(
+        F.lit(None).cast("string").alias("feed_name"), F.lit(None).cast("string").alias("feed_title"),
+        F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("array<string>").alias("tags"),
+        F.col("merged_from_sources"), F.col("merged_from_ids"), F.col("all_urls"), F.col("source_metadata"),
+    )
+    own_url = F.when(p["url"].isNotNull() & (p["url"] != ""), p["url"])
+    return g.select(
+        p["source_type"].alias("source_type"),
+        p["source_id"].alias("source_id"),
+        F.col("item_id"),
+        p["title"].alias("title"),
+        p["content"].alias("content"),
+        p["author"].alias("author"),
+        F.when(single, p["published_at"]).otherwise(F.col("published_at")).alias("published_at"),
+        F.when(single, p["url"]).otherwise(F.coalesce(own_url, F.try_element_at("all_urls", F.lit(1)))).alias("url"),
+        F.when(single, p["raw_metadata"]).otherwise(merged_meta).alias("raw_metadata"),
+        F.col("seq"),
+        F.col("n").alias("n_merged"),
+    )
+
+
+def dedup_stats(raw: DataFrame, deduped: DataFrame | None = None) -> DataFrame:
+    """input_count, output_count, duplicates_merged and reduction_pct in one row.
+
+    Computed from the level-1 aggregation of the same plan: the input is counted once, groups once."""
+    groups = raw.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")) if deduped is None \
+        else deduped.select(F.col("n_merged").alias("n"))
+    s = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("input_count"),
+                   F.count(F.lit(1)).alias("output_count"))
+    return s.select(
+        "input_count", "output_count",
+        (F.col("input_count") - F.col("output_count")).alias("duplicates_merged"),
+        reduction_pct(F.col("input_count"), F.col("output_count")).alias("reduction_pct"),
+    )
+
+
+def reduction_pct(n_in: F.Column, n_out: F.Column) -> F.Column:
+    """round((1 - out/in) * 100, 1), 0 for empty input."""
+    return F.when(n_in > 0, F.round((F.lit(1.0) - n_out / n_in) * 100, 1)).otherwise(F.lit(0.0))
+
+
+def primary_rows(raw: DataFrame, method: str = "aggregate") -> DataFrame:
+    """The primary row of every duplicate group (W2 / A2), with its rank inputs.
+
+    ``aggregate`` (default) uses max_by with partial aggregation and copes with a hot id; ``window`` is the
+    row_number form, which sorts a whole group inside one task and is only for small or unskewed inputs."""
+    if method == "window":
+        w = Window.partitionBy("item_id").orderBy(F.desc(F.length("content")), F.asc("seq"))
+        return (raw.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+                .select(*RAW_COLUMNS))
+    row = F.struct(*[F.col(c) for c in RAW_COLUMNS])
+    best = raw.groupBy("item_id").agg(F.max_by(row, _rank_key(F.col("content"), F.col("seq"))).alias("r"))
+    return best.select("r.*")
+
+
+def newest_first(df: DataFrame, column: str = "published_at") -> DataFrame:
+    """Newest first, ties in first-seen order (L1, L2). A global sort: use it at an output edge only."""
+    return df.orderBy(F.desc(column), F.asc("seq"))
+
+
+def with_recency_rank(df: DataFrame, column: str = "published_at") -> DataFrame:
+    """Position in newest-first order as a column (order-insensitive form of L1), numbered without a
+    single-partition window (see ``ordering.global_rank``)."""
+    from articleflow.operators.ordering import global_rank
+
+    return global_rank(df, [F.desc(column), F.asc("seq"), F.asc("item_id")], "recency_rank")

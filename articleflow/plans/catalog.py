@@ -1,0 +1,63 @@
+"""Query catalogue over the shared tables: each function takes (spark, sf_dir) and returns a DataFrame.
+
+The inputs are bound to article rows as described in ``sources.tables``; every query reads whole tables.
+Computed columns carry the same names as in ``plans.oracle_sql``. Timestamps are rendered as text
+(``yyyy-MM-dd HH:mm:ss.SSSSSS`` in UTC) and doubles are rounded so both engines print the same values.
+"""
+
+from __future__ import annotations
+
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from articleflow.context import RunContext
+from articleflow.functions.dates import plain_ts
+from articleflow.operators import collect as C
+from articleflow.operators import dedup as D
+from articleflow.sources.tables import raw_docs, raw_pages
+
+# Fixed run parameters of the catalogue (the "now" of every run is pinned so results are reproducible).
+RUN_DATE = datetime(2024, 1, 8, tzinfo=UTC)
+PROCESSED_AT = datetime(2024, 3, 1, tzinfo=UTC)
+
+
+def ctx(backfill_days: int = 7) -> RunContext:
+    return RunContext(run_date=RUN_DATE, backfill_days=backfill_days, run_id="run_20240108_000000_catalog",
+                      now=PROCESSED_AT)
+
+
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of both collectors (U1) with the empty-content drop (F2); no date window."""
+    return C.drop_empty_content(C.union_collectors(raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)))
+
+
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.dedup_exact(raw_items(spark, sf_dir))
+
+
+def _joined(col) -> F.Column:
+    return F.array_join(col, ",")
+
+
+# ------------------------------------------------------------------------------------------ dedup
+def q_dedup_exact(spark, sf_dir):
+    d = deduped(spark, sf_dir)
+    m = F.col("raw_metadata")
+    return d.select(
+        "item_id", "source_type", "source_id", "title",
+        F.length("content").cast("long").alias("content_len"),
+        F.sha2("content", 256).alias("content_sha"),
+        plain_ts("published_at").alias("published_at"),
+        "url", "seq", F.col("n_merged").cast("long").alias("n_merged"),
+        _joined(m["merged_from_sources"]).alias("merged_sources"),
+        _joined(m["merged_from_ids"]).alias("merged_ids"),
+        _joined(m["all_urls"]).alias("all_urls"),
+        _joined(F.array_sort(F.map_keys(m["source_metadata"]))).alias("metadata_keys"),
+    )
+
+
+QUERIES = {
+    "dedup_exact": q_dedup_exact,
+}

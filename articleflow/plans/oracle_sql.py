@@ -1,0 +1,109 @@
+"""DuckDB SQL for every catalogue query: an independent statement of each result over the same tables.
+
+The SQL is composed from shared CTEs (the table bindings, dedup, enrichment) so each query reads like the
+SQL a user would write; column names match the Spark outputs exactly.
+"""
+
+from __future__ import annotations
+
+TS_FMT = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+def ts(expr: str) -> str:
+    return f"strftime({expr}, {TS_FMT})"
+
+
+# -- bindings ---------------------------------------------------------------------------------------------
+RAW_PAGES = r"""
+raw_pages AS (
+  SELECT 'rss' AS source_type,
+         coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), ''), url) AS source_id,
+         nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n]+', ' ', 'g')), '') AS title,
+         trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
+                                            '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS content,
+         CAST(NULL AS VARCHAR) AS author,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(page_id) AS published_at,
+         url,
+         CAST(page_id AS BIGINT) AS seq,
+         CAST(page_id AS VARCHAR) AS entry_id,
+         CAST(NULL AS VARCHAR) AS lang
+  FROM pages
+)"""
+
+RAW_DOCS = r"""
+raw_docs AS (
+  SELECT 'gmail' AS source_type, source AS source_id, CAST(NULL AS VARCHAR) AS title, text AS content,
+         CAST(NULL AS VARCHAR) AS author,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published_at,
+         CAST(NULL AS VARCHAR) AS url,
+         CAST(doc_id AS BIGINT) AS seq,
+         CAST(doc_id AS VARCHAR) AS entry_id,
+         lang
+  FROM documents
+)"""
+
+RAW = r"""
+raw0 AS (SELECT * FROM raw_pages UNION ALL SELECT * FROM raw_docs),
+raw AS (
+  SELECT *,
+         substr(sha256(CASE WHEN url IS NOT NULL AND url <> '' THEN url
+                            ELSE coalesce(title, '') || substr(coalesce(content, ''), 1, 500) END), 1, 32) AS item_id
+  FROM raw0
+  WHERE content IS NOT NULL AND length(content) > 0
+)"""
+
+# Primary row by window, merged parts by plain aggregation; joined back.
+DEDUP = r"""
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(content) DESC, seq ASC) AS rn FROM raw
+),
+grp AS (
+  SELECT item_id, count(*) AS n, min(published_at) AS min_published, min(seq) AS min_seq,
+         coalesce(list_sort(list_distinct(list(url) FILTER (WHERE url IS NOT NULL AND url <> ''))), []::VARCHAR[]) AS all_urls,
+         list_sort(list_distinct(list(source_type))) AS merged_sources,
+         list_sort(list_distinct(list(source_id))) AS merged_ids,
+         list_sort(list_distinct(list(source_type || ':' || source_id))) AS metadata_keys
+  FROM raw GROUP BY item_id
+),
+dedup AS (
+  SELECT r.item_id, r.source_type, r.source_id, r.title, r.content, r.author,
+         CASE WHEN g.n = 1 THEN r.published_at ELSE g.min_published END AS published_at,
+         CASE WHEN g.n = 1 THEN r.url
+              ELSE coalesce(CASE WHEN r.url IS NOT NULL AND r.url <> '' THEN r.url END, g.all_urls[1]) END AS url,
+         g.min_seq AS seq, g.n AS n_merged,
+         CASE WHEN g.n > 1 THEN g.merged_sources END AS merged_sources,
+         CASE WHEN g.n > 1 THEN g.merged_ids END AS merged_ids,
+         CASE WHEN g.n > 1 THEN g.all_urls END AS all_urls,
+         CASE WHEN g.n > 1 THEN g.metadata_keys END AS metadata_keys,
+         r.entry_id, r.lang
+  FROM ranked r JOIN grp g USING (item_id) WHERE r.rn = 1
+)"""
+
+
+def with_ctes(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+BASE = (RAW_PAGES, RAW_DOCS, RAW)
+BASE_DEDUP = BASE + (DEDUP,)
+
+
+def q_dedup_exact() -> str:
+    return with_ctes(*BASE_DEDUP) + f"""
+SELECT item_id, source_type, source_id, title,
+       CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha,
+       {ts('published_at')} AS published_at, url, seq, CAST(n_merged AS BIGINT) AS n_merged,
+       array_to_string(merged_sources, ',') AS merged_sources,
+       array_to_string(merged_ids, ',') AS merged_ids,
+       array_to_string(all_urls, ',') AS all_urls,
+       array_to_string(metadata_keys, ',') AS metadata_keys
+FROM dedup"""
+
+
+SQL = {
+    "dedup_exact": q_dedup_exact,
+}
+
+
+def all_sql() -> dict[str, str]:
+    return {k: f() for k, f in SQL.items()}
