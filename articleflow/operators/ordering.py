@@ -1,11 +1,13 @@
 """Distributed ordering helpers.
 
-``global_rank`` numbers rows in a total order without a single-partition window: the rows are range-sorted,
-each row takes its position inside its sorted partition (from ``monotonically_increasing_id``, whose upper bits
-are the partition index), per-partition counts give start offsets (one row per partition, so the offsets table
-is bounded by the partition count and broadcast), and the rank is offset + position. The sorted frame is
-checkpointed to the shared checkpoint folder first, so both uses read the same materialised order and a lost
-executor does not renumber anything.
+``global_rank`` / ``rank_within`` number rows without a window whose partition could hold a hot key: rows are
+range-sorted on (group, order) – range boundaries split even one huge group over many tasks – and each row takes
+its position inside its sorted partition from ``monotonically_increasing_id`` (upper bits = partition index).
+A per-(partition, group) summary (count and first position) gives, by a running sum over partitions, the
+number of rows of the same group in earlier partitions; rank = that offset + position within the partition's
+run of the group + 1. The summary has one row per (partition, group) pair, not per row. The sorted frame is
+checkpointed to the shared checkpoint folder first, so both uses read one materialised order and a lost
+executor cannot renumber anything.
 """
 
 from __future__ import annotations
@@ -18,21 +20,33 @@ from articleflow.session import checkpoint_dir
 _LOW_BITS = (1 << 33) - 1
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds ``name`` = 1-based position of each row in ``order`` (which must be a total order)."""
+def rank_within(df: DataFrame, group_cols: list[str], order: list[Column], name: str = "rank",
+                few_groups: bool = False) -> DataFrame:
+    """Adds ``name`` = 1-based position of each row inside its group in ``order`` (a total order per group).
+
+    ``few_groups=True`` (a bounded vocabulary such as topics) broadcasts the summary table; its size is then
+    partitions × groups. Otherwise the summary is joined with a shuffle."""
     checkpoint_dir(df.sparkSession)
-    mid = F.monotonically_increasing_id()
-    sorted_ids = (df.orderBy(*order)
-                  .withColumn("_mid", mid)
+    sort_cols = [F.asc_nulls_first(c) for c in group_cols] + list(order)
+    sorted_ids = (df.orderBy(*sort_cols)
+                  .withColumn("_mid", F.monotonically_increasing_id())
                   .withColumn("_part", F.shiftright(F.col("_mid"), 33))
                   .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
                   .checkpoint(eager=True))
-    counts = sorted_ids.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: the running sum is a window over a table of partition-count size
-    offsets = counts.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    ).select("_part", F.coalesce("_off", F.lit(0)).alias("_off"))
-    return (sorted_ids.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_off") + F.col("_pos") + 1)
-            .drop("_mid", "_part", "_pos", "_off"))
+    keys = group_cols + ["_part"]
+    summary = sorted_ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    w = (Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+         if group_cols else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = summary.select(*keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    if few_groups or not group_cols:
+        offsets = F.broadcast(offsets)
+    # null-safe join on the group columns (a null group is its own group)
+    cond = [sorted_ids["_part"] == offsets["_part"]] + [sorted_ids[c].eqNullSafe(offsets[c]) for c in group_cols]
+    joined = sorted_ids.join(offsets.select(*[F.col(c) for c in keys], "_first", "_off"), cond)
+    return (joined.select(sorted_ids["*"], (F.col("_off") + F.col("_pos") - F.col("_first") + 1).alias(name))
+            .drop("_mid", "_part", "_pos"))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds ``name`` = 1-based position of each row in ``order`` (which must be a total order)."""
+    return rank_within(df, [], order, name)

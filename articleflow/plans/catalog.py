@@ -7,27 +7,38 @@ Computed columns carry the same names as in ``plans.oracle_sql``. Timestamps are
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.context import RunContext
-from articleflow.functions.dates import plain_ts
+from articleflow.functions import arrays as A
+from articleflow.functions.dates import age_bucket, duration_ms, iso_format, parse_feed_date, plain_ts
+from articleflow.functions.text import embedding_text, longest_text, prompt_text
 from articleflow.operators import collect as C
 from articleflow.operators import dedup as D
-from articleflow.sources.tables import raw_docs, raw_pages
+from articleflow.operators import enrich as E
+from articleflow.operators import publish as P
+from articleflow.operators import query as Q
+from articleflow.operators import store as S
+from articleflow.sources.tables import read_table, raw_docs, raw_pages, url_host
 
 # Fixed run parameters of the catalogue (the "now" of every run is pinned so results are reproducible).
 RUN_DATE = datetime(2024, 1, 8, tzinfo=UTC)
 PROCESSED_AT = datetime(2024, 3, 1, tzinfo=UTC)
+SECOND_RUN_AT = datetime(2024, 3, 2, tzinfo=UTC)
+WINDOW_RUN_DATE = datetime(2024, 1, 20, tzinfo=UTC)
+KP_SEP = " || "
+SOURCE_LABELS = {"rss": "RSS", "gmail": "Newsletter"}
 
 
-def ctx(backfill_days: int = 7) -> RunContext:
-    return RunContext(run_date=RUN_DATE, backfill_days=backfill_days, run_id="run_20240108_000000_catalog",
+def ctx(run_date: datetime = RUN_DATE, backfill_days: int = 7) -> RunContext:
+    return RunContext(run_date=run_date, backfill_days=backfill_days, run_id="run_20240108_000000_catalog",
                       now=PROCESSED_AT)
 
 
+# ------------------------------------------------------------------------------------------ bindings
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of both collectors (U1) with the empty-content drop (F2); no date window."""
     return C.drop_empty_content(C.union_collectors(raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)))
@@ -37,11 +48,164 @@ def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dedup_exact(raw_items(spark, sf_dir))
 
 
-def _joined(col) -> F.Column:
-    return F.array_join(col, ",")
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.enrich(deduped(spark, sf_dir), E.extractive_provider)
 
 
-# ------------------------------------------------------------------------------------------ dedup
+def processed(spark: SparkSession, sf_dir: str, run_ctx: RunContext | None = None) -> DataFrame:
+    valid, _ = E.split_valid(enriched(spark, sf_dir))
+    return E.to_processed(valid, run_ctx or ctx())
+
+
+def news_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored form of the processed items (created/updated at the processing time)."""
+    p = processed(spark, sf_dir)
+    return p.withColumn("created_at", F.col("processed_at")).withColumn("updated_at", F.col("processed_at"))
+
+
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance stand-in from labels: (quality + (1 - toxic)) / 2 per document id."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    return lab.select(F.col("doc_id").cast("long").alias("seq"),
+                      ((F.col("quality") + (F.lit(1) - F.col("toxic"))) / F.lit(2.0)).alias("relevance_score"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed newsletter items with their relevance score (items of the page collector have none)."""
+    p = processed(spark, sf_dir)
+    gm = p.filter(F.array_contains("source_types", "gmail"))
+    return gm.join(relevance(spark, sf_dir), "seq", "inner")
+
+
+def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipeline runs derived from events: one run per event hour."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "event_type"]).withColumn("ts", F.col("ts").cast("timestamp"))
+    hour = F.date_trunc("hour", F.col("ts"))
+    g = ev.groupBy(hour.alias("run_date")).agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("completed_at"),
+        F.count(F.lit(1)).cast("int").alias("items_collected"),
+        F.count_if(F.col("event_type") != "error").cast("int").alias("items_processed"),
+        F.count_if(F.col("event_type") == "purchase").cast("int").alias("items_persisted"),
+        F.count_if(F.col("event_type") == "error").cast("int").alias("collection_errors"),
+    )
+    failed = F.col("collection_errors") * 2 > F.col("items_collected")
+    return g.select(
+        F.concat(F.lit("run_"), F.date_format("run_date", "yyyyMMdd_HHmmss")).alias("run_id"),
+        "run_date", "started_at", "completed_at", "items_collected", "items_processed", "items_persisted",
+        "collection_errors",
+        F.when(failed, F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+        F.when(failed, F.concat(F.lit("errors: "), F.col("collection_errors").cast("string"))).alias("error_message"),
+    )
+
+
+def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection errors derived from error events: fetch of feed ``feed<user_id>`` failed."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
+    status = F.when(F.col("value") >= 100, F.lit(500)).otherwise(F.lit(404))
+    reason = F.when(status == 500, F.lit("Internal Server Error")).otherwise(F.lit("Not Found"))
+    return ev.filter(F.col("event_type") == "error").select(
+        F.lit("rss").alias("source_type"),
+        F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("source_id"),
+        F.lit("HTTPStatusError").alias("error_type"),
+        F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), reason).alias("error_message"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+
+
+def _j(col, sep=",") -> F.Column:
+    return F.array_join(col if not isinstance(col, str) else F.col(col), sep)
+
+
+# ------------------------------------------------------------------------------------------ collect
+def q_feed_dimension(spark, sf_dir):
+    """Feed and sender lists as dimension rows (S1, S2): distinct page hosts and document sources."""
+    pages = read_table(spark, sf_dir, "pages", ["url"])
+    docs = read_table(spark, sf_dir, "documents", ["source"])
+    feeds = pages.select(F.lit("rss").alias("source_type"), F.coalesce(url_host(F.col("url")), F.col("url")).alias("name"))
+    senders = docs.select(F.lit("gmail").alias("source_type"), F.col("source").alias("name"))
+    return feeds.unionByName(senders).distinct()
+
+
+def q_feed_coverage(spark, sf_dir):
+    """Senders with their item count inside a run window; senders without items show 0."""
+    senders = read_table(spark, sf_dir, "documents", ["source"]).select(F.col("source").alias("name")).distinct()
+    window = C.backfill_filter(raw_docs(spark, sf_dir), ctx(datetime(2024, 2, 5, tzinfo=UTC), 0))
+    return C.feed_coverage(senders, window).select("name", "items")
+
+
+def q_item_id_url(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    from articleflow.functions.ids import item_id
+
+    return pages.select("page_id", item_id(F.col("url"), F.lit(None).cast("string"), F.lit("")).alias("item_id"))
+
+
+def q_item_id_fallback(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    from articleflow.functions.ids import item_id
+
+    return docs.select("doc_id", item_id(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text")).alias("item_id"))
+
+
+def q_backfill_filter(spark, sf_dir):
+    items = C.collect([raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)], ctx(WINDOW_RUN_DATE, 7))
+    return items.select("item_id", "source_type", "seq", plain_ts("published_at").alias("published_at"))
+
+
+def _rendered_dates(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
+    t = F.col("ts").cast("timestamp")
+    rfc = F.concat(F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    shifted = F.concat(F.date_format(t + F.expr("INTERVAL 2 HOURS"), "dd MMM yyyy HH:mm:ss"), F.lit(" +0200"))
+    iso = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    published = (F.when(F.col("event_type") == "view", rfc).when(F.col("event_type") == "click", shifted)
+                 .when(F.col("event_type") == "purchase", iso).when(F.col("event_type") == "error", F.lit("n/a")))
+    updated = F.when(F.col("event_type") == "signup", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss+00:00"))
+    return ev.select("event_id", "event_type", published.alias("published"), updated.alias("updated"))
+
+
+def q_date_coalesce(spark, sf_dir):
+    """Event times rendered as feed date strings (RFC 2822 with weekday / with offset, ISO, unusable) and parsed
+    back with the fallback chain published → updated → now (P2)."""
+    r = _rendered_dates(spark, sf_dir)
+    from articleflow.functions.dates import published_date
+
+    parsed = published_date(parse_feed_date("published"), parse_feed_date("updated"), now=PROCESSED_AT)
+    return r.select("event_id", "event_type", plain_ts(parsed).alias("published_at"))
+
+
+def q_content_longest(spark, sf_dir):
+    """Longest of (first half as content value, full text as summary, first 100 chars as description)."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    half = F.substring("text", 1, (F.length("text") / 2).cast("int"))
+    cands = F.array(half, F.col("text"), F.substring("text", 1, 100))
+    best = longest_text(cands)
+    return docs.select("doc_id", F.length(best).cast("long").alias("content_len"), F.sha2(best, 256).alias("content_sha"))
+
+
+def q_collect_union(spark, sf_dir):
+    return raw_items(spark, sf_dir).select("item_id", "source_type", "source_id", "seq")
+
+
+def q_collect_stats(spark, sf_dir):
+    return C.collector_stats(raw_items(spark, sf_dir), error_rows(spark, sf_dir)).select(
+        "source_type", "source_id", F.col("items").cast("long").alias("items"), F.col("errors").cast("long").alias("errors"))
+
+
+def q_raw_item_projection(spark, sf_dir):
+    m = F.col("raw_metadata")
+    return raw_items(spark, sf_dir).select(
+        "item_id", "seq", "source_type", m["feed_name"].alias("feed_name"), m["feed_title"].alias("feed_title"),
+        m["entry_id"].alias("entry_id"), _j(m["tags"]).alias("tags"))
+
+
+def q_error_rows(spark, sf_dir):
+    e = error_rows(spark, sf_dir)
+    return P.error_records(e).withColumn("error_type", F.lit("HTTPStatusError")).select(
+        "source_type", "source_id", "error", "error_type")
+
+
+# -------------------------------------------------------------------------------------------- dedup
 def q_dedup_exact(spark, sf_dir):
     d = deduped(spark, sf_dir)
     m = F.col("raw_metadata")
@@ -51,13 +215,348 @@ def q_dedup_exact(spark, sf_dir):
         F.sha2("content", 256).alias("content_sha"),
         plain_ts("published_at").alias("published_at"),
         "url", "seq", F.col("n_merged").cast("long").alias("n_merged"),
-        _joined(m["merged_from_sources"]).alias("merged_sources"),
-        _joined(m["merged_from_ids"]).alias("merged_ids"),
-        _joined(m["all_urls"]).alias("all_urls"),
-        _joined(F.array_sort(F.map_keys(m["source_metadata"]))).alias("metadata_keys"),
+        _j(m["merged_from_sources"]).alias("merged_sources"),
+        _j(m["merged_from_ids"]).alias("merged_ids"),
+        _j(m["all_urls"]).alias("all_urls"),
+        _j(F.array_sort(F.map_keys(m["source_metadata"]))).alias("metadata_keys"),
     )
 
 
+def q_dedup_stats(spark, sf_dir):
+    return D.dedup_stats(raw_items(spark, sf_dir))
+
+
+def q_dedup_primary_window(spark, sf_dir):
+    p = D.primary_rows(raw_items(spark, sf_dir))
+    return p.select("item_id", F.col("seq").alias("primary_seq"), F.length("content").cast("long").alias("content_len"))
+
+
+def q_dedup_metadata_map(spark, sf_dir):
+    d = deduped(spark, sf_dir).filter(F.col("n_merged") > 1)
+    e = d.select("item_id", F.explode(F.col("raw_metadata.source_metadata")).alias("source_key", "meta"))
+    return e.select("item_id", "source_key", F.col("meta.feed_name").alias("feed_name"),
+                    F.col("meta.entry_id").alias("entry_id"))
+
+
+def q_recent_sorted(spark, sf_dir):
+    d = D.with_recency_rank(deduped(spark, sf_dir))
+    return d.select("item_id", "recency_rank", plain_ts("published_at").alias("published_at"))
+
+
+# ------------------------------------------------------------------------------------------- enrich
+def q_enrich_extractive(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    return e.select("item_id", F.col("e_title").alias("title"), F.col("e_summary").alias("summary"),
+                    _j("e_key_points", KP_SEP).alias("key_points"), _j("e_topics").alias("topics"),
+                    F.col("e_article_type").alias("article_type"))
+
+
+def q_enrich_validity(spark, sf_dir):
+    from articleflow.functions.predicates import valid_enrichment
+
+    e = enriched(spark, sf_dir)
+    ok = valid_enrichment("e_title", "e_summary", "e_key_points", "e_topics", "e_article_type")
+    return e.select("item_id", ok.cast("int").alias("is_valid"),
+                    F.size("e_key_points").cast("long").alias("n_key_points"),
+                    F.size("e_topics").cast("long").alias("n_topics"))
+
+
+def q_enrich_quarantine(spark, sf_dir):
+    _, quarantine = E.split_valid(enriched(spark, sf_dir))
+    return quarantine.select("item_id", "reason", F.size("e_key_points").cast("long").alias("n_key_points"))
+
+
+def q_enrich_counts(spark, sf_dir):
+    return E.enrichment_counts(enriched(spark, sf_dir))
+
+
+def q_processed_projection(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    return p.select("item_id", _j("original_urls").alias("original_urls"), _j("source_types").alias("source_types"),
+                    plain_ts("published_at").alias("published_at"), plain_ts("processed_at").alias("processed_at"))
+
+
+def q_prompt_text(spark, sf_dir):
+    d = deduped(spark, sf_dir)
+    pr = prompt_text()
+    return d.select("item_id", F.length(pr).cast("long").alias("prompt_len"), F.sha2(pr, 256).alias("prompt_sha"))
+
+
+def q_embedding_text(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    t = embedding_text("title", "summary")
+    return p.select("item_id", F.length(t).cast("long").alias("text_len"), F.sha2(t, 256).alias("text_sha"))
+
+
+# ------------------------------------------------------------------------------------------ publish
+def q_topic_distribution(spark, sf_dir):
+    return P.topic_distribution(processed(spark, sf_dir), with_vocabulary=True)
+
+
+def q_source_distribution(spark, sf_dir):
+    return P.source_distribution(processed(spark, sf_dir))
+
+
+def q_type_distribution(spark, sf_dir):
+    return P.type_distribution(processed(spark, sf_dir), with_vocabulary=True)
+
+
+def q_run_stats_long(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    persisted = p.agg(F.count(F.lit(1)).alias("n"))
+    return P.run_stats_long(p, persisted, error_rows(spark, sf_dir))
+
+
+def q_by_topic_rank(spark, sf_dir):
+    r = P.by_topic_ranked(processed(spark, sf_dir))
+    return r.select("item_id", "primary_topic", F.col("topic_rank").cast("long").alias("topic_rank"))
+
+
+def q_payload_counts(spark, sf_dir):
+    return P.payload_counts(processed(spark, sf_dir), error_rows(spark, sf_dir))
+
+
+def q_run_meta(spark, sf_dir):
+    # the run is the catalogue run over the processed items; the meta row is joined to its item count so the
+    # record belongs to data that was actually processed
+    return P.run_meta(spark, ctx(), processed(spark, sf_dir))
+
+
+def q_api_items(spark, sf_dir):
+    a = P.api_items(processed(spark, sf_dir))
+    return a.select("id", "title", _j("urls").alias("urls"), _j("sources").alias("sources"), "published_at",
+                    "processed_at", F.size("key_points").cast("long").alias("n_key_points"))
+
+
+def q_iso_timestamps(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
+    return ev.select("event_id", iso_format(F.col("ts").cast("timestamp")).alias("iso"))
+
+
+# -------------------------------------------------------------------------------------------- store
+def _upsert_inputs(spark, sf_dir):
+    """Run 1 stored pages and English/French newsletters; run 2 brings every newsletter a day later."""
+    first_ctx = ctx()
+    p1 = processed(spark, sf_dir, first_ctx)
+    docs_lang = read_table(spark, sf_dir, "documents", ["doc_id", "lang"]).select(
+        F.col("doc_id").cast("long").alias("seq"), "lang")
+    gm = F.array_contains("source_types", "gmail")
+    stored = (p1.join(docs_lang, "seq", "left").filter(~gm | F.col("lang").isin("en", "fr")).drop("lang")
+              .withColumn("created_at", F.col("processed_at")).withColumn("updated_at", F.col("processed_at")))
+    second = RunContext(run_date=RUN_DATE + timedelta(days=1), backfill_days=7, run_id="run_2", now=SECOND_RUN_AT)
+    incoming = processed(spark, sf_dir, second).filter(gm)
+    return stored, incoming
+
+
+def q_upsert_merge(spark, sf_dir):
+    stored, incoming = _upsert_inputs(spark, sf_dir)
+    m = S.merge_news(stored, incoming, SECOND_RUN_AT)
+    return m.select("item_id", "change", plain_ts("published_at").alias("published_at"),
+                    plain_ts("processed_at").alias("processed_at"), plain_ts("created_at").alias("created_at"),
+                    plain_ts("updated_at").alias("updated_at"), "title")
+
+
+def q_upsert_counts(spark, sf_dir):
+    stored, incoming = _upsert_inputs(spark, sf_dir)
+    return S.upsert_counts(S.merge_news(stored, incoming, SECOND_RUN_AT))
+
+
+def q_reject_rows(spark, sf_dir):
+    # candidates from a pass-through provider that keeps the collector's title (newsletters have none)
+    e = enriched(spark, sf_dir).withColumn("e_title", F.col("title"))
+    candidates = E.to_processed(e, ctx())
+    _, rejected = S.split_rejects(candidates)
+    return rejected.select("item_id", "reject_reason")
+
+
+def q_json_columns(spark, sf_dir):
+    return S.json_columns(news_table(spark, sf_dir))
+
+
+def q_table_counts(spark, sf_dir):
+    return S.table_counts({"news_items": news_table(spark, sf_dir), "pipeline_runs": runs_table(spark, sf_dir),
+                           "raw_items": raw_items(spark, sf_dir)})
+
+
+def _run_cols(df):
+    return df.select("run_id", plain_ts("run_date").alias("run_date"), plain_ts("started_at").alias("started_at"),
+                     plain_ts("completed_at").alias("completed_at"), "items_collected", "items_processed",
+                     "items_persisted", "collection_errors", "status", "error_message")
+
+
+def q_run_log_upsert(spark, sf_dir):
+    """Start a new run and restart the latest existing one, then finish both."""
+    runs = runs_table(spark, sf_dir)
+    restarted = "run_20240130_230000"
+    r = S.run_start(runs, "run_catalog", RUN_DATE, PROCESSED_AT)
+    r = S.run_start(r, restarted, datetime(2024, 1, 30, 23, tzinfo=UTC), PROCESSED_AT)
+    r = S.run_finish(r, "run_catalog", SECOND_RUN_AT, 7, "completed", items_collected=9, items_processed=8,
+                     collection_errors=1)
+    r = S.run_finish(r, restarted, SECOND_RUN_AT, 0, "failed", error_message="provider unavailable")
+    return _run_cols(r)
+
+
+def q_run_history(spark, sf_dir):
+    r = Q.recent_runs(runs_table(spark, sf_dir), 20)
+    return r.select("run_id", plain_ts("run_date").alias("run_date"), "items_collected", "items_processed",
+                    "items_persisted", "status", "error_message",
+                    F.round("duration_seconds", 6).alias("duration_seconds"))
+
+
+def q_latest_run(spark, sf_dir):
+    r = Q.latest_run(runs_table(spark, sf_dir))
+    return r.select("run_id", "status", F.round("duration_seconds", 6).alias("duration_seconds"))
+
+
+def q_run_outcome(spark, sf_dir):
+    return Q.run_outcome(runs_table(spark, sf_dir))
+
+
+# -------------------------------------------------------------------------------------------- reads
+def _item_out(df):
+    return df.select("item_id", "title", _j("topics").alias("topics"), "article_type",
+                     plain_ts("published_at").alias("published_at"))
+
+
+def q_items_by_topic(spark, sf_dir):
+    return _item_out(Q.recent_items(news_table(spark, sf_dir), 20, topic="Research"))
+
+
+def q_items_by_type(spark, sf_dir):
+    return _item_out(Q.recent_items(news_table(spark, sf_dir), 20, article_type="news"))
+
+
+def q_items_filtered_topk(spark, sf_dir):
+    return _item_out(Q.recent_items(news_table(spark, sf_dir), 100, topic="LLMs", article_type="news"))
+
+
+def q_items_total(spark, sf_dir):
+    return Q.items_total(news_table(spark, sf_dir), topic="Research", article_type="")
+
+
+def q_item_by_id(spark, sf_dir):
+    """Point lookup of the item of the first page (id taken from the data, not typed in)."""
+    news = Q.select_items(news_table(spark, sf_dir))
+    first = raw_pages(spark, sf_dir).agg(F.min_by("item_id", "seq").alias("item_id"))
+    return _item_out(news.join(first, "item_id", "left_semi"))
+
+
+def q_items_top5(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    return _item_out(p.orderBy(F.desc("published_at"), F.asc("seq")).limit(5))
+
+
+# --------------------------------------------------------------------------------------- display cols
+def q_age_buckets(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    b = age_bucket(F.col("published_at"), PROCESSED_AT)
+    return p.select(b["bucket"].alias("bucket"), b["n"].alias("n")).groupBy("bucket", "n").agg(
+        F.count(F.lit(1)).alias("items"))
+
+
+def q_item_card_columns(spark, sf_dir):
+    a = P.api_items(processed(spark, sf_dir))
+    return a.select("id", A.primary_url("urls").alias("primary_url"),
+                    _j(A.first_key_points("key_points"), KP_SEP).alias("first_points"),
+                    A.further_sources("urls").cast("long").alias("further_sources"))
+
+
+def q_source_labels(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    return p.select("item_id", _j(F.transform("source_types", lambda s: A.label_lookup(s, SOURCE_LABELS)))
+                    .alias("source_labels"))
+
+
+def traces_from_events(spark, sf_dir):
+    """One trace per user: first to last event, named after the user's first event type."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
+    return ev.groupBy("user_id").agg(
+        F.min("ts").cast("timestamp").alias("start_time"), F.max("ts").cast("timestamp").alias("end_time"),
+        F.min_by("event_type", "ts").alias("name"), F.count(F.lit(1)).alias("total_tokens"),
+        F.sum("value").alias("total_cost"))
+
+
+def q_trace_durations(spark, sf_dir):
+    t = traces_from_events(spark, sf_dir)
+    return t.select("user_id", duration_ms("start_time", "end_time").alias("duration_ms"),
+                    F.coalesce(F.nullif(F.when(F.col("name") == "error", F.lit("")).otherwise(F.col("name")),
+                                        F.lit("")), F.lit("Unnamed")).alias("name"))
+
+
+# -------------------------------------------------------------------------------------------- relevance
+def q_relevance_filter(spark, sf_dir):
+    s = E.relevance_filter(scored(spark, sf_dir), 0.7)
+    return s.select("item_id", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+def q_relevance_breakdown(spark, sf_dir):
+    return E.relevance_breakdown(scored(spark, sf_dir))
+
+
+def q_relevance_rank(spark, sf_dir):
+    r = P.by_topic_ranked(scored(spark, sf_dir), order_by="relevance_score")
+    return r.select("item_id", "primary_topic", F.col("topic_rank").cast("long").alias("topic_rank"))
+
+
+# ---------------------------------------------------------------------------------------------- flagship
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw items → dedup → extractive enrichment → topic distribution with the vocabulary."""
+    return q_topic_distribution(spark, sf_dir)
+
+
 QUERIES = {
+    "feed_dimension": q_feed_dimension,
+    "feed_coverage": q_feed_coverage,
+    "item_id_url": q_item_id_url,
+    "item_id_fallback": q_item_id_fallback,
+    "backfill_filter": q_backfill_filter,
+    "date_coalesce": q_date_coalesce,
+    "content_longest": q_content_longest,
+    "collect_union": q_collect_union,
+    "collect_stats": q_collect_stats,
+    "raw_item_projection": q_raw_item_projection,
+    "error_rows": q_error_rows,
     "dedup_exact": q_dedup_exact,
+    "dedup_stats": q_dedup_stats,
+    "dedup_primary_window": q_dedup_primary_window,
+    "dedup_metadata_map": q_dedup_metadata_map,
+    "recent_sorted": q_recent_sorted,
+    "enrich_extractive": q_enrich_extractive,
+    "enrich_validity": q_enrich_validity,
+    "enrich_quarantine": q_enrich_quarantine,
+    "enrich_counts": q_enrich_counts,
+    "processed_projection": q_processed_projection,
+    "prompt_text": q_prompt_text,
+    "embedding_text": q_embedding_text,
+    "topic_distribution": q_topic_distribution,
+    "source_distribution": q_source_distribution,
+    "type_distribution": q_type_distribution,
+    "run_stats_long": q_run_stats_long,
+    "by_topic_rank": q_by_topic_rank,
+    "payload_counts": q_payload_counts,
+    "run_meta": q_run_meta,
+    "api_items": q_api_items,
+    "iso_timestamps": q_iso_timestamps,
+    "upsert_merge": q_upsert_merge,
+    "upsert_counts": q_upsert_counts,
+    "reject_rows": q_reject_rows,
+    "json_columns": q_json_columns,
+    "table_counts": q_table_counts,
+    "run_log_upsert": q_run_log_upsert,
+    "run_history": q_run_history,
+    "latest_run": q_latest_run,
+    "run_outcome": q_run_outcome,
+    "items_by_topic": q_items_by_topic,
+    "items_by_type": q_items_by_type,
+    "items_filtered_topk": q_items_filtered_topk,
+    "items_total": q_items_total,
+    "item_by_id": q_item_by_id,
+    "items_top5": q_items_top5,
+    "age_buckets": q_age_buckets,
+    "item_card_columns": q_item_card_columns,
+    "source_labels": q_source_labels,
+    "trace_durations": q_trace_durations,
+    "relevance_filter": q_relevance_filter,
+    "relevance_breakdown": q_relevance_breakdown,
+    "relevance_rank": q_relevance_rank,
 }

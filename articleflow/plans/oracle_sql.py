@@ -80,16 +80,194 @@ dedup AS (
 )"""
 
 
+def _topics_list() -> str:
+    from articleflow.schemas import TOPIC_CATEGORIES
+
+    return "[" + ", ".join(f"'{t}'" for t in TOPIC_CATEGORIES) + "]"
+
+
+def _hits() -> str:
+    from articleflow.operators.enrich import TOPIC_KEYWORDS
+
+    arms = ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{t}' END" for t, p in TOPIC_KEYWORDS)
+    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+
+
+def _tutorial() -> str:
+    from articleflow.operators.enrich import TUTORIAL_PATTERN
+
+    return TUTORIAL_PATTERN
+
+
+def enrich_ctes() -> str:
+    return rf"""
+sents AS (
+  SELECT d.*,
+         list_filter(list_transform(regexp_extract_all(coalesce(content, ''), '[^.!?\n]+[.!?]*', 0),
+                                    lambda s: trim(s)), lambda s: length(s) > 0) AS sents,
+         lower(content) AS low
+  FROM dedup d
+),
+hits AS (SELECT *, {_hits()} AS hits FROM sents),
+enriched AS (
+  SELECT *,
+         coalesce(nullif(trim(title), ''), sents[1]) AS e_title,
+         nullif(array_to_string(sents[1:2], ' '), '') AS e_summary,
+         list_transform(list_sort(list_transform(sents, lambda s, i: {{'k': -length(s), 'i': i, 's': s}})),
+                        lambda x: x.s)[1:5] AS e_key_points,
+         CASE WHEN len(hits) > 0 THEN hits[1:3]
+              ELSE [{_topics_list()}[(('0x' || substr(item_id, 1, 8))::BIGINT % 10) + 1]] END AS e_topics,
+         CASE WHEN regexp_matches(low, '{_tutorial()}') THEN 'tutorial' ELSE 'news' END AS e_article_type
+  FROM hits
+),
+checked AS (
+  SELECT *, coalesce(e_title IS NOT NULL AND e_summary IS NOT NULL AND e_article_type IS NOT NULL
+                     AND e_key_points IS NOT NULL AND e_topics IS NOT NULL
+                     AND len(e_key_points) BETWEEN 3 AND 5 AND len(e_topics) BETWEEN 1 AND 3, false) AS is_valid
+  FROM enriched
+)"""
+
+
+def processed_cte(name: str = "processed", processed_at: str = "2024-03-01 00:00:00", only_valid: bool = True,
+                  title: str = "e_title") -> str:
+    where = "WHERE is_valid" if only_valid else ""
+    return f"""
+{name} AS (
+  SELECT item_id, {title} AS title, e_summary AS summary, e_key_points AS key_points, e_topics AS topics,
+         e_article_type AS article_type,
+         CASE WHEN n_merged > 1 THEN all_urls
+              ELSE CASE WHEN url IS NOT NULL AND url <> '' THEN [url] ELSE []::VARCHAR[] END END AS original_urls,
+         CASE WHEN n_merged > 1 THEN merged_sources ELSE [source_type] END AS source_types,
+         published_at, TIMESTAMP '{processed_at}' AS processed_at, seq
+  FROM checked {where}
+)"""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
 BASE = (RAW_PAGES, RAW_DOCS, RAW)
 BASE_DEDUP = BASE + (DEDUP,)
+BASE_ENRICH = BASE_DEDUP + (enrich_ctes(),)
+BASE_PROCESSED = BASE_ENRICH + (processed_cte(),)
+
+
+def iso(expr: str) -> str:
+    return (f"CASE WHEN epoch_us({expr}) % 1000000 = 0 THEN strftime({expr}, '%Y-%m-%dT%H:%M:%S') || '+00:00' "
+            f"ELSE strftime({expr}, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END")
+
+
+def sql_text(s: str) -> str:
+    """A Python string as a SQL string expression (newlines via chr(10))."""
+    parts = s.split("\n")
+    lits = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(lits)
+
+
+HOST_RX = "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+ERR_STATUS = "CASE WHEN value >= 100 THEN 500 ELSE 404 END"
+ERR_REASON = "CASE WHEN value >= 100 THEN 'Internal Server Error' ELSE 'Not Found' END"
+
+RUNS = """
+runs0 AS (
+  SELECT date_trunc('hour', ts) AS run_date, min(ts) AS started_at, max(ts) AS completed_at,
+         CAST(count(*) AS INTEGER) AS items_collected,
+         CAST(count(*) FILTER (WHERE event_type <> 'error') AS INTEGER) AS items_processed,
+         CAST(count(*) FILTER (WHERE event_type = 'purchase') AS INTEGER) AS items_persisted,
+         CAST(count(*) FILTER (WHERE event_type = 'error') AS INTEGER) AS collection_errors
+  FROM events GROUP BY 1
+),
+runs AS (
+  SELECT 'run_' || strftime(run_date, '%Y%m%d_%H%M%S') AS run_id, run_date, started_at, completed_at,
+         items_collected, items_processed, items_persisted, collection_errors,
+         CASE WHEN collection_errors * 2 > items_collected THEN 'failed' ELSE 'completed' END AS status,
+         CASE WHEN collection_errors * 2 > items_collected THEN 'errors: ' || CAST(collection_errors AS VARCHAR) END
+           AS error_message
+  FROM runs0
+)"""
+
+ERRORS = f"""
+errs AS (
+  SELECT 'rss' AS source_type, 'feed' || CAST(user_id AS VARCHAR) AS source_id, 'HTTPStatusError' AS error_type,
+         'HTTP ' || CAST({ERR_STATUS} AS VARCHAR) || ': ' || {ERR_REASON} AS error_message, ts AS timestamp
+  FROM events WHERE event_type = 'error'
+)"""
+
+SCORED = """
+scored AS (
+  SELECT p.*, (l.quality + (1 - l.toxic)) / 2.0 AS relevance_score
+  FROM processed p JOIN labels l ON p.seq = l.doc_id
+  WHERE list_contains(p.source_types, 'gmail')
+)"""
+
+
+def item_out(src: str, where: str, limit: int, order: str = "published_at DESC, item_id ASC") -> str:
+    return f"""
+SELECT item_id, title, array_to_string(topics, ',') AS topics, coalesce(article_type, 'news') AS article_type,
+       {ts('published_at')} AS published_at
+FROM {src} WHERE {where} ORDER BY {order} LIMIT {limit}"""
+
+
+Q: dict[str, str] = {}
+
+Q["feed_dimension"] = f"""
+SELECT DISTINCT source_type, name FROM (
+  SELECT 'rss' AS source_type, coalesce(nullif(regexp_extract(url, '{HOST_RX}', 1), ''), url) AS name FROM pages
+  UNION ALL
+  SELECT 'gmail' AS source_type, source AS name FROM documents)"""
+
+Q["feed_coverage"] = """
+WITH senders AS (SELECT DISTINCT source AS name FROM documents),
+win AS (SELECT source AS src FROM documents
+        WHERE TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) >= TIMESTAMP '2024-02-05 00:00:00')
+SELECT s.name, count(w.src) AS items FROM senders s LEFT JOIN win w ON s.name = w.src GROUP BY s.name"""
+
+Q["item_id_url"] = """
+SELECT page_id, substr(sha256(CASE WHEN url IS NOT NULL AND url <> '' THEN url ELSE '' END), 1, 32) AS item_id
+FROM pages"""
+
+Q["item_id_fallback"] = """
+SELECT doc_id, substr(sha256('' || substr(coalesce(text, ''), 1, 500)), 1, 32) AS item_id FROM documents"""
+
+Q["backfill_filter"] = with_ctes(*BASE) + f"""
+SELECT item_id, source_type, seq, {ts('published_at')} AS published_at
+FROM raw WHERE published_at >= TIMESTAMP '2024-01-13 00:00:00'"""
+
+Q["date_coalesce"] = f"""
+SELECT event_id, event_type,
+       {ts("CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-03-01 00:00:00' ELSE date_trunc('second', ts) END")}
+         AS published_at
+FROM events"""
+
+Q["content_longest"] = """
+WITH c AS (
+  SELECT doc_id, substr(text, 1, length(text) // 2) AS a, text AS b, substr(text, 1, 100) AS c FROM documents
+), best AS (
+  SELECT doc_id,
+         CASE WHEN length(a) >= length(b) AND length(a) >= length(c) THEN a
+              WHEN length(b) >= length(c) THEN b ELSE c END AS best
+  FROM c
+)
+SELECT doc_id, CAST(length(best) AS BIGINT) AS content_len, sha256(best) AS content_sha FROM best"""
+
+Q["collect_union"] = with_ctes(*BASE) + "SELECT item_id, source_type, source_id, seq FROM raw"
+
+Q["collect_stats"] = with_ctes(*BASE, ERRORS) + """,
+ic AS (SELECT source_type, source_id, count(*) AS items FROM raw GROUP BY ALL),
+ec AS (SELECT source_type, source_id, count(*) AS errors FROM errs GROUP BY ALL)
+SELECT coalesce(ic.source_type, ec.source_type) AS source_type, coalesce(ic.source_id, ec.source_id) AS source_id,
+       coalesce(items, 0) AS items, coalesce(errors, 0) AS errors
+FROM ic FULL OUTER JOIN ec ON ic.source_type = ec.source_type AND ic.source_id = ec.source_id"""
+
+Q["raw_item_projection"] = with_ctes(*BASE) + """
+SELECT item_id, seq, source_type, source_id AS feed_name, title AS feed_title, entry_id,
+       coalesce(lang, '') AS tags
+FROM raw"""
 
+Q["error_rows"] = with_ctes(ERRORS) + "SELECT source_type, source_id, error_message AS error, error_type FROM errs"
 
-def q_dedup_exact() -> str:
-    return with_ctes(*BASE_DEDUP) + f"""
+Q["dedup_exact"] = with_ctes(*BASE_DEDUP) + f"""
 SELECT item_id, source_type, source_id, title,
        CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha,
        {ts('published_at')} AS published_at, url, seq, CAST(n_merged AS BIGINT) AS n_merged,
@@ -99,11 +277,275 @@ SELECT item_id, source_type, source_id, title,
        array_to_string(metadata_keys, ',') AS metadata_keys
 FROM dedup"""
 
+Q["dedup_stats"] = with_ctes(*BASE) + """
+SELECT count(*) AS input_count, count(DISTINCT item_id) AS output_count,
+       count(*) - count(DISTINCT item_id) AS duplicates_merged,
+       CASE WHEN count(*) > 0 THEN round((1 - count(DISTINCT item_id) / count(*)) * 100, 1) ELSE 0.0 END
+         AS reduction_pct
+FROM raw"""
+
+Q["dedup_primary_window"] = with_ctes(*BASE_DEDUP) + """
+SELECT item_id, seq AS primary_seq, CAST(length(content) AS BIGINT) AS content_len FROM ranked WHERE rn = 1"""
+
+Q["dedup_metadata_map"] = with_ctes(*BASE) + """,
+multi AS (SELECT item_id FROM raw GROUP BY item_id HAVING count(*) > 1)
+SELECT item_id, source_type || ':' || source_id AS source_key, arg_max(source_id, seq) AS feed_name,
+       arg_max(entry_id, seq) AS entry_id
+FROM raw WHERE item_id IN (SELECT item_id FROM multi)
+GROUP BY item_id, source_type || ':' || source_id"""
+
+Q["recent_sorted"] = with_ctes(*BASE_DEDUP) + f"""
+SELECT item_id, row_number() OVER (ORDER BY published_at DESC, seq ASC, item_id ASC) AS recency_rank,
+       {ts('published_at')} AS published_at
+FROM dedup"""
+
+Q["enrich_extractive"] = with_ctes(*BASE_ENRICH) + """
+SELECT item_id, e_title AS title, e_summary AS summary, array_to_string(e_key_points, ' || ') AS key_points,
+       array_to_string(e_topics, ',') AS topics, e_article_type AS article_type
+FROM checked"""
+
+Q["enrich_validity"] = with_ctes(*BASE_ENRICH) + """
+SELECT item_id, CAST(is_valid AS INTEGER) AS is_valid, CAST(len(e_key_points) AS BIGINT) AS n_key_points,
+       CAST(len(e_topics) AS BIGINT) AS n_topics
+FROM checked"""
+
+Q["enrich_quarantine"] = with_ctes(*BASE_ENRICH) + """
+SELECT item_id, 'invalid_output' AS reason, CAST(len(e_key_points) AS BIGINT) AS n_key_points
+FROM checked WHERE NOT is_valid"""
+
+Q["enrich_counts"] = with_ctes(*BASE_ENRICH) + """
+SELECT count(*) AS input_count, count(*) FILTER (WHERE is_valid) AS output_count,
+       count(*) FILTER (WHERE NOT is_valid) AS failed_count
+FROM checked"""
+
+Q["processed_projection"] = with_ctes(*BASE_PROCESSED) + f"""
+SELECT item_id, array_to_string(original_urls, ',') AS original_urls, array_to_string(source_types, ',') AS source_types,
+       {ts('published_at')} AS published_at, {ts('processed_at')} AS processed_at
+FROM processed"""
+
+
+def _prompt_sql() -> str:
+    import re
+
+    from articleflow.functions.text import DEFAULT_PROMPT_TEMPLATE
+
+    slots = {
+        "title": "coalesce(nullif(title, ''), 'No title')",
+        "content": "substr(content, 1, 8000)",
+        "source_type": "coalesce(source_type, '')",
+        "source_id": "coalesce(source_id, '')",
+        "published_at": f"coalesce({iso('published_at')}, '')",
+    }
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(title|content|source_type|source_id|published_at)\}", DEFAULT_PROMPT_TEMPLATE):
+        if m.start() > pos:
+            parts.append(sql_text(DEFAULT_PROMPT_TEMPLATE[pos:m.start()]))
+        parts.append(slots[m.group(1)])
+        pos = m.end()
+    if pos < len(DEFAULT_PROMPT_TEMPLATE):
+        parts.append(sql_text(DEFAULT_PROMPT_TEMPLATE[pos:]))
+    return " || ".join(f"({p})" for p in parts)
+
+
+Q["prompt_text"] = with_ctes(*BASE_DEDUP) + f""",
+pr AS (SELECT item_id, {_prompt_sql()} AS prompt FROM dedup)
+SELECT item_id, CAST(length(prompt) AS BIGINT) AS prompt_len, sha256(prompt) AS prompt_sha FROM pr"""
+
+Q["embedding_text"] = with_ctes(*BASE_PROCESSED) + """,
+t AS (SELECT item_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(summary, '') AS txt FROM processed)
+SELECT item_id, CAST(length(txt) AS BIGINT) AS text_len, sha256(txt) AS text_sha FROM t"""
+
+Q["topic_distribution"] = with_ctes(*BASE_PROCESSED) + f""",
+vocab AS (SELECT unnest({_topics_list()}) AS topic),
+counts AS (SELECT t AS topic, count(*) AS n FROM (SELECT unnest(topics) AS t FROM processed) GROUP BY t)
+SELECT coalesce(v.topic, c.topic) AS topic, coalesce(c.n, 0) AS n FROM vocab v FULL OUTER JOIN counts c ON v.topic = c.topic"""
+
+Q["source_distribution"] = with_ctes(*BASE_PROCESSED) + """
+SELECT s AS source, count(*) AS n FROM (SELECT unnest(source_types) AS s FROM processed) GROUP BY s"""
+
+Q["type_distribution"] = with_ctes(*BASE_PROCESSED) + """,
+vocab AS (SELECT unnest(['news', 'tutorial']) AS article_type),
+counts AS (SELECT coalesce(article_type, 'unknown') AS article_type, count(*) AS n FROM processed GROUP BY 1)
+SELECT coalesce(v.article_type, c.article_type) AS article_type, coalesce(c.n, 0) AS n
+FROM vocab v FULL OUTER JOIN counts c ON v.article_type = c.article_type"""
+
+Q["run_stats_long"] = with_ctes(*BASE_PROCESSED, ERRORS) + """
+SELECT 'total_items' AS dimension, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM processed
+UNION ALL SELECT 'persisted_count', NULL, count(*) FROM processed
+UNION ALL SELECT 'collection_errors', NULL, count(*) FROM errs
+UNION ALL SELECT 'topic', t, count(*) FROM (SELECT unnest(topics) AS t FROM processed) GROUP BY t
+UNION ALL SELECT 'source', s, count(*) FROM (SELECT unnest(source_types) AS s FROM processed) GROUP BY s
+UNION ALL SELECT 'article_type', coalesce(article_type, 'unknown'), count(*) FROM processed GROUP BY 2"""
+
+Q["by_topic_rank"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id, coalesce(topics[1], 'Uncategorized') AS primary_topic,
+       row_number() OVER (PARTITION BY coalesce(topics[1], 'Uncategorized')
+                          ORDER BY published_at DESC, seq ASC, item_id ASC) AS topic_rank
+FROM processed"""
+
+Q["payload_counts"] = with_ctes(*BASE_PROCESSED, ERRORS) + """
+SELECT (SELECT count(*) FROM processed) AS item_count,
+       (SELECT count(DISTINCT coalesce(topics[1], 'Uncategorized')) FROM processed) AS topic_count,
+       (SELECT count(*) FROM errs) AS error_count"""
+
+Q["run_meta"] = with_ctes(*BASE_PROCESSED) + """
+SELECT 'run_20240108_000000_catalog' AS run_id, '2024-01-08T00:00:00+00:00' AS run_date,
+       '2024-03-01T00:00:00+00:00' AS generated_at, '1.0' AS version, count(*) AS item_count
+FROM processed"""
+
+Q["api_items"] = with_ctes(*BASE_PROCESSED) + f"""
+SELECT item_id AS id, title, array_to_string(original_urls, ',') AS urls, array_to_string(source_types, ',') AS sources,
+       {iso('published_at')} AS published_at, {iso('processed_at')} AS processed_at,
+       CAST(len(key_points) AS BIGINT) AS n_key_points
+FROM processed"""
+
+Q["iso_timestamps"] = f"SELECT event_id, {iso('ts')} AS iso FROM events"
+
+UPSERT = with_ctes(*BASE_ENRICH, processed_cte("processed1"), processed_cte("processed2", "2024-03-02 00:00:00")) + """,
+stored AS (
+  SELECT p.* FROM processed1 p LEFT JOIN (SELECT doc_id AS seq, lang FROM documents) d USING (seq)
+  WHERE NOT list_contains(p.source_types, 'gmail') OR d.lang IN ('en', 'fr')
+),
+incoming AS (SELECT * FROM processed2 WHERE list_contains(source_types, 'gmail')),
+merged AS (
+  SELECT coalesce(s.item_id, i.item_id) AS item_id,
+         CASE WHEN s.item_id IS NOT NULL AND i.item_id IS NOT NULL THEN 'updated'
+              WHEN i.item_id IS NOT NULL THEN 'inserted' ELSE 'kept' END AS change,
+         CASE WHEN s.item_id IS NOT NULL THEN s.published_at ELSE i.published_at END AS published_at,
+         CASE WHEN i.item_id IS NOT NULL THEN i.processed_at ELSE s.processed_at END AS processed_at,
+         CASE WHEN s.item_id IS NOT NULL THEN s.processed_at ELSE TIMESTAMP '2024-03-02 00:00:00' END AS created_at,
+         CASE WHEN i.item_id IS NOT NULL THEN TIMESTAMP '2024-03-02 00:00:00' ELSE s.processed_at END AS updated_at,
+         CASE WHEN i.item_id IS NOT NULL THEN i.title ELSE s.title END AS title
+  FROM stored s FULL OUTER JOIN incoming i ON s.item_id = i.item_id
+)"""
+
+Q["upsert_merge"] = UPSERT + f"""
+SELECT item_id, change, {ts('published_at')} AS published_at, {ts('processed_at')} AS processed_at,
+       {ts('created_at')} AS created_at, {ts('updated_at')} AS updated_at, title
+FROM merged"""
+
+Q["upsert_counts"] = UPSERT + """
+SELECT count(*) FILTER (WHERE change <> 'kept') AS persisted, count(*) FILTER (WHERE change = 'inserted') AS inserted,
+       count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'kept') AS kept,
+       count(*) AS total
+FROM merged"""
+
+Q["reject_rows"] = with_ctes(*BASE_ENRICH, processed_cte("candidates", only_valid=False, title="title")) + """
+SELECT item_id,
+       CASE WHEN item_id IS NULL OR length(item_id) > 64 THEN 'item_id'
+            WHEN title IS NULL THEN 'title' WHEN summary IS NULL THEN 'summary'
+            WHEN key_points IS NULL THEN 'key_points' WHEN topics IS NULL THEN 'topics'
+            WHEN article_type IS NULL OR length(article_type) > 20 THEN 'article_type'
+            WHEN original_urls IS NULL THEN 'original_urls' WHEN source_types IS NULL THEN 'source_types'
+            WHEN published_at IS NULL THEN 'published_at' WHEN processed_at IS NULL THEN 'processed_at' END
+         AS reject_reason
+FROM candidates
+WHERE item_id IS NULL OR length(item_id) > 64 OR title IS NULL OR summary IS NULL OR key_points IS NULL
+   OR topics IS NULL OR article_type IS NULL OR length(article_type) > 20 OR original_urls IS NULL
+   OR source_types IS NULL OR published_at IS NULL OR processed_at IS NULL"""
+
+Q["json_columns"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id, CAST(to_json(key_points) AS VARCHAR) AS key_points_json, CAST(to_json(topics) AS VARCHAR) AS topics_json,
+       CAST(to_json(original_urls) AS VARCHAR) AS original_urls_json,
+       CAST(to_json(source_types) AS VARCHAR) AS source_types_json
+FROM processed"""
+
+Q["table_counts"] = with_ctes(*BASE_PROCESSED, RUNS) + """
+SELECT 'news_items' AS table_name, count(*) AS row_count FROM processed
+UNION ALL SELECT 'pipeline_runs', count(*) FROM runs
+UNION ALL SELECT 'raw_items', count(*) FROM raw"""
+
+RESTARTED = "run_20240130_230000"
+Q["run_log_upsert"] = with_ctes(RUNS) + f""",
+log AS (
+  SELECT run_id, run_date,
+         CASE WHEN run_id = '{RESTARTED}' THEN TIMESTAMP '2024-03-01 00:00:00' ELSE started_at END AS started_at,
+         CASE WHEN run_id = '{RESTARTED}' THEN TIMESTAMP '2024-03-02 00:00:00' ELSE completed_at END AS completed_at,
+         items_collected, items_processed,
+         CASE WHEN run_id = '{RESTARTED}' THEN 0 ELSE items_persisted END AS items_persisted,
+         collection_errors,
+         CASE WHEN run_id = '{RESTARTED}' THEN 'failed' ELSE status END AS status,
+         CASE WHEN run_id = '{RESTARTED}' THEN 'provider unavailable' ELSE error_message END AS error_message
+  FROM runs
+  UNION ALL
+  SELECT 'run_catalog', TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-03-01 00:00:00',
+         TIMESTAMP '2024-03-02 00:00:00', 9, 8, 7, 1, 'completed', NULL
+)
+SELECT run_id, {ts('run_date')} AS run_date, {ts('started_at')} AS started_at, {ts('completed_at')} AS completed_at,
+       CAST(items_collected AS INTEGER) AS items_collected, CAST(items_processed AS INTEGER) AS items_processed,
+       CAST(items_persisted AS INTEGER) AS items_persisted, CAST(collection_errors AS INTEGER) AS collection_errors,
+       status, error_message
+FROM log"""
+
+DURATION = "round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0, 6)"
+Q["run_history"] = with_ctes(RUNS) + f"""
+SELECT run_id, {ts('run_date')} AS run_date, coalesce(items_collected, 0) AS items_collected,
+       coalesce(items_processed, 0) AS items_processed, coalesce(items_persisted, 0) AS items_persisted,
+       status, error_message, {DURATION} AS duration_seconds
+FROM runs ORDER BY run_date DESC, run_id ASC LIMIT 20"""
+
+Q["latest_run"] = with_ctes(RUNS) + f"""
+SELECT run_id, status, {DURATION} AS duration_seconds FROM runs ORDER BY run_date DESC, run_id ASC LIMIT 1"""
+
+Q["run_outcome"] = with_ctes(RUNS) + """
+SELECT run_id, status, coalesce(items_processed, 0) AS items_processed,
+       CASE WHEN status = 'failed' THEN error_message END AS error_message
+FROM runs"""
+
+Q["items_by_topic"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "list_contains(topics, 'Research')", 20)
+Q["items_by_type"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "article_type = 'news'", 20)
+Q["items_filtered_topk"] = with_ctes(*BASE_PROCESSED) + item_out(
+    "processed", "list_contains(topics, 'LLMs') AND article_type = 'news'", 100)
+Q["items_total"] = with_ctes(*BASE_PROCESSED) + """
+SELECT count(*) AS total FROM processed WHERE list_contains(topics, 'Research')"""
+Q["item_by_id"] = with_ctes(*BASE_PROCESSED) + item_out(
+    "processed", "item_id = (SELECT substr(sha256(url), 1, 32) FROM pages ORDER BY page_id LIMIT 1)", 1000000000)
+Q["items_top5"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "true", 5, "published_at DESC, seq ASC")
+
+Q["age_buckets"] = with_ctes(*BASE_PROCESSED) + """,
+m AS (SELECT CAST(floor((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(published_at)) / 60000000.0) AS BIGINT)
+        AS minutes FROM processed),
+b AS (SELECT CASE WHEN minutes < 60 THEN 'minutes' WHEN minutes < 1440 THEN 'hours'
+                  WHEN minutes < 10080 THEN 'days' ELSE 'older' END AS bucket,
+             CASE WHEN minutes < 60 THEN minutes WHEN minutes < 1440 THEN CAST(floor(minutes / 60) AS BIGINT)
+                  ELSE CAST(floor(minutes / 1440) AS BIGINT) END AS n
+      FROM m)
+SELECT bucket, n, count(*) AS items FROM b GROUP BY bucket, n"""
+
+Q["item_card_columns"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id AS id, original_urls[1] AS primary_url, array_to_string(key_points[1:3], ' || ') AS first_points,
+       CAST(greatest(len(original_urls) - 1, 0) AS BIGINT) AS further_sources
+FROM processed"""
+
+Q["source_labels"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id,
+       array_to_string(list_transform(source_types, lambda s: CASE s WHEN 'rss' THEN 'RSS'
+                                                               WHEN 'gmail' THEN 'Newsletter' ELSE s END), ',')
+         AS source_labels
+FROM processed"""
+
+Q["trace_durations"] = """
+WITH t AS (SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, arg_min(event_type, ts) AS name
+           FROM events GROUP BY user_id)
+SELECT user_id, (epoch_us(end_time) - epoch_us(start_time)) // 1000 AS duration_ms,
+       coalesce(nullif(CASE WHEN name = 'error' THEN '' ELSE name END, ''), 'Unnamed') AS name
+FROM t"""
+
+Q["relevance_filter"] = with_ctes(*BASE_PROCESSED, SCORED) + """
+SELECT item_id, round(relevance_score, 6) AS relevance_score FROM scored WHERE relevance_score >= 0.7"""
+
+Q["relevance_breakdown"] = with_ctes(*BASE_PROCESSED, SCORED) + """
+SELECT count(*) FILTER (WHERE relevance_score >= 0.7) AS high,
+       count(*) FILTER (WHERE relevance_score >= 0.4 AND relevance_score < 0.7) AS medium,
+       count(*) FILTER (WHERE relevance_score < 0.4) AS low
+FROM scored"""
 
-SQL = {
-    "dedup_exact": q_dedup_exact,
-}
+Q["relevance_rank"] = with_ctes(*BASE_PROCESSED, SCORED) + """
+SELECT item_id, coalesce(topics[1], 'Uncategorized') AS primary_topic,
+       row_number() OVER (PARTITION BY coalesce(topics[1], 'Uncategorized')
+                          ORDER BY relevance_score DESC, published_at DESC, seq ASC) AS topic_rank
+FROM scored"""
 
 
 def all_sql() -> dict[str, str]:
-    return {k: f() for k, f in SQL.items()}
+    return dict(Q)
