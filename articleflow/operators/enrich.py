@@ -26,7 +26,7 @@ from articleflow.functions.arrays import original_urls, source_types
 from articleflow.functions.predicates import valid_enrichment
 from articleflow.functions.text import embedding_text, prompt_text, sentences
 from articleflow.schemas import (
-    EMBEDDING_DIM, KEY_POINTS_MAX, MAX_CONCURRENT, MAX_RETRIES, TOPIC_CATEGORIES, TOPICS_MAX, UNCATEGORIZED,
+    EMBEDDING_DIM, KEY_POINTS_MAX, MAX_CONCURRENT, MAX_RETRIES, TOPIC_CATEGORIES, TOPICS_MAX,
 )
 
 ENRICH_COLS = ["e_title", "e_summary", "e_key_points", "e_topics", "e_article_type"]
@@ -260,14 +260,14 @@ class ExtractivePandasProvider(BatchProvider):
         rx = re.compile(r"[^.!?\n]+[.!?]*")
         rows = []
         for item_id, title, content in zip(batch["item_id"], batch["title"], batch["content"]):
-            sent = [s.strip() for s in rx.findall(content or "") if s.strip()]
+            sent = [s.strip(" ") for s in rx.findall(content or "") if s.strip(" ")]
             ranked = [s for _, _, s in sorted((-len(s), i, s) for i, s in enumerate(sent))][:KEY_POINTS_MAX]
             low = (content or "").lower()
             hits = [t for t, p in TOPIC_KEYWORDS if re.search(p, low)][:TOPICS_MAX]
             topics = hits or [TOPIC_CATEGORIES[int(item_id[:8], 16) % len(TOPIC_CATEGORIES)]]
             rows.append({
                 "item_id": item_id,
-                "title": (title.strip() if title and title.strip() else (sent[0] if sent else None)),
+                "title": (title.strip(" ") if title and title.strip(" ") else (sent[0] if sent else None)),
                 "summary": " ".join(sent[:SUMMARY_SENTENCES]) or None,
                 "key_points": ranked, "topics": topics,
                 "article_type": "tutorial" if re.search(TUTORIAL_PATTERN, low) else "news",
@@ -292,6 +292,3 @@ def embed_hashing(df: DataFrame, text: F.Column | None = None, dim: int = EMBEDD
     return (out.withColumn(output, vector_to_array("_emb_vec", "float32"))
             .drop("_emb_text", "_emb_tok", "_emb_tf", "_emb_vec"))
 
-
-def no_topics_label() -> str:
-    return UNCATEGORIZED

@@ -85,9 +85,10 @@ def run_outcome(runs: DataFrame) -> DataFrame:
                        F.when(F.col("status") == "failed", F.col("error_message")).alias("error_message"))
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace export files (one JSON document per file) with a fixed schema."""
-    return spark.read.option("multiLine", True).schema(TRACE_FILE).json(path)
+def read_traces(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Trace export files with a fixed schema (S13): one pretty-printed document per file (``multi_line``), or
+    JSON lines."""
+    return spark.read.option("multiLine", multi_line).schema(TRACE_FILE).json(path)
 
 
 def trace_runs(traces: DataFrame, project: str | None = None, limit: int = TRACES_LIMIT_DEFAULT) -> DataFrame:

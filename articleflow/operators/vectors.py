@@ -1,0 +1,175 @@
+"""Vector operators on ARRAY<FLOAT> embeddings.
+
+* ``cosine_topk`` – exact top-k by cosine similarity to one query vector: one pass over the table and a
+  TakeOrderedAndProject (per-task top-k, k rows per task merged). The query side is one row (broadcast).
+* ``similar_pairs`` – pairs with cosine ≥ t. Candidates come from random-projection LSH on unit vectors
+  (Euclidean radius sqrt(2 − 2t) ⇔ cosine ≥ t) and every candidate is re-checked exactly, so every reported
+  pair is right; LSH may miss pairs (recall is measured against ``similar_pairs_exact`` in the tests).
+  Identical vectors are collapsed to one representative first (copies become edges to it), so a vector
+  repeated many times does not turn one bucket into all pairs of its copies.
+* ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
+* ``connected_components`` – min-label propagation with pointer jumping; each round is checkpointed to the
+  shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
+* ``merge_components`` – one row per group (like the exact dedup merge, keyed by component).
+* ``ivf_index`` / ``ivf_search`` – KMeans lists over unit vectors, probe the nearest lists, exact re-rank.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from articleflow.schemas import IVF_LISTS, SIMILARITY_THRESHOLD
+from articleflow.session import checkpoint_dir
+
+
+def _c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def norm(v) -> Column:
+    return F.sqrt(F.aggregate(_c(v), F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def unit(v) -> Column:
+    """Vector scaled to length 1 as ARRAY<DOUBLE> (null for a zero vector)."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(_c(v), lambda x: x.cast("double") / n))
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
+                       F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+
+
+def cosine(a, b) -> Column:
+    return dot(a, b) / (norm(a) * norm(b))
+
+
+def _unit_literal(q: list[float]) -> Column:
+    n = math.sqrt(sum(float(x) * float(x) for x in q))
+    if n == 0:
+        raise ValueError("query vector has length 0")
+    return F.array(*[F.lit(float(x) / n) for x in q])
+
+
+def cosine_topk(df: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Top ``k`` rows of ``df`` by cosine similarity to the query vector (a parameter, as in semantic search)."""
+    q = _unit_literal(query)
+    scored = df.select(id_col, dot(unit(F.col(vec_col)), q).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
+
+
+def similar_pairs_exact(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                        vec_col: str = "embedding") -> DataFrame:
+    """All pairs (a < b) with cosine ≥ threshold by comparing every pair – quadratic, small inputs only."""
+    u = df.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("u"))
+    a, b = u.alias("a"), u.alias("b")
+    pairs = a.join(b, F.col("a.id") < F.col("b.id")).select(
+        F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), dot("a.u", "b.u").alias("similarity"))
+    return pairs.filter(F.col("similarity") >= threshold)
+
+
+def collapse_identical(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Map every row to a representative (smallest id) of its group of identical vectors: (id, rep, vector).
+    The grouping key is the vector itself, aggregated map-side."""
+    reps = df.groupBy(vec_col).agg(F.min(id_col).alias("rep"))
+    return df.join(reps, vec_col).select(F.col(id_col).alias("id"), "rep", vec_col)
+
+
+def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                  vec_col: str = "embedding", bucket_length: float = 2.0, num_tables: int = 8,
+                  seed: int = 42) -> DataFrame:
+    """Pairs (id_a < id_b, similarity) with cosine ≥ threshold: LSH candidates, exact re-check."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    members = collapse_identical(df, id_col, vec_col)
+    reps = (members.filter(F.col("id") == F.col("rep"))
+            .select(F.col("id"), unit(F.col(vec_col)).alias("u"))
+            .filter(F.col("u").isNotNull())
+            .withColumn("features", array_to_vector("u")))
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed)
+    model = lsh.fit(reps)
+    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
+    cand = model.approxSimilarityJoin(reps, reps, radius, distCol="dist").select(
+        F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
+        dot(F.col("datasetA.u"), F.col("datasetB.u")).alias("similarity"))
+    rep_pairs = cand.filter((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold)).select(
+        F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")
+    # copies of one vector are reported as edges to their representative (a star, not all pairs of copies:
+    # components and group merges need no more, and the output stays linear in the number of copies)
+    stars = members.filter(F.col("id") != F.col("rep")).select(
+        F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    return rep_pairs.unionByName(stars)
+
+
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "id_a", dst: str = "id_b",
+                         max_rounds: int = 100) -> DataFrame:
+    """(id, component) with component = smallest id reachable (V3). Vertices without edges are their own
+    component. Each round: every vertex takes the smallest label among itself and its neighbours, then jumps
+    to its label's label (pointer jumping), which halves path lengths and bounds the rounds by O(log n) on
+    chains. Stops when no label changed; raises if ``max_rounds`` is exceeded (never returns a partial answer)."""
+    spark = edges.sparkSession
+    checkpoint_dir(spark)
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint(eager=True)
+    ids = und.select(F.col("u").alias("id"))
+    if vertices is not None:
+        ids = ids.unionByName(vertices.select(F.col(vertices.columns[0]).alias("id")))
+    labels = ids.distinct().select("id", F.col("id").alias("label")).checkpoint(eager=True)
+    for _ in range(max_rounds):
+        msgs = und.join(labels.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
+        step = labels.unionByName(msgs).groupBy("id").agg(F.min("label").alias("label"))
+        jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.id"), "left")
+                  .select(F.col("s.id").alias("id"), F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
+                          .alias("label")))
+        new = jumped.checkpoint(eager=True)
+        changed = new.alias("n").join(labels.alias("o"), "id").filter(F.col("n.label") != F.col("o.label")).limit(1).count()
+        labels = new
+        if changed == 0:
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+
+
+def merge_components(components: DataFrame, items: DataFrame, id_col: str = "vec_id",
+                     label_col: str = "label") -> DataFrame:
+    """One row per component of two or more members: size, members and distinct labels sorted (V4)."""
+    j = components.join(items.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), "id")
+    g = j.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n_members"),
+        F.array_sort(F.collect_list("id")).alias("members"),
+        F.array_sort(F.collect_set("label")).alias("labels"),
+    )
+    return g.filter(F.col("n_members") > 1)
+
+
+# ------------------------------------------------------------------------------------------------ IVF (V5)
+def ivf_index(df: DataFrame, lists: int = IVF_LISTS, id_col: str = "vec_id", vec_col: str = "embedding",
+              seed: int = 42, max_iter: int = 20):
+    """KMeans over unit vectors → (centroids, assignments). Centroids: one row per list (``lists`` rows)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    u = df.select(F.col(id_col).alias("id"), unit(F.col(vec_col)).alias("u")).filter(F.col("u").isNotNull())
+    feats = u.withColumn("features", array_to_vector("u"))
+    k = max(1, lists)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list").fit(feats)
+    assigned = model.transform(feats).select("id", "u", "list")
+    centers = model.clusterCenters()
+    cent = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
+                                           "list int, c array<double>")
+    return cent, assigned
+
+
+def ivf_search(centroids: DataFrame, assigned: DataFrame, query: list[float], k: int, probes: int = 10) -> DataFrame:
+    """Approximate top-k: nearest ``probes`` lists to the query, exact cosine re-rank inside them. The list
+    table has one row per list (bounded by the index size) and is broadcast."""
+    q = _unit_literal(query)
+    near = (centroids.select("list", dot(unit(F.col("c")), q).alias("s")).orderBy(F.desc("s")).limit(probes))
+    cands = assigned.join(F.broadcast(near.select("list")), "list")
+    return (cands.select(F.col("id").alias("vec_id"), dot(F.col("u"), q).alias("similarity"))
+            .orderBy(F.desc("similarity"), F.asc("vec_id")).limit(k))

@@ -22,6 +22,7 @@ from articleflow.operators import enrich as E
 from articleflow.operators import publish as P
 from articleflow.operators import query as Q
 from articleflow.operators import store as S
+from articleflow.operators import vectors as V
 from articleflow.sources.tables import read_table, raw_docs, raw_pages, url_host
 
 # Fixed run parameters of the catalogue (the "now" of every run is pinned so results are reproducible).
@@ -31,6 +32,7 @@ SECOND_RUN_AT = datetime(2024, 3, 2, tzinfo=UTC)
 WINDOW_RUN_DATE = datetime(2024, 1, 20, tzinfo=UTC)
 KP_SEP = " || "
 SOURCE_LABELS = {"rss": "RSS", "gmail": "Newsletter"}
+VECTOR_THRESHOLD = 0.4
 
 
 def ctx(run_date: datetime = RUN_DATE, backfill_days: int = 7) -> RunContext:
@@ -498,6 +500,192 @@ def q_relevance_rank(spark, sf_dir):
     return r.select("item_id", "primary_topic", F.col("topic_rank").cast("long").alias("topic_rank"))
 
 
+# ---------------------------------------------------------------------------------------------- vectors
+def _embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+
+
+def _first_vector(emb: DataFrame) -> list[float]:
+    """The query vector: the stored vector with the smallest id (one row, a parameter of the search)."""
+    row = emb.orderBy("vec_id").select("embedding").first()
+    return [float(x) for x in row[0]]
+
+
+def q_vector_topk(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    top = V.cosine_topk(emb, _first_vector(emb), 10)
+    return top.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def q_vector_pairs(spark, sf_dir):
+    pairs = V.similar_pairs(_embeddings(spark, sf_dir), VECTOR_THRESHOLD)
+    return pairs.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def _components(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    pairs = V.similar_pairs(emb, VECTOR_THRESHOLD)
+    return emb, V.connected_components(pairs, emb.select("vec_id"))
+
+
+def q_vector_components(spark, sf_dir):
+    _, comp = _components(spark, sf_dir)
+    return comp.select(F.col("id").alias("vec_id"), "component")
+
+
+def q_vector_group_merge(spark, sf_dir):
+    emb, comp = _components(spark, sf_dir)
+    g = V.merge_components(comp, emb)
+    return g.select("component", "n_members", _j(F.transform("members", lambda x: x.cast("string"))).alias("members"),
+                    _j(F.transform("labels", lambda x: x.cast("string"))).alias("labels"))
+
+
+def q_vector_ivf(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    cent, assigned = V.ivf_index(emb, lists=100)
+    top = V.ivf_search(cent, assigned, _first_vector(emb), 10, probes=10)
+    return top.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+# -------------------------------------------------------------------------------------------- streaming
+def _doc_stream_items(spark, sf_dir):
+    from articleflow.sources.tables import documents_as_items
+    from articleflow.streaming.ingest import stream_table
+
+    schema = read_table(spark, sf_dir, "documents").schema
+    s = stream_table(spark, sf_dir, "documents", schema)
+    return C.drop_empty_content(C.with_item_id(documents_as_items(s)))
+
+
+def q_stream_ingest(spark, sf_dir):
+    from articleflow.streaming.ingest import run_available
+
+    out = run_available(_doc_stream_items(spark, sf_dir).select("item_id", "seq", "source_id"), "ingest")
+    return spark.read.parquet(out)
+
+
+def q_stream_dedup(spark, sf_dir):
+    from articleflow.streaming.ingest import dedup_within_window, run_available
+
+    d = dedup_within_window(_doc_stream_items(spark, sf_dir), 7)
+    out = run_available(d.select("item_id"), "dedup")
+    return spark.read.parquet(out)
+
+
+def q_stream_upsert(spark, sf_dir):
+    from articleflow.session import scratch_path
+    from articleflow.schemas import NEWS_ITEMS
+    from articleflow.streaming.ingest import run_available, upsert_sink
+
+    table = S.VersionedTable(spark, scratch_path(spark, "stream-news"), NEWS_ITEMS)
+    table.create_if_missing()
+
+    def prepare(batch):
+        valid, _ = E.split_valid(E.enrich(D.dedup_exact(batch), E.extractive_provider))
+        return E.to_processed(valid, ctx())
+
+    run_available(_doc_stream_items(spark, sf_dir), "upsert", foreach_batch=upsert_sink(table, PROCESSED_AT, prepare))
+    return _item_out(table.read())
+
+
+def q_stream_daily_counts(spark, sf_dir):
+    from articleflow.streaming.ingest import daily_topic_counts, keyed_batch_sink, latest_per_key, run_available
+    from articleflow.session import scratch_path
+
+    items = E.extractive_provider(_doc_stream_items(spark, sf_dir)).withColumnRenamed("e_topics", "topics")
+    counts = daily_topic_counts(items)
+    out = scratch_path(spark, "daily-counts")
+    run_available(counts, "daily", output_mode="update", foreach_batch=keyed_batch_sink(out))
+    final = latest_per_key(spark, out, ["day", "topic"], ["n"])
+    return final.select(plain_ts("day").alias("day"), "topic", "n")
+
+
+# ------------------------------------------------------------------------------------------------ feeds
+def q_feed_parse(spark, sf_dir):
+    """Documents published as RSS feed documents, parsed back into raw items."""
+    from articleflow.sources.feeds import collect_feeds, rss_documents
+
+    landed = rss_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"]))
+    items, _ = collect_feeds(landed, ctx())
+    m = F.col("raw_metadata")
+    return items.select("item_id", "url", "title", m["entry_id"].alias("entry_id"), m["feed_title"].alias("feed_title"),
+                        _j(m["tags"]).alias("tags"), F.length("content").cast("long").alias("content_len"),
+                        F.sha2("content", 256).alias("content_sha"), plain_ts("published_at").alias("published_at"))
+
+
+def q_feed_errors(spark, sf_dir):
+    """Landed fetch results of the error events (404 / 500) turned into collection errors."""
+    from articleflow.sources.feeds import collection_errors
+
+    ev = read_table(spark, sf_dir, "events", ["user_id", "event_type", "value"]).filter(F.col("event_type") == "error")
+    status = F.when(F.col("value") >= 100, F.lit(500)).otherwise(F.lit(404))
+    landed = ev.select(F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("feed_name"),
+                       F.concat(F.lit("feed"), F.col("user_id").cast("string")).alias("feed_url"),
+                       status.alias("status"),
+                       F.when(status == 500, F.lit("Internal Server Error")).otherwise(F.lit("Not Found")).alias("reason"),
+                       F.lit(None).cast("string").alias("body"), F.lit(None).cast("string").alias("fetch_error"),
+                       F.lit(0).cast("long").alias("seq"))
+    e = collection_errors(landed, PROCESSED_AT)
+    return e.select("source_type", "source_id", "error_type", F.col("error_message").alias("error"))
+
+
+# ------------------------------------------------------------------------------------ batch provider etc.
+def q_enrich_batch_provider(spark, sf_dir):
+    e = E.enrich(deduped(spark, sf_dir), E.ExtractivePandasProvider(), max_concurrent=5, pause_seconds=0.0)
+    return e.select("item_id", F.col("e_title").alias("title"), F.col("e_summary").alias("summary"),
+                    _j("e_key_points", KP_SEP).alias("key_points"), _j("e_topics").alias("topics"),
+                    F.col("e_article_type").alias("article_type"))
+
+
+def q_embed_hashing(spark, sf_dir):
+    v, _ = E.split_valid(enriched(spark, sf_dir))
+    emb = E.embed_hashing(v)
+    return emb.select("item_id", F.size("embedding").cast("long").alias("dim"),
+                      F.round(V.norm("embedding"), 6).alias("norm"))
+
+
+def q_payload_json(spark, sf_dir):
+    p = processed(spark, sf_dir)
+    errs = error_rows(spark, sf_dir)
+    stats = P.run_stats_long(p, p.agg(F.count(F.lit(1)).alias("n")), errs)
+    return P.payload_lines(spark, ctx(), p, stats, errs)
+
+
+def q_trace_runs(spark, sf_dir):
+    """Trace documents derived from events (one per user), written as JSON lines and read back."""
+    from articleflow.session import scratch_path
+
+    t = traces_from_events(spark, sf_dir)
+    doc = F.struct(
+        F.concat(F.lit("trace-"), F.col("user_id").cast("string")).alias("trace_id"),
+        F.col("name"), F.lit(None).cast("string").alias("error"),
+        F.struct(F.lit("success").alias("status"),
+                 F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"),
+                 F.date_format("end_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("end_time"),
+                 F.struct(F.lit("articles").alias("LANGSMITH_PROJECT"), F.lit(0).cast("long").alias("ls_run_depth"))
+                 .alias("custom_metadata"),
+                 F.struct(F.col("total_tokens").alias("total_tokens")).alias("token_usage"),
+                 F.struct(F.round(F.col("total_cost"), 6).cast("string").alias("total_cost")).alias("costs"))
+        .alias("metadata"))
+    path = scratch_path(spark, "traces")
+    t.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path)
+    runs = Q.trace_runs(Q.read_traces(spark, path, multi_line=False), project="articles", limit=50)
+    return runs.select("id", "name", "status", "duration_ms", "total_tokens")
+
+
+def q_pipeline_run(spark, sf_dir):
+    """A full run over both collectors into a fresh store; returns the stored news table."""
+    from articleflow.plans.pipeline import run
+    from articleflow.session import scratch_path
+
+    store = scratch_path(spark, "store")
+    res = run(spark, ctx(), [raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)], error_rows(spark, sf_dir), store)
+    from articleflow.schemas import NEWS_ITEMS
+
+    news = S.VersionedTable(spark, f"{store}/news_items", NEWS_ITEMS)
+    return _item_out(news.read(res.news_version))
+
+
 # ---------------------------------------------------------------------------------------------- flagship
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw items → dedup → extractive enrichment → topic distribution with the vocabulary."""
@@ -559,4 +747,20 @@ QUERIES = {
     "relevance_filter": q_relevance_filter,
     "relevance_breakdown": q_relevance_breakdown,
     "relevance_rank": q_relevance_rank,
+    "vector_topk": q_vector_topk,
+    "vector_pairs": q_vector_pairs,
+    "vector_components": q_vector_components,
+    "vector_group_merge": q_vector_group_merge,
+    "vector_ivf": q_vector_ivf,
+    "stream_ingest": q_stream_ingest,
+    "stream_dedup": q_stream_dedup,
+    "stream_upsert": q_stream_upsert,
+    "stream_daily_counts": q_stream_daily_counts,
+    "feed_parse": q_feed_parse,
+    "feed_errors": q_feed_errors,
+    "enrich_batch_provider": q_enrich_batch_provider,
+    "embed_hashing": q_embed_hashing,
+    "payload_json": q_payload_json,
+    "trace_runs": q_trace_runs,
+    "pipeline_run": q_pipeline_run,
 }

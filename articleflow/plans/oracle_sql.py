@@ -99,14 +99,14 @@ def _tutorial() -> str:
     return TUTORIAL_PATTERN
 
 
-def enrich_ctes() -> str:
+def enrich_ctes(src: str = "dedup") -> str:
     return rf"""
 sents AS (
   SELECT d.*,
          list_filter(list_transform(regexp_extract_all(coalesce(content, ''), '[^.!?\n]+[.!?]*', 0),
                                     lambda s: trim(s)), lambda s: length(s) > 0) AS sents,
          lower(content) AS low
-  FROM dedup d
+  FROM {src} d
 ),
 hits AS (SELECT *, {_hits()} AS hits FROM sents),
 enriched AS (
@@ -547,5 +547,77 @@ SELECT item_id, coalesce(topics[1], 'Uncategorized') AS primary_topic,
 FROM scored"""
 
 
+Q["vector_topk"] = """
+WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT q FROM q) AS DOUBLE[])), 6)
+         AS similarity
+FROM embeddings ORDER BY similarity DESC, vec_id ASC LIMIT 10"""
+
+DOC_ITEMS = with_ctes(*BASE) + """,
+doc_items AS (SELECT * FROM raw WHERE source_type = 'gmail')"""
+
+Q["stream_ingest"] = DOC_ITEMS + "SELECT item_id, seq, source_id FROM doc_items"
+Q["stream_dedup"] = DOC_ITEMS + "SELECT DISTINCT item_id FROM doc_items"
+Q["stream_upsert"] = with_ctes(*BASE_PROCESSED) + item_out(
+    "processed", "list_contains(source_types, 'gmail')", 1000000000)
+Q["stream_daily_counts"] = with_ctes(*BASE, "doc_items AS (SELECT *, 1 AS n_merged FROM raw WHERE source_type = 'gmail')",
+                                     enrich_ctes("doc_items")) + f"""
+SELECT {ts("date_trunc('day', published_at)")} AS day, t AS topic, count(*) AS n
+FROM (SELECT published_at, unnest(e_topics) AS t FROM checked) GROUP BY 1, 2"""
+
+Q["feed_parse"] = """
+WITH d AS (
+  SELECT *, 'https://letters.example/' || source || '/' || CAST(doc_id AS VARCHAR) AS url,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published
+  FROM documents
+)
+SELECT substr(sha256(url), 1, 32) AS item_id, url, 'Note ' || CAST(doc_id AS VARCHAR) AS title,
+       'doc-' || CAST(doc_id AS VARCHAR) AS entry_id, source AS feed_title, lang AS tags,
+       CAST(length(text) AS BIGINT) AS content_len, sha256(text) AS content_sha,
+       """ + ts("published") + """ AS published_at
+FROM d WHERE published >= TIMESTAMP '2024-01-01 00:00:00' AND length(text) > 0"""
+
+Q["feed_errors"] = with_ctes(ERRORS) + "SELECT source_type, source_id, error_type, error_message AS error FROM errs"
+
+Q["enrich_batch_provider"] = Q["enrich_extractive"]
+
+Q["trace_runs"] = """
+WITH t AS (SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, arg_min(event_type, ts) AS name,
+                  count(*) AS total_tokens
+           FROM events GROUP BY user_id)
+SELECT 'trace-' || CAST(user_id AS VARCHAR) AS id, coalesce(nullif(name, ''), 'Unnamed') AS name, 'success' AS status,
+       (epoch_us(end_time) - epoch_us(start_time)) // 1000 AS duration_ms, total_tokens
+FROM t ORDER BY start_time DESC, id ASC LIMIT 50"""
+
+Q["pipeline_run"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "true", 1000000000)
+
+
+PAIRS = """
+pairs AS (
+  SELECT a.vec_id AS id_a, b.vec_id AS id_b,
+         list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
+  FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4
+)"""
+
+COMPONENTS = """
+e AS (SELECT id_a AS u, id_b AS v FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.id, e.v FROM reach JOIN e ON reach.r = e.u
+),
+comp AS (SELECT id AS vec_id, min(r) AS component FROM reach GROUP BY id)"""
+
+Q["vector_pairs"] = "WITH " + PAIRS.strip() + "\nSELECT id_a, id_b, round(similarity, 6) AS similarity FROM pairs"
+Q["vector_components"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + COMPONENTS.strip() + "\nSELECT vec_id, component FROM comp"
+Q["vector_group_merge"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + COMPONENTS.strip() + """
+SELECT c.component, count(*) AS n_members,
+       array_to_string(list_transform(list_sort(list(c.vec_id)), lambda x: CAST(x AS VARCHAR)), ',') AS members,
+       array_to_string(list_transform(list_sort(list_distinct(list(m.label))), lambda x: CAST(x AS VARCHAR)), ',') AS labels
+FROM comp c JOIN embeddings m ON c.vec_id = m.vec_id
+GROUP BY c.component HAVING count(*) > 1"""
+
+
 def all_sql() -> dict[str, str]:
     return dict(Q)

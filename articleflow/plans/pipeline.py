@@ -1,0 +1,87 @@
+"""A full run: collect → dedup → enrich → persist → publish.
+
+The enriched rows feed both persistence and publication, so they are written once to the run's staging
+folder and read back – the provider is called once per item even though two outputs use the result.
+Counts come from ``Observation``s attached to the writes (no extra pass). The run row is written when the run
+starts and updated at the end – also for empty input and, with the error text, for a failed run.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from articleflow.context import RunContext
+from articleflow.operators import collect as C
+from articleflow.operators import dedup as D
+from articleflow.operators import enrich as E
+from articleflow.operators import publish as P
+from articleflow.operators import store as S
+from articleflow.schemas import NEWS_ITEMS, PIPELINE_RUNS
+
+
+@dataclass
+class RunResult:
+    run_id: str
+    status: str
+    items_collected: int
+    items_processed: int
+    items_persisted: int
+    collection_errors: int
+    news_version: int | None
+    staging: str
+    payload_path: str | None
+    error_message: str | None = None
+
+
+def run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], errors: DataFrame | None,
+        store_dir: str, provider=E.extractive_provider, embed: bool = False) -> RunResult:
+    ctx = ctx.with_run_id()
+    store_dir = store_dir.rstrip("/")
+    runs = S.VersionedTable(spark, f"{store_dir}/pipeline_runs", PIPELINE_RUNS)
+    news = S.VersionedTable(spark, f"{store_dir}/news_items", NEWS_ITEMS)
+    runs.create_if_missing()
+    news.create_if_missing()
+    runs.commit(S.run_start(runs.read(), ctx.run_id, ctx.run_date, ctx.now))
+    staging = f"{store_dir}/_staging/{ctx.run_id}"
+    collected = processed_n = persisted = err_n = 0
+    try:
+        if errors is not None:
+            err_obs = Observation("errors")
+            errors.observe(err_obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{staging}/errors")
+            err_n = int(err_obs.get["n"])
+        raw = C.collect(collectors, ctx)
+        raw_obs = Observation("raw")
+        enriched = E.enrich(D.dedup_exact(raw.observe(raw_obs, F.count(F.lit(1)).alias("n"))), provider)
+        enriched.write.mode("overwrite").parquet(f"{staging}/enriched")
+        collected = int(raw_obs.get["n"])
+        enriched = spark.read.parquet(f"{staging}/enriched")
+        valid, quarantine = E.split_valid(enriched)
+        quarantine.write.mode("overwrite").parquet(f"{staging}/quarantine")
+        if embed:
+            valid = E.embed_hashing(valid)
+        processed = E.to_processed(valid, ctx, "embedding" if embed else None)
+        good, rejected = S.split_rejects(processed)
+        rejected.write.mode("overwrite").parquet(f"{staging}/rejected")
+        merged = S.merge_news(news.read(), good, ctx.now)
+        obs = Observation("persist")
+        merged = merged.observe(obs, F.count_if(F.col("change") != "kept").alias("persisted"),
+                                F.count_if(F.col("change") != "kept").alias("processed"))
+        version = news.commit(merged.drop("change"))
+        persisted = int(obs.get["persisted"])
+        processed_n = persisted
+        payload = f"{staging}/payload"
+        stored = news.read(version)
+        run_items = stored.join(good.select("item_id"), "item_id", "left_semi").withColumn("seq", F.lit(0).cast("long"))
+        stats = P.run_stats_long(run_items, persisted, errors)
+        P.write_payload(P.payload_lines(spark, ctx, run_items, stats, errors), payload)
+        runs.commit(S.run_finish(runs.read(), ctx.run_id, ctx.now, persisted, "completed", collected,
+                                 processed_n, err_n))
+        return RunResult(ctx.run_id, "completed", collected, processed_n, persisted, err_n, version, staging, payload)
+    except Exception as e:  # noqa: BLE001 - the run row records the failure, then the error is raised again
+        msg = f"{type(e).__name__}: {str(e)[:500]}"
+        runs.commit(S.run_finish(runs.read(), ctx.run_id, ctx.now, persisted, "failed", collected, processed_n,
+                                 err_n, error_message=msg))
+        raise
