@@ -6,8 +6,8 @@ its position inside its sorted partition from ``monotonically_increasing_id`` (u
 A per-(partition, group) summary (count and first position) gives, by a running sum over partitions, the
 number of rows of the same group in earlier partitions; rank = that offset + position within the partition's
 run of the group + 1. The summary has one row per (partition, group) pair, not per row. The sorted frame is
-checkpointed to the shared checkpoint folder first, so both uses read one materialised order and a lost
-executor cannot renumber anything.
+stored in the shared checkpoint folder first, so both uses read one materialised order and a lost
+executor cannot renumber anything (written once as Parquet, see ``session.materialize``).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from articleflow.session import checkpoint_dir
+from articleflow.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -26,13 +26,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list[Column], name:
 
     ``few_groups=True`` (a bounded vocabulary such as topics) broadcasts the summary table; its size is then
     partitions × groups. Otherwise the summary is joined with a shuffle."""
-    checkpoint_dir(df.sparkSession)
     sort_cols = [F.asc_nulls_first(c) for c in group_cols] + list(order)
     sorted_ids = (df.orderBy(*sort_cols)
                   .withColumn("_mid", F.monotonically_increasing_id())
                   .withColumn("_part", F.shiftright(F.col("_mid"), 33))
-                  .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-                  .checkpoint(eager=True))
+                  .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
+    sorted_ids = materialize(sorted_ids, "ranked")
     keys = group_cols + ["_part"]
     summary = sorted_ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     w = (Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

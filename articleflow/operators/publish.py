@@ -62,33 +62,42 @@ def type_distribution(processed: DataFrame, with_vocabulary: bool = False) -> Da
             .select("article_type", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
-def run_stats_long(processed: DataFrame, persisted_count: DataFrame | int = 0,
+def run_stats_long(processed: DataFrame, persisted_count: DataFrame | int | str = 0,
                    errors: DataFrame | None = None) -> DataFrame:
-    """Run statistics as one long table (dimension, value, n) (A12): totals plus the three distributions."""
+    """Run statistics as one long table (dimension, value, n) (A12): total_items, persisted_count,
+    collection_errors and the topic / source / article-type distributions.
+
+    One pass over the items: each item is exploded into its (dimension, value) markers and a single aggregation
+    counts them (partial aggregation map-side), so the item frame is read once whatever the number of
+    dimensions. The three scalar rows are always present (0 when nothing was counted). ``persisted_count`` is a
+    number, a one-row frame with column ``n``, or ``"items"`` when every item counts as persisted."""
     spark = processed.sparkSession
-    total = processed.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("total_items").alias("dimension"), F.lit(None).cast("string").alias("value"), "n")
+
+    def marker(dim, value):
+        return F.struct(F.lit(dim).alias("dimension"), value.cast("string").alias("value"))
+
+    markers = [F.array(marker("total_items", F.lit(None))),
+               F.transform(F.coalesce("topics", F.array().cast("array<string>")), lambda t: marker("topic", t)),
+               F.transform(F.coalesce("source_types", F.array().cast("array<string>")), lambda t: marker("source", t)),
+               F.array(marker("article_type", F.coalesce(F.col("article_type"), F.lit(UNKNOWN))))]
+    if persisted_count == "items":
+        markers.append(F.array(marker("persisted_count", F.lit(None))))
+    rows = (processed.select(F.explode(F.concat(*markers)).alias("m"))
+            .select("m.dimension", "m.value", F.lit(1).cast("long").alias("one")))
+    zeros = spark.createDataFrame([("total_items", None, 0), ("persisted_count", None, 0), ("collection_errors", None, 0)],
+                                  "dimension string, value string, one long")
+    rows = rows.unionByName(zeros)
+    if errors is not None:
+        rows = rows.unionByName(errors.select(F.lit("collection_errors").alias("dimension"),
+                                              F.lit(None).cast("string").alias("value"), F.lit(1).cast("long").alias("one")))
     if isinstance(persisted_count, DataFrame):
-        persisted = persisted_count.select(F.lit("persisted_count").alias("dimension"),
-                                           F.lit(None).cast("string").alias("value"), F.col("n").cast("long"))
-    else:
-        persisted = spark.createDataFrame([("persisted_count", None, int(persisted_count))],
-                                          "dimension string, value string, n long")
-    err_n = (errors.agg(F.count(F.lit(1)).alias("n")) if errors is not None
-             else spark.createDataFrame([(0,)], "n long"))
-    err = err_n.select(F.lit("collection_errors").alias("dimension"), F.lit(None).cast("string").alias("value"),
-                       F.col("n").cast("long"))
-    parts = [
-        total, persisted, err,
-        topic_distribution(processed).select(F.lit("topic").alias("dimension"), F.col("topic").alias("value"), "n"),
-        source_distribution(processed).select(F.lit("source").alias("dimension"), F.col("source").alias("value"), "n"),
-        type_distribution(processed).select(F.lit("article_type").alias("dimension"),
-                                            F.col("article_type").alias("value"), "n"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("dimension", "value", F.col("n").cast("long").alias("n"))
+        rows = rows.unionByName(persisted_count.select(F.lit("persisted_count").alias("dimension"),
+                                                       F.lit(None).cast("string").alias("value"),
+                                                       F.col("n").cast("long").alias("one")))
+    elif isinstance(persisted_count, int) and persisted_count:
+        rows = rows.unionByName(spark.createDataFrame([("persisted_count", None, int(persisted_count))],
+                                                      "dimension string, value string, one long"))
+    return rows.groupBy("dimension", "value").agg(F.sum("one").cast("long").alias("n"))
 
 
 def run_stats_row(stats_long: DataFrame) -> DataFrame:

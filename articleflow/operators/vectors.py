@@ -8,8 +8,8 @@
   Identical vectors are collapsed to one representative first (copies become edges to it), so a vector
   repeated many times does not turn one bucket into all pairs of its copies.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
-* ``connected_components`` – min-label propagation with pointer jumping; each round is checkpointed to the
-  shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
+* ``connected_components`` – min-label propagation with pointer jumping; each round's labels are written to
+  the shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
 * ``merge_components`` – one row per group (like the exact dedup merge, keyed by component).
 * ``ivf_index`` / ``ivf_search`` – KMeans lists over unit vectors, probe the nearest lists, exact re-rank.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.schemas import IVF_LISTS, SIMILARITY_THRESHOLD
-from articleflow.session import checkpoint_dir
+from articleflow.session import materialize
 
 
 def _c(x) -> Column:
@@ -113,21 +113,19 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
     component. Each round: every vertex takes the smallest label among itself and its neighbours, then jumps
     to its label's label (pointer jumping), which halves path lengths and bounds the rounds by O(log n) on
     chains. Stops when no label changed; raises if ``max_rounds`` is exceeded (never returns a partial answer)."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint(eager=True)
+    und = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     ids = und.select(F.col("u").alias("id"))
     if vertices is not None:
         ids = ids.unionByName(vertices.select(F.col(vertices.columns[0]).alias("id")))
-    labels = ids.distinct().select("id", F.col("id").alias("label")).checkpoint(eager=True)
+    labels = materialize(ids.distinct().select("id", F.col("id").alias("label")), "cc-labels")
     for _ in range(max_rounds):
         msgs = und.join(labels.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
         step = labels.unionByName(msgs).groupBy("id").agg(F.min("label").alias("label"))
         jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.id"), "left")
                   .select(F.col("s.id").alias("id"), F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
                           .alias("label")))
-        new = jumped.checkpoint(eager=True)
+        new = materialize(jumped, "cc-labels")
         changed = new.alias("n").join(labels.alias("o"), "id").filter(F.col("n.label") != F.col("o.label")).limit(1).count()
         labels = new
         if changed == 0:

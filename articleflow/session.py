@@ -60,3 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/articleflow/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "stage"):
+    """Writes ``df`` once as Parquet under the shared checkpoint folder and returns the read-back frame.
+
+    Cuts the lineage like ``checkpoint()`` but computes the input only once (a reliable RDD checkpoint of an
+    unpersisted Dataset runs its plan a second time to write the files) and stores it columnar/compressed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
