@@ -8,10 +8,11 @@ Merge rule per item id:
   sources, source ids and non-empty urls (sorted) plus one metadata entry per "source_type:source_id", the
   last seen (largest seq) winning.
 
-Plan: two aggregation levels. Level 1 groups by (item_id, source_type, source_id) with partial (map-side)
-aggregation, so a hot item id is reduced to one row per source per task before any row moves. Level 2 groups
-those few rows by item_id. The merged lists are bounded by the number of distinct sources of an item, never by
-its row count.
+Plan: two aggregation levels over slim rows (ids, lengths, urls, small metadata – no content). Level 1 groups by
+(item_id, source_type, source_id) with partial (map-side) aggregation, so a hot item id is reduced to one row per
+source per task before any row moves. Level 2 groups those few rows by item_id. The merged lists are bounded by
+the number of distinct sources of an item, never by its row count. The primary row's wide columns are joined
+back on (item_id, seq) – a key that is unique per row, so a hot item id spreads over all join partitions.
 """
 
 from __future__ import annotations
@@ -34,21 +35,21 @@ def _rank_key(content: F.Column, seq: F.Column) -> F.Column:
 
 
 def dedup_groups(raw: DataFrame) -> DataFrame:
-    """One row per item id with the aggregated parts of the merge (internal form, before shaping)."""
-    row = F.struct(*[F.col(c) for c in ["source_type", "source_id", "title", "content", "author", "url",
-                                        "published_at", "raw_metadata", "seq"]])
+    """One row per item id with the aggregated parts of the merge (slim columns only: no content)."""
     url_ok = F.when(F.col("url").isNotNull() & (F.col("url") != ""), F.col("url"))
-    level1 = raw.groupBy("item_id", "source_type", "source_id").agg(
+    slim = raw.select("item_id", "source_type", "source_id", "seq", "published_at", url_ok.alias("url"),
+                      _entry_meta().alias("meta"), F.length(F.coalesce("content", F.lit(""))).alias("len"))
+    level1 = slim.groupBy("item_id", "source_type", "source_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max_by(row, _rank_key(F.col("content"), F.col("seq"))).alias("best"),
+        F.max(F.struct("len", (-F.col("seq")).alias("neg_seq"))).alias("best"),
         F.min("published_at").alias("first_published"),
-        F.collect_set(url_ok).alias("urls"),
-        F.max_by(_entry_meta(), F.col("seq")).alias("last_meta"),
+        F.collect_set("url").alias("urls"),
+        F.max_by(F.col("meta"), F.col("seq")).alias("last_meta"),
         F.min("seq").alias("min_seq"),
     )
     return level1.groupBy("item_id").agg(
         F.sum("n").alias("n"),
-        F.max_by(F.col("best"), _rank_key(F.col("best.content"), F.col("best.seq"))).alias("primary"),
+        (-F.max("best").getField("neg_seq")).alias("primary_seq"),
         F.min("first_published").alias("published_at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("all_urls"),
         F.array_sort(F.collect_set("source_type")).alias("merged_from_sources"),
@@ -61,26 +62,31 @@ def dedup_groups(raw: DataFrame) -> DataFrame:
 
 
 def dedup_exact(raw: DataFrame) -> DataFrame:
-    """Raw items → one item per id (A1–A7). Output has the raw item columns plus ``n_merged``."""
+    """Raw items → one item per id (A1–A7). Output has the raw item columns plus ``n_merged``.
+
+    The aggregation runs on slim rows; the primary row (with its content) is then fetched by an equi-join on
+    (item_id, seq), so the wide columns are shuffled once and never sorted by the aggregation. ``seq`` must be
+    unique per raw row (collectors number their rows)."""
     g = dedup_groups(raw)
-    p = F.col("primary")
+    fat = raw.select(F.col("item_id").alias("p_item_id"), F.col("seq").alias("p_seq"), "source_type", "source_id",
+                     "title", "content", "author", F.col("url").alias("p_url"),
+                     F.col("published_at").alias("p_published_at"), F.col("raw_metadata").alias("p_meta"))
+    # shuffle-hash join, slim side built: the wide rows are hash-distributed on (item_id, seq) and streamed, never
+    # sorted. At scale the slim side is large and this is the plan anyway; on small inputs it keeps the join from
+    # becoming a broadcast that would leave the wide rows in their scan partitions (one task per small file).
+    j = g.hint("shuffle_hash").join(fat, (g["item_id"] == fat["p_item_id"]) & (g["primary_seq"] == fat["p_seq"]))
     single = F.col("n") == 1
     merged_meta = F.struct(
         F.lit(None).cast("string").alias("feed_name"), F.lit(None).cast("string").alias("feed_title"),
         F.lit(None).cast("string").alias("entry_id"), F.lit(None).cast("array<string>").alias("tags"),
         F.col("merged_from_sources"), F.col("merged_from_ids"), F.col("all_urls"), F.col("source_metadata"),
     )
-    own_url = F.when(p["url"].isNotNull() & (p["url"] != ""), p["url"])
-    return g.select(
-        p["source_type"].alias("source_type"),
-        p["source_id"].alias("source_id"),
-        F.col("item_id"),
-        p["title"].alias("title"),
-        p["content"].alias("content"),
-        p["author"].alias("author"),
-        F.when(single, p["published_at"]).otherwise(F.col("published_at")).alias("published_at"),
-        F.when(single, p["url"]).otherwise(F.coalesce(own_url, F.try_element_at("all_urls", F.lit(1)))).alias("url"),
-        F.when(single, p["raw_metadata"]).otherwise(merged_meta).alias("raw_metadata"),
+    own_url = F.when(F.col("p_url").isNotNull() & (F.col("p_url") != ""), F.col("p_url"))
+    return j.select(
+        "source_type", "source_id", F.col("item_id"), "title", "content", "author",
+        F.when(single, F.col("p_published_at")).otherwise(F.col("published_at")).alias("published_at"),
+        F.when(single, F.col("p_url")).otherwise(F.coalesce(own_url, F.try_element_at("all_urls", F.lit(1)))).alias("url"),
+        F.when(single, F.col("p_meta")).otherwise(merged_meta).alias("raw_metadata"),
         F.col("seq"),
         F.col("n").alias("n_merged"),
     )

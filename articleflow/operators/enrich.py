@@ -25,6 +25,7 @@ from articleflow.context import RunContext
 from articleflow.functions.arrays import original_urls, source_types
 from articleflow.functions.predicates import valid_enrichment
 from articleflow.functions.text import embedding_text, prompt_text, sentences
+from articleflow.session import compute_once
 from articleflow.schemas import (
     EMBEDDING_DIM, KEY_POINTS_MAX, MAX_CONCURRENT, MAX_RETRIES, TOPIC_CATEGORIES, TOPICS_MAX,
 )
@@ -63,22 +64,21 @@ def extractive_provider(df: DataFrame) -> DataFrame:
     longest sentences (ties by position), longest first; topics = keyword hits in vocabulary order (at most 3),
     else one topic derived from the id; article_type = 'tutorial' when a how-to phrase occurs, else 'news'.
     Texts with fewer than three sentences give fewer than three key points and fail validation on purpose."""
-    sent = sentences(F.col("content"))
+    pre = df.withColumn("_sent", sentences(F.col("content"))).withColumn("_low", F.lower(F.col("content")))
+    sent, low = F.col("_sent"), F.col("_low")
     ranked = F.transform(
         F.array_sort(F.transform(sent, lambda s, i: F.struct((-F.length(s)).alias("k"), i.alias("i"), s.alias("s")))),
         lambda x: x["s"],
     )
-    low = F.lower(F.col("content"))
     hits = F.filter(F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in TOPIC_KEYWORDS]), lambda x: x.isNotNull())
-    return (df.withColumn("_sent", sent)
-            .withColumn("e_title", F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")),
-                                              F.try_element_at(F.col("_sent"), F.lit(1))))
-            .withColumn("e_summary", F.nullif(F.array_join(F.slice(F.col("_sent"), 1, SUMMARY_SENTENCES), " "), F.lit("")))
-            .withColumn("e_key_points", F.slice(ranked, 1, KEY_POINTS_MAX))
-            .withColumn("e_topics", F.when(F.size(hits) > 0, F.slice(hits, 1, TOPICS_MAX))
-                        .otherwise(F.array(hashed_topic("item_id"))))
-            .withColumn("e_article_type", F.when(low.rlike(TUTORIAL_PATTERN), F.lit("tutorial")).otherwise(F.lit("news")))
-            .drop("_sent"))
+    out = compute_once(pre, [
+        F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")), F.try_element_at(sent, F.lit(1))).alias("e_title"),
+        F.nullif(F.array_join(F.slice(sent, 1, SUMMARY_SENTENCES), " "), F.lit("")).alias("e_summary"),
+        F.slice(ranked, 1, KEY_POINTS_MAX).alias("e_key_points"),
+        F.when(F.size(hits) > 0, F.slice(hits, 1, TOPICS_MAX)).otherwise(F.array(hashed_topic("item_id"))).alias("e_topics"),
+        F.when(low.rlike(TUTORIAL_PATTERN), F.lit("tutorial")).otherwise(F.lit("news")).alias("e_article_type"),
+    ])
+    return out.drop("_sent", "_low")
 
 
 def enrich(df: DataFrame, provider: Callable[[DataFrame], DataFrame] | "BatchProvider" = extractive_provider,

@@ -33,16 +33,22 @@ def vocabulary(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     return spark.createDataFrame([(v, i + 1) for i, v in enumerate(values)], f"{name} string, position int")
 
 
+def _with_zero_rows(counts: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Counts plus a 0 row for every vocabulary value (U4): union with the literal vocabulary and sum, which
+    needs no join (a full outer join cannot broadcast its small side)."""
+    vocab = vocabulary(counts.sparkSession, values, key).select(key, F.lit(0).cast("long").alias("n"))
+    return (counts.select(key, F.col("n").cast("long")).unionByName(vocab)
+            .groupBy(key).agg(F.sum("n").cast("long").alias("n")))
+
+
 def topic_distribution(processed: DataFrame, with_vocabulary: bool = False) -> DataFrame:
     """Every topic of every item counts, repeats included (A9). With ``with_vocabulary`` the ten categories
-    appear with 0 when unused (left join from the fixed vocabulary, a broadcast of a fixed-size table)."""
+    appear with 0 when unused."""
     counts = (processed.select(F.explode("topics").alias("topic"))
               .groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
     if not with_vocabulary:
         return counts
-    vocab = vocabulary(processed.sparkSession, TOPIC_CATEGORIES, "topic")
-    return (F.broadcast(vocab).join(counts, "topic", "full_outer")
-            .select("topic", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return _with_zero_rows(counts, "topic", TOPIC_CATEGORIES)
 
 
 def source_distribution(processed: DataFrame) -> DataFrame:
@@ -57,9 +63,7 @@ def type_distribution(processed: DataFrame, with_vocabulary: bool = False) -> Da
               .groupBy("article_type").agg(F.count(F.lit(1)).alias("n")))
     if not with_vocabulary:
         return counts
-    vocab = vocabulary(processed.sparkSession, ARTICLE_TYPES, "article_type")
-    return (F.broadcast(vocab).join(counts, "article_type", "full_outer")
-            .select("article_type", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return _with_zero_rows(counts, "article_type", ARTICLE_TYPES)
 
 
 def run_stats_long(processed: DataFrame, persisted_count: DataFrame | int | str = 0,

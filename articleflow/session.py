@@ -70,3 +70,14 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def compute_once(df, cols):
+    """Adds named columns through a one-row generator (``inline(array(struct(...)))``).
+
+    A filter on a computed column is normally pushed below the projection that computes it, with the
+    expression copied into the filter – expensive expressions (regex passes over whole texts) then run once per
+    reference. Columns produced by a generator cannot be pushed through, so each is computed exactly once."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.inline(F.array(F.struct(*cols))))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from articleflow.functions.dates import hours_after
 from articleflow.functions.text import html_title, strip_html
-from articleflow.session import prepare
+from articleflow.session import compute_once, prepare
 
 BINDING_BASE = datetime(2024, 1, 1, tzinfo=UTC)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
@@ -45,18 +45,19 @@ def _metadata(feed_name, feed_title, entry_id, tags):
 
 
 def pages_as_items(pages: DataFrame) -> DataFrame:
-    """Web pages as raw rss items (before ids)."""
+    """Web pages as raw rss items (before ids). Title and visible text are regex passes over the whole page;
+    they are computed once (``compute_once``) so the later empty-content filter does not repeat them."""
     host = url_host(F.col("url"))
-    title = html_title(F.col("html"))
-    return pages.select(
+    parsed = compute_once(pages, [html_title(F.col("html")).alias("_title"), strip_html(F.col("html")).alias("_text")])
+    return parsed.select(
         F.lit("rss").alias("source_type"),
         F.coalesce(host, F.col("url")).alias("source_id"),
-        title.alias("title"),
-        strip_html(F.col("html")).alias("content"),
+        F.col("_title").alias("title"),
+        F.col("_text").alias("content"),
         F.lit(None).cast("string").alias("author"),
         hours_after(BINDING_BASE, F.col("page_id")).alias("published_at"),
         F.col("url"),
-        _metadata(F.coalesce(host, F.col("url")), title, F.col("page_id").cast("string"),
+        _metadata(F.coalesce(host, F.col("url")), F.col("_title"), F.col("page_id").cast("string"),
                   F.array().cast("array<string>")).alias("raw_metadata"),
         F.col("page_id").cast("long").alias("seq"),
     )
