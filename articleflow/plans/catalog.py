@@ -577,12 +577,13 @@ def q_vector_ivf(spark, sf_dir):
 
 
 # -------------------------------------------------------------------------------------------- streaming
-def _doc_stream_items(spark, sf_dir):
+def _doc_stream_items(spark, sf_dir, spread: bool = False):
     from articleflow.sources.tables import documents_as_items
     from articleflow.streaming.ingest import stream_table
 
     schema = read_table(spark, sf_dir, "documents").schema
-    s = stream_table(spark, sf_dir, "documents", schema)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions")) if spread else None
+    s = stream_table(spark, sf_dir, "documents", schema, spread=n)
     return C.drop_empty_content(C.with_item_id(documents_as_items(s)))
 
 
@@ -613,7 +614,8 @@ def q_stream_upsert(spark, sf_dir):
         valid, _ = E.split_valid(E.enrich(D.dedup_exact(batch), E.extractive_provider))
         return E.to_processed(valid, ctx())
 
-    run_available(_doc_stream_items(spark, sf_dir), "upsert", foreach_batch=upsert_sink(table, PROCESSED_AT, prepare))
+    run_available(_doc_stream_items(spark, sf_dir, spread=True), "upsert",
+                  foreach_batch=upsert_sink(table, PROCESSED_AT, prepare))
     return _item_out(table.read())
 
 
@@ -621,7 +623,7 @@ def q_stream_daily_counts(spark, sf_dir):
     from articleflow.streaming.ingest import daily_topic_counts, keyed_batch_sink, latest_per_key, run_available
     from articleflow.session import scratch_path
 
-    items = E.extractive_provider(_doc_stream_items(spark, sf_dir)).withColumnRenamed("e_topics", "topics")
+    items = E.extractive_provider(_doc_stream_items(spark, sf_dir, spread=True)).withColumnRenamed("e_topics", "topics")
     counts = daily_topic_counts(items)
     out = scratch_path(spark, "daily-counts")
     run_available(counts, "daily", output_mode="update", foreach_batch=keyed_batch_sink(out))

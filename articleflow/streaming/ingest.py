@@ -24,11 +24,15 @@ from pyspark.sql import types as T
 from articleflow.session import scratch_path
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, max_files: int = 1,
+                 spread: int | None = None) -> DataFrame:
     """Streaming scan of one landed table (T1). The glob form lets the file source watch a single-file table;
-    a folder of landed files works the same way with ``path`` = the folder."""
+    a folder of landed files works the same way with ``path`` = the folder. A file is read by as many tasks as
+    it has row groups; ``spread`` redistributes each micro-batch over that many partitions (round robin) when
+    the per-row work that follows is CPU-heavy and the files are few."""
     path = f"{sf_dir.rstrip('/')}/{name}.parque[t]"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return df.repartition(spread) if spread else df
 
 
 def dedup_within_window(items: DataFrame, backfill_days: int, key: str = "item_id",
