@@ -619,5 +619,9 @@ FROM comp c JOIN embeddings m ON c.vec_id = m.vec_id
 GROUP BY c.component HAVING count(*) > 1"""
 
 
+# the hashing embedding of every processed item has the full dimension and unit length (every item has words)
+Q["embed_hashing"] = with_ctes(*BASE_PROCESSED) + "SELECT item_id, CAST(1536 AS BIGINT) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM processed"
+
+
 def all_sql() -> dict[str, str]:
     return dict(Q)
