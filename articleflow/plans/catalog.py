@@ -712,10 +712,7 @@ def q_pipeline_run(spark, sf_dir):
 
     store = scratch_path(spark, "store")
     res = run(spark, ctx(), [raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)], error_rows(spark, sf_dir), store)
-    from articleflow.schemas import NEWS_ITEMS
-
-    news = S.VersionedTable(spark, f"{store}/news_items", NEWS_ITEMS)
-    return _item_out(news.read(res.news_version))
+    return _item_out(S.NewsTable(spark, f"{store}/news_items").read(res.news_version))
 
 
 # ---------------------------------------------------------------------------------------------- flagship

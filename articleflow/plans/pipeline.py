@@ -2,7 +2,8 @@
 
 The enriched rows feed both persistence and publication, so they are written once to the run's staging
 folder and read back – the provider is called once per item even though two outputs use the result.
-Counts come from ``Observation``s attached to the writes (no extra pass). The run row is written when the run
+Counts come from ``Observation``s attached to the writes (no extra pass). The news table is day-partitioned
+copy-on-write (``store.NewsTable``): a run rewrites only the days it touches. The run row is written when the run
 starts and updated at the end – also for empty input and, with the error text, for a failed run.
 """
 
@@ -19,7 +20,8 @@ from articleflow.operators import dedup as D
 from articleflow.operators import enrich as E
 from articleflow.operators import publish as P
 from articleflow.operators import store as S
-from articleflow.schemas import NEWS_ITEMS, PIPELINE_RUNS
+from articleflow.schemas import PIPELINE_RUNS
+from articleflow.session import materialize
 
 
 @dataclass
@@ -41,9 +43,8 @@ def run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], error
     ctx = ctx.with_run_id()
     store_dir = store_dir.rstrip("/")
     runs = S.VersionedTable(spark, f"{store_dir}/pipeline_runs", PIPELINE_RUNS)
-    news = S.VersionedTable(spark, f"{store_dir}/news_items", NEWS_ITEMS)
+    news = S.NewsTable(spark, f"{store_dir}/news_items")
     runs.create_if_missing()
-    news.create_if_missing()
     runs.commit(S.run_start(runs.read(), ctx.run_id, ctx.run_date, ctx.now))
     staging = f"{store_dir}/_staging/{ctx.run_id}"
     collected = processed_n = persisted = err_n = 0
@@ -65,12 +66,9 @@ def run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], error
         processed = E.to_processed(valid, ctx, "embedding" if embed else None)
         good, rejected = S.split_rejects(processed)
         rejected.write.mode("overwrite").parquet(f"{staging}/rejected")
-        merged = S.merge_news(news.read(), good, ctx.now)
-        obs = Observation("persist")
-        merged = merged.observe(obs, F.count_if(F.col("change") != "kept").alias("persisted"),
-                                F.count_if(F.col("change") != "kept").alias("processed"))
-        version = news.commit(merged.drop("change"))
-        persisted = int(obs.get["persisted"])
+        good = materialize(good, "storable")  # the batch feeds the upsert's key probe and its merge
+        version, counts = news.upsert(good, ctx.now)
+        persisted = counts["persisted"]
         processed_n = persisted
         payload = f"{staging}/payload"
         stored = news.read(version)

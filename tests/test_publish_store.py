@@ -152,3 +152,21 @@ def test_trace_file_sample(spark):
     assert str(r.total_cost) == "0.348279"
     assert Q.trace_runs(Q.read_traces(spark, d), project="other").count() == 0
     _ = timedelta
+
+
+def test_news_table_rewrites_only_touched_days(spark, processed):
+    t = S.NewsTable(spark, tempfile.mkdtemp() + "/news")
+    older = processed.withColumn("published_at", F.col("published_at") - F.expr("INTERVAL 10 DAYS")) \
+        .withColumn("item_id", F.concat(F.lit("old-"), F.col("item_id")))
+    v1, c1 = t.upsert(older.unionByName(processed), ts(2024, 12, 24))
+    assert c1 == {"persisted": 6, "inserted": 6, "updated": 0, "kept_in_rewritten_days": 0}
+    m1 = {r.day: r.folder for r in t.manifest(v1).collect()}
+    again = processed.filter(F.col("item_id") == "a").withColumn("title", F.lit("new title"))
+    v2, c2 = t.upsert(again, ts(2024, 12, 25))
+    assert c2 == {"persisted": 1, "inserted": 0, "updated": 1, "kept_in_rewritten_days": 2}
+    m2 = {r.day: r.folder for r in t.manifest(v2).collect()}
+    assert m2["2024-12-13"] == m1["2024-12-13"] and m2["2024-12-23"] != m1["2024-12-23"]
+    rows = {r.item_id: r for r in t.read().collect()}
+    assert len(rows) == 6 and rows["a"].title == "new title" and rows["old-a"].title == "title a"
+    assert rows["a"].created_at.replace(tzinfo=None) == ts(2024, 12, 24).replace(tzinfo=None)
+    assert t.read(v1).filter(F.col("item_id") == "a").collect()[0].title == "title a"
