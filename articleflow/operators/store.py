@@ -238,6 +238,8 @@ class NewsTable:
 
         from pyspark.sql import Observation
 
+        if incoming.isEmpty():  # nothing to apply: no rewrite, no new version
+            return self.current(), {"persisted": 0, "inserted": 0, "updated": 0, "kept_in_rewritten_days": 0}
         old = {r.day: r.folder for r in self.manifest().collect()}  # one row per stored day
         stored_keys = (self.read().select("item_id", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
                        if old else self.spark.createDataFrame([], "item_id string, day string"))

@@ -54,10 +54,12 @@ def run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], error
             errors.observe(err_obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{staging}/errors")
             err_n = int(err_obs.get["n"])
         raw = C.collect(collectors, ctx)
-        raw_obs = Observation("raw")
-        enriched = E.enrich(D.dedup_exact(raw.observe(raw_obs, F.count(F.lit(1)).alias("n"))), provider)
-        enriched.write.mode("overwrite").parquet(f"{staging}/enriched")
-        collected = int(raw_obs.get["n"])
+        enrich_obs = Observation("enriched")
+        enriched = E.enrich(D.dedup_exact(raw), provider)
+        # every raw row is in exactly one group, so the sum of group sizes is the collected count
+        (enriched.observe(enrich_obs, F.coalesce(F.sum("n_merged"), F.lit(0)).cast("long").alias("collected"))
+         .write.mode("overwrite").parquet(f"{staging}/enriched"))
+        collected = int(enrich_obs.get["collected"])
         enriched = spark.read.parquet(f"{staging}/enriched")
         valid, quarantine = E.split_valid(enriched)
         quarantine.write.mode("overwrite").parquet(f"{staging}/quarantine")
