@@ -244,6 +244,10 @@ def enrich_batches(df: DataFrame, provider: BatchProvider, max_concurrent: int =
     provider at once. Rows are hash-partitioned by item_id, so a retried task sends the same rows again and an
     idempotent provider gives the same answer. The provider result is joined back to the input columns on
     item_id (a co-partitioned join: both sides are partitioned by item_id with the same count)."""
+    from articleflow.session import materialize
+
+    # the input feeds the calls and the join back: stored once so upstream work (dedup) is not run twice
+    df = materialize(df, "enrich-input")
     prompt = prompt_text(prompt_template) if prompt_template else prompt_text()
     calls = (df.select("item_id", prompt.alias("prompt"), "title", "content")
              .repartition(max_concurrent, "item_id")

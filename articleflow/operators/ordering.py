@@ -24,8 +24,10 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list[Column], name:
                 few_groups: bool = False) -> DataFrame:
     """Adds ``name`` = 1-based position of each row inside its group in ``order`` (a total order per group).
 
-    ``few_groups=True`` (a bounded vocabulary such as topics) broadcasts the summary table; its size is then
-    partitions × groups. Otherwise the summary is joined with a shuffle."""
+    The summary has one row per (partition, group). Without groups it is one row per partition and is broadcast;
+    with groups its size depends on the group values (topics from a provider are free strings), so the join
+    strategy is left to AQE, which broadcasts it only when its measured size is under the threshold.
+    ``few_groups`` is kept for callers and has no effect."""
     sort_cols = [F.asc_nulls_first(c) for c in group_cols] + list(order)
     sorted_ids = (df.orderBy(*sort_cols)
                   .withColumn("_mid", F.monotonically_increasing_id())
@@ -37,7 +39,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order: list[Column], name:
     w = (Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
          if group_cols else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = summary.select(*keys, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    if few_groups or not group_cols:
+    if not group_cols:
         offsets = F.broadcast(offsets)
     # null-safe join on the group columns (a null group is its own group)
     cond = [sorted_ids["_part"] == offsets["_part"]] + [sorted_ids[c].eqNullSafe(offsets[c]) for c in group_cols]

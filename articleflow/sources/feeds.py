@@ -18,6 +18,7 @@ from articleflow.functions.dates import parse_feed_date
 from articleflow.functions.text import longest_text
 from articleflow.operators.collect import backfill_filter, drop_empty_content, with_item_id
 from articleflow.schemas import FEED_DOCUMENTS
+from articleflow.session import compute_once
 
 RSS_ITEM = ("title string, link string, guid string, description string, pubDate string, author string, "
             "category array<string>, `content:encoded` string, `dc:creator` string")
@@ -45,11 +46,11 @@ def read_landed_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_landed_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
     """Landed raw files (one feed body per file) joined to the feed list by file name = feed name.
-    The feed list is configuration (one row per feed) and is broadcast."""
+    The join strategy is left to AQE (the feed list is broadcast when its measured size allows)."""
     files = (spark.read.option("wholetext", True).text(path)
              .select(F.col("value").alias("body"),
                      F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("feed_name")))
-    return (files.join(F.broadcast(feeds.withColumnRenamed("name", "feed_name")), "feed_name")
+    return (files.join(feeds.withColumnRenamed("name", "feed_name"), "feed_name")
             .select("feed_name", F.col("url").alias("feed_url"), F.lit(200).alias("status"),
                     F.lit("OK").alias("reason"), "body", F.lit(None).cast("string").alias("fetch_error"),
                     F.lit(0).cast("long").alias("seq")))
@@ -84,9 +85,9 @@ def feed_entries(docs: DataFrame) -> DataFrame:
 def entries_to_items(entries: DataFrame, now) -> DataFrame:
     """Entry fragments → raw item columns (P2, P3, P4). RSS and Atom fragments use their own schema."""
     is_atom = F.col("fragment").startswith("<entry")
-    rss = F.from_xml(F.col("fragment"), RSS_ITEM)
-    atom = F.from_xml(F.col("fragment"), ATOM_ENTRY)
-    e = entries.withColumn("r", F.when(~is_atom, rss)).withColumn("a", F.when(is_atom, atom))
+    # each fragment is parsed once; the window/content filters that follow cannot copy the parse (compute_once)
+    e = compute_once(entries, [F.when(~is_atom, F.from_xml(F.col("fragment"), RSS_ITEM)).alias("r"),
+                               F.when(is_atom, F.from_xml(F.col("fragment"), ATOM_ENTRY)).alias("a")])
     atom_link = F.coalesce(
         F.try_element_at(F.filter(F.col("a.link"), lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
                          .getField("_href"), F.lit(1)),
@@ -100,14 +101,15 @@ def entries_to_items(entries: DataFrame, now) -> DataFrame:
         parse_feed_date(F.when(is_atom, F.col("a.updated"))),
         F.lit(now).cast("timestamp"))
     tags = F.when(is_atom, F.transform(F.col("a.category"), lambda c: c["_term"])).otherwise(F.col("r.category"))
+    e = compute_once(e, [longest_text(candidates).alias("_content"), published.alias("_published")])
     return e.select(
         F.lit("rss").alias("source_type"),
         F.col("feed_url").alias("source_id"),
         title.alias("title"),
-        longest_text(candidates).alias("content"),
+        F.col("_content").alias("content"),
         F.when(is_atom, F.col("a.author.name")).otherwise(F.coalesce(F.col("r.author"), F.col("r.`dc:creator`")))
         .alias("author"),
-        published.alias("published_at"),
+        F.col("_published").alias("published_at"),
         url.alias("url"),
         F.struct(
             F.col("feed_name").alias("feed_name"), F.col("feed_title").alias("feed_title"),
