@@ -107,6 +107,40 @@ def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col
     return rep_pairs.unionByName(stars)
 
 
+def lsh_candidate_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                        vec_col: str = "embedding", bucket_length: float = 2.0, num_tables: int = 8,
+                        seed: int = 42) -> DataFrame:
+    """How selective the LSH buckets are for a threshold (one row): vectors hashed, distinct pairs sharing a bucket
+    in some table (the candidates the similarity join has to check), pairs that pass the exact check, and the
+    largest bucket. Used to tune ``bucket_length`` / ``num_tables``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    reps = (collapse_identical(df, id_col, vec_col).filter(F.col("id") == F.col("rep"))
+            .select("id", unit(F.col(vec_col)).alias("u")).withColumn("features", array_to_vector("u")))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+                                        numHashTables=num_tables, seed=seed).fit(reps)
+    buckets = (model.transform(reps).select("id", "u", F.posexplode("hashes").alias("tbl", "h"))
+               .select("id", "u", "tbl", vector_to_array("h")[0].alias("bucket")))
+    a, b = buckets.alias("a"), buckets.alias("b")
+    pairs = (a.join(b, (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.bucket") == F.col("b.bucket"))
+                    & (F.col("a.id") < F.col("b.id")))
+             .select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), dot("a.u", "b.u").alias("s"))
+             .dropDuplicates(["x", "y"]))
+    cols = ["vectors", "candidate_pairs", "verified_pairs", "largest_bucket"]
+
+    def part(df_, **vals):
+        return df_.select(*[(vals[c] if c in vals else F.lit(None)).cast("long").alias(c) for c in cols])
+
+    parts = (part(reps, vectors=F.lit(1))
+             .unionByName(part(pairs, candidate_pairs=F.lit(1), verified_pairs=(F.col("s") >= threshold).cast("long")))
+             .unionByName(part(buckets.groupBy("tbl", "bucket").count(), largest_bucket=F.col("count"))))
+    return parts.agg(F.coalesce(F.sum("vectors"), F.lit(0)).alias("vectors"),
+                     F.coalesce(F.sum("candidate_pairs"), F.lit(0)).alias("candidate_pairs"),
+                     F.coalesce(F.sum("verified_pairs"), F.lit(0)).alias("verified_pairs"),
+                     F.coalesce(F.max("largest_bucket"), F.lit(0)).alias("largest_bucket"))
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "id_a", dst: str = "id_b",
                          max_rounds: int = 100) -> DataFrame:
     """(id, component) with component = smallest id reachable (V3). Vertices without edges are their own

@@ -387,6 +387,14 @@ def q_upsert_merge(spark, sf_dir):
                     plain_ts("updated_at").alias("updated_at"), "title")
 
 
+def q_upsert_columns_kept(spark, sf_dir):
+    """Updated rows only: published_at and created_at come from the stored row, the rest from the new run."""
+    stored, incoming = _upsert_inputs(spark, sf_dir)
+    m = S.merge_news(stored, incoming, SECOND_RUN_AT).filter(F.col("change") == "updated")
+    return m.select("item_id", plain_ts("published_at").alias("published_at"), plain_ts("created_at").alias("created_at"),
+                    plain_ts("updated_at").alias("updated_at"), plain_ts("processed_at").alias("processed_at"))
+
+
 def q_upsert_counts(spark, sf_dir):
     stored, incoming = _upsert_inputs(spark, sf_dir)
     return S.upsert_counts(S.merge_news(stored, incoming, SECOND_RUN_AT))
@@ -557,6 +565,10 @@ def _components(spark, sf_dir):
     return emb, V.connected_components(pairs, emb.select("vec_id"))
 
 
+def q_vector_lsh(spark, sf_dir):
+    return V.lsh_candidate_stats(_embeddings(spark, sf_dir), VECTOR_THRESHOLD)
+
+
 def q_vector_components(spark, sf_dir):
     _, comp = _components(spark, sf_dir)
     return comp.select(F.col("id").alias("vec_id"), "component")
@@ -755,6 +767,7 @@ QUERIES = {
     "api_items": q_api_items,
     "iso_timestamps": q_iso_timestamps,
     "upsert_merge": q_upsert_merge,
+    "upsert_columns_kept": q_upsert_columns_kept,
     "upsert_counts": q_upsert_counts,
     "reject_rows": q_reject_rows,
     "json_columns": q_json_columns,
@@ -778,6 +791,7 @@ QUERIES = {
     "relevance_rank": q_relevance_rank,
     "vector_topk": q_vector_topk,
     "vector_pairs": q_vector_pairs,
+    "vector_lsh": q_vector_lsh,
     "vector_components": q_vector_components,
     "vector_group_merge": q_vector_group_merge,
     "vector_ivf": q_vector_ivf,

@@ -424,6 +424,11 @@ SELECT item_id, change, {ts('published_at')} AS published_at, {ts('processed_at'
        {ts('created_at')} AS created_at, {ts('updated_at')} AS updated_at, title
 FROM merged"""
 
+Q["upsert_columns_kept"] = UPSERT + f"""
+SELECT item_id, {ts('published_at')} AS published_at, {ts('created_at')} AS created_at,
+       {ts('updated_at')} AS updated_at, {ts('processed_at')} AS processed_at
+FROM merged WHERE change = 'updated'"""
+
 Q["upsert_counts"] = UPSERT + """
 SELECT count(*) FILTER (WHERE change <> 'kept') AS persisted, count(*) FILTER (WHERE change = 'inserted') AS inserted,
        count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'kept') AS kept,
