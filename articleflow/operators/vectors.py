@@ -7,6 +7,9 @@
   pair is right; LSH may miss pairs (recall is measured against ``similar_pairs_exact`` in the tests).
   Identical vectors are collapsed to one representative first (copies become edges to it), so a vector
   repeated many times does not turn one bucket into all pairs of its copies.
+* ``similar_pairs_banded`` – for high thresholds (the default 0.85): banded random-hyperplane signatures
+  (r bits AND-ed per band, b bands OR-ed, r and b derived from the threshold and a target recall), candidates per
+  (band, key) re-checked exactly, oversized buckets split by a second key.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
 * ``connected_components`` – min-label propagation with pointer jumping; each round's labels are written to
   the shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
@@ -79,10 +82,93 @@ def collapse_identical(df: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return df.join(reps, vec_col).select(F.col(id_col).alias("id"), "rep", vec_col)
 
 
+def band_parameters(threshold: float, recall: float = 0.95, max_bands: int = 64, max_bits: int = 24) -> tuple[int, int]:
+    """(bits per band, bands) for random-hyperplane hashing: a pair at cosine ``threshold`` agrees on one bit with
+    p = 1 - arccos(t)/pi, on a band of r bits with p^r, and is a candidate when any of b bands agree. Picks the
+    largest r (most selective) whose band count for ``recall`` at the threshold stays within ``max_bands``."""
+    p = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    best = (1, 1)
+    for r in range(1, max_bits + 1):
+        q = p ** r
+        if q >= 1.0:
+            b = 1
+        else:
+            b = math.ceil(math.log(1.0 - recall) / math.log(1.0 - q))
+        if b <= max_bands:
+            best = (r, b)
+    return best
+
+
+def _signature_fn(bits: int, bands: int, seed: int):
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        planes = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+            if planes is None:
+                rng = np.random.default_rng(seed)
+                planes = rng.standard_normal((x.shape[1], bands * bits * 2))
+            signs = (x @ planes) > 0  # n × (2 · bands · bits): coarse bits, then refinement bits
+            weights = (1 << np.arange(bits, dtype=np.int64))
+            coarse = signs[:, : bands * bits].reshape(len(x), bands, bits) @ weights
+            fine = signs[:, bands * bits:].reshape(len(x), bands, bits) @ weights
+            n = len(x)
+            yield pd.DataFrame({
+                "id": np.repeat(pdf["id"].to_numpy(), bands),
+                "band": np.tile(np.arange(bands, dtype=np.int32), n),
+                "key": coarse.reshape(-1).astype(np.int64),
+                "fine": fine.reshape(-1).astype(np.int64),
+            })
+
+    return run
+
+
+def similar_pairs_banded(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                         vec_col: str = "embedding", recall: float = 0.95, max_bucket: int = 1000,
+                         seed: int = 42) -> DataFrame:
+    """Pairs with cosine ≥ threshold by banded random-hyperplane hashing for high thresholds (V2).
+
+    Each vector gets ``bands`` keys of ``bits`` sign bits (a NumPy product per Arrow batch in ``mapInPandas``);
+    pairs sharing a (band, key) are candidates and are re-checked exactly. A bucket larger than ``max_bucket``
+    is split by a second, independent key of the same band, so no bucket enumerates all pairs of a large group;
+    pairs that only meet in such a split bucket are the recall this gives up (reported by the tests). Identical
+    vectors are collapsed first and linked to their representative."""
+    bits, bands = band_parameters(threshold, recall)
+    members = collapse_identical(df, id_col, vec_col)
+    reps = (members.filter(F.col("id") == F.col("rep")).select("id", unit(F.col(vec_col)).alias("u"))
+            .filter(F.col("u").isNotNull()))
+    sig = reps.mapInPandas(_signature_fn(bits, bands, seed), "id long, band int, key long, fine long")
+    sizes = sig.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    keyed = (sig.join(sizes, ["band", "key"])
+             .withColumn("fine", F.when(F.col("size") > max_bucket, F.col("fine")).otherwise(F.lit(-1)))
+             .select("id", "band", "key", "fine"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    cand = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+                   & (F.col("a.fine") == F.col("b.fine")) & (F.col("a.id") < F.col("b.id")))
+            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
+    u = reps.select("id", "u")
+    checked = (cand.join(u.withColumnRenamed("id", "id_a").withColumnRenamed("u", "ua"), "id_a")
+               .join(u.withColumnRenamed("id", "id_b").withColumnRenamed("u", "ub"), "id_b")
+               .select("id_a", "id_b", dot("ua", "ub").alias("similarity"))
+               .filter(F.col("similarity") >= threshold))
+    stars = members.filter(F.col("id") != F.col("rep")).select(
+        F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    return checked.unionByName(stars)
+
+
 def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
                   vec_col: str = "embedding", bucket_length: float = 2.0, num_tables: int = 8,
-                  seed: int = 42) -> DataFrame:
-    """Pairs (id_a < id_b, similarity) with cosine ≥ threshold: LSH candidates, exact re-check."""
+                  seed: int = 42, method: str = "auto") -> DataFrame:
+    """Pairs (id_a < id_b, similarity) with cosine ≥ threshold: LSH candidates, exact re-check.
+
+    ``method='auto'`` uses banded hyperplane hashing at thresholds of 0.7 and above (selective there) and the
+    random-projection join below (where no hashing separates similar from random pairs; see ``vector_lsh``)."""
+    if method == "banded" or (method == "auto" and threshold >= 0.7):
+        return similar_pairs_banded(df, threshold, id_col, vec_col, seed=seed)
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

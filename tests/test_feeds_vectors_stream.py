@@ -120,3 +120,25 @@ def test_streaming_dedup_across_batches(spark):
     ids = sorted(r.item_id for r in spark.read.parquet(out).collect())
     assert ids.count("a") == 1 and "c" in ids and "b" in ids
     _ = F
+
+
+def test_banded_pairs_high_threshold(spark):
+    import numpy as np
+
+    from articleflow.operators.vectors import band_parameters
+
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((60, 32))
+    rows, vid = [], 0
+    for v in base:  # each base vector with three noisy copies: planted pairs around cosine 0.9-0.99
+        for k in range(4):
+            w = v + (0.0 if k == 0 else 0.25) * rng.standard_normal(32)
+            rows.append((vid, [float(x) for x in w], 0))
+            vid += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    exact = {(r.id_a, r.id_b) for r in V.similar_pairs_exact(df, 0.85).collect()}
+    got = {(r.id_a, r.id_b) for r in V.similar_pairs(df, 0.85).collect()}
+    assert got <= exact and len(exact) > 100
+    assert len(got) >= 0.9 * len(exact)
+    r, b = band_parameters(0.85)
+    assert r > 1 and b <= 64
