@@ -23,10 +23,17 @@ ITEM_COLUMNS = ["item_id", "title", "summary", "key_points", "topics", "article_
 
 def item_filter(topic: str | None = None, article_type: str | None = None,
                 min_relevance: float | None = None) -> F.Column:
-    """The optional filters of the item reads, ANDed; None or '' means no filter."""
+    """The optional filters of the item reads, ANDed; None or '' means no filter (F4, F5, F7, R2). They apply to
+    the stored columns (before the read projection), so the type and score filters reach the Parquet scan; a
+    missing type counts as the default 'news' (P21)."""
+    type_pred = None
+    if given(article_type):
+        type_pred = F.col("article_type") == article_type
+        if article_type == DEFAULT_ARTICLE_TYPE:
+            type_pred = type_pred | F.col("article_type").isNull()
     return all_of([
         F.array_contains("topics", topic) if given(topic) else None,
-        (F.col("article_type") == article_type) if given(article_type) else None,
+        type_pred,
         (F.col("relevance_score") >= F.lit(float(min_relevance))) if min_relevance else None,
     ])
 
@@ -44,7 +51,7 @@ def recent_items(news: DataFrame, limit: int = ITEMS_LIMIT_DEFAULT, topic: str |
                  article_type: str | None = None, min_relevance: float | None = None) -> DataFrame:
     """Newest items first, at most ``limit`` (1..100), optionally by topic / type / minimum score (L4)."""
     check_limit(limit, ITEMS_LIMIT_MAX)
-    return (select_items(news).filter(item_filter(topic, article_type, min_relevance))
+    return (select_items(news.filter(item_filter(topic, article_type, min_relevance)))
             .orderBy(F.desc("published_at"), F.asc("item_id")).limit(limit))
 
 
