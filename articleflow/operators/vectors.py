@@ -239,17 +239,20 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
     if vertices is not None:
         ids = ids.unionByName(vertices.select(F.col(vertices.columns[0]).alias("id")))
     labels = materialize(ids.distinct().select("id", F.col("id").alias("label")), "cc-labels")
+    # labels only ever decrease, so "no label changed" is the same as "the label sum did not change": one
+    # aggregate per round instead of a join of the new labels against the old ones
+    prev = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first().s
     for _ in range(max_rounds):
         msgs = und.join(labels.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
         step = labels.unionByName(msgs).groupBy("id").agg(F.min("label").alias("label"))
         jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.id"), "left")
                   .select(F.col("s.id").alias("id"), F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
                           .alias("label")))
-        new = materialize(jumped, "cc-labels")
-        changed = new.alias("n").join(labels.alias("o"), "id").filter(F.col("n.label") != F.col("o.label")).limit(1).count()
-        labels = new
-        if changed == 0:
+        labels = materialize(jumped, "cc-labels")
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first().s
+        if total == prev:
             return labels.withColumnRenamed("label", "component")
+        prev = total
     raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
 
 
