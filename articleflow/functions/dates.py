@@ -35,11 +35,7 @@ def published_date(*candidates, now: datetime) -> Column:
     """First usable date of the candidates in order (already parsed timestamps or strings), else ``now``.
 
     Mirrors the feed rule: published_parsed → updated_parsed → published → updated → now."""
-    cols = []
-    for c in candidates:
-        c = _c(c)
-        cols.append(c)
-    return F.coalesce(*cols, F.lit(now).cast("timestamp"))
+    return F.coalesce(*[_c(c) for c in candidates], F.lit(now).cast("timestamp"))
 
 
 def iso_format(ts) -> Column:
