@@ -73,8 +73,8 @@ def run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], error
         persisted = counts["persisted"]
         processed_n = persisted
         payload = f"{staging}/payload"
-        stored = news.read(version)
-        run_items = stored.join(good.select("item_id"), "item_id", "left_semi").withColumn("seq", F.lit(0).cast("long"))
+        # the payload describes this run's processed items (as the publish stage does), read from staging
+        run_items = good
         stats = P.run_stats_long(run_items, persisted, errors)
         P.write_payload(P.payload_lines(spark, ctx, run_items, stats, errors), payload)
         runs.commit(S.run_finish(runs.read(), ctx.run_id, ctx.now, persisted, "completed", collected,
