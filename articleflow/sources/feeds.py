@@ -47,7 +47,7 @@ def read_landed_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_landed_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
     """Landed raw files (one feed body per file) joined to the feed list by file name = feed name.
     The join strategy is left to AQE (the feed list is broadcast when its measured size allows)."""
-    files = (spark.read.option("wholetext", True).text(path)
+    files = (spark.read.text(path, wholetext=True)
              .select(F.col("value").alias("body"),
                      F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("feed_name")))
     return (files.join(feeds.withColumnRenamed("name", "feed_name"), "feed_name")

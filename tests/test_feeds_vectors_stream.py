@@ -142,3 +142,23 @@ def test_banded_pairs_high_threshold(spark):
     assert len(got) >= 0.9 * len(exact)
     r, b = band_parameters(0.85)
     assert r > 1 and b <= 64
+
+
+def test_landed_files_joined_to_feed_list(spark):
+    import os
+
+    from articleflow.operators.collect import feed_coverage, feeds_without_items
+    from articleflow.sources.feeds import feeds_frame, read_landed_files
+
+    d = tempfile.mkdtemp()
+    for name, body in (("feedA", RSS), ("feedB", ATOM)):
+        with open(os.path.join(d, f"{name}.xml"), "w") as f:
+            f.write(body)
+    feeds = feeds_frame(spark, [("feedA", "https://a/rss"), ("feedB", "https://b/atom"), ("feedC", "https://c/rss")])
+    landed_docs = read_landed_files(spark, d, feeds)
+    assert sorted(r.feed_url for r in landed_docs.collect()) == ["https://a/rss", "https://b/atom"]
+    items, errors = collect_feeds(landed_docs, ctx(ts(2023, 1, 1)))
+    assert items.count() == 3 and errors.count() == 0
+    cov = {r.url: r["items"] for r in feed_coverage(feeds, items, feed_key="url").collect()}
+    assert cov == {"https://a/rss": 2, "https://b/atom": 1, "https://c/rss": 0}
+    assert [r.name for r in feeds_without_items(feeds, items, feed_key="url").collect()] == ["feedC"]
