@@ -717,9 +717,9 @@ def q_trace_runs(spark, sf_dir):
     return runs.select("id", "name", "status", "duration_ms", "total_tokens")
 
 
-def q_pipeline_run(spark, sf_dir):
+def q_full_run(spark, sf_dir):
     """A full run over both collectors into a fresh store; returns the stored news table."""
-    from articleflow.plans.pipeline import run
+    from articleflow.plans.run import run
     from articleflow.session import scratch_path
 
     store = scratch_path(spark, "store")
@@ -805,5 +805,5 @@ QUERIES = {
     "embed_hashing": q_embed_hashing,
     "payload_json": q_payload_json,
     "trace_runs": q_trace_runs,
-    "pipeline_run": q_pipeline_run,
+    "full_run": q_full_run,
 }

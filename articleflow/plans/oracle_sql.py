@@ -594,7 +594,7 @@ SELECT 'trace-' || CAST(user_id AS VARCHAR) AS id, coalesce(nullif(name, ''), 'U
        (epoch_us(end_time) - epoch_us(start_time)) // 1000 AS duration_ms, total_tokens
 FROM t ORDER BY start_time DESC, id ASC LIMIT 50"""
 
-Q["pipeline_run"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "true", 1000000000)
+Q["full_run"] = with_ctes(*BASE_PROCESSED) + item_out("processed", "true", 1000000000)
 
 
 PAIRS = """

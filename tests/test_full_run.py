@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from articleflow.context import RunContext
 from articleflow.operators import store as S
-from articleflow.plans.pipeline import run
+from articleflow.plans.run import run
 from articleflow.schemas import PIPELINE_RUNS
 from tests.conftest import raw_row, ts
 
