@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import licenses, mixing, quality, warc
+from articleflow.llm import licenses, mixing, quality, simhash, warc
 from articleflow.llm.common import read
 from articleflow.session import scratch_path
 
@@ -15,6 +15,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents", ["doc_id", "text"]), shingle=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages", ["page_id", "url", "html"])
     manifest = warc.write_archives(pages, scratch_path(spark, "warc"))
@@ -34,4 +39,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op7_warc_zstd, op8_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_simhash_near_dedup, op7_warc_zstd, op8_quality_rules,
+                                   op10_license_scan)}
