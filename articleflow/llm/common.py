@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Recor
     """Cuts batches at row borders into slices of bounded text bytes, so that Python objects made from one slice
     stay bounded whatever the texts' lengths; a slice has at least one row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > SLICE_BYTES:
