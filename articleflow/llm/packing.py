@@ -116,46 +116,48 @@ def linear_groups(lengths: list[tuple[int, int]], groups: int) -> list[tuple[int
 
 
 def best_knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable configuration of sizes (repeats allowed) within the capacity."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    smallest = int(sizes.min())
-    for c in range(smallest, capacity + 1):
-        gain = np.where(sizes <= c, best[np.maximum(c - sizes, 0)] + values, -1.0)
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1] + 1e-12:
-            best[c], choice[c] = gain[k], k
-        else:
-            best[c] = best[c - 1]
+    """The most valuable configuration of sizes (repeats allowed) within the capacity, one more item per level."""
+    before = np.arange(capacity + 1)[None, :] - sizes[:, None]  # room left below an item of each size
+    fits = before >= 0
+    before = np.maximum(before, 0)
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        gain = np.where(fits, best[before] + values[:, None], -1.0)
+        pick = gain.argmax(axis=0)
+        better = gain[pick, np.arange(capacity + 1)]
+        pick = np.where(better > best + 1e-12, pick, -1)
+        if pick[capacity] < 0:
+            break
+        best, _ = np.maximum(best, better), picks.append(pick)
     counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c >= smallest:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        counts[choice[c]] += 1
-        c -= int(sizes[choice[c]])
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            counts[pick[c]] += 1
+            c -= int(sizes[pick[c]])
     return float(best[capacity]), counts
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, max_columns: int = 400
                    ) -> list[tuple[np.ndarray, int]]:
     """Whole multiples of the configurations in an optimal fractional cover of ``demand`` (column generation)."""
-    s, d = np.array(sizes), np.array(demand, dtype=float)
-    k = len(sizes)
-    basis = np.diag((capacity // s).astype(float))
+    s, k = np.array(sizes), len(sizes)
+    per = capacity // s
+    basis = [np.where(np.arange(k) == j, per[j], 0) for j in range(k)]
+    inverse, x = np.diag(1.0 / per), np.array(demand) / per  # of the matrix whose columns are the basis
     for _ in range(max_columns):
-        inverse = np.linalg.inv(basis)
         value, column = best_knapsack(s, inverse.sum(axis=0), capacity)  # every configuration costs one sequence
-        if value <= 1 + 1e-7:
-            break
-        x, step = inverse @ d, inverse @ column
-        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        step = (inverse * column).sum(axis=1)
+        usable = step > 1e-9
+        if value <= 1 + 1e-7 or not usable.any():
             break
-        basis[:, out] = column
-    x = np.linalg.inv(basis) @ d
-    return [(basis[:, j].astype(np.int64), int(x[j] + 1e-6)) for j in range(k) if x[j] >= 1 - 1e-6]
+        out = int(np.where(usable, x / np.where(usable, step, 1.0), np.inf).argmin())
+        row, amount = inverse[out] / step[out], x[out] / step[out]
+        inverse -= step[:, None] * row
+        inverse[out] = row
+        x = np.maximum(x - step * amount, 0.0)
+        x[out] = amount
+        basis[out] = column
+    return [(pattern, int(n + 1e-6)) for pattern, n in zip(basis, x) if n >= 1 - 1e-6]
 
 
 class Plan:
@@ -208,8 +210,8 @@ class Plan:
         return (runs[:, 0] << _SHIFT) + runs[:, 1], runs[:, 2], runs[:, 3]
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: int = 64, large_share: float = 0.125,
-              slack_share: float = 0.01) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, groups: int = 128, large_share: float = 0.34,
+              slack_share: float = 0.001) -> Plan:
     """A configuration is used when its rounded sizes leave at most ``slack_share`` of the capacity; the documents of
     others stay for best fit, which fits actual lengths."""
     plan = Plan(capacity)
@@ -255,7 +257,7 @@ def _substitute(plan: Plan, pattern: np.ndarray, times: int, queues: list, left:
 
 
 # --------------------------------------------------------------------------------------------- the operator
-def pack(piece_rows: DataFrame, capacity: int = 2048, groups: int = 64, large_share: float = 0.125,
+def pack(piece_rows: DataFrame, capacity: int = 2048, groups: int = 128, large_share: float = 0.34,
          id_col: str = "doc_id", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``piece_rows`` (id, piece, length, ...) with ``sequence_id`` and ``offset``."""
     rows = materialize(piece_rows, "pieces")

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import licenses, mixing, quality, simhash, warc
+from articleflow.llm import licenses, mixing, packing, quality, simhash, warc
 from articleflow.llm.common import read
 from articleflow.session import scratch_path
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path(), 2048)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -39,5 +49,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_simhash_near_dedup, op7_warc_zstd, op8_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op7_warc_zstd, op8_quality_rules,
                                    op10_license_scan)}
