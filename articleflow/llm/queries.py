@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import licenses, mixing, packing, quality, simhash, warc
-from articleflow.llm.common import read
+from articleflow.llm import langid, licenses, mixing, packing, quality, simhash, toxicity, warc
+from articleflow.llm.common import fold, read
 from articleflow.session import scratch_path
 
 
@@ -30,6 +30,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = read(spark, sf_dir, "labels", ["doc_id", "toxic"]).filter(fold("doc_id", 3) != 1)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages", ["page_id", "url", "html"])
     manifest = warc.write_archives(pages, scratch_path(spark, "warc"))
@@ -45,9 +52,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    model = langid.train(docs.filter(fold("doc_id", 4) != 2))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op7_warc_zstd, op8_quality_rules,
-                                   op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op6_toxicity,
+                                   op7_warc_zstd, op8_quality_rules, op9_language_id, op10_license_scan)}
