@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import langid, licenses, mixing, packing, quality, simhash, toxicity, warc
+from articleflow.llm import ann, langid, licenses, mixing, packing, quality, simhash, toxicity, warc
 from articleflow.llm.common import fold, read
 from articleflow.session import scratch_path
 
@@ -30,6 +30,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return ann.search(vectors, lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = read(spark, sf_dir, "labels", ["doc_id", "toxic"]).filter(fold("doc_id", 3) != 1)
@@ -63,5 +68,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op5_permutation_index, op6_toxicity,
                                    op7_warc_zstd, op8_quality_rules, op9_language_id, op10_license_scan)}
