@@ -108,8 +108,10 @@ def meeting(distinct: DataFrame, max_bits: int = 3, groups: int = 3) -> DataFram
     """The fingerprints (fp) that meet another one at a masked variant."""
     spots = F.array(*[F.struct(F.lit(k).cast("long").alias("kept"), F.lit(f).cast("long").alias("flip"))
                       for k, f in masked_variants(max_bits, groups)])
-    emitted = distinct.select("fp", F.explode(F.transform(spots, lambda s: F.col("fp").bitwiseAND(s["kept"])
-                                                          .bitwiseXOR(s["flip"]))).alias("variant"))
+    # a small table in few files becomes many rows here, so it is spread over the shuffle partitions first
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    emitted = spread.select("fp", F.explode(F.transform(spots, lambda s: F.col("fp").bitwiseAND(s["kept"])
+                                                        .bitwiseXOR(s["flip"]))).alias("variant"))
     w = Window.partitionBy("variant")
     return (emitted.withColumn("_lo", F.min("fp").over(w)).withColumn("_hi", F.max("fp").over(w))
             .filter(F.col("_lo") != F.col("_hi")).select("fp").distinct())
@@ -120,7 +122,8 @@ def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
     radius = max_bits // 2
     spots = F.array(*[F.struct(F.lit(f).cast("long").alias("flip"), F.lit(n).alias("n"))
                       for f, n in ball_variants(max_bits)])
-    emitted = candidates.select("fp", F.explode(F.transform(spots, lambda s: F.struct(
+    spread = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    emitted = spread.select("fp", F.explode(F.transform(spots, lambda s: F.struct(
         F.col("fp").bitwiseXOR(s["flip"]).alias("variant"), s["n"].alias("n")))).alias("v")).select("fp", "v.*")
     hub = F.min(F.when(F.col("n") <= radius, F.col("fp"))).over(Window.partitionBy("variant"))
     return (emitted.withColumn("hub", hub).filter(F.col("hub") != F.col("fp"))
