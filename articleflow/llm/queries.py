@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import ann, langid, licenses, mixing, packing, quality, simhash, toxicity, warc
+from articleflow.llm import ann, langid, licenses, mixing, packing, quality, secrets, simhash, toxicity, warc
 from articleflow.llm.common import fold, read
 from articleflow.session import scratch_path
 
@@ -20,6 +20,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path(), 2048)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return secrets.scan(docs, secrets.train_on_corpus(docs, path_col="source"), path_col="source")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -68,5 +73,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_mix_sources, op4_simhash_near_dedup, op5_permutation_index, op6_toxicity,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_mix_sources, op4_simhash_near_dedup, op5_permutation_index, op6_toxicity,
                                    op7_warc_zstd, op8_quality_rules, op9_language_id, op10_license_scan)}
