@@ -105,10 +105,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     columns of ``docs``. Rows that repeat an id are mixed as one group: each takes the id's epochs of its own rank
     order, so ids should be unique when sizes matter to the word."""
     taken = mix(docs, id_col, source_col, text_col, cut="document", **options)
-    times = taken.groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("_times"))
-    sized = docs.withColumn("_size", word_count(F.col(text_col).cast("string"))).alias("d")
+    times = taken.groupBy("doc_id", "source", "size").agg(F.max("epochs").alias("__mix_times"))
+    sized = docs.withColumn("__mix_size", word_count(F.col(text_col).cast("string"))).alias("d")
     joined = sized.join(times.alias("t"), F.col(f"d.{id_col}").eqNullSafe(F.col("t.doc_id"))
-                        & F.col(f"d.{source_col}").eqNullSafe(F.col("t.source")) & (F.col("d._size") == F.col("t.size")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
-    return (joined.filter(F.col("_times") > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], copies)
-            .drop("_copy"))
+                        & F.col(f"d.{source_col}").eqNullSafe(F.col("t.source")) & (F.col("d.__mix_size") == F.col("t.size")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_copy")
+    return (joined.filter(F.col("__mix_times") > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], copies)
+            .drop("__mix_copy"))

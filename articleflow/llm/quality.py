@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import map_texts
+from articleflow.llm.common import map_texts, slices, texts
 
 #: Fixed by the contract: characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -132,3 +132,29 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     lost = (F.col("n_words") - F.col("kept_words")) > F.lit(rules.max_lost) * F.col("n_words")
     return (map_texts(docs, [id_col], text_col, measure, schema, [id_type])
             .withColumn("base_failed", base).withColumn("kept", ~base & ~lost))
+
+
+def clean_documents(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
+    """The documents that the rules keep, without their failing lines, in the columns of ``docs``; a column
+    ``n_chars`` is set to the length of the cleaned text. One pass; nothing is joined."""
+    rules, names = rules or LineRules(), docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for part in slices(batches, at):
+            keep, cleaned = [], []
+            for i, raw in enumerate(texts(part.column(at))):
+                n_words, _, _, _, repeated, kept_words, _, clean = judge_text(raw, rules)
+                if n_words >= 10 and 100 * repeated <= 20 * n_words and n_words - kept_words <= rules.max_lost * n_words:
+                    keep.append(i)
+                    cleaned.append(clean.decode("utf-8", "replace"))
+            if keep:
+                columns = [part.column(i).take(pa.array(keep)) for i in range(len(names))]
+                columns[at] = pa.array(cleaned, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    typed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    out = docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, typed)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])).select(*names)
+    return out

@@ -155,10 +155,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stays; rows with a null id stay only in groups without ids."""
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     kept = materialize(found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-                       .groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "simhash-kept")
-    hit = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")))
-    single = hit.filter(F.col("_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+                       .groupBy(F.col(id_col).alias("__sim_id")).agg(F.count(F.lit(1)).alias("__sim_n")), "simhash-kept")
+    hit = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__sim_id")))
+    single = hit.filter(F.col("__sim_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     w = Window.partitionBy(id_col).orderBy(F.asc_nulls_last(text_col))
-    several = (hit.filter(F.col("_n") > 1).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") == 1)
+    several = (hit.filter(F.col("__sim_n") > 1).withColumn("__sim_rank", F.row_number().over(w)).filter(F.col("__sim_rank") == 1)
                .select(*[F.col(f"`{c}`") for c in docs.columns]))
     return single.unionByName(several)
