@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import map_texts
+from articleflow.llm.common import map_texts, slices, texts
 from articleflow.llm.components import components
 from articleflow.session import materialize
 
@@ -131,34 +131,62 @@ def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
             .select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = 3, groups: int = 3) -> DataFrame:
-    """(id, fp, component_id) per row of ``docs``; ``component_id`` is the smallest id that links lead to."""
-    fps = materialize(fingerprints(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text_col, shingle)
-                      if id_col != "doc_id" else fingerprints(docs, id_col, text_col, shingle), "simhash")
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, groups: int) -> DataFrame:
+    """(doc_id, fp, component_id, root) per row of ``docs``; ``root`` names the component by a fingerprint."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fps = materialize(fingerprints(own, "doc_id", "text", shingle), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     survivors = materialize(meeting(distinct, max_bits, groups), "simhash-meeting")
     roots = components(links(survivors, max_bits)).withColumnRenamed("node", "fp")
-    members = roots.join(distinct, "fp")
-    smallest = members.groupBy("root").agg(F.min("rep").alias("cid"))
-    grouped = roots.join(smallest, "root").select("fp", "cid")
+    smallest = roots.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("cid"))
+    grouped = roots.join(smallest, "root").select("fp", "root", "cid")
     # stored, so that the last join is a plain one of two tables, which Spark can split where a group of copies is large
-    classes = materialize(distinct.join(grouped, "fp", "left")
-                          .select("fp", F.coalesce("cid", "rep").alias("component_id")), "simhash-classes")
-    out = fps.join(classes, "fp").select("doc_id", "fp", "component_id")
-    return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
+    classes = materialize(distinct.join(grouped, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("cid")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root")), "simhash-classes")
+    return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    max_bits: int = 3, groups: int = 3) -> DataFrame:
+    """(id, fp, component_id) per row of ``docs``; ``component_id`` is the smallest id that links lead to."""
+    found = _classes(docs, id_col, text_col, shingle, max_bits, groups)
+    return found.select(F.col("doc_id").alias(id_col), "fp", "component_id")
+
+
+def with_fingerprint(docs: DataFrame, text_col: str, shingle: int, name: str) -> DataFrame:
+    """``docs`` with the fingerprint as a further column."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for part in slices(batches, at):
+            found = np.array([fingerprint(t, shingle) for t in texts(part.column(at))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*names, name])
+
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
              max_bits: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id. Where rows repeat that id, the first by text
-    stays; rows with a null id stay only in groups without ids."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = materialize(found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-                       .groupBy(F.col(id_col).alias("__sim_id")).agg(F.count(F.lit(1)).alias("__sim_n")), "simhash-kept")
-    hit = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__sim_id")))
-    single = hit.filter(F.col("__sim_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    w = Window.partitionBy(id_col).orderBy(F.asc_nulls_last(text_col))
-    several = (hit.filter(F.col("__sim_n") > 1).withColumn("__sim_rank", F.row_number().over(w)).filter(F.col("__sim_rank") == 1)
-               .select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return single.unionByName(several)
+    """``docs`` with one row of each component: the one with the smallest id.
+
+    Ids that stand for one row each are kept by a join on the id. Rows whose id repeats (null ids too) are told apart by
+    fingerprint: of a component's rows with the kept id the smallest fingerprint stays, and of those the first by text."""
+    names, same = docs.columns, [F.col(f"`{c}`") for c in docs.columns]
+    rows = materialize(_classes(docs, id_col, text_col, shingle, max_bits, 3), "simhash-rows")
+    heads = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    per_id = rows.groupBy(F.col("doc_id").alias("__sim_id")).agg(F.count(F.lit(1)).alias("__sim_n"))
+    repeated = materialize(per_id.filter((F.col("__sim_n") > 1) | F.col("__sim_id").isNull()).select("__sim_id"), "simhash-repeated")
+    alone = materialize(heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("__sim_id")), "left_anti")
+                        .select(F.col("doc_id").alias("__sim_id")), "simhash-kept")
+    single = docs.join(alone, F.col(id_col) == F.col("__sim_id")).select(*same)
+    chosen = materialize(heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("__sim_id")), "left_semi")
+                         .groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
+                         .select(F.col("doc_id").alias("__sim_id"), F.col("fp").alias("__sim_kept")), "simhash-chosen")
+    several = docs.join(repeated, F.col(id_col).eqNullSafe(F.col("__sim_id")), "left_semi")
+    several = with_fingerprint(several, text_col, shingle, "__sim_fp").join(
+        chosen, F.col(id_col).eqNullSafe(F.col("__sim_id")) & (F.col("__sim_fp") == F.col("__sim_kept")))
+    w = Window.partitionBy(id_col, "__sim_fp").orderBy(F.asc_nulls_last(text_col), *[F.col(f"`{c}`").cast("string") for c in names])
+    return single.unionByName(several.withColumn("__sim_rank", F.row_number().over(w))
+                              .filter(F.col("__sim_rank") == 1).select(*same))
