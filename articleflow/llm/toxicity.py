@@ -63,11 +63,12 @@ class Model:
 
 
 def features(text: str) -> Counter:
-    """Counts of words and of their prefixes (marked by a closing star)."""
+    """Counts of words and of their prefixes (marked by a closing star). An identity term has no prefixes, so that
+    swapping it changes one feature."""
     counts = Counter(TOKEN.findall(text.lower()))
     for w, n in list(counts.items()):
         for k in PREFIXES:
-            if len(w) > k:
+            if len(w) > k and w not in DIMENSION:
                 counts[w[:k] + "*"] += n
     return counts
 
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 if w in index:
                     hits[index[w]] += n
                 for k in cut:
-                    if len(w) > k and (f := w[:k] + "*") in index:
+                    if len(w) > k and w not in DIMENSION and (f := w[:k] + "*") in index:
                         hits[index[f]] += n
             z = m.bias + sum(weights[i] * math.log1p(n) for i, n in hits.items())
             out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
