@@ -230,7 +230,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     if not labels:
         return model
     spark, names = docs.sparkSession, {n: i for i, n in enumerate(labels)}
-    sharded = materialize(sample.repartition(shards, F.xxhash64("text")), "lang-shards")
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -250,9 +249,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
             yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, lines))], pa.int64()), pa.array([blob])],
                                              names=["words", "weights"])
 
-        results = sharded.repartition(shards, F.xxhash64("text")).mapInArrow(run, "words long, weights binary").collect()
-        total = sum(r["words"] for r in results)
-        mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["words"] / total) for r in results)
+        passes = sample.repartition(shards).mapInArrow(run, "words long, weights binary")
+        # the weighted mean is taken by one task, a shard at a time, so the driver gets one set of weights
+        mean = np.frombuffer(passes.repartition(1).mapInArrow(_mean, "weights binary").first()["weights"], np.float64)
+        if mean.size < model.grams.size:  # texts without words taught nothing
+            break
         at = 0
         for name in ("grams", "lex", "trans", "start"):
             old = getattr(model, name)
@@ -262,6 +263,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     return model
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, mean = 0, 0.0
+    for b in batches:
+        for i in range(b.num_rows):
+            n = b.column(0)[i].as_py()
+            total += n
+            mean = mean + (np.frombuffer(b.column(1)[i].as_buffer(), np.float32) - mean) * (n / total)
+    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(mean, np.float64).tobytes()])], names=["weights"])
+
+
 # --------------------------------------------------------------------------------------------------- prediction
 def label_texts(batch: list[bytes], model: Model) -> list[tuple[np.ndarray, np.ndarray] | None]:
     """Per text the label distribution of its words and a mask of words with a letter; None where there is none."""

@@ -27,7 +27,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
