@@ -1,7 +1,7 @@
 """Column → Column expressions used by the operators."""
 
 from articleflow.functions.arrays import (  # noqa: F401
-    first_key_points, from_json_text, further_sources, joined, label_lookup, original_urls, primary_topic,
+    first_key_points, from_json_text, further_sources, label_lookup, original_urls, primary_topic,
     primary_url, source_types, to_json_text,
 )
 from articleflow.functions.dates import (  # noqa: F401

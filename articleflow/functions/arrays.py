@@ -55,12 +55,6 @@ def label_lookup(code, labels: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(m, code), code)
 
 
-def joined(arr, sep: str = ",", sort: bool = True) -> Column:
-    """Array rendered as text (sorted by default) for flat outputs and comparisons."""
-    arr = _c(arr)
-    return F.array_join(F.array_sort(arr) if sort else arr, sep)
-
-
 def to_json_text(arr) -> Column:
     """ARRAY column → JSON text, as stored in JSON columns of a row store."""
     return F.to_json(_c(arr))

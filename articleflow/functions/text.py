@@ -25,11 +25,12 @@ def truncate_content(content="content", n: int = PROMPT_CONTENT_CHARS) -> Column
     return F.substring(_c(content), 1, n)
 
 
-# Prompt wording is ours; the slots are the reference's: title (or "No title"), content (first 8000 chars),
-# source type and id, ISO publication time.
+# Wording and layout are our own; the slots are fixed: title (or "No title"), content (first 8000 chars), source type and
+# id, ISO publication time.
 DEFAULT_PROMPT_TEMPLATE = (
-    "Summarise the article below for machine-learning practitioners.\n\n"
-    "TITLE: {title}\nCONTENT:\n{content}\n\nSOURCE: {source_type} from {source_id}\nPUBLISHED: {published_at}\n"
+    "[{published_at}] {source_type}/{source_id} sent: {title}\n"
+    "----\n{content}\n----\n"
+    "Answer with a headline, two sentences, three to five takeaways, up to three topics and a kind."
 )
 
 

@@ -8,11 +8,17 @@ Merge rule per item id:
   sources, source ids and non-empty urls (sorted) plus one metadata entry per "source_type:source_id", the
   last seen (largest seq) winning.
 
-Plan: two aggregation levels over slim rows (ids, lengths, urls, small metadata – no content). Level 1 groups by
+Rows are told apart by a row number of their own (``_row``), not by ``seq``: collectors may give equal numbers to rows of
+different feeds. Ties between rows of equal length and ``seq`` go by a hash of source and content, so they do not depend on
+the order of arrival.
+
+Plan: the raw rows are stored once (they are needed twice, and the row number must not change between the two reads). Then
+two aggregation levels over slim rows (ids, lengths, urls, small metadata – no content). Level 1 groups by
 (item_id, source_type, source_id) with partial (map-side) aggregation, so a hot item id is reduced to one row per
 source per task before any row moves. Level 2 groups those few rows by item_id. The merged lists are bounded by
-the number of distinct sources of an item, never by its row count. The primary row's wide columns are joined
-back on (item_id, seq) – a key that is unique per row, so a hot item id spreads over all join partitions.
+the number of distinct sources of an item, never by its row count. The order of rows is one DECIMAL, so both levels hash
+instead of sorting where no list is asked for. The primary row's wide columns are joined back on ``_row``, which is unique,
+so a hot item id spreads over all join partitions.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import functions as F
 
 from articleflow.operators.collect import RAW_COLUMNS
 from articleflow.schemas import ENTRY_METADATA
+from articleflow.session import materialize
 
 
 def _entry_meta(col: str = "raw_metadata") -> F.Column:
@@ -34,22 +41,43 @@ def _rank_key(content: F.Column, seq: F.Column) -> F.Column:
     return F.struct(F.length(F.coalesce(content, F.lit(""))).alias("len"), (-seq).alias("neg_seq"))
 
 
-def dedup_groups(raw: DataFrame) -> DataFrame:
-    """One row per item id with the aggregated parts of the merge (slim columns only: no content)."""
+_SEQ_END = (1 << 63) - 1
+
+
+def _decimal(number: int) -> F.Column:
+    return F.lit(str(number)).cast("decimal(38,0)")
+
+
+def _preference() -> F.Column:
+    """One number, larger is better: content length (10 digits), then smaller seq (19), then a hash (8) of the row."""
+    tie = F.pmod(F.xxhash64("source_type", "source_id", "title", "content", "url"), F.lit(100_000_000))
+    place = F.lit(_SEQ_END) - F.greatest(F.coalesce(F.col("seq"), F.lit(_SEQ_END)), F.lit(0))
+    return (F.length(F.coalesce("content", F.lit(""))).cast("decimal(10,0)").cast("decimal(38,0)") * _decimal(10 ** 27)
+            + place.cast("decimal(38,0)") * _decimal(10 ** 8) + tie.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """The raw rows, stored, with a number per row (``_row``) and their order of preference (``_pref``)."""
+    return materialize(raw.withColumn("_pref", _preference()).withColumn("_row", F.monotonically_increasing_id()), "raw")
+
+
+def dedup_groups(rows: DataFrame) -> DataFrame:
+    """One row per item id of ``numbered`` rows with the aggregated parts of the merge (slim columns only: no content)."""
     url_ok = F.when(F.col("url").isNotNull() & (F.col("url") != ""), F.col("url"))
-    slim = raw.select("item_id", "source_type", "source_id", "seq", "published_at", url_ok.alias("url"),
-                      _entry_meta().alias("meta"), F.length(F.coalesce("content", F.lit(""))).alias("len"))
+    slim = rows.select("item_id", "source_type", "source_id", "seq", "published_at", "_pref", "_row", url_ok.alias("url"),
+                       _entry_meta().alias("meta"))
     level1 = slim.groupBy("item_id", "source_type", "source_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.struct("len", (-F.col("seq")).alias("neg_seq"))).alias("best"),
+        F.max("_pref").alias("best"),
+        F.max_by("_row", "_pref").alias("best_row"),
         F.min("published_at").alias("first_published"),
         F.collect_set("url").alias("urls"),
-        F.max_by(F.col("meta"), F.col("seq")).alias("last_meta"),
+        F.max_by("meta", "seq").alias("last_meta"),
         F.min("seq").alias("min_seq"),
     )
     return level1.groupBy("item_id").agg(
         F.sum("n").alias("n"),
-        (-F.max("best").getField("neg_seq")).alias("primary_seq"),
+        F.max_by("best_row", "best").alias("primary_row"),
         F.min("first_published").alias("published_at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("all_urls"),
         F.array_sort(F.collect_set("source_type")).alias("merged_from_sources"),
@@ -64,17 +92,18 @@ def dedup_groups(raw: DataFrame) -> DataFrame:
 def dedup_exact(raw: DataFrame) -> DataFrame:
     """Raw items → one item per id (A1–A7). Output has the raw item columns plus ``n_merged``.
 
-    The aggregation runs on slim rows; the primary row (with its content) is then fetched by an equi-join on
-    (item_id, seq), so the wide columns are shuffled once and never sorted by the aggregation. ``seq`` must be
-    unique per raw row (collectors number their rows)."""
-    g = dedup_groups(raw)
-    fat = raw.select(F.col("item_id").alias("p_item_id"), F.col("seq").alias("p_seq"), "source_type", "source_id",
-                     "title", "content", "author", F.col("url").alias("p_url"),
-                     F.col("published_at").alias("p_published_at"), F.col("raw_metadata").alias("p_meta"))
-    # shuffle-hash join, slim side built: the wide rows are hash-distributed on (item_id, seq) and streamed, never
-    # sorted. At scale the slim side is large and this is the plan anyway; on small inputs it keeps the join from
-    # becoming a broadcast that would leave the wide rows in their scan partitions (one task per small file).
-    j = g.hint("shuffle_hash").join(fat, (g["item_id"] == fat["p_item_id"]) & (g["primary_seq"] == fat["p_seq"]))
+    The aggregation runs on slim rows; the primary row (with its content) is then fetched by an equi-join on its row
+    number, so the wide columns are shuffled once and never go through the aggregation."""
+    rows = numbered(raw)
+    return merge_primary(rows, dedup_groups(rows))
+
+
+def merge_primary(rows: DataFrame, g: DataFrame) -> DataFrame:
+    """The merged row of every group in ``g`` (columns of ``dedup_groups``; ``item_id`` may name the group otherwise)."""
+    fat = rows.select("_row", F.col("item_id").alias("p_item_id"), "source_type", "source_id", "title", "content", "author",
+                      F.col("url").alias("p_url"), F.col("published_at").alias("p_published_at"),
+                      F.col("raw_metadata").alias("p_meta"))
+    j = g.join(fat, g["primary_row"] == fat["_row"])
     single = F.col("n") == 1
     merged_meta = F.struct(
         F.lit(None).cast("string").alias("feed_name"), F.lit(None).cast("string").alias("feed_title"),
@@ -83,7 +112,7 @@ def dedup_exact(raw: DataFrame) -> DataFrame:
     )
     own_url = F.when(F.col("p_url").isNotNull() & (F.col("p_url") != ""), F.col("p_url"))
     return j.select(
-        "source_type", "source_id", F.col("item_id"), "title", "content", "author",
+        "source_type", "source_id", F.col("p_item_id").alias("item_id"), "title", "content", "author",
         F.when(single, F.col("p_published_at")).otherwise(F.col("published_at")).alias("published_at"),
         F.when(single, F.col("p_url")).otherwise(F.coalesce(own_url, F.try_element_at("all_urls", F.lit(1)))).alias("url"),
         F.when(single, F.col("p_meta")).otherwise(merged_meta).alias("raw_metadata"),
@@ -92,6 +121,15 @@ def dedup_exact(raw: DataFrame) -> DataFrame:
     )
 
 
+def semantic_dedup(items: DataFrame, components: DataFrame) -> DataFrame:
+    """Items → one item per component of near duplicates, merged by the rule of ``dedup_exact`` (V3, V4). ``components`` is
+    (id, component) on ``item_id``; items without a component stay as they are. Output as ``dedup_exact``."""
+    own = components.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+    rows = numbered(items.select(*RAW_COLUMNS).join(own, F.col("item_id") == F.col("_id"), "left")
+                    .withColumn("_group", F.coalesce("_component", "item_id")).drop("_id", "_component"))
+    return merge_primary(rows, dedup_groups(rows.withColumn("item_id", F.col("_group"))))
+
+
 def dedup_stats(raw: DataFrame, deduped: DataFrame | None = None) -> DataFrame:
     """input_count, output_count, duplicates_merged and reduction_pct in one row.
 
@@ -126,14 +164,14 @@ def primary_rows(raw: DataFrame, method: str = "aggregate") -> DataFrame:
     return best.select("r.*")
 
 
-def newest_first(df: DataFrame, column: str = "published_at") -> DataFrame:
-    """Newest first, ties in first-seen order (L1, L2). A global sort: use it at an output edge only."""
-    return df.orderBy(F.desc(column), F.asc("seq"))
-
-
 def with_recency_rank(df: DataFrame, column: str = "published_at") -> DataFrame:
     """Position in newest-first order as a column (order-insensitive form of L1), numbered without a
     single-partition window (see ``ordering.global_rank``)."""
     from articleflow.operators.ordering import global_rank
 
-    return global_rank(df, [F.desc(column), F.asc("seq"), F.asc("item_id")], "recency_rank")
+    # the rank needs the key and the order columns only; it is joined back on the id, unique after dedup
+    slim = materialize(df.select("item_id", column, "seq"), "recency")
+    ranked = global_rank(slim, [F.desc(column), F.asc("seq"), F.asc("item_id")], "recency_rank", stage_input=False)
+    if set(df.columns) <= {"item_id", column, "seq"}:
+        return ranked
+    return df.join(ranked.select("item_id", "recency_rank"), "item_id")

@@ -109,7 +109,9 @@ def split_valid(enriched: DataFrame, relevance_score: str | None = None, strict_
 
 
 def to_processed(valid: DataFrame, ctx: RunContext, embedding: str | None = None) -> DataFrame:
-    """Valid enriched rows → processed items (P8–P10). ``processed_at`` is the run's ``now``."""
+    """Valid enriched rows → processed items (P8–P10). ``processed_at`` is the run's ``now``. A relevance score is carried
+    through when the rows have one (R2)."""
+    score = [F.col("relevance_score").cast("double").alias("relevance_score")] if "relevance_score" in valid.columns else []
     emb = F.col(embedding) if embedding else F.lit(None).cast("array<float>")
     return valid.select(
         "item_id",
@@ -123,7 +125,7 @@ def to_processed(valid: DataFrame, ctx: RunContext, embedding: str | None = None
         "published_at",
         F.lit(ctx.now).cast("timestamp").alias("processed_at"),
         emb.alias("embedding"),
-        "seq",
+        "seq", *score,
     )
 
 
@@ -144,9 +146,9 @@ def relevance_filter(df: DataFrame, threshold: float, column: str = "relevance_s
     return df.filter(F.col(column) >= F.lit(threshold))
 
 
-def relevance_band(column: str = "relevance_score", high: float = 0.7, medium: float = 0.4) -> F.Column:
-    c = F.col(column)
-    return F.when(c >= high, F.lit("high")).when(c >= medium, F.lit("medium")).otherwise(F.lit("low"))
+def by_relevance(df: DataFrame, column: str = "relevance_score") -> DataFrame:
+    """Best score first, items without a score last, ties newest first, then by id (R3). A global sort: for an output edge."""
+    return df.orderBy(F.desc_nulls_last(column), F.desc("published_at"), F.asc("item_id"))
 
 
 def relevance_breakdown(df: DataFrame, column: str = "relevance_score", high: float = 0.7,
@@ -169,14 +171,16 @@ class BatchProvider:
         raise NotImplementedError
 
 
-def _valid_row(r) -> bool:
-    def strs(x):
-        return x is not None and all(isinstance(s, str) for s in x)
+def _valid_rows(out: pd.DataFrame) -> pd.Series:
+    """The output contract (F8) on a provider's frame, column by column."""
+    def text(col):
+        return out[col].map(type).eq(str)
+
+    def strings(col, low, high):
+        return out[col].map(lambda x: hasattr(x, "__len__") and not isinstance(x, str) and low <= len(x) <= high
+                            and all(isinstance(s, str) for s in x)).astype(bool)
 
-    kp, tp = r.get("key_points"), r.get("topics")
-    return (isinstance(r.get("title"), str) and isinstance(r.get("summary"), str)
-            and isinstance(r.get("article_type"), str) and kp is not None and tp is not None
-            and strs(kp) and strs(tp) and 3 <= len(kp) <= 5 and 1 <= len(tp) <= 3)
+    return text("title") & text("summary") & text("article_type") & strings("key_points", 3, 5) & strings("topics", 1, 3)
 
 
 BATCH_OUT = T.StructType([
@@ -191,48 +195,50 @@ BATCH_OUT = T.StructType([
 ])
 
 
+def _call(provider: BatchProvider, rows: pd.DataFrame) -> pd.DataFrame:
+    """One provider call per batch; where it raises, the batch is halved until the failing rows stand alone, so an error
+    costs the rows it belongs to and no others."""
+    try:
+        out = provider(rows).reset_index(drop=True)
+    except Exception as e:  # noqa: BLE001 - any provider failure
+        if len(rows) > 1:
+            half = len(rows) // 2
+            return pd.concat([_call(provider, rows.iloc[:half]), _call(provider, rows.iloc[half:])], ignore_index=True)
+        out = pd.DataFrame({"item_id": rows["item_id"].values})
+        out["error"] = f"{type(e).__name__}: {e}"
+    for col in ["title", "summary", "key_points", "topics", "article_type", "error"]:
+        if col not in out.columns:
+            out[col] = None
+    missing = rows.loc[~rows["item_id"].isin(out["item_id"]), ["item_id"]]  # rows the provider gave no answer for
+    return pd.concat([out, missing], ignore_index=True) if len(missing) else out
+
+
 def _run_batches(provider: BatchProvider, max_retries: int, pause_seconds: float):
     def run(batches):
         provider.setup()
         for batch in batches:
-            if batch.empty:
-                continue
-            pending = batch
-            done: list[pd.DataFrame] = []
-            attempt = 0
+            pending, done, attempt = batch, [], 0
             while not pending.empty:
                 attempt += 1
-                try:
-                    out = provider(pending)
-                except Exception as e:  # noqa: BLE001 - any provider failure drops these rows
-                    out = pd.DataFrame({"item_id": pending["item_id"].values})
-                    out["error"] = f"{type(e).__name__}: {e}"
-                out = out.reset_index(drop=True)
-                for col in ["title", "summary", "key_points", "topics", "article_type", "error"]:
-                    if col not in out.columns:
-                        out[col] = None
+                out = _call(provider, pending)
                 errored = out["error"].notna()
-                valid = out.apply(lambda r: _valid_row(r), axis=1) if len(out) else pd.Series([], dtype=bool)
-                valid = valid & ~errored
-                last = attempt > max_retries
-                keep = errored | valid | last
-                res = out[keep].copy()
-                res["attempts"] = attempt
-                res.loc[~res["error"].notna() & ~valid[keep], "error"] = "invalid_output"
+                keep = errored | _valid_rows(out) | (attempt > max_retries)
+                res = out[keep].assign(attempts=attempt)
+                res.loc[res["error"].isna() & ~_valid_rows(res), "error"] = "invalid_output"
                 done.append(res)
-                retry_ids = set(out.loc[~keep, "item_id"])
-                pending = pending[pending["item_id"].isin(retry_ids)]
+                pending = pending[pending["item_id"].isin(out.loc[~keep, "item_id"])]
                 if not pending.empty and pause_seconds:
                     time.sleep(pause_seconds)
-            res = pd.concat(done, ignore_index=True)
-            yield pd.DataFrame({
-                "item_id": res["item_id"],
-                "e_title": res["title"], "e_summary": res["summary"],
-                "e_key_points": res["key_points"], "e_topics": res["topics"],
-                "e_article_type": res["article_type"],
-                "attempts": res["attempts"].astype("int32"),
-                "enrich_error": res["error"],
-            })
+            if done:
+                res = pd.concat(done, ignore_index=True)
+                yield pd.DataFrame({
+                    "item_id": res["item_id"],
+                    "e_title": res["title"], "e_summary": res["summary"],
+                    "e_key_points": res["key_points"], "e_topics": res["topics"],
+                    "e_article_type": res["article_type"],
+                    "attempts": res["attempts"].astype("int32"),
+                    "enrich_error": res["error"],
+                })
 
     return run
 
@@ -242,17 +248,17 @@ def enrich_batches(df: DataFrame, provider: BatchProvider, max_concurrent: int =
                    prompt_template: str | None = None) -> DataFrame:
     """Batch-provider enrichment (N1, N3, N4). ``max_concurrent`` partitions → at most that many tasks call the
     provider at once. Rows are hash-partitioned by item_id, so a retried task sends the same rows again and an
-    idempotent provider gives the same answer. The provider result is joined back to the input columns on
-    item_id (a co-partitioned join: both sides are partitioned by item_id with the same count)."""
+    idempotent provider gives the same answer. The answers are stored, and the join back to the input columns runs
+    on all shuffle partitions: the cap holds for the calls alone."""
     from articleflow.session import materialize
 
     # the input feeds the calls and the join back: stored once so upstream work (dedup) is not run twice
     df = materialize(df, "enrich-input")
     prompt = prompt_text(prompt_template) if prompt_template else prompt_text()
-    calls = (df.select("item_id", prompt.alias("prompt"), "title", "content")
-             .repartition(max_concurrent, "item_id")
-             .mapInPandas(_run_batches(provider, max_retries, pause_seconds), BATCH_OUT))
-    return df.repartition(max_concurrent, "item_id").join(calls, "item_id", "left")
+    calls = materialize(df.select("item_id", prompt.alias("prompt"), "title", "content")
+                        .repartition(max_concurrent, "item_id")
+                        .mapInPandas(_run_batches(provider, max_retries, pause_seconds), BATCH_OUT), "enrich-output")
+    return df.join(calls, "item_id", "left")
 
 
 class ExtractivePandasProvider(BatchProvider):

@@ -21,13 +21,13 @@ _LOW_BITS = (1 << 33) - 1
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order: list[Column], name: str = "rank",
-                few_groups: bool = False, stage_input: bool = True) -> DataFrame:
+                stage_input: bool = True) -> DataFrame:
     """Adds ``name`` = 1-based position of each row inside its group in ``order`` (a total order per group).
 
     The summary has one row per (partition, group). Without groups it is one row per partition and is broadcast;
     with groups its size depends on the group values (topics from a provider are free strings), so the join
     strategy is left to AQE, which broadcasts it only when its measured size is under the threshold.
-    ``few_groups`` is kept for callers and has no effect. ``stage_input`` stores the input once first, because
+    Pass slim rows (keys and order columns) and join the rank back to wide ones. ``stage_input`` stores the input once first, because
     the range partitioner evaluates its input once to sample boundaries and again to sort."""
     if stage_input:
         # a range sort runs its input twice (boundary sampling, then the sort): store an expensive input once

@@ -15,6 +15,7 @@ from articleflow.context import RunContext
 from articleflow.functions.arrays import primary_topic
 from articleflow.functions.dates import iso_format
 from articleflow.operators.ordering import rank_within
+from articleflow.session import materialize
 from articleflow.schemas import ARTICLE_TYPES, PAYLOAD_VERSION, TOPIC_CATEGORIES, UNKNOWN
 
 
@@ -121,14 +122,25 @@ def run_stats_row(stats_long: DataFrame) -> DataFrame:
     )
 
 
-def by_topic_ranked(processed: DataFrame, order_by: str = "published_at") -> DataFrame:
-    """Items with their primary topic and rank inside it, newest first (A13 table form, W1, P13, L3).
-    ``order_by='relevance_score'`` ranks by score instead (R4). Ranks are computed by a range sort, not by a
-    window per topic, so one topic holding most items is still spread over many tasks."""
-    order = ([F.desc("relevance_score"), F.desc("published_at"), F.asc("seq")] if order_by == "relevance_score"
-             else [F.desc("published_at"), F.asc("seq"), F.asc("item_id")])
-    with_topic = processed.withColumn("primary_topic", primary_topic("topics"))
-    return rank_within(with_topic, ["primary_topic"], order, "topic_rank", few_groups=True)
+def topic_ranks(processed: DataFrame, order_by: str = "published_at", stored: bool = False) -> DataFrame:
+    """(item_id, primary_topic, topic_rank), newest first (W1, P13, L3); ``order_by='relevance_score'`` ranks by score instead
+    (R4), items without a score last. Only the key and the order columns are written and sorted, by a range sort and
+    not by a window per topic, so one topic holding most items is still spread over many tasks. ``stored`` says that
+    ``processed`` reads a stored table, which then need not be staged again."""
+    order = [F.desc("published_at"), F.asc("seq"), F.asc("item_id")]
+    if order_by == "relevance_score":
+        order = [F.desc_nulls_last("relevance_score"), *order]
+    slim = processed.select("item_id", primary_topic("topics").alias("primary_topic"), "published_at", "seq",
+                            *(["relevance_score"] if order_by == "relevance_score" else []))
+    ranked = rank_within(slim, ["primary_topic"], order, "topic_rank", stage_input=not stored)
+    return ranked.select("item_id", "primary_topic", "topic_rank")
+
+
+def by_topic_ranked(processed: DataFrame, order_by: str = "published_at", stored: bool = False) -> DataFrame:
+    """Items with their primary topic and rank inside it (A13 table form): the ranks of ``topic_ranks`` joined back to
+    the items, whose ids are unique after dedup. Items that are not stored yet are staged once."""
+    items = processed if stored else materialize(processed, "ranked-items")
+    return items.join(topic_ranks(items, order_by, stored=True), "item_id")
 
 
 def by_topic_nested(ranked: DataFrame, per_topic: int) -> DataFrame:
@@ -172,12 +184,12 @@ def error_records(errors: DataFrame) -> DataFrame:
 
 
 def payload_lines(spark: SparkSession, ctx: RunContext, processed: DataFrame, stats_long: DataFrame,
-                  errors: DataFrame | None) -> DataFrame:
+                  errors: DataFrame | None, stored: bool = False) -> DataFrame:
     """The publication payload as JSON lines (S12): ("meta", …), ("stats", …), one ("item", …) per item with its
     primary topic and rank, one ("error", …) per error. ``write_payload`` stores it."""
     meta = run_meta(spark, ctx).select(F.lit("meta").alias("section"), F.to_json(F.struct("*")).alias("json"))
     stats = run_stats_row(stats_long).select(F.lit("stats").alias("section"), F.to_json(F.struct("*")).alias("json"))
-    ranked = by_topic_ranked(processed)
+    ranked = by_topic_ranked(processed, stored=stored)
     items = api_items(ranked, extra=["primary_topic", "topic_rank"])
     item_lines = items.select(F.lit("item").alias("section"), F.to_json(F.struct("*")).alias("json"))
     parts = [meta, stats, item_lines]

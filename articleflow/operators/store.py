@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from articleflow.functions.arrays import from_json_text
 from articleflow.schemas import EMBEDDING_DIM, NEWS_ITEMS, PIPELINE_RUNS
 
 UPDATED_COLUMNS = ["title", "summary", "key_points", "topics", "article_type", "original_urls", "source_types",
-                   "processed_at", "embedding"]
+                   "processed_at", "embedding", "relevance_score"]
 NEWS_COLUMNS = [f.name for f in NEWS_ITEMS.fields]
 RUN_COLUMNS = [f.name for f in PIPELINE_RUNS.fields]
 
@@ -36,15 +37,24 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_r")).select("_r.*")
 
 
-def merge_news(stored: DataFrame, incoming: DataFrame, now: datetime, keep_embedding_if_null: bool = False) -> DataFrame:
+def with_news_columns(df: DataFrame) -> DataFrame:
+    """Columns of the news table that ``df`` lacks, as nulls (rows stored before a column existed)."""
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in NEWS_ITEMS.fields if f.name not in df.columns})
+
+
+def merge_news(stored: DataFrame, incoming: DataFrame, now: datetime, keep_embedding_if_null: bool = False,
+               unique_keys: bool = False) -> DataFrame:
     """Next content of the news table (S6, S7, J1): full outer join on item_id;
     new key → inserted with created_at = updated_at = now; existing key → the nine content columns and
     processed_at/embedding from the incoming row, published_at and created_at kept, updated_at = now;
-    untouched rows unchanged. A null incoming embedding overwrites unless ``keep_embedding_if_null``."""
-    inc_cols = [c for c in NEWS_COLUMNS if c in incoming.columns and c not in ("created_at", "updated_at")]
+    untouched rows unchanged. A null incoming embedding overwrites unless ``keep_embedding_if_null``.
+    ``unique_keys`` says that the batch names no key twice (a de-duplicated batch), which saves its aggregation."""
     order = [c for c in ("processed_at", "seq") if c in incoming.columns]
-    inc = latest_per_key(incoming.select(*inc_cols, *([c for c in ["seq"] if c in incoming.columns])), "item_id", order)
-    s = stored.select(*NEWS_COLUMNS).withColumn("_s", F.lit(True)).alias("s")
+    inc = with_news_columns(incoming).select(*[c for c in NEWS_COLUMNS if c not in ("created_at", "updated_at")],
+                                             *[c for c in ["seq"] if c in incoming.columns])
+    if not unique_keys:
+        inc = latest_per_key(inc, "item_id", order)
+    s = with_news_columns(stored).select(*NEWS_COLUMNS).withColumn("_s", F.lit(True)).alias("s")
     i = inc.withColumn("_i", F.lit(True)).alias("i")
     j = s.join(i, F.col("s.item_id") == F.col("i.item_id"), "full_outer")
     has_s, has_i = F.col("s._s").isNotNull(), F.col("i._i").isNotNull()
@@ -142,6 +152,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def from_json_columns(rows: DataFrame) -> DataFrame:
+    """The four list columns back from their JSON text."""
+    return rows.select("item_id", *[from_json_text(f"{c}_json").alias(c) for c in
+                                    ["key_points", "topics", "original_urls", "source_types"]])
+
+
 def json_columns(news: DataFrame) -> DataFrame:
     """List columns as JSON text, the row-store form of the four list columns."""
     return news.select("item_id", *[F.to_json(c).alias(f"{c}_json") for c in
@@ -232,7 +248,8 @@ class NewsTable:
             return self.spark.createDataFrame([], NEWS_ITEMS)
         return self.spark.read.schema(NEWS_ITEMS).parquet(*folders)
 
-    def upsert(self, incoming: DataFrame, now: datetime, keep_embedding_if_null: bool = False) -> tuple[int, dict]:
+    def upsert(self, incoming: DataFrame, now: datetime, keep_embedding_if_null: bool = False,
+               unique_keys: bool = False) -> tuple[int, dict]:
         """Applies one batch; returns (new version, {persisted, inserted, updated, kept_in_rewritten_days})."""
         import uuid
 
@@ -252,7 +269,7 @@ class NewsTable:
         base = (self.spark.read.schema(NEWS_ITEMS).parquet(*stored_touched) if stored_touched
                 else self.spark.createDataFrame([], NEWS_ITEMS))
         obs = Observation(f"upsert-{uuid.uuid4().hex[:8]}")
-        merged = merge_news(base, incoming, now, keep_embedding_if_null).observe(
+        merged = merge_news(base, incoming, now, keep_embedding_if_null, unique_keys).observe(
             obs,
             F.count_if(F.col("change") != "kept").alias("persisted"),
             F.count_if(F.col("change") == "inserted").alias("inserted"),
@@ -261,7 +278,8 @@ class NewsTable:
         )
         stage = f"{self.path}/data/{uuid.uuid4().hex}"
         (merged.drop("change").withColumn("day", F.date_format("published_at", "yyyy-MM-dd"))
-         .repartition("day").write.partitionBy("day").mode("overwrite").parquet(stage))
+         # by day, but a day with many rows is cut into several tasks and files (AQE rebalancing by measured size)
+         .hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(stage))
         counts = {k: int(v) for k, v in obs.get.items()}
         rows = [(d, f) for d, f in old.items() if d not in set(touched)]
         rows += [(d, f"{stage}/day={d}") for d in touched]

@@ -1,20 +1,19 @@
-"""Vector operators on ARRAY<FLOAT> embeddings.
+"""Vector operators on ARRAY<FLOAT> embeddings (V1–V5, J4). Ids may be of any orderable type.
 
 * ``cosine_topk`` – exact top-k by cosine similarity to one query vector: one pass over the table and a
   TakeOrderedAndProject (per-task top-k, k rows per task merged). The query side is one row (broadcast).
-* ``similar_pairs`` – pairs with cosine ≥ t. Candidates come from random-projection LSH on unit vectors
-  (Euclidean radius sqrt(2 − 2t) ⇔ cosine ≥ t) and every candidate is re-checked exactly, so every reported
-  pair is right; LSH may miss pairs (recall is measured against ``similar_pairs_exact`` in the tests).
-  Identical vectors are collapsed to one representative first (copies become edges to it), so a vector
-  repeated many times does not turn one bucket into all pairs of its copies.
-* ``similar_pairs_banded`` – for high thresholds (the default 0.85): banded random-hyperplane signatures
-  (r bits AND-ed per band, b bands OR-ed, r and b derived from the threshold and a target recall), candidates per
-  (band, key) re-checked exactly, oversized buckets split by a second key.
+* ``similar_pairs`` – all pairs with cosine ≥ t, exact at every threshold and also for copies. The vectors are cut into
+  cells around pivots (cosine ≥ t ⇔ distance of the unit vectors ≤ r = sqrt(2 − 2t)); a vector visits every other cell
+  that can hold a neighbour (distance to its pivot ≤ distance to the own pivot + 2r, by the triangle inequality), and
+  each cell is compared in blocks of bounded size. High thresholds visit few cells; as t falls the cells overlap more and the
+  work approaches comparing all blocks with all blocks, which is what an exact answer costs there. No cap, no second method.
+* ``similar_links`` – the same relation with a star instead of all pairs for copies: enough for components, and linear in
+  the number of copies.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
 * ``connected_components`` – min-label propagation with pointer jumping; each round's labels are written to
   the shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
-* ``merge_components`` – one row per group (like the exact dedup merge, keyed by component).
-* ``ivf_index`` / ``ivf_search`` – KMeans lists over unit vectors, probe the nearest lists, exact re-rank.
+* ``merge_components`` – one row per group (``dedup.semantic_dedup`` merges items by component).
+* ``ivf_index`` / ``ivf_search`` – KMeans lists over unit vectors stored by list, probe the nearest lists, exact re-rank.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.schemas import IVF_LISTS, SIMILARITY_THRESHOLD
-from articleflow.session import materialize
+from articleflow.session import materialize, scratch_path
 
 
 def _c(x) -> Column:
@@ -37,9 +36,11 @@ def norm(v) -> Column:
 
 
 def unit(v) -> Column:
-    """Vector scaled to length 1 as ARRAY<DOUBLE> (null for a zero vector)."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x.cast("double") / n))
+    """Vector scaled to length 1 as ARRAY<DOUBLE> (null for a zero vector). The length is bound once, as the variable of
+    an outer lambda; inside the element lambda it would be summed again for every element."""
+    scaled = F.element_at(F.transform(F.array(norm(v)), lambda n: F.when(
+        n > 0, F.transform(_c(v), lambda x: x.cast("double") / n))), 1)
+    return F.when(_c(v).isNotNull(), scaled)
 
 
 def dot(a, b) -> Column:
@@ -61,7 +62,8 @@ def _unit_literal(q: list[float]) -> Column:
 def cosine_topk(df: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Top ``k`` rows of ``df`` by cosine similarity to the query vector (a parameter, as in semantic search)."""
     q = _unit_literal(query)
-    scored = df.select(id_col, dot(unit(F.col(vec_col)), q).alias("similarity"))
+    length = norm(F.col(vec_col))
+    scored = df.select(id_col, F.when(length > 0, dot(F.col(vec_col), q) / length).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
 
 
@@ -82,149 +84,124 @@ def collapse_identical(df: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return df.join(reps, vec_col).select(F.col(id_col).alias("id"), "rep", vec_col)
 
 
-def band_parameters(threshold: float, recall: float = 0.95, max_bands: int = 64, max_bits: int = 24) -> tuple[int, int]:
-    """(bits per band, bands) for random-hyperplane hashing: a pair at cosine ``threshold`` agrees on one bit with
-    p = 1 - arccos(t)/pi, on a band of r bits with p^r, and is a candidate when any of b bands agree. Picks the
-    largest r (most selective) whose band count for ``recall`` at the threshold stays within ``max_bands``."""
-    p = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    best = (1, 1)
-    for r in range(1, max_bits + 1):
-        q = p ** r
-        if q >= 1.0:
-            b = 1
-        else:
-            b = math.ceil(math.log(1.0 - recall) / math.log(1.0 - q))
-        if b <= max_bands:
-            best = (r, b)
-    return best
-
-
-def _signature_fn(bits: int, bands: int, seed: int):
+def _pivots(reps: DataFrame, n: int):
+    """At most ``n`` unit vectors, the first by hash (a bounded sample; results do not depend on it)."""
+    import numpy as np
+
+    rows = reps.select("u").orderBy(F.xxhash64("u"), "u").limit(n).collect()
+    return np.array([r.u for r in rows], dtype=np.float64).reshape(len(rows), -1)
+
+
+def _cells(reps: DataFrame, threshold: float, n_pivots: int) -> DataFrame:
+    """(id, u, cell, home): each vector in its own cell (``home``) and in every cell that can hold a neighbour."""
     import numpy as np
     import pandas as pd
 
+    centres = reps.sparkSession.sparkContext.broadcast(_pivots(reps, n_pivots))
+    reach = 2 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+
     def run(batches):
-        planes = None
+        pivots = centres.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack(pdf["u"].to_numpy()).astype(np.float64)
-            if planes is None:
-                rng = np.random.default_rng(seed)
-                planes = rng.standard_normal((x.shape[1], bands * bits * 2))
-            signs = (x @ planes) > 0  # n × (2 · bands · bits): coarse bits, then refinement bits
-            weights = (1 << np.arange(bits, dtype=np.int64))
-            coarse = signs[:, : bands * bits].reshape(len(x), bands, bits) @ weights
-            fine = signs[:, bands * bits:].reshape(len(x), bands, bits) @ weights
-            n = len(x)
-            yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), bands),
-                "band": np.tile(np.arange(bands, dtype=np.int32), n),
-                "key": coarse.reshape(-1).astype(np.int64),
-                "fine": fine.reshape(-1).astype(np.int64),
-            })
-
-    return run
-
-
-def similar_pairs_banded(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
-                         vec_col: str = "embedding", recall: float = 0.95, max_bucket: int = 1000,
-                         seed: int = 42) -> DataFrame:
-    """Pairs with cosine ≥ threshold by banded random-hyperplane hashing for high thresholds (V2).
-
-    Each vector gets ``bands`` keys of ``bits`` sign bits (a NumPy product per Arrow batch in ``mapInPandas``);
-    pairs sharing a (band, key) are candidates and are re-checked exactly. A bucket larger than ``max_bucket``
-    is split by a second, independent key of the same band, so no bucket enumerates all pairs of a large group;
-    pairs that only meet in such a split bucket are the recall this gives up (reported by the tests). Identical
-    vectors are collapsed first and linked to their representative."""
-    bits, bands = band_parameters(threshold, recall)
-    members = collapse_identical(df, id_col, vec_col)
-    reps = (members.filter(F.col("id") == F.col("rep")).select("id", unit(F.col(vec_col)).alias("u"))
-            .filter(F.col("u").isNotNull()))
-    sig = reps.mapInPandas(_signature_fn(bits, bands, seed), "id long, band int, key long, fine long")
-    sizes = sig.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
-    keyed = (sig.join(sizes, ["band", "key"])
-             .withColumn("fine", F.when(F.col("size") > max_bucket, F.col("fine")).otherwise(F.lit(-1)))
-             .select("id", "band", "key", "fine"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    cand = (a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-                   & (F.col("a.fine") == F.col("b.fine")) & (F.col("a.id") < F.col("b.id")))
-            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct())
-    u = reps.select("id", "u")
-    checked = (cand.join(u.withColumnRenamed("id", "id_a").withColumnRenamed("u", "ua"), "id_a")
-               .join(u.withColumnRenamed("id", "id_b").withColumnRenamed("u", "ub"), "id_b")
-               .select("id_a", "id_b", dot("ua", "ub").alias("similarity"))
-               .filter(F.col("similarity") >= threshold))
-    stars = members.filter(F.col("id") != F.col("rep")).select(
-        F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    return checked.unionByName(stars)
+            u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,kj->ik", u, pivots)))
+            own = dist.argmin(axis=1)
+            rows, cells = np.nonzero(dist <= dist.min(axis=1, keepdims=True) + reach)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "u": [u[i] for i in rows], "cell": cells.astype(np.int32),
+                                "home": own[rows] == cells})
 
+    return reps.mapInPandas(run, f"id {dict(reps.dtypes)['id']}, u array<double>, cell int, home boolean")
 
-def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
-                  vec_col: str = "embedding", bucket_length: float = 2.0, num_tables: int = 8,
-                  seed: int = 42, method: str = "auto") -> DataFrame:
-    """Pairs (id_a < id_b, similarity) with cosine ≥ threshold: LSH candidates, exact re-check.
-
-    ``method='auto'`` uses banded hyperplane hashing at thresholds of 0.7 and above (selective there) and the
-    random-projection join below (where no hashing separates similar from random pairs; see ``vector_lsh``)."""
-    if method == "banded" or (method == "auto" and threshold >= 0.7):
-        return similar_pairs_banded(df, threshold, id_col, vec_col, seed=seed)
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
-    members = collapse_identical(df, id_col, vec_col)
-    reps = (members.filter(F.col("id") == F.col("rep"))
-            .select(F.col("id"), unit(F.col(vec_col)).alias("u"))
-            .filter(F.col("u").isNotNull())
-            .withColumn("features", array_to_vector("u")))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(reps)
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    cand = model.approxSimilarityJoin(reps, reps, radius, distCol="dist").select(
-        F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"),
-        dot(F.col("datasetA.u"), F.col("datasetB.u")).alias("similarity"))
-    rep_pairs = cand.filter((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold)).select(
-        F.col("a").alias("id_a"), F.col("b").alias("id_b"), "similarity")
-    # copies of one vector are reported as edges to their representative (a star, not all pairs of copies:
-    # components and group merges need no more, and the output stays linear in the number of copies)
-    stars = members.filter(F.col("id") != F.col("rep")).select(
+def _representatives(members: DataFrame, vec_col: str) -> DataFrame:
+    return materialize(members.filter(F.col("id") == F.col("rep")).select("id", unit(F.col(vec_col)).alias("u"))
+                       .filter(F.col("u").isNotNull()), "unit-vectors")
+
+
+def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int) -> DataFrame:
+    """All pairs (id_a < id_b, similarity) of representatives: home rows of a cell against all rows of the cell, block by
+    block. A pair is reported where its smaller id is at home, so it comes once."""
+    import numpy as np
+    import pandas as pd
+
+    placed = materialize(_cells(reps, threshold, n_pivots), "cells")
+    sizes = {r.cell: (r.home, r.n) for r in placed.groupBy("cell").agg(
+        F.count_if("home").alias("home"), F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
+
+    def blocks(at: int) -> Column:
+        if not sizes:
+            return F.lit(1)
+        return F.element_at(F.create_map(*[F.lit(x) for c, v in sizes.items() for x in (c, max(1, -(-v[at] // block)))]), F.col("cell"))
+
+    home = (placed.filter("home").select("id", "u", "cell", F.pmod(F.xxhash64("id"), blocks(0)).cast("int").alias("hb"))
+            .select("*", F.explode(F.sequence(F.lit(0), blocks(1) - 1)).alias("vb")))
+    every = (placed.select(F.col("id").alias("other"), F.col("u").alias("w"), F.col("cell").alias("in_cell"),
+                           F.pmod(F.xxhash64("id"), blocks(1)).cast("int").alias("in_vb"), blocks(0).alias("_hbs"))
+             .select("other", "w", "in_cell", "in_vb", F.explode(F.sequence(F.lit(0), F.col("_hbs") - 1)).alias("in_hb")))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "similarity": []})
+        a, b = np.stack(left["u"].to_numpy()), np.stack(right["w"].to_numpy())
+        ia, ib = left["id"].to_numpy(), right["other"].to_numpy()
+        i, j = np.nonzero(np.einsum("ij,kj->ik", a, b) >= threshold - 1e-9)
+        keep = ia[i] < ib[j]
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], "similarity": (a[i] * b[j]).sum(axis=1)})
+
+    kind = dict(reps.dtypes)["id"]
+    found = home.groupBy("cell", "hb", "vb").cogroup(every.groupBy("in_cell", "in_hb", "in_vb")).applyInPandas(
+        compare, f"id_a {kind}, id_b {kind}, similarity double")
+    return found.filter(F.col("similarity") >= threshold)
+
+
+def similar_links(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                  vec_col: str = "embedding", pivots: int = 64, block: int = 2048) -> DataFrame:
+    """Edges that connect what ``similar_pairs`` connects: all pairs of different vectors, and each copy of a vector with the
+    smallest id of its copies."""
+    members = materialize(collapse_identical(df, id_col, vec_col), "representatives")
+    pairs = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block)
+    stars = members.filter((F.col("id") != F.col("rep")) & (norm(vec_col) > 0)).select(
         F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    return rep_pairs.unionByName(stars)
-
-
-def lsh_candidate_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
-                        vec_col: str = "embedding", bucket_length: float = 2.0, num_tables: int = 8,
-                        seed: int = 42) -> DataFrame:
-    """How selective the LSH buckets are for a threshold (one row): vectors hashed, distinct pairs sharing a bucket
-    in some table (the candidates the similarity join has to check), pairs that pass the exact check, and the
-    largest bucket. Used to tune ``bucket_length`` / ``num_tables``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    reps = (collapse_identical(df, id_col, vec_col).filter(F.col("id") == F.col("rep"))
-            .select("id", unit(F.col(vec_col)).alias("u")).withColumn("features", array_to_vector("u")))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(reps)
-    buckets = (model.transform(reps).select("id", "u", F.posexplode("hashes").alias("tbl", "h"))
-               .select("id", "u", "tbl", vector_to_array("h")[0].alias("bucket")))
-    a, b = buckets.alias("a"), buckets.alias("b")
-    pairs = (a.join(b, (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.bucket") == F.col("b.bucket"))
-                    & (F.col("a.id") < F.col("b.id")))
-             .select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), dot("a.u", "b.u").alias("s"))
-             .dropDuplicates(["x", "y"]))
+    return pairs.unionByName(stars)
+
+
+def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                  vec_col: str = "embedding", pivots: int = 64, block: int = 2048) -> DataFrame:
+    """All pairs (id_a < id_b, similarity) with cosine ≥ threshold (V2, J4). Copies of one vector are compared once and
+    their pairs written out from the result, so the output holds every pair; use ``similar_links`` where
+    connectivity is enough."""
+    members = materialize(collapse_identical(df, id_col, vec_col), "representatives")
+    pairs = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block)
+    copies = members.filter(norm(vec_col) > 0).select("id", "rep")
+    several = copies.join(copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "rep").select("id", "rep")
+    same = several.select("id", F.col("rep").alias("ra"), F.col("rep").alias("rb"))
+    a, b = copies.alias("a"), copies.alias("b")
+    between = (pairs.join(a, F.col("id_a") == F.col("a.rep")).join(b, F.col("id_b") == F.col("b.rep"))
+               .select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), "similarity"))
+    x, y = same.alias("x"), same.alias("y")
+    within = (x.join(y, (F.col("x.ra") == F.col("y.ra")) & (F.col("x.id") < F.col("y.id")))
+              .select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity")))
+    return between.unionByName(within)
+
+
+def pair_search_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
+                      vec_col: str = "embedding", pivots: int = 64) -> DataFrame:
+    """What the pair search costs at a threshold (one row): different vectors, comparisons (from cell sizes, not by
+    making them), pairs found, and the rows of the largest cell."""
+    members = materialize(collapse_identical(df, id_col, vec_col), "representatives")
+    reps = _representatives(members, vec_col)
+    cells = _cells(reps, threshold, pivots).groupBy("cell").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("n"))
     cols = ["vectors", "candidate_pairs", "verified_pairs", "largest_bucket"]
 
     def part(df_, **vals):
         return df_.select(*[(vals[c] if c in vals else F.lit(None)).cast("long").alias(c) for c in cols])
 
-    parts = (part(reps, vectors=F.lit(1))
-             .unionByName(part(pairs, candidate_pairs=F.lit(1), verified_pairs=(F.col("s") >= threshold).cast("long")))
-             .unionByName(part(buckets.groupBy("tbl", "bucket").count(), largest_bucket=F.col("count"))))
-    return parts.agg(F.coalesce(F.sum("vectors"), F.lit(0)).alias("vectors"),
-                     F.coalesce(F.sum("candidate_pairs"), F.lit(0)).alias("candidate_pairs"),
-                     F.coalesce(F.sum("verified_pairs"), F.lit(0)).alias("verified_pairs"),
-                     F.coalesce(F.max("largest_bucket"), F.lit(0)).alias("largest_bucket"))
+    parts = (part(reps, vectors=F.lit(1)).unionByName(part(cells, candidate_pairs=F.col("h") * F.col("n"), largest_bucket=F.col("n")))
+             .unionByName(part(_rep_pairs(reps, threshold, pivots, 2048), verified_pairs=F.lit(1))))
+    return parts.agg(*[F.coalesce((F.max if c == "largest_bucket" else F.sum)(c), F.lit(0)).alias(c) for c in cols])
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "id_a", dst: str = "id_b",
@@ -239,39 +216,35 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
     if vertices is not None:
         ids = ids.unionByName(vertices.select(F.col(vertices.columns[0]).alias("id")))
     labels = materialize(ids.distinct().select("id", F.col("id").alias("label")), "cc-labels")
-    # labels only ever decrease, so "no label changed" is the same as "the label sum did not change": one
-    # aggregate per round instead of a join of the new labels against the old ones
-    prev = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first().s
     for _ in range(max_rounds):
         msgs = und.join(labels.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
-        step = labels.unionByName(msgs).groupBy("id").agg(F.min("label").alias("label"))
-        jumped = (step.alias("s").join(step.alias("t"), F.col("s.label") == F.col("t.id"), "left")
-                  .select(F.col("s.id").alias("id"), F.least(F.col("s.label"), F.coalesce(F.col("t.label"), F.col("s.label")))
-                          .alias("label")))
-        labels = materialize(jumped, "cc-labels")
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first().s
-        if total == prev:
+        step = (labels.withColumn("old", F.col("label")).unionByName(msgs, allowMissingColumns=True)
+                .groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        heads = step.select(F.col("id").alias("_head"), F.col("label").alias("_next"))
+        jumped = (step.join(heads, F.col("label") == F.col("_head"), "left")
+                  .select("id", F.least("label", F.coalesce("_next", "label")).alias("label"), "old"))
+        stored = materialize(jumped.select("id", "label", (F.col("label") != F.col("old")).alias("changed")), "cc-labels")
+        labels = stored.select("id", "label")
+        if not stored.agg(F.count_if("changed")).first()[0]:
             return labels.withColumnRenamed("label", "component")
-        prev = total
     raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
 
 
 def merge_components(components: DataFrame, items: DataFrame, id_col: str = "vec_id",
                      label_col: str = "label") -> DataFrame:
-    """One row per component of two or more members: size, members and distinct labels sorted (V4)."""
+    """One row per component, single members too: size, first and last member, smallest and largest label and the number of
+    different labels (V4). Plain partial aggregates: no list grows with a component."""
     j = components.join(items.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), "id")
-    g = j.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n_members"),
-        F.array_sort(F.collect_list("id")).alias("members"),
-        F.array_sort(F.collect_set("label")).alias("labels"),
-    )
-    return g.filter(F.col("n_members") > 1)
+    return j.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n_members"), F.min("id").alias("first_member"), F.max("id").alias("last_member"),
+        F.min("label").alias("min_label"), F.max("label").alias("max_label"), F.count_distinct("label").alias("n_labels"))
 
 
 # ------------------------------------------------------------------------------------------------ IVF (V5)
 def ivf_index(df: DataFrame, lists: int = IVF_LISTS, id_col: str = "vec_id", vec_col: str = "embedding",
               seed: int = 42, max_iter: int = 20):
-    """KMeans over unit vectors → (centroids, assignments). Centroids: one row per list (``lists`` rows)."""
+    """KMeans over unit vectors → (centroids, assignments). Centroids: one row per list (``lists`` rows). The assignments are
+    stored partitioned by list, so a search reads only the folders of the lists it probes."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -279,7 +252,10 @@ def ivf_index(df: DataFrame, lists: int = IVF_LISTS, id_col: str = "vec_id", vec
     feats = u.withColumn("features", array_to_vector("u"))
     k = max(1, lists)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list").fit(feats)
-    assigned = model.transform(feats).select("id", "u", "list")
+    path = scratch_path(df.sparkSession, "ivf")
+    (model.transform(feats).select("id", "u", "list").repartition("list", F.pmod(F.xxhash64("id"), F.lit(8)))
+     .write.partitionBy("list").parquet(path))
+    assigned = df.sparkSession.read.parquet(path)
     centers = model.clusterCenters()
     cent = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
                                            "list int, c array<double>")
@@ -287,10 +263,9 @@ def ivf_index(df: DataFrame, lists: int = IVF_LISTS, id_col: str = "vec_id", vec
 
 
 def ivf_search(centroids: DataFrame, assigned: DataFrame, query: list[float], k: int, probes: int = 10) -> DataFrame:
-    """Approximate top-k: nearest ``probes`` lists to the query, exact cosine re-rank inside them. The list
-    table has one row per list (bounded by the index size) and is broadcast."""
+    """Approximate top-k: nearest ``probes`` lists to the query, exact cosine re-rank inside them."""
     q = _unit_literal(query)
-    near = (centroids.select("list", dot(unit(F.col("c")), q).alias("s")).orderBy(F.desc("s")).limit(probes))
-    cands = assigned.join(F.broadcast(near.select("list")), "list")
+    near = centroids.select("list", dot(unit(F.col("c")), q).alias("s")).orderBy(F.desc("s")).limit(probes)
+    cands = assigned.filter(F.col("list").isin([r.list for r in near.collect()]))  # ``probes`` numbers: folders are pruned
     return (cands.select(F.col("id").alias("vec_id"), dot(F.col("u"), q).alias("similarity"))
             .orderBy(F.desc("similarity"), F.asc("vec_id")).limit(k))

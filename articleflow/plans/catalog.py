@@ -23,6 +23,7 @@ from articleflow.operators import publish as P
 from articleflow.operators import query as Q
 from articleflow.operators import store as S
 from articleflow.operators import vectors as V
+from articleflow.schemas import NEWS_ITEMS
 from articleflow.session import materialize
 from articleflow.sources.tables import read_table, raw_docs, raw_pages, url_host
 
@@ -103,10 +104,11 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Processed newsletter items with their relevance score (items of the page collector have none)."""
+    """Processed items with their relevance score; page items and unlabelled newsletters have none (null)."""
     p = processed(spark, sf_dir)
-    gm = p.filter(F.array_contains("source_types", "gmail"))
-    return gm.join(relevance(spark, sf_dir), "seq", "inner")
+    key = F.when(F.array_contains("source_types", "gmail"), F.col("seq"))
+    scores = relevance(spark, sf_dir).select(F.col("seq").alias("scored_seq"), "relevance_score")
+    return p.withColumn("_key", key).join(scores, F.col("_key") == F.col("scored_seq"), "left").drop("_key", "scored_seq")
 
 
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +273,7 @@ def q_dedup_metadata_map(spark, sf_dir):
 
 
 def q_recent_sorted(spark, sf_dir):
-    d = D.with_recency_rank(deduped(spark, sf_dir))
+    d = D.with_recency_rank(deduped(spark, sf_dir).select("item_id", "published_at", "seq"))
     return d.select("item_id", "recency_rank", plain_ts("published_at").alias("published_at"))
 
 
@@ -338,7 +340,7 @@ def q_run_stats_long(spark, sf_dir):
 
 
 def q_by_topic_rank(spark, sf_dir):
-    r = P.by_topic_ranked(processed(spark, sf_dir))
+    r = P.topic_ranks(processed(spark, sf_dir))
     return r.select("item_id", "primary_topic", F.col("topic_rank").cast("long").alias("topic_rank"))
 
 
@@ -474,10 +476,9 @@ def q_items_total(spark, sf_dir):
 
 
 def q_item_by_id(spark, sf_dir):
-    """Point lookup of the item of the first page (id taken from the data, not typed in)."""
-    news = Q.select_items(stored_news(spark, sf_dir))
-    first = raw_pages(spark, sf_dir).agg(F.min_by("item_id", "seq").alias("item_id"))
-    return _item_out(news.join(first, "item_id", "left_semi"))
+    """Point lookup of the item of the first page (the id is a parameter, taken from the data)."""
+    first = raw_pages(spark, sf_dir).agg(F.min_by("item_id", "seq").alias("item_id")).first().item_id
+    return _item_out(Q.get_item(stored_news(spark, sf_dir), first))
 
 
 def q_items_top5(spark, sf_dir):
@@ -533,7 +534,7 @@ def q_relevance_breakdown(spark, sf_dir):
 
 
 def q_relevance_rank(spark, sf_dir):
-    r = P.by_topic_ranked(scored(spark, sf_dir), order_by="relevance_score")
+    r = P.topic_ranks(scored(spark, sf_dir), order_by="relevance_score")
     return r.select("item_id", "primary_topic", F.col("topic_rank").cast("long").alias("topic_rank"))
 
 
@@ -561,12 +562,39 @@ def q_vector_pairs(spark, sf_dir):
 
 def _components(spark, sf_dir):
     emb = _embeddings(spark, sf_dir)
-    pairs = V.similar_pairs(emb, VECTOR_THRESHOLD)
+    pairs = V.similar_links(emb, VECTOR_THRESHOLD)
     return emb, V.connected_components(pairs, emb.select("vec_id"))
 
 
 def q_vector_lsh(spark, sf_dir):
-    return V.lsh_candidate_stats(_embeddings(spark, sf_dir), VECTOR_THRESHOLD)
+    """What the pair search costs at the catalogue's threshold."""
+    return V.pair_search_stats(_embeddings(spark, sf_dir), VECTOR_THRESHOLD)
+
+
+def planted_vectors(spark, sf_dir) -> DataFrame:
+    """The embeddings, every fifth one again as a copy, and every seventh one again slightly moved."""
+    emb = _embeddings(spark, sf_dir).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = F.transform("embedding", lambda x, i: x + F.lit(0.02) * (i % 3 - 1))
+    return (emb.unionByName(emb.filter(F.col("vec_id") % 5 == 0).withColumn("vec_id", F.col("vec_id") + 10_000_000))
+            .unionByName(emb.filter(F.col("vec_id") % 7 == 0).select((F.col("vec_id") + 20_000_000).alias("vec_id"),
+                                                                     moved.alias("embedding"))))
+
+
+def q_vector_pairs_planted(spark, sf_dir):
+    """All pairs at the default threshold, copies and near copies included (V2)."""
+    pairs = V.similar_pairs(planted_vectors(spark, sf_dir))
+    return pairs.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+def q_semantic_dedup(spark, sf_dir):
+    """Newsletter items merged where their embeddings are similar: pairs on item ids, components, the merge rule of
+    dedup (V2–V4). An item's embedding is the vector with its sequence number; items without one stay as they are."""
+    items = materialize(deduped(spark, sf_dir).filter(F.col("source_type") == "gmail"), "semantic-items")
+    vectors = _embeddings(spark, sf_dir).join(items.select("item_id", "seq"), F.col("vec_id") == F.col("seq"))
+    links = V.similar_links(vectors.select("item_id", "embedding"), VECTOR_THRESHOLD, id_col="item_id")
+    merged = D.semantic_dedup(items, V.connected_components(links))
+    return merged.select("item_id", F.col("n_merged").cast("long").alias("n_merged"), F.length("content").cast("long").alias("content_len"),
+                         plain_ts("published_at").alias("published_at"), "seq")
 
 
 def q_vector_components(spark, sf_dir):
@@ -577,8 +605,7 @@ def q_vector_components(spark, sf_dir):
 def q_vector_group_merge(spark, sf_dir):
     emb, comp = _components(spark, sf_dir)
     g = V.merge_components(comp, emb)
-    return g.select("component", "n_members", _j(F.transform("members", lambda x: x.cast("string"))).alias("members"),
-                    _j(F.transform("labels", lambda x: x.cast("string"))).alias("labels"))
+    return g.select("component", "n_members", "first_member", "last_member", "min_label", "max_label", "n_labels")
 
 
 def q_vector_ivf(spark, sf_dir):
@@ -588,6 +615,14 @@ def q_vector_ivf(spark, sf_dir):
     return top.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def q_vector_ivf_full(spark, sf_dir):
+    """The list index with every list probed, which must equal the exact search."""
+    emb = _embeddings(spark, sf_dir)
+    cent, assigned = V.ivf_index(emb, lists=16, max_iter=5)
+    top = V.ivf_search(cent, assigned, _first_vector(emb), 10, probes=16)
+    return top.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 # -------------------------------------------------------------------------------------------- streaming
 def _doc_stream_items(spark, sf_dir, spread: bool = False):
     from articleflow.sources.tables import documents_as_items
@@ -615,20 +650,32 @@ def q_stream_dedup(spark, sf_dir):
 
 
 def q_stream_upsert(spark, sf_dir):
+    return _item_out(_streamed_news(spark, sf_dir, [PROCESSED_AT]))
+
+
+def _streamed_news(spark, sf_dir, times: list[datetime]) -> DataFrame:
+    """The news table after one stream over the documents per entry of ``times``; later streams update the rows."""
     from articleflow.session import scratch_path
-    from articleflow.schemas import NEWS_ITEMS
     from articleflow.streaming.ingest import run_available, upsert_sink
 
-    table = S.VersionedTable(spark, scratch_path(spark, "stream-news"), NEWS_ITEMS)
-    table.create_if_missing()
+    path = scratch_path(spark, "stream-news")
 
     def prepare(batch):
         valid, _ = E.split_valid(E.enrich(D.dedup_exact(batch), E.extractive_provider))
         return E.to_processed(valid, ctx())
 
-    run_available(_doc_stream_items(spark, sf_dir, spread=True), "upsert",
-                  foreach_batch=upsert_sink(table, PROCESSED_AT, prepare))
-    return _item_out(table.read())
+    for i, now in enumerate(times):
+        table = S.NewsTable(spark, path)
+        sink = upsert_sink(table, now, prepare)
+        run_available(_doc_stream_items(spark, sf_dir, spread=True), f"upsert-{i}",
+                      foreach_batch=lambda batch, n, i=i, sink=sink: sink(batch, i * 1_000_000 + n))
+    return S.NewsTable(spark, path).read()
+
+
+def q_stream_upsert_updates(spark, sf_dir):
+    """Two streams over the same documents: the second one updates every row the first one inserted."""
+    news = _streamed_news(spark, sf_dir, [PROCESSED_AT, SECOND_RUN_AT])
+    return news.select("item_id", plain_ts("created_at").alias("created_at"), plain_ts("updated_at").alias("updated_at"))
 
 
 def q_stream_daily_counts(spark, sf_dir):
@@ -672,7 +719,106 @@ def q_feed_errors(spark, sf_dir):
     return e.select("source_type", "source_id", "error_type", F.col("error_message").alias("error"))
 
 
+def messy_documents(documents: DataFrame) -> DataFrame:
+    """Documents as feed documents of the kinds found in the wild: named entities and bare ampersands, CDATA that holds
+    ``</item>``, unclosed tags, Atom entries, a feed title in CDATA. One document per (source, kind, id range)."""
+    from articleflow.functions.dates import hours_after
+    from articleflow.sources.feeds import _cdata, _escaped
+    from articleflow.sources.tables import BINDING_BASE
+
+    n, text, kind = F.col("doc_id").cast("string"), F.col("text"), F.col("doc_id") % 5
+    when = F.date_format(hours_after(BINDING_BASE, F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    link, date = F.concat(F.lit("https://m.example/"), n, F.lit("?a=1&b=2")), F.concat(F.lit("<pubDate>"), when, F.lit("</pubDate>"))
+    rss = (F.when(kind == 0, F.concat(F.lit("<item><title>Caf&eacute;&nbsp;"), n, F.lit(" &ndash; x</title><link>"), link, F.lit("</link>"),
+                                      date, F.lit("<description>"), _cdata(text), F.lit("</description></item>")))
+           .when(kind == 1, F.concat(F.lit("<item><title>R & D "), n, F.lit("</title><link>"), link, F.lit("</link>"), date,
+                                     F.lit("<description>"), _cdata(F.concat(F.lit("</item> <b>"), text)), F.lit("</description></item>")))
+           .when(kind == 2, F.concat(F.lit("<item><title>Note "), n, F.lit("</title><link>"), link, F.lit("</link>"), date,
+                                     F.lit("<description>one<br>two "), _escaped(text), F.lit("</description></item>")))
+           .when(kind == 3, F.concat(F.lit("<item><title>Open "), n, F.lit("<link>"), link, F.lit("</link>"), date,
+                                     F.lit("<description>"), _escaped(text), F.lit("</description></item>")))
+           .otherwise(F.concat(F.lit("<entry><title>Atom "), n, F.lit('</title><link rel="alternate" href="'), link, F.lit('"/><updated>'),
+                               when, F.lit('</updated><content type="html">'), _cdata(text), F.lit("</content></entry>"))))
+    rows = documents.select("source", kind.alias("kind"), F.expr("doc_id div 1000").alias("part"), "doc_id", rss.alias("item"))
+    bodies = rows.groupBy("source", "kind", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("items"),
+        F.min("doc_id").alias("seq"))
+    body = F.when(F.col("kind") == 4, F.concat(F.lit("<feed><title>"), "source", F.lit("</title>"), "items", F.lit("</feed>"))).otherwise(
+        F.concat(F.lit('<rss version="2.0"><channel><title><![CDATA['), "source", F.lit(" & co]]></title>"), "items", F.lit("</channel></rss>")))
+    return bodies.select(F.col("source").alias("feed_name"), F.concat(F.lit("https://m.example/feed/"), "source").alias("feed_url"),
+                         F.lit(200).alias("status"), F.lit("OK").alias("reason"), body.alias("body"),
+                         F.lit(None).cast("string").alias("fetch_error"), F.col("seq").cast("long").alias("seq"))
+
+
+def q_feed_parse_messy(spark, sf_dir):
+    """Feeds as they come: every entry of every document is there."""
+    from articleflow.sources.feeds import collect_feeds
+
+    landed = messy_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+    items, _ = collect_feeds(landed, ctx())
+    return items.select("item_id", "url", "title", F.col("raw_metadata.feed_title").alias("feed_title"),
+                        F.length("content").cast("long").alias("content_len"), F.sha2("content", 256).alias("content_sha"),
+                        plain_ts("published_at").alias("published_at"))
+
+
+def q_feed_errors_all(spark, sf_dir):
+    """Every way a landed document can fail, from the events (S15, U2): HTTP statuses, a missing status, transport errors with
+    and without a type, a body that is no feed, an incomplete entry. Good documents give no row."""
+    from articleflow.sources.feeds import collection_errors
+
+    ev = read_table(spark, sf_dir, "events", ["event_id"])
+    kind = F.col("event_id") % 7
+    landed = ev.select(
+        F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("feed_name"),
+        F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("feed_url"),
+        F.when(kind == 0, F.lit(404)).when(kind.isin(4, 5, 6), F.lit(200)).alias("status"),
+        F.when(kind == 0, F.lit("Not Found")).alias("reason"),
+        F.when(kind == 4, F.lit("<html>no</html>")).when(kind == 5, F.lit("<rss><item><title>a</title></item><item><title>b"))
+        .when(kind == 6, F.lit("<rss><channel></channel></rss>")).alias("body"),
+        F.when(kind == 2, F.lit("ConnectTimeout: timed out")).when(kind == 3, F.lit("no route")).alias("fetch_error"),
+        F.col("event_id").cast("long").alias("seq"))
+    e = C.union_collectors(collection_errors(landed.filter(kind < 4), PROCESSED_AT), collection_errors(landed.filter(kind >= 4), PROCESSED_AT))
+    return e.select("source_type", "source_id", "error_type", F.col("error_message").alias("error"))
+
+
+def q_dedup_landed_feeds(spark, sf_dir):
+    """Two feeds that carry the same links at the same positions give one row per id (A1, S3)."""
+    from articleflow.sources.feeds import collect_feeds, rss_documents
+
+    landed = rss_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"]))
+    mirror = (landed.withColumn("feed_name", F.concat(F.lit("mirror "), "feed_name"))
+              .withColumn("feed_url", F.replace("feed_url", F.lit("letters.example"), F.lit("mirror.example"))))
+    items, _ = collect_feeds(landed.unionByName(mirror), ctx())
+    d = D.dedup_exact(items)
+    return d.select("item_id", F.col("n_merged").cast("long").alias("n_merged"), _j("raw_metadata.merged_from_ids").alias("merged_ids"),
+                    F.length("content").cast("long").alias("content_len"), "url")
+
+
 # ------------------------------------------------------------------------------------ batch provider etc.
+class FlakyProvider(E.ExtractivePandasProvider):
+    """Fails on purpose, by item id: raises for ids that start with 00, never answers well for 1…, at the second call for 2…"""
+
+    def setup(self) -> None:
+        self.calls: dict[str, int] = {}
+
+    def __call__(self, batch):
+        if (bad := batch["item_id"].str.startswith("00")).any():
+            raise ValueError(f"no answer for {batch['item_id'][bad].min()}")
+        out = super().__call__(batch)
+        for i, item_id in enumerate(out["item_id"]):
+            self.calls[item_id] = self.calls.get(item_id, 0) + 1
+            if item_id[0] == "1" or (item_id[0] == "2" and self.calls[item_id] == 1):
+                out.at[i, "title"] = None
+        return out
+
+
+def q_enrich_retry(spark, sf_dir):
+    """Retry and quarantine with a provider that fails on purpose: one bad row costs one row."""
+    e = E.enrich(deduped(spark, sf_dir), FlakyProvider(), pause_seconds=0.0)
+    return e.select("item_id", F.col("attempts").cast("long").alias("attempts"), "enrich_error",
+                    F.size("e_key_points").cast("long").alias("n_key_points"))
+
+
 def q_enrich_batch_provider(spark, sf_dir):
     e = E.enrich(deduped(spark, sf_dir), E.ExtractivePandasProvider(), max_concurrent=5, pause_seconds=0.0)
     return e.select("item_id", F.col("e_title").alias("title"), F.col("e_summary").alias("summary"),
@@ -692,21 +838,51 @@ def q_payload_json(spark, sf_dir):
     p = materialize(processed(spark, sf_dir), "processed")
     errs = error_rows(spark, sf_dir)
     stats = P.run_stats_long(p, "items", errs)
-    return P.payload_lines(spark, ctx(), p, stats, errs)
+    return P.payload_lines(spark, ctx(), p, stats, errs, stored=True)
+
+
+def q_payload_items(spark, sf_dir):
+    """The item lines of the payload, parsed back from their JSON."""
+    lines = q_payload_json(spark, sf_dir).filter(F.col("section") == "item")
+    row = F.from_json("json", "id string, title string, summary string, key_points array<string>, primary_topic string, topic_rank long")
+    r = lines.select(row.alias("r")).select("r.*")
+    return r.select("id", "title", "summary", _j("key_points", KP_SEP).alias("key_points"), "primary_topic", "topic_rank")
+
+
+def q_json_round_trip(spark, sf_dir):
+    """List columns to JSON text and back."""
+    back = S.from_json_columns(S.json_columns(stored_news(spark, sf_dir)))
+    return back.select("item_id", _j("key_points", KP_SEP).alias("key_points"), _j("topics").alias("topics"),
+                       _j("original_urls").alias("original_urls"), _j("source_types").alias("source_types"))
+
+
+def q_relevance_sorted(spark, sf_dir):
+    """Best scores first (R3): a top-k report over all items."""
+    return E.by_relevance(scored(spark, sf_dir)).limit(50).select("item_id", F.round("relevance_score", 6).alias("relevance_score"))
+
+
+def q_relevance_stored(spark, sf_dir):
+    """Minimum score on the stored table (R2): the score goes through the merge into the store and is filtered there."""
+    fresh = scored(spark, sf_dir)
+    stored = materialize(S.merge_news(spark.createDataFrame([], NEWS_ITEMS), fresh, SECOND_RUN_AT, unique_keys=True), "scored-news")
+    return _item_out(Q.recent_items(stored, 100, min_relevance=0.7))
 
 
 def q_trace_runs(spark, sf_dir):
     """Trace documents derived from events (one per user), written as JSON lines and read back."""
     from articleflow.session import scratch_path
 
-    t = traces_from_events(spark, sf_dir)
+    # beside each root trace a child of it, and a root trace of another project: both have to be filtered out
+    t = traces_from_events(spark, sf_dir).select("*", F.inline(F.array(*[
+        F.struct(F.lit(a).alias("tag"), F.lit(b).alias("project"), F.lit(c).alias("depth"))
+        for a, b, c in (("trace-", "articles", 0), ("child-", "articles", 1), ("other-", "letters", 0))])))
     doc = F.struct(
-        F.concat(F.lit("trace-"), F.col("user_id").cast("string")).alias("trace_id"),
+        F.concat(F.col("tag"), F.col("user_id").cast("string")).alias("trace_id"),
         F.col("name"), F.lit(None).cast("string").alias("error"),
         F.struct(F.lit("success").alias("status"),
                  F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("start_time"),
                  F.date_format("end_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("end_time"),
-                 F.struct(F.lit("articles").alias("LANGSMITH_PROJECT"), F.lit(0).cast("long").alias("ls_run_depth"))
+                 F.struct(F.col("project").alias("LANGSMITH_PROJECT"), F.col("depth").cast("long").alias("ls_run_depth"))
                  .alias("custom_metadata"),
                  F.struct(F.col("total_tokens").alias("total_tokens")).alias("token_usage"),
                  F.struct(F.round(F.col("total_cost"), 6).cast("string").alias("total_cost")).alias("costs"))
@@ -806,4 +982,16 @@ QUERIES = {
     "payload_json": q_payload_json,
     "trace_runs": q_trace_runs,
     "full_run": q_full_run,
+    "vector_pairs_planted": q_vector_pairs_planted,
+    "semantic_dedup": q_semantic_dedup,
+    "vector_ivf_full": q_vector_ivf_full,
+    "stream_upsert_updates": q_stream_upsert_updates,
+    "feed_parse_messy": q_feed_parse_messy,
+    "feed_errors_all": q_feed_errors_all,
+    "dedup_landed_feeds": q_dedup_landed_feeds,
+    "enrich_retry": q_enrich_retry,
+    "payload_items": q_payload_items,
+    "json_round_trip": q_json_round_trip,
+    "relevance_sorted": q_relevance_sorted,
+    "relevance_stored": q_relevance_stored,
 }

@@ -80,23 +80,21 @@ dedup AS (
 )"""
 
 
-def _topics_list() -> str:
-    from articleflow.schemas import TOPIC_CATEGORIES
-
-    return "[" + ", ".join(f"'{t}'" for t in TOPIC_CATEGORIES) + "]"
-
-
-def _hits() -> str:
-    from articleflow.operators.enrich import TOPIC_KEYWORDS
-
-    arms = ", ".join(f"CASE WHEN regexp_matches(low, '{p}') THEN '{t}' END" for t, p in TOPIC_KEYWORDS)
-    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
-
-
-def _tutorial() -> str:
-    from articleflow.operators.enrich import TUTORIAL_PATTERN
-
-    return TUTORIAL_PATTERN
+# Fixed values, written out here on their own: the topic vocabulary and the keyword rules.
+TOPICS = ("['LLMs', 'AI Agents', 'AI Safety', 'MLOps', 'Computer Vision', 'NLP', 'Open Source', 'Products', 'Research', "
+          "'Industry']")
+HITS = """list_filter([
+  CASE WHEN regexp_matches(low, 'llm|language model|gpt|transformer') THEN 'LLMs' END,
+  CASE WHEN regexp_matches(low, 'agent') THEN 'AI Agents' END,
+  CASE WHEN regexp_matches(low, 'safety|alignment|jailbreak') THEN 'AI Safety' END,
+  CASE WHEN regexp_matches(low, 'mlops|deploy|pipeline|monitoring') THEN 'MLOps' END,
+  CASE WHEN regexp_matches(low, 'vision|image|video|pixel') THEN 'Computer Vision' END,
+  CASE WHEN regexp_matches(low, 'nlp|token|translation|sentiment') THEN 'NLP' END,
+  CASE WHEN regexp_matches(low, 'open source|open-source|github|licen') THEN 'Open Source' END,
+  CASE WHEN regexp_matches(low, 'launch|product|release|pricing') THEN 'Products' END,
+  CASE WHEN regexp_matches(low, 'paper|research|study|benchmark|arxiv') THEN 'Research' END,
+  CASE WHEN regexp_matches(low, 'company|market|funding|acquisition|startup') THEN 'Industry' END], lambda x: x IS NOT NULL)"""
+TUTORIAL = "how to|tutorial|step by step|step-by-step|walkthrough|guide"
 
 
 def enrich_ctes(src: str = "dedup") -> str:
@@ -108,7 +106,7 @@ sents AS (
          lower(content) AS low
   FROM {src} d
 ),
-hits AS (SELECT *, {_hits()} AS hits FROM sents),
+hits AS (SELECT *, {HITS} AS hits FROM sents),
 enriched AS (
   SELECT *,
          coalesce(nullif(trim(title), ''), sents[1]) AS e_title,
@@ -116,8 +114,8 @@ enriched AS (
          list_transform(list_sort(list_transform(sents, lambda s, i: {{'k': -length(s), 'i': i, 's': s}})),
                         lambda x: x.s)[1:5] AS e_key_points,
          CASE WHEN len(hits) > 0 THEN hits[1:3]
-              ELSE [{_topics_list()}[(('0x' || substr(item_id, 1, 8))::BIGINT % 10) + 1]] END AS e_topics,
-         CASE WHEN regexp_matches(low, '{_tutorial()}') THEN 'tutorial' ELSE 'news' END AS e_article_type
+              ELSE [({TOPICS})[(('0x' || substr(item_id, 1, 8))::BIGINT % 10) + 1]] END AS e_topics,
+         CASE WHEN regexp_matches(low, '{TUTORIAL}') THEN 'tutorial' ELSE 'news' END AS e_article_type
   FROM hits
 ),
 checked AS (
@@ -197,8 +195,7 @@ errs AS (
 SCORED = """
 scored AS (
   SELECT p.*, (l.quality + (1 - l.toxic)) / 2.0 AS relevance_score
-  FROM processed p JOIN labels l ON p.seq = l.doc_id
-  WHERE list_contains(p.source_types, 'gmail')
+  FROM processed p LEFT JOIN labels l ON p.seq = l.doc_id AND list_contains(p.source_types, 'gmail')
 )"""
 
 
@@ -324,31 +321,13 @@ SELECT item_id, array_to_string(original_urls, ',') AS original_urls, array_to_s
 FROM processed"""
 
 
-def _prompt_sql() -> str:
-    import re
-
-    from articleflow.functions.text import DEFAULT_PROMPT_TEMPLATE
-
-    slots = {
-        "title": "coalesce(nullif(title, ''), 'No title')",
-        "content": "substr(content, 1, 8000)",
-        "source_type": "coalesce(source_type, '')",
-        "source_id": "coalesce(source_id, '')",
-        "published_at": f"coalesce({iso('published_at')}, '')",
-    }
-    parts, pos = [], 0
-    for m in re.finditer(r"\{(title|content|source_type|source_id|published_at)\}", DEFAULT_PROMPT_TEMPLATE):
-        if m.start() > pos:
-            parts.append(sql_text(DEFAULT_PROMPT_TEMPLATE[pos:m.start()]))
-        parts.append(slots[m.group(1)])
-        pos = m.end()
-    if pos < len(DEFAULT_PROMPT_TEMPLATE):
-        parts.append(sql_text(DEFAULT_PROMPT_TEMPLATE[pos:]))
-    return " || ".join(f"({p})" for p in parts)
-
+PROMPT = f"""'[' || coalesce({iso('published_at')}, '') || '] ' || coalesce(source_type, '') || '/' || coalesce(source_id, '')
+  || ' sent: ' || coalesce(nullif(title, ''), 'No title') || chr(10) || '----' || chr(10) || substr(content, 1, 8000)
+  || chr(10) || '----' || chr(10)
+  || 'Answer with a headline, two sentences, three to five takeaways, up to three topics and a kind.'"""
 
 Q["prompt_text"] = with_ctes(*BASE_DEDUP) + f""",
-pr AS (SELECT item_id, {_prompt_sql()} AS prompt FROM dedup)
+pr AS (SELECT item_id, {PROMPT} AS prompt FROM dedup)
 SELECT item_id, CAST(length(prompt) AS BIGINT) AS prompt_len, sha256(prompt) AS prompt_sha FROM pr"""
 
 Q["embedding_text"] = with_ctes(*BASE_PROCESSED) + """,
@@ -356,7 +335,7 @@ t AS (SELECT item_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(summ
 SELECT item_id, CAST(length(txt) AS BIGINT) AS text_len, sha256(txt) AS text_sha FROM t"""
 
 Q["topic_distribution"] = with_ctes(*BASE_PROCESSED) + f""",
-vocab AS (SELECT unnest({_topics_list()}) AS topic),
+vocab AS (SELECT unnest({TOPICS}) AS topic),
 counts AS (SELECT t AS topic, count(*) AS n FROM (SELECT unnest(topics) AS t FROM processed) GROUP BY t)
 SELECT coalesce(v.topic, c.topic) AS topic, coalesce(c.n, 0) AS n FROM vocab v FULL OUTER JOIN counts c ON v.topic = c.topic"""
 
@@ -548,7 +527,7 @@ FROM scored"""
 Q["relevance_rank"] = with_ctes(*BASE_PROCESSED, SCORED) + """
 SELECT item_id, coalesce(topics[1], 'Uncategorized') AS primary_topic,
        row_number() OVER (PARTITION BY coalesce(topics[1], 'Uncategorized')
-                          ORDER BY relevance_score DESC, published_at DESC, seq ASC) AS topic_rank
+                          ORDER BY relevance_score DESC NULLS LAST, published_at DESC, seq ASC, item_id ASC) AS topic_rank
 FROM scored"""
 
 
@@ -617,11 +596,89 @@ comp AS (SELECT id AS vec_id, min(r) AS component FROM reach GROUP BY id)"""
 Q["vector_pairs"] = "WITH " + PAIRS.strip() + "\nSELECT id_a, id_b, round(similarity, 6) AS similarity FROM pairs"
 Q["vector_components"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + COMPONENTS.strip() + "\nSELECT vec_id, component FROM comp"
 Q["vector_group_merge"] = "WITH RECURSIVE " + PAIRS.strip() + ",\n" + COMPONENTS.strip() + """
-SELECT c.component, count(*) AS n_members,
-       array_to_string(list_transform(list_sort(list(c.vec_id)), lambda x: CAST(x AS VARCHAR)), ',') AS members,
-       array_to_string(list_transform(list_sort(list_distinct(list(m.label))), lambda x: CAST(x AS VARCHAR)), ',') AS labels
+SELECT c.component, count(*) AS n_members, min(c.vec_id) AS first_member, max(c.vec_id) AS last_member,
+       min(m.label) AS min_label, max(m.label) AS max_label, count(DISTINCT m.label) AS n_labels
 FROM comp c JOIN embeddings m ON c.vec_id = m.vec_id
-GROUP BY c.component HAVING count(*) > 1"""
+GROUP BY c.component"""
+
+Q["vector_pairs_planted"] = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (
+  SELECT * FROM e UNION ALL SELECT vec_id + 10000000, v FROM e WHERE vec_id % 5 = 0
+  UNION ALL SELECT vec_id + 20000000, list_transform(v, lambda x, i: x + 0.02::DOUBLE * ((i - 1) % 3 - 1)) FROM e WHERE vec_id % 7 = 0)
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.85"""
+
+Q["vector_ivf_full"] = Q["vector_topk"]
+
+Q["semantic_dedup"] = with_ctes(*BASE_DEDUP).replace("WITH ", "WITH RECURSIVE ", 1) + """,
+it AS (SELECT * FROM dedup WHERE source_type = 'gmail'),
+iv AS (SELECT it.item_id, CAST(e.embedding AS DOUBLE[]) AS v FROM it JOIN embeddings e ON it.seq = e.vec_id),
+ed AS (SELECT a.item_id AS u, b.item_id AS w FROM iv a JOIN iv b ON a.item_id <> b.item_id AND list_cosine_similarity(a.v, b.v) >= 0.4),
+rc(id, r) AS (SELECT item_id, item_id FROM it UNION SELECT rc.id, ed.w FROM rc JOIN ed ON rc.r = ed.u),
+cm AS (SELECT id AS item_id, min(r) AS component FROM rc GROUP BY id),
+rk AS (SELECT it.*, component, row_number() OVER (PARTITION BY component ORDER BY length(content) DESC, it.seq ASC) AS rn
+       FROM it JOIN cm USING (item_id)),
+gr AS (SELECT component, count(*) AS n_merged, min(published_at) AS first, min(seq) AS min_seq FROM rk GROUP BY component)
+SELECT rk.item_id, gr.n_merged, CAST(length(rk.content) AS BIGINT) AS content_len, """ + ts("gr.first") + """ AS published_at, gr.min_seq AS seq
+FROM rk JOIN gr USING (component) WHERE rn = 1"""
+
+Q["stream_upsert_updates"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id, '2024-03-01 00:00:00.000000' AS created_at, '2024-03-02 00:00:00.000000' AS updated_at
+FROM processed WHERE list_contains(source_types, 'gmail')"""
+
+Q["feed_parse_messy"] = """
+WITH d AS (
+  SELECT doc_id, source, text, doc_id % 5 AS kind, CAST(doc_id AS VARCHAR) AS n,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published FROM documents),
+x AS (
+  SELECT *, 'https://m.example/' || n || '?a=1&b=2' AS url,
+         CASE kind WHEN 0 THEN 'Café' || chr(160) || n || ' – x' WHEN 1 THEN 'R & D ' || n WHEN 2 THEN 'Note ' || n
+                   WHEN 3 THEN 'Open ' || n ELSE 'Atom ' || n END AS title,
+         CASE kind WHEN 1 THEN '</item> <b>' || text WHEN 2 THEN 'one<br>two ' || text ELSE text END AS content
+  FROM d)
+SELECT substr(sha256(url), 1, 32) AS item_id, url, title, CASE WHEN kind = 4 THEN source ELSE source || ' & co' END AS feed_title,
+       CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha, """ + ts("published") + """ AS published_at
+FROM x WHERE length(text) > 0"""
+
+Q["feed_errors_all"] = """
+WITH e AS (SELECT CAST(event_id AS VARCHAR) AS n, event_id % 7 AS kind FROM events)
+SELECT 'rss' AS source_type, 'u' || n AS source_id,
+       CASE kind WHEN 0 THEN 'HTTPStatusError' WHEN 1 THEN 'HTTPStatusError' WHEN 2 THEN 'ConnectTimeout' WHEN 3 THEN 'RequestError'
+                 ELSE 'ParseError' END AS error_type,
+       CASE kind WHEN 0 THEN 'HTTP 404: Not Found' WHEN 1 THEN 'HTTP unknown: ' WHEN 2 THEN 'timed out' WHEN 3 THEN 'no route'
+                 WHEN 4 THEN 'the body is no feed' ELSE '1 incomplete entries' END AS error
+FROM e WHERE kind <> 6"""
+
+Q["dedup_landed_feeds"] = """
+SELECT substr(sha256('https://letters.example/' || source || '/' || CAST(doc_id AS VARCHAR)), 1, 32) AS item_id, CAST(2 AS BIGINT) AS n_merged,
+       'https://letters.example/' || source || '/feed,https://mirror.example/' || source || '/feed' AS merged_ids,
+       CAST(length(text) AS BIGINT) AS content_len, 'https://letters.example/' || source || '/' || CAST(doc_id AS VARCHAR) AS url
+FROM documents WHERE length(text) > 0"""
+
+Q["enrich_retry"] = with_ctes(*BASE_ENRICH) + """
+SELECT item_id,
+       CAST(CASE WHEN item_id LIKE '00%' THEN 1 WHEN NOT is_valid OR item_id LIKE '1%' THEN 3 WHEN item_id LIKE '2%' THEN 2 ELSE 1 END AS BIGINT) AS attempts,
+       CASE WHEN item_id LIKE '00%' THEN 'ValueError: no answer for ' || item_id WHEN NOT is_valid OR item_id LIKE '1%' THEN 'invalid_output' END
+         AS enrich_error,
+       CASE WHEN item_id LIKE '00%' THEN NULL ELSE CAST(len(e_key_points) AS BIGINT) END AS n_key_points
+FROM checked"""
+
+Q["payload_items"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id AS id, title, summary, array_to_string(key_points, ' || ') AS key_points, coalesce(topics[1], 'Uncategorized') AS primary_topic,
+       row_number() OVER (PARTITION BY coalesce(topics[1], 'Uncategorized') ORDER BY published_at DESC, seq ASC, item_id ASC) AS topic_rank
+FROM processed"""
+
+Q["json_round_trip"] = with_ctes(*BASE_PROCESSED) + """
+SELECT item_id, array_to_string(key_points, ' || ') AS key_points, array_to_string(topics, ',') AS topics,
+       array_to_string(original_urls, ',') AS original_urls, array_to_string(source_types, ',') AS source_types
+FROM processed"""
+
+Q["relevance_sorted"] = with_ctes(*BASE_PROCESSED, SCORED) + """
+SELECT item_id, round(relevance_score, 6) AS relevance_score FROM scored
+ORDER BY scored.relevance_score DESC NULLS LAST, published_at DESC, item_id ASC LIMIT 50"""
+
+Q["relevance_stored"] = with_ctes(*BASE_PROCESSED, SCORED) + item_out("scored", "relevance_score >= 0.7", 100)
 
 
 # the hashing embedding of every processed item has the full dimension and unit length (every item has words)

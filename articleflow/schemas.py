@@ -102,6 +102,7 @@ PROCESSED_ITEMS = T.StructType([
 NEWS_ITEMS = T.StructType(PROCESSED_ITEMS.fields + [
     T.StructField("created_at", TS),
     T.StructField("updated_at", TS),
+    T.StructField("relevance_score", T.DoubleType()),
 ])
 
 PIPELINE_RUNS = T.StructType([

@@ -1,10 +1,19 @@
 """Feed documents: landing table, RSS 2.0 / Atom parsing, collection errors.
 
-A landed feed document is one row (feed_name, feed_url, status, reason, body, fetch_error, seq). Parsing:
-the entries are cut out of the body as complete ``<item>…</item>`` / ``<entry>…</entry>`` fragments (a
-truncated tail loses only the incomplete entry), each fragment is read with ``from_xml`` and a per-dialect
-schema, and the entry becomes a raw item. Non-2xx statuses and transport failures become collection errors.
-Feeds are independent rows, so one failing feed never affects another.
+A landed feed document is one row (feed_name, feed_url, status, reason, body, fetch_error, seq). Parsing is lenient and loses
+nothing without an error row:
+
+1. ``tidy_body`` turns CDATA sections into escaped text (so ``</item>`` inside one is text), named HTML entities into their
+   characters and bare ``&`` into ``&amp;``;
+2. the entries are cut out as complete ``<item>…</item>`` / ``<entry>…</entry>`` fragments; a truncated tail loses only the
+   incomplete entry, which becomes an error row;
+3. each fragment is read with ``from_xml`` and a per-dialect schema; a fragment that is no well-formed XML (unclosed tags) is
+   read tag by tag instead.
+
+Failed fetches (transport errors, statuses outside 2xx, a missing status), bodies that are no feed, incomplete entries and
+files that no configured feed names become collection errors. Feeds are independent rows, so one failing feed never
+affects another. ``seq`` is (document, position): a body holds fewer than 2^28 entries, as each takes more than 8 bytes of
+at most 2^31.
 """
 
 from __future__ import annotations
@@ -21,12 +30,24 @@ from articleflow.schemas import FEED_DOCUMENTS
 from articleflow.session import compute_once
 
 RSS_ITEM = ("title string, link string, guid string, description string, pubDate string, author string, "
-            "category array<string>, `content:encoded` string, `dc:creator` string")
+            "category array<string>, `content:encoded` string, `dc:creator` string, _broken string")
 ATOM_ENTRY = ("title string, id string, published string, updated string, summary string, "
               "content struct<_VALUE:string, _type:string>, link array<struct<_href:string, _rel:string>>, "
-              "category array<struct<_term:string>>, author struct<name:string>")
+              "category array<struct<_term:string>>, author struct<name:string>, _broken string")
 FRAGMENT = r"(?s)<(item|entry)[\s>].*?</\1>"
+OPENING = r"<(item|entry)[\s>]"
+FEED_ROOT = r"(?is)<(rss|feed|rdf:rdf|channel)[\s>]"
 FEED_TITLE = r"(?s)^.*?<title[^>]*>(.*?)</title>"
+# Named entities that feeds use although XML does not define them.
+ENTITIES = {"nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–",
+            "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•",
+            "middot": "·", "euro": "€", "pound": "£", "deg": "°", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß",
+            "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
+            "ntilde": "ñ", "oacute": "ó", "iacute": "í", "aacute": "á", "uacute": "ú"}
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});)"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+FIELD_TAGS = "title|link|guid|id|description|summary|content|content:encoded|pubDate|published|updated|author|dc:creator|category"
+SEQ_BITS = 28
 
 
 def feeds_frame(spark: SparkSession, feeds: list[tuple[str, str]]) -> DataFrame:
@@ -45,83 +66,164 @@ def read_landed_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_landed_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFrame:
-    """Landed raw files (one feed body per file) joined to the feed list by file name = feed name.
-    The join strategy is left to AQE (the feed list is broadcast when its measured size allows)."""
+    """Landed raw files (one feed body per file) joined to the feed list by file name = feed name (S3, J3). A file that no
+    feed names stays, as a document with a fetch error. Files have no order of their own: ``seq`` is a hash of the
+    path. The join strategy is left to AQE (the feed list is broadcast when its measured size allows)."""
     files = (spark.read.text(path, wholetext=True)
-             .select(F.col("value").alias("body"),
+             .select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"),
                      F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("feed_name")))
-    return (files.join(feeds.withColumnRenamed("name", "feed_name"), "feed_name")
+    known = F.col("_known").isNotNull()
+    return (files.join(feeds.withColumnRenamed("name", "feed_name").withColumn("_known", F.lit(True)), "feed_name", "left")
             .select("feed_name", F.col("url").alias("feed_url"), F.lit(200).alias("status"),
-                    F.lit("OK").alias("reason"), "body", F.lit(None).cast("string").alias("fetch_error"),
-                    F.lit(0).cast("long").alias("seq")))
+                    F.lit("OK").alias("reason"), "body",
+                    F.when(~known, F.concat(F.lit("UnknownFeed: no configured feed is named "), F.col("feed_name")))
+                    .alias("fetch_error"),
+                    F.xxhash64("file").bitwiseAND(F.lit((1 << 34) - 1)).alias("seq")))
+
+
+# ------------------------------------------------------------------------------------------ lenient parsing
+def _escaped(text: F.Column) -> F.Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def tidy_body(body: F.Column) -> F.Column:
+    """The body with CDATA as escaped text, known entities as characters, bare ampersands escaped, control
+    characters dropped."""
+    def opened(part: F.Column, i: F.Column) -> F.Column:
+        end = F.instr(part, "]]>")
+        inside = F.when(end > 0, F.substring(part, F.lit(1), end - 1)).otherwise(part)
+        after = F.when(end > 0, F.substring(part, end + 3, F.length(part))).otherwise(F.lit(""))
+        return F.when(i == 0, part).otherwise(F.concat(_escaped(inside), after))
+
+    text = F.array_join(F.transform(F.split(body, r"<!\[CDATA\[", -1), opened), "")
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(F.regexp_replace(text, BARE_AMPERSAND, "&amp;"), CONTROL, "")
+
+
+def decode_entities(text: F.Column) -> F.Column:
+    """Character references (up to U+FFFF) and the five XML entities of ``text`` as characters."""
+    def numeric(t: F.Column, pattern: str, prefix: str, number) -> F.Column:
+        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
+        return F.aggregate(codes, t, lambda acc, c: F.replace(acc, F.concat(F.lit(prefix), c, F.lit(";")), F.decode(
+            F.unhex(F.lpad(number(c), 4, "0")), "UTF-16BE")))
+
+    text = numeric(text, r"&#([0-9]{1,5});", "&#", lambda c: F.conv(c, 10, 16))
+    text = numeric(text, r"&#x([0-9a-fA-F]{1,4});", "&#x", lambda c: c)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def _tag(fragment: F.Column, tag: str) -> F.Column:
+    """Content of the first ``tag``, up to its end tag or, if that is missing, the next field; null when absent."""
+    found = F.regexp_extract(fragment, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|<(?:{FIELD_TAGS})[\s>]|</(?:item|entry)\s*>|\z)", 1)
+    return F.nullif(F.regexp_replace(decode_entities(found), r"\A\s+|\s+\z", ""), F.lit(""))
+
+
+def _feed_like(docs: DataFrame) -> F.Column:
+    return F.col("fetch_error").isNull() & F.coalesce(F.col("status").between(200, 299), F.lit(False))
 
 
 def collection_errors(docs: DataFrame, now) -> DataFrame:
-    """One error row per failed fetch (S15): HTTP status outside 2xx, or a transport error message."""
-    http_bad = F.col("fetch_error").isNull() & ~F.col("status").between(200, 299)
-    transport = F.col("fetch_error").isNotNull()
-    return docs.filter(http_bad | transport).select(
-        F.lit("rss").alias("source_type"),
-        F.col("feed_url").alias("source_id"),
-        F.when(transport, F.lit("RequestError")).otherwise(F.lit("HTTPStatusError")).alias("error_type"),
-        F.when(transport, F.col("fetch_error"))
-        .otherwise(F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(": "), F.coalesce("reason", F.lit(""))))
-        .alias("error_message"),
-        F.lit(now).cast("timestamp").alias("timestamp"),
-    )
+    """Error rows of landed documents (S15): transport errors under the name that the fetcher recorded
+    (``ConnectTimeout: …``), HTTP statuses outside 2xx or missing, bodies that are no feed, incomplete entries."""
+    def error(kind, message) -> F.Column:
+        return F.struct(F.coalesce(kind, F.lit("RequestError")).alias("error_type"), message.alias("error_message"))
+
+    named = F.nullif(F.regexp_extract("fetch_error", r"^([A-Za-z_][A-Za-z0-9_.]*): ", 1), F.lit(""))
+    transport = error(named, F.when(named.isNotNull(), F.regexp_replace("fetch_error", r"^[A-Za-z_][A-Za-z0-9_.]*: ", ""))
+                      .otherwise(F.col("fetch_error")))
+    http = error(F.lit("HTTPStatusError"), F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("unknown")),
+                                                    F.lit(": "), F.coalesce("reason", F.lit(""))))
+    body = F.coalesce(F.col("body"), F.lit(""))
+    rootless = ~body.rlike(FEED_ROOT)
+    tidy = tidy_body(body)
+    lost = F.regexp_count(tidy, F.lit(OPENING)) - F.size(F.regexp_extract_all(tidy, F.lit(FRAGMENT), F.lit(0)))
+    fine = _feed_like(docs)
+    picked = docs.select("feed_name", "feed_url", F.when(F.col("fetch_error").isNotNull(), transport).when(~fine, http)
+                         .when(rootless, error(F.lit("ParseError"), F.lit("the body is no feed")))
+                         .when(lost > 0, error(F.lit("ParseError"), F.concat(lost.cast("string"), F.lit(" incomplete entries"))))
+                         .alias("e"))
+    return picked.filter(F.col("e").isNotNull()).select(
+        F.lit("rss").alias("source_type"), F.coalesce("feed_url", "feed_name").alias("source_id"),
+        "e.error_type", "e.error_message", F.lit(now).cast("timestamp").alias("timestamp"))
 
 
 def feed_entries(docs: DataFrame) -> DataFrame:
     """One row per complete entry of every fetched document, with its position and the feed title."""
-    ok = docs.filter(F.col("fetch_error").isNull() & F.col("status").between(200, 299))
-    head = F.regexp_extract(F.col("body"), r"(?s)^(.*?)<(item|entry)[\s>]", 1)
-    feed_title = F.nullif(F.regexp_extract(F.when(head != "", head).otherwise(F.col("body")), FEED_TITLE, 1), F.lit(""))
-    return ok.select(
-        "feed_name", "feed_url", F.col("seq").alias("doc_seq"), feed_title.alias("feed_title"),
-        F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(FRAGMENT), 0)).alias("pos", "fragment"),
+    tidy = compute_once(docs.filter(_feed_like(docs)), [tidy_body(F.col("body")).alias("_tidy")])
+    head = F.regexp_extract(F.col("_tidy"), r"(?s)^(.*?)<(item|entry)[\s>]", 1)
+    title = F.regexp_extract(F.when(head != "", head).otherwise(F.col("_tidy")), FEED_TITLE, 1)
+    return tidy.select(
+        "feed_name", "feed_url", F.col("seq").alias("doc_seq"), F.nullif(F.trim(decode_entities(title)), F.lit("")).alias("feed_title"),
+        F.posexplode(F.regexp_extract_all(F.col("_tidy"), F.lit(FRAGMENT), F.lit(0))).alias("pos", "fragment"),
     )
 
 
 def entries_to_items(entries: DataFrame, now) -> DataFrame:
-    """Entry fragments → raw item columns (P2, P3, P4). RSS and Atom fragments use their own schema."""
-    is_atom = F.col("fragment").startswith("<entry")
+    """Entry fragments → raw item columns (P2, P3, P4). RSS and Atom fragments use their own schema; a fragment that is not
+    well formed is read tag by tag."""
+    is_atom, fragment = F.col("fragment").startswith("<entry"), F.col("fragment")
+    options = {"columnNameOfCorruptRecord": "_broken"}
     # each fragment is parsed once; the window/content filters that follow cannot copy the parse (compute_once)
-    e = compute_once(entries, [F.when(~is_atom, F.from_xml(F.col("fragment"), RSS_ITEM)).alias("r"),
-                               F.when(is_atom, F.from_xml(F.col("fragment"), ATOM_ENTRY)).alias("a")])
+    e = compute_once(entries, [F.when(~is_atom, F.from_xml(fragment, RSS_ITEM, options)).alias("r"),
+                               F.when(is_atom, F.from_xml(fragment, ATOM_ENTRY, options)).alias("a")])
     atom_link = F.coalesce(
         F.try_element_at(F.filter(F.col("a.link"), lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
                          .getField("_href"), F.lit(1)),
         F.try_element_at(F.col("a.link").getField("_href"), F.lit(1)))
-    url = F.when(is_atom, atom_link).otherwise(F.col("r.link"))
-    title = F.when(is_atom, F.col("a.title")).otherwise(F.col("r.title"))
-    candidates = F.when(is_atom, F.array(F.col("a.content._VALUE"), F.col("a.summary"))).otherwise(
-        F.array(F.col("r.`content:encoded`"), F.col("r.description")))
-    published = F.coalesce(
-        parse_feed_date(F.when(is_atom, F.col("a.published")).otherwise(F.col("r.pubDate"))),
-        parse_feed_date(F.when(is_atom, F.col("a.updated"))),
-        F.lit(now).cast("timestamp"))
-    tags = F.when(is_atom, F.transform(F.col("a.category"), lambda c: c["_term"])).otherwise(F.col("r.category"))
-    e = compute_once(e, [longest_text(candidates).alias("_content"), published.alias("_published")])
+    broken = F.coalesce(F.when(is_atom, F.col("a._broken")).otherwise(F.col("r._broken"))).isNotNull()
+    href = F.nullif(F.regexp_extract(fragment, r"(?s)<link[^>]*?href=[\"']([^\"']*)[\"']", 1), F.lit(""))
+    by_attribute = F.regexp_extract_all(fragment, F.lit(r"<category[^>]*?term=[\"']([^\"']*)[\"']"), F.lit(1))
+    by_tag = F.regexp_extract_all(fragment, F.lit(r"(?s)<category(?:\s[^>]*)?>(.*?)</category\s*>"), F.lit(1))
+
+    def either(xml: F.Column, loose: F.Column) -> F.Column:
+        return F.when(broken, loose).otherwise(xml)
+
+    e = compute_once(e, [
+        either(F.when(is_atom, F.col("a.title")).otherwise(F.col("r.title")), _tag(fragment, "title")).alias("_title"),
+        either(F.when(is_atom, atom_link).otherwise(F.col("r.link")),
+               F.when(is_atom, decode_entities(href)).otherwise(_tag(fragment, "link"))).alias("_url"),
+        either(F.when(is_atom, F.array(F.col("a.content._VALUE"), F.col("a.summary"))).otherwise(
+            F.array(F.col("r.`content:encoded`"), F.col("r.description"))),
+            F.array(*[_tag(fragment, t) for t in ("content:encoded", "content", "description", "summary")])).alias("_texts"),
+        either(F.when(is_atom, F.col("a.published")).otherwise(F.col("r.pubDate")),
+               F.when(is_atom, _tag(fragment, "published")).otherwise(_tag(fragment, "pubDate"))).alias("_published"),
+        F.when(is_atom, either(F.col("a.updated"), _tag(fragment, "updated"))).alias("_updated"),
+        either(F.when(is_atom, F.col("a.author.name")).otherwise(F.coalesce(F.col("r.author"), F.col("r.`dc:creator`"))),
+               F.when(is_atom, _tag(fragment, "name")).otherwise(F.coalesce(_tag(fragment, "author"), _tag(fragment, "dc:creator")))
+               ).alias("_author"),
+        either(F.when(is_atom, F.col("a.id")).otherwise(F.col("r.guid")),
+               F.when(is_atom, _tag(fragment, "id")).otherwise(_tag(fragment, "guid"))).alias("_entry"),
+        either(F.when(is_atom, F.transform(F.col("a.category"), lambda c: c["_term"])).otherwise(F.col("r.category")),
+               F.transform(F.when(is_atom, by_attribute).otherwise(by_tag), decode_entities)).alias("_tags"),
+    ])
+    published = F.coalesce(parse_feed_date("_published"), parse_feed_date("_updated"), F.lit(now).cast("timestamp"))
+    e = compute_once(e, [longest_text("_texts").alias("_content"), published.alias("_when")])
+    too_many = F.coalesce(F.col("doc_seq"), F.lit(0)) >= F.lit(1 << (63 - SEQ_BITS))
+    seq = F.when(too_many, F.raise_error(F.lit("a document's seq must stay below 2^35")).cast("long")).otherwise(
+        F.shiftleft(F.coalesce(F.col("doc_seq"), F.lit(0)).cast("long"), SEQ_BITS) + F.col("pos"))
     return e.select(
         F.lit("rss").alias("source_type"),
         F.col("feed_url").alias("source_id"),
-        title.alias("title"),
+        F.col("_title").alias("title"),
         F.col("_content").alias("content"),
-        F.when(is_atom, F.col("a.author.name")).otherwise(F.coalesce(F.col("r.author"), F.col("r.`dc:creator`")))
-        .alias("author"),
-        F.col("_published").alias("published_at"),
-        url.alias("url"),
+        F.col("_author").alias("author"),
+        F.col("_when").alias("published_at"),
+        F.col("_url").alias("url"),
         F.struct(
             F.col("feed_name").alias("feed_name"), F.col("feed_title").alias("feed_title"),
-            F.when(is_atom, F.col("a.id")).otherwise(F.col("r.guid")).alias("entry_id"),
-            F.coalesce(tags, empty_strings()).alias("tags"),
+            F.col("_entry").alias("entry_id"),
+            F.coalesce(F.col("_tags"), empty_strings()).alias("tags"),
             F.lit(None).cast("array<string>").alias("merged_from_sources"),
             F.lit(None).cast("array<string>").alias("merged_from_ids"),
             F.lit(None).cast("array<string>").alias("all_urls"),
             F.lit(None).cast("map<string,struct<feed_name:string,feed_title:string,entry_id:string,tags:array<string>>>")
             .alias("source_metadata"),
         ).alias("raw_metadata"),
-        (F.col("doc_seq") * F.lit(1_000_000) + F.col("pos")).cast("long").alias("seq"),
+        seq.alias("seq"),
     )
 
 

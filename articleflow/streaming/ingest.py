@@ -3,8 +3,9 @@
 * T1 ``stream_table`` – landed files read once each by the file source (checkpointed offsets).
 * T2 ``dedup_within_window`` – duplicate ids dropped across micro-batches while they are inside the backfill
   window (watermark on published_at); the state is bounded by the window, rows later than it are dropped.
-* T3 ``upsert_sink`` – each micro-batch is merged into a versioned table with ``merge_news``; the batch id is
-  recorded in the version, so a retried batch is not applied twice.
+* T3 ``upsert_sink`` – each micro-batch is upserted into the day-partitioned news table, which rewrites only the days it
+  touches. A marker per batch id is written after the commit; a batch that is retried between the two is applied again, with
+  the same result, because the upsert is keyed.
 * T4 ``daily_topic_counts`` – topic counts per publication day with a watermark, emitted in update mode; the
   sink keeps, per (day, topic), the count of the latest batch (an idempotent, keyed sink).
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from articleflow.session import scratch_path
+from articleflow.session import materialize, scratch_path
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType, max_files: int = 1,
@@ -85,10 +86,9 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str], value_cols: l
 
 
 def upsert_sink(table, now: datetime, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink merging each batch into a ``store.VersionedTable`` (T3). ``prepare`` turns a batch of
-    raw rows into processed rows. A batch id already applied (recorded in ``_batches``) is skipped."""
-    from articleflow.operators.store import merge_news
-
+    """foreachBatch sink upserting each batch into a ``store.NewsTable`` (T3). ``prepare`` turns a batch of raw rows into
+    processed rows with unique ids; they are stored once, as the upsert reads them twice. A batch id already
+    applied (marked in ``_batches``) is skipped."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         done = f"{table.path}/_batches/b{batch_id:09d}"
         jvm = batch.sparkSession.sparkContext._jvm
@@ -96,8 +96,6 @@ def upsert_sink(table, now: datetime, prepare: Callable[[DataFrame], DataFrame])
         fs = p.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
         if fs.exists(p):
             return
-        incoming = prepare(batch)
-        merged = merge_news(table.read(), incoming, now).drop("change")
-        table.commit(merged)
+        table.upsert(materialize(prepare(batch), "stream-batch"), now, unique_keys=True)
         fs.mkdirs(p)
     return sink
