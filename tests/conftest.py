@@ -31,7 +31,7 @@ RAW_DDL = ("source_type string, source_id string, item_id string, title string,
            "entry_id:string,tags:array<string>>>>, seq long")
 
 
-def raw_row(item_id="abc123", title="AI News", content="Short text.", source_type="rss", source_id="http://feed/a",
+def raw_row(item_id="k1", title="Harbour", content="A short note.", source_type="rss", source_id="http://feed/a",
             published_at=None, url="https://example.com/a", author="Ann", feed_name="Feed A", seq=0):
     meta = (feed_name, None, f"e{seq}", [], None, None, None, None)
     return (source_type, source_id, item_id, title, content, author, published_at or ts(2024, 12, 23, 10),

@@ -80,5 +80,20 @@ def test_relevance_options(spark):
     df = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.5), ("d", 0.4), ("e", 0.1)], "item_id string, relevance_score double")
     assert [r.item_id for r in E.relevance_filter(df, 0.7).collect()] == ["a", "b"]
     assert tuple(E.relevance_breakdown(df).collect()[0]) == (2, 2, 1)
-    ok = F.col("relevance_score").between(0.0, 1.0)
-    assert df.filter(ok).count() == 5
+    assert [r.item_id for r in E.by_relevance(df.unionByName(spark.createDataFrame([("n", None)], df.schema))
+                                              .withColumn("published_at", F.lit(0))).collect()] == ["a", "b", "c", "d", "e", "n"]
+
+
+def test_score_bound_in_the_output_contract(raw_df):
+    d = E.enrich(dedup_exact(raw_df([raw_row(item_id=i, content=LONG, seq=n) for n, i in enumerate("abc")])))
+    s = d.withColumn("relevance_score", F.when(F.col("item_id") == "a", 0.3).when(F.col("item_id") == "b", 1.3))
+    valid, quarantine = E.split_valid(s, relevance_score="relevance_score")
+    assert [r.item_id for r in valid.collect()] == ["a"] and sorted(r.item_id for r in quarantine.collect()) == ["b", "c"]
+    p = E.to_processed(valid, RunContext(run_date=ts(2024, 12, 23), now=ts(2024, 12, 23))).first()
+    assert p.relevance_score == 0.3
+
+
+def test_one_raising_row_costs_one_row(raw_df):
+    rows = [raw_row(item_id=i, seq=n, content=LONG) for n, i in enumerate(["x9", *[f"ok{k}" for k in range(60)], "x8"])]
+    e = {r.item_id: r for r in E.enrich(dedup_exact(raw_df(rows)), Flaky(), max_concurrent=1, pause_seconds=0).collect()}
+    assert {i for i, r in e.items() if r.enrich_error} == {"x8", "x9"} and e["x8"].enrich_error.startswith("RuntimeError")

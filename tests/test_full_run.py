@@ -29,7 +29,7 @@ def test_full_run_and_rerun(spark, raw_df):
     store = tempfile.mkdtemp()
     ctx = RunContext(run_date=ts(2024, 12, 23), backfill_days=7, run_id="r1", now=ts(2024, 12, 23, 12))
     res = run(spark, ctx, collectors(raw_df), None, store)
-    assert (res.status, res.items_collected, res.items_persisted) == ("completed", 7, 6)
+    assert (res.status, res.items_collected, res.items_processed, res.items_persisted) == ("completed", 7, 6, 6)
     news = S.NewsTable(spark, f"{store}/news_items").read(res.news_version)
     merged = news.filter(F.col("item_id") == "i0").collect()[0]
     assert merged.source_types == ["gmail", "rss"]
@@ -56,6 +56,15 @@ def test_empty_input_still_logs_the_run(spark, raw_df):
     assert runs_of(spark, store)["empty"].status == "completed"
 
 
+def test_errors_of_two_collectors_and_backfill_bound(spark, raw_df):
+    ddl = "source_type string, source_id string, error_type string, error_message string, timestamp timestamp"
+    errors = [spark.createDataFrame([(k, "s", "E", "m", ts(2024, 12, 1))] * n, ddl) for k, n in (("rss", 2), ("gmail", 1))]
+    ctx = RunContext(run_date=ts(2024, 12, 23), backfill_days=7, run_id="e", now=ts(2024, 12, 23))
+    assert run(spark, ctx, collectors(raw_df), errors, tempfile.mkdtemp()).collection_errors == 3
+    with pytest.raises(ValueError):
+        run(spark, RunContext(run_date=ts(2024, 12, 23), backfill_days=31), collectors(raw_df), None, tempfile.mkdtemp())
+
+
 def test_failed_run_is_recorded(spark, raw_df):
     store = tempfile.mkdtemp()
 
