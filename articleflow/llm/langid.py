@@ -9,7 +9,8 @@ most posterior mass over its words that hold a letter, and its score is that sha
 Training: about ``per_language`` documents of each language, chosen by hash (a bounded sample; the bound is that
 parameter), are split over ``shards``; in every round each shard takes a pass of stochastic gradient steps on the
 chain likelihood from the common weights, and the weights are averaged. As training documents carry one language each, a
-share of the chains is spliced from lines of two languages, so that switches are learned too. Only weights reach the driver.
+share of the chains is spliced from lines of two languages, so that switches are learned too. One task takes the mean of the shards' weights, so
+the driver gets one set of them however many shards there are.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; ties go to the language that sorts
 first; when there is nothing to learn from, every text is ``und``. Rows are judged each on its own, whole texts always.
