@@ -66,15 +66,17 @@ def extractive_provider(df: DataFrame) -> DataFrame:
     Texts with fewer than three sentences give fewer than three key points and fail validation on purpose."""
     pre = df.withColumn("_sent", sentences(F.col("content"))).withColumn("_low", F.lower(F.col("content")))
     sent, low = F.col("_sent"), F.col("_low")
-    ranked = F.transform(
-        F.array_sort(F.transform(sent, lambda s, i: F.struct((-F.length(s)).alias("k"), i.alias("i"), s.alias("s")))),
-        lambda x: x["s"],
-    )
-    hits = F.filter(F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in TOPIC_KEYWORDS]), lambda x: x.isNotNull())
+    # lengths and positions are sorted, not sentences; the five chosen ones are fetched by position
+    order = F.slice(F.array_sort(F.transform(sent, lambda s, i: F.struct((-F.length(s)).alias("k"), i.alias("i")))), 1, KEY_POINTS_MAX)
+    ranked = F.transform(order, lambda x: F.element_at(sent, x["i"] + 1))
+    # one pass tells texts without any keyword, which are most, from those that need a pass per topic
+    hits = F.when(low.rlike("|".join(p for _, p in TOPIC_KEYWORDS)), F.filter(
+        F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in TOPIC_KEYWORDS]), lambda x: x.isNotNull())).otherwise(
+        F.array().cast("array<string>"))
     out = compute_once(pre, [
         F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")), F.try_element_at(sent, F.lit(1))).alias("e_title"),
         F.nullif(F.array_join(F.slice(sent, 1, SUMMARY_SENTENCES), " "), F.lit("")).alias("e_summary"),
-        F.slice(ranked, 1, KEY_POINTS_MAX).alias("e_key_points"),
+        ranked.alias("e_key_points"),
         F.when(F.size(hits) > 0, F.slice(hits, 1, TOPICS_MAX)).otherwise(F.array(hashed_topic("item_id"))).alias("e_topics"),
         F.when(low.rlike(TUTORIAL_PATTERN), F.lit("tutorial")).otherwise(F.lit("news")).alias("e_article_type"),
     ])

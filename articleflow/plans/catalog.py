@@ -719,6 +719,17 @@ def q_feed_errors(spark, sf_dir):
     return e.select("source_type", "source_id", "error_type", F.col("error_message").alias("error"))
 
 
+def q_landed_documents(spark, sf_dir):
+    """Feed documents landed as a table, read back and parsed (S3)."""
+    from articleflow.session import scratch_path
+    from articleflow.sources.feeds import collect_feeds, read_landed_documents, rss_documents
+
+    path = scratch_path(spark, "landed")
+    rss_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])).write.parquet(path)
+    items, _ = collect_feeds(read_landed_documents(spark, path), ctx())
+    return items.select("item_id", "title", F.col("raw_metadata.entry_id").alias("entry_id"), F.length("content").cast("long").alias("content_len"))
+
+
 def messy_documents(documents: DataFrame) -> DataFrame:
     """Documents as feed documents of the kinds found in the wild: named entities and bare ampersands, CDATA that holds
     ``</item>``, unclosed tags, Atom entries, a feed title in CDATA. One document per (source, kind, id range)."""
@@ -987,6 +998,7 @@ QUERIES = {
     "vector_ivf_full": q_vector_ivf_full,
     "stream_upsert_updates": q_stream_upsert_updates,
     "feed_parse_messy": q_feed_parse_messy,
+    "landed_documents": q_landed_documents,
     "feed_errors_all": q_feed_errors_all,
     "dedup_landed_feeds": q_dedup_landed_feeds,
     "enrich_retry": q_enrich_retry,

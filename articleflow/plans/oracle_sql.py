@@ -641,6 +641,11 @@ SELECT substr(sha256(url), 1, 32) AS item_id, url, title, CASE WHEN kind = 4 THE
        CAST(length(content) AS BIGINT) AS content_len, sha256(content) AS content_sha, """ + ts("published") + """ AS published_at
 FROM x WHERE length(text) > 0"""
 
+Q["landed_documents"] = """
+SELECT substr(sha256('https://letters.example/' || source || '/' || CAST(doc_id AS VARCHAR)), 1, 32) AS item_id,
+       'Note ' || CAST(doc_id AS VARCHAR) AS title, 'doc-' || CAST(doc_id AS VARCHAR) AS entry_id, CAST(length(text) AS BIGINT) AS content_len
+FROM documents WHERE length(text) > 0"""
+
 Q["feed_errors_all"] = """
 WITH e AS (SELECT CAST(event_id AS VARCHAR) AS n, event_id % 7 AS kind FROM events)
 SELECT 'rss' AS source_type, 'u' || n AS source_id,
