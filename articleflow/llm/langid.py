@@ -178,11 +178,14 @@ def chains_of(raw: bytes) -> list[list[bytes]]:
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, key: str, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, chosen by a hash of ``key``: (lang, text)."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7)), F.lit(1_000_003))
-    joined = rows.join(F.broadcast(counts.limit(10_000)), F.col(lang_col) == F.col("_l"))  # one row per language
-    return joined.filter(slot * F.col("_n") < F.lit(1_000_003 * per_language)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    lang = F.col(lang_col).cast("string")
+    counts = rows.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()  # the model has a column per language
+    picked = rows.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text"),
+                         F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(7)), F.lit(1_000_003)).alias("_slot"))
+    if not counts:
+        return picked.drop("_slot")
+    n = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["l"], r["n"])]), F.col("lang"))
+    return picked.filter(F.col("_slot") * n < F.lit(1_000_003 * per_language)).drop("_slot")
 
 
 def learn_lexicon(sample: DataFrame, model: Model, per_language: int) -> None:
