@@ -180,7 +180,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     repeated = materialize(per_id.filter((F.col("__sim_n") > 1) | F.col("__sim_id").isNull()).select("__sim_id"), "simhash-repeated")
     alone = materialize(heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("__sim_id")), "left_anti")
                         .select(F.col("doc_id").alias("__sim_id")), "simhash-kept")
-    single = docs.join(alone, F.col(id_col) == F.col("__sim_id")).select(*same)
+    # the kept ids have no size bound, so they are never broadcast: the same shuffle join at every size
+    single = docs.join(alone.hint("merge"), F.col(id_col) == F.col("__sim_id")).select(*same)
     chosen = materialize(heads.join(repeated, F.col("doc_id").eqNullSafe(F.col("__sim_id")), "left_semi")
                          .groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
                          .select(F.col("doc_id").alias("__sim_id"), F.col("fp").alias("__sim_kept")), "simhash-chosen")
