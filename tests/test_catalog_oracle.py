@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
+#: An approximate index, cost figures, JSON lines (parsed back by payload_items).
+NO_ORACLE = {"vector_ivf", "vector_lsh", "payload_json"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -49,8 +51,9 @@ def test_query_matches_oracle(spark, con, name):
     df = entry_module.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     sql = entry_module.oracle_sql().get(name)
-    if sql is None:
-        assert len(df.columns) > 0
+    if sql is None:  # only these have none; they must still give rows
+        assert name in NO_ORACLE or name.startswith("op") or name == "pipeline", name
+        assert rows
         return
     res = con.sql(sql)
     assert sorted(df.columns) == sorted(res.columns)

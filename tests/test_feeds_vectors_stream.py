@@ -201,6 +201,27 @@ def test_streaming_dedup_across_batches(spark):
     _ = F
 
 
+def test_sender_list_with_counts(spark):
+    from articleflow.operators.collect import feed_coverage
+    from articleflow.sources.feeds import senders_frame
+
+    senders = senders_frame(spark, [("Weekly", "w@x.example"), ("Daily", "d@x.example")])
+    items = spark.createDataFrame([("w@x.example",), ("w@x.example",), ("other",)], "source_id string")
+    got = {r.name: r["items"] for r in feed_coverage(senders, items, feed_key="email").collect()}
+    assert got == {"Weekly": 2, "Daily": 0}
+
+
+def test_list_index_recall(vecs):
+    cent, assigned = V.ivf_index(vecs, lists=10)
+    hits = total = 0
+    for r in vecs.filter("vec_id % 60 = 0").collect():
+        q = [float(x) for x in r.embedding]
+        want = {x.vec_id for x in V.cosine_topk(vecs, q, 10).collect()}
+        hits += len(want & {x.vec_id for x in V.ivf_search(cent, assigned, q, 10, probes=7).collect()})
+        total += len(want)
+    assert hits >= 0.8 * total
+
+
 def test_landed_files_joined_to_feed_list(spark):
     import os
 
