@@ -383,7 +383,7 @@ def _upsert_inputs(spark, sf_dir):
 
 def q_upsert_merge(spark, sf_dir):
     stored, incoming = _upsert_inputs(spark, sf_dir)
-    m = S.merge_news(stored, incoming, SECOND_RUN_AT)
+    m = S.merge_news(stored, incoming, SECOND_RUN_AT, unique_keys=True)  # the batch comes out of dedup
     return m.select("item_id", "change", plain_ts("published_at").alias("published_at"),
                     plain_ts("processed_at").alias("processed_at"), plain_ts("created_at").alias("created_at"),
                     plain_ts("updated_at").alias("updated_at"), "title")
@@ -392,7 +392,7 @@ def q_upsert_merge(spark, sf_dir):
 def q_upsert_columns_kept(spark, sf_dir):
     """Updated rows only: published_at and created_at come from the stored row, the rest from the new run."""
     stored, incoming = _upsert_inputs(spark, sf_dir)
-    m = S.merge_news(stored, incoming, SECOND_RUN_AT).filter(F.col("change") == "updated")
+    m = S.merge_news(stored, incoming, SECOND_RUN_AT, unique_keys=True).filter(F.col("change") == "updated")
     return m.select("item_id", plain_ts("published_at").alias("published_at"), plain_ts("created_at").alias("created_at"),
                     plain_ts("updated_at").alias("updated_at"), plain_ts("processed_at").alias("processed_at"))
 

@@ -81,8 +81,8 @@ def keyed_batch_sink(out: str) -> Callable[[DataFrame, int], None]:
 def latest_per_key(spark: SparkSession, out: str, keys: list[str], value_cols: list[str]) -> DataFrame:
     """Final state of an update-mode sink: per key, the values of the latest batch."""
     df = spark.read.parquet(out)
-    row = F.struct(*[F.col(c) for c in value_cols])
-    return df.groupBy(*keys).agg(F.max_by(row, F.col("batch_id")).alias("_v")).select(*keys, "_v.*")
+    # a batch names a key once, so every column comes from the same row; plain columns are aggregated by hashing
+    return df.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in value_cols])
 
 
 def upsert_sink(table, now: datetime, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
