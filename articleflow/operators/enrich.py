@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,12 @@ def hashed_topic(item_id="item_id") -> F.Column:
     return F.element_at(F.array(*[F.lit(t) for t in TOPIC_CATEGORIES]), (idx % len(TOPIC_CATEGORIES) + 1).cast("int"))
 
 
+def _mentions(text: F.Column, words: str) -> F.Column:
+    """Whether the text holds one of the ``|``-separated words. Plain substring searches: each is several times as fast as
+    trying all words at every place with a regular expression."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words.split("|")])
+
+
 def extractive_provider(df: DataFrame) -> DataFrame:
     """Built-in column provider (N2). Over the whole content:
     title = given title, else the first sentence; summary = the first two sentences; key points = the five
@@ -69,16 +76,13 @@ def extractive_provider(df: DataFrame) -> DataFrame:
     # lengths and positions are sorted, not sentences; the five chosen ones are fetched by position
     order = F.slice(F.array_sort(F.transform(sent, lambda s, i: F.struct((-F.length(s)).alias("k"), i.alias("i")))), 1, KEY_POINTS_MAX)
     ranked = F.transform(order, lambda x: F.element_at(sent, x["i"] + 1))
-    # one pass tells texts without any keyword, which are most, from those that need a pass per topic
-    hits = F.when(low.rlike("|".join(p for _, p in TOPIC_KEYWORDS)), F.filter(
-        F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in TOPIC_KEYWORDS]), lambda x: x.isNotNull())).otherwise(
-        F.array().cast("array<string>"))
+    hits = F.filter(F.array(*[F.when(_mentions(low, p), F.lit(t)) for t, p in TOPIC_KEYWORDS]), lambda x: x.isNotNull())
     out = compute_once(pre, [
         F.coalesce(F.nullif(F.trim(F.col("title")), F.lit("")), F.try_element_at(sent, F.lit(1))).alias("e_title"),
         F.nullif(F.array_join(F.slice(sent, 1, SUMMARY_SENTENCES), " "), F.lit("")).alias("e_summary"),
         ranked.alias("e_key_points"),
         F.when(F.size(hits) > 0, F.slice(hits, 1, TOPICS_MAX)).otherwise(F.array(hashed_topic("item_id"))).alias("e_topics"),
-        F.when(low.rlike(TUTORIAL_PATTERN), F.lit("tutorial")).otherwise(F.lit("news")).alias("e_article_type"),
+        F.when(_mentions(low, TUTORIAL_PATTERN), F.lit("tutorial")).otherwise(F.lit("news")).alias("e_article_type"),
     ])
     return out.drop("_sent", "_low")
 
