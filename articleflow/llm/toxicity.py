@@ -84,13 +84,13 @@ def swapped_sentences(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def fit(rows: list[tuple[int, list[int], list[float]]], swaps: Counter, index: dict[str, int], fairness: float,
+def fit(rows: list[tuple[int, bytes, bytes]], swaps: Counter, index: dict[str, int], fairness: float,
         ridge: float, steps: int = 400, rate: float = 0.1) -> Model:
-    """Logistic loss with both classes weighing the same, plus ``fairness`` times the mean squared score change of the swaps (Adam on the full sample)."""
+    """A model from rows of (label, feature numbers as int32, values as float32). Logistic loss with both classes weighing the same, plus ``fairness`` times the mean squared score change of the swaps (Adam on the full sample)."""
     y = np.array([r[0] for r in rows], dtype=float)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.array([c for r in rows for c in r[1]], dtype=np.int64)
-    val = np.array([v for r in rows for v in r[2]], dtype=float)
+    row = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
+    col = np.frombuffer(b"".join(r[1] for r in rows), np.int32).astype(np.int64)
+    val = np.frombuffer(b"".join(r[2] for r in rows), np.float32).astype(float)
     pairs = [(index[a], index[b], n) for (a, b), n in swaps.items()]
     a, b, n = (np.array(x, dtype=float) for x in zip(*pairs)) if pairs else (np.zeros(0),) * 3
     a, b, n = a.astype(int), b.astype(int), n / max(1.0, n.sum())
@@ -158,15 +158,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             rows = []
             for label, fs, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                hits = [(known[f], math.log1p(c)) for f, c in zip(fs, ns) if f in known]
-                rows.append((label, [h[0] for h in hits], [h[1] for h in hits]))
+                hits = sorted((known[f], math.log1p(c)) for f, c in zip(fs, ns) if f in known)
+                rows.append((label, np.array([h[0] for h in hits], np.int32).tobytes(),
+                             np.array([h[1] for h in hits], np.float32).tobytes()))
             if rows:
                 labels_, cols, vals = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(labels_, pa.int32()), pa.array(cols, pa.list_(pa.int32())),
-                                                  pa.array(vals, pa.list_(pa.float64()))], names=["y", "cols", "vals"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels_, pa.int32()), pa.array(cols, pa.binary()),
+                                                  pa.array(vals, pa.binary())], names=["y", "cols", "vals"])
 
-    slim = stored.select("_label", "names", "counts").mapInArrow(restrict, "y int, cols array<int>, vals array<double>")
-    rows = sorted((r["y"], list(r["cols"]), list(r["vals"])) for r in slim.collect())  # bounded by train_rows
+    slim = stored.select("_label", "names", "counts").mapInArrow(restrict, "y int, cols binary, vals binary")
+    # bounded by train_rows and the vocabulary: eight bytes a feature that a document has
+    rows = sorted((r["y"], bytes(r["cols"]), bytes(r["vals"])) for r in slim.collect())
     pairs = stored.select(F.explode("swaps").alias("s")).groupBy("s").count().collect()  # bounded by the term list
     swaps = Counter({tuple(r["s"].split("\t")): r["count"] for r in pairs})
     return fit(rows, swaps, index, fairness, ridge)
