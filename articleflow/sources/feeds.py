@@ -139,10 +139,13 @@ def collection_errors(docs: DataFrame, now) -> DataFrame:
                                                     F.lit(": "), F.coalesce("reason", F.lit(""))))
     body = F.coalesce(F.col("body"), F.lit(""))
     rootless = ~body.rlike(FEED_ROOT)
-    tidy = tidy_body(body)
-    lost = F.regexp_count(tidy, F.lit(OPENING)) - F.size(F.regexp_extract_all(tidy, F.lit(FRAGMENT), F.lit(0)))
     fine = _feed_like(docs)
-    picked = docs.select("feed_name", "feed_url", F.when(F.col("fetch_error").isNotNull(), transport).when(~fine, http)
+    # the tidied body of good documents is made once and read by both counts
+    tidied = compute_once(docs, [F.when(fine & ~rootless, tidy_body(body)).alias("_tidy")])
+    counted = compute_once(tidied, [(F.regexp_count("_tidy", F.lit(OPENING)) - F.size(
+        F.regexp_extract_all("_tidy", F.lit(FRAGMENT), F.lit(0)))).alias("_lost")])
+    lost = F.col("_lost")
+    picked = counted.select("feed_name", "feed_url", F.when(F.col("fetch_error").isNotNull(), transport).when(~fine, http)
                          .when(rootless, error(F.lit("ParseError"), F.lit("the body is no feed")))
                          .when(lost > 0, error(F.lit("ParseError"), F.concat(lost.cast("string"), F.lit(" incomplete entries"))))
                          .alias("e"))
