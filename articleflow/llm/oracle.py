@@ -65,8 +65,10 @@ v AS (
   FROM f),
 lines AS (SELECT rid, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (bad) AS failed_lines,
                  coalesce(sum(n) FILTER (NOT bad), 0) AS kept_words FROM v GROUP BY rid),
-pos AS (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
-g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, list_slice(ws, i, i + 4)) AS c FROM pos),
+pos AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE len(ws) >= 5),
+gram AS (SELECT rid, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five
+         FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS c FROM gram WHERE five IS NOT NULL),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM g, range(0, 5) t(k) WHERE c > 1 GROUP BY rid),
 a AS (
   SELECT w.rid, w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

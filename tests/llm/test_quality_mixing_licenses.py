@@ -133,3 +133,15 @@ def test_license_sentences_rules_and_order(spark):
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert licenses.scan(df.filter(F.col("doc_id") == 6)).first().licenses == "NONE"
+
+
+def test_slices_bound_the_bytes_and_keep_all_rows():
+    import pyarrow as pa
+
+    from articleflow.llm.common import SLICE_BYTES, slices
+
+    sizes = [0, 10, SLICE_BYTES + 5, 3, SLICE_BYTES // 2, SLICE_BYTES // 2, 7, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([None if n == 3 else "x" * n for n in sizes])], names=["i", "t"])
+    parts = list(slices(iter([batch, batch.slice(0, 0)]), 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(sizes)))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= SLICE_BYTES for p in parts)
