@@ -28,6 +28,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -104,10 +105,15 @@ def ball_variants(max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def _table(rows: list[tuple[int, int]], first: str, second: str):
+    """Pairs of numbers as one array constant (a single literal, folded when the plan is made)."""
+    text = json.dumps([{first: a, second: b} for a, b in rows])
+    return F.from_json(F.lit(text), f"array<struct<{first}:bigint,{second}:bigint>>")
+
+
 def meeting(distinct: DataFrame, max_bits: int = 3, groups: int = 3) -> DataFrame:
     """The fingerprints (fp) that meet another one at a masked variant."""
-    spots = F.array(*[F.struct(F.lit(k).cast("long").alias("kept"), F.lit(f).cast("long").alias("flip"))
-                      for k, f in masked_variants(max_bits, groups)])
+    spots = _table(masked_variants(max_bits, groups), "kept", "flip")
     # a small table in few files becomes many rows here, so it is spread over the shuffle partitions first
     spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     emitted = spread.select("fp", F.explode(F.transform(spots, lambda s: F.col("fp").bitwiseAND(s["kept"])
@@ -120,8 +126,7 @@ def meeting(distinct: DataFrame, max_bits: int = 3, groups: int = 3) -> DataFram
 def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
     """(a, b) links that connect exactly the components of the relation "at most ``max_bits`` bits differ"."""
     radius = max_bits // 2
-    spots = F.array(*[F.struct(F.lit(f).cast("long").alias("flip"), F.lit(n).alias("n"))
-                      for f, n in ball_variants(max_bits)])
+    spots = _table(ball_variants(max_bits), "flip", "n")
     spread = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     emitted = spread.select("fp", F.explode(F.transform(spots, lambda s: F.struct(
         F.col("fp").bitwiseXOR(s["flip"]).alias("variant"), s["n"].alias("n")))).alias("v")).select("fp", "v.*")
