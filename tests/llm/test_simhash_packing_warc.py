@@ -201,7 +201,7 @@ def test_archives_round_trip(spark):
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, payload_bytes int")
     folder = "file://" + tempfile.mkdtemp(prefix="warc-test-")
     manifest = warc.write_archives(df.repartition(3), folder, max_archive_bytes=1 << 20, sample_bytes=4096)
-    assert manifest.agg({"records": "sum"}).first()[0] == len(pages) and manifest.count() > 3
+    assert manifest.agg({"records": "sum"}).first()[0] == len(pages) and manifest.count() >= 2
     records = warc.read_archives(manifest).select("*", warc.id_of("record_id", "long").alias("pid"),
                                                   warc.id_of("refers_to", "long").alias("ref")).collect()
     assert len(records) == len(pages) and not any(r.error for r in records)
