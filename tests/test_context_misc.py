@@ -40,3 +40,29 @@ def test_by_topic_nested_top_k(spark):
     nested = {r.primary_topic: [x.item_id for x in r["items"]]
               for r in P.by_topic_nested(P.by_topic_ranked(df), per_topic=2).collect()}
     assert nested == {"LLMs": ["i5", "i3"], "NLP": ["i4", "i2"]}
+
+
+def test_scratch_scope_removes_what_it_made(spark):
+    import os
+
+    from articleflow.session import materialize, scratch_path, scratch_scope
+
+    kept = materialize(spark.range(3), "outside")
+    with scratch_scope(spark):
+        inside = materialize(spark.range(5), "inside")
+        path = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert inside.count() == 5 and os.path.isdir(path)
+        scratch_path(spark, "never-written")
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from articleflow.session import checkpoint_dir
+
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda k, d: None))
+        session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None))
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(session)
