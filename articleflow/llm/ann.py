@@ -7,9 +7,10 @@ candidates are ranked by the footrule distance (sum of rank differences) to the
 query's footrule bound are reranked by the exact Euclidean distance in double precision, and the ``k`` best of each
 file meet in one small merge. A candidate posted in several probed files is judged in the first of them only.
 
-The footrule bound is the ``share`` quantile of the query's footrule distances to a bounded sample of vectors
-(``calibration`` rows, chosen by hash): it limits how far down the ranking reranking goes, by distance and not by count. A
-query that found fewer than ``k`` neighbours is answered exactly by a scan in blocks. ``share=1`` with ``probed`` and
+The footrule bound comes from a bounded sample of vectors (``calibration`` rows, chosen by hash): it is the ``share``
+quantile of the query's footrule distances to the sample, or the largest footrule distance among the sample's 2k nearest
+vectors if that is more. The second part widens the bound for queries inside a dense group, whose permutations hardly
+differ. The bound limits how far down the ranking reranking goes, by distance and not by count. A query that found fewer than ``k`` neighbours is answered exactly by a scan in blocks. ``share=1`` with ``probed`` and
 ``posted`` at ``pivots`` makes the index exact.
 
 Hot vectors: rows that repeat an id and its vector count once, and of equal vectors only the k + 1 smallest ids can be in any
@@ -17,7 +18,7 @@ answer (ties go to smaller ids, one may be the query's own), so only those are p
 copies share. Files are salted into blocks of about ``block_rows`` vectors, and every block sees only the queries that
 probe its pivot, so a file that holds a third of all vectors is many tasks of bounded size.
 
-Defined results: vectors that are null, empty, all zero, of another length than the pivots or hold null or non-finite
+Defined results: vectors that are null, empty, all zero, of another length than most vectors or hold null or non-finite
 components take no part, as queries or candidates; rows with a null id neither; a query never finds its own id; with
 fewer than ``k`` candidates all are returned; an empty table gives an empty result.
 """
@@ -51,9 +52,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _by_hash(df: DataFrame, n: int, salt: int) -> np.ndarray:
-    """At most ``n`` different vectors, the first by hash."""
-    rows = (df.select("vec").orderBy(F.xxhash64("vec", F.lit(salt)), "vec").limit(n).collect())
-    return np.array(sorted({tuple(r["vec"]) for r in rows}), dtype=np.float64)
+    """At most ``n`` vectors of a table that holds each vector once, the first by hash."""
+    rows = df.select("vec").orderBy(F.xxhash64("vec", F.lit(salt)), "vec").limit(n).collect()
+    return np.array(sorted(tuple(r["vec"]) for r in rows), dtype=np.float64)
 
 
 def ranks(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +96,19 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10
     """(query_id, rank, vec_id, score) for the rows whose id satisfies ``is_query``, against all rows."""
     spark = vectors.sparkSession
     every = materialize(valid_vectors(vectors, id_col, vec_col), "vectors")
-    pivot_rows = _by_hash(every, pivots, 1)
-    if not len(pivot_rows):
+    # of equal vectors the k + 1 smallest ids; Spark cuts to them before it shuffles
+    w = Window.partitionBy("vec").orderBy("vec_id")
+    few = materialize(every.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1), "distinct-vectors")
+    # the samples are taken from different vectors: copies of one vector must not crowd out the others
+    sizes = few.filter("_n = 1").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = pivot_rows.shape[1]
-    every = every.filter(F.size("vec") == dim)
-    sample = _by_hash(every, calibration, 2)
+    dim = sizes[0]["d"]  # the length that most vectors have
+    every, few = every.filter(F.size("vec") == dim), few.filter(F.size("vec") == dim)
+    different = few.filter("_n = 1")
+    pivot_rows, sample = _by_hash(different, pivots, 1), _by_hash(different, calibration, 2)
     n_pivots, posted, probed = len(pivot_rows), min(posted, len(pivot_rows)), min(probed, len(pivot_rows))
-    shared = spark.sparkContext.broadcast((pivot_rows, ranks(sample, pivot_rows)[1]))  # bounded by the parameters
+    shared = spark.sparkContext.broadcast((pivot_rows, ranks(sample, pivot_rows)[1], sample))  # bounded by the parameters
     at_least = min(len(sample), 20 * k) / len(sample)
 
     exact_type = np.float32 if dict(vectors.dtypes)[vec_col] == "array<float>" else np.float64  # keeps all digits
@@ -121,24 +127,24 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 10
                     names=["vec_id", "raw", "near", "place"])
 
     def ask(batches):
-        centre, calibrated = shared.value
+        centre, calibrated, known = shared.value
         for b in batches:
             if b.num_rows:
                 own = _matrix(b.column(1), dim)
                 order, place = ranks(own, centre)
-                bound = [float(np.quantile(footrule(calibrated, p), max(share, at_least), method="higher"))
-                         for p in place]
+                bound = []
+                for vector, p in zip(own, place):
+                    foot, dist = footrule(calibrated, p), distances(known, vector)
+                    closest = np.argsort(dist, kind="stable")[:2 * k]
+                    bound.append(float(max(np.quantile(foot, max(share, at_least), method="higher"), foot[closest].max())))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array([v.tobytes() for v in own.astype(exact_type)], pa.binary()),
                      pa.array(list(order[:, :probed].astype(np.int32)), pa.list_(pa.int32())),
                      pa.array([p.tobytes() for p in place.astype(place_type)], pa.binary()), pa.array(bound)],
                     names=["vec_id", "raw", "near", "place", "bound"])
 
-    # of equal vectors the k + 1 smallest ids; Spark cuts to them before it shuffles
-    w = Window.partitionBy("vec").orderBy("vec_id")
-    few = every.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1).drop("_n")
     row = "vec_id long, raw binary, near array<int>, place binary"
-    indexed = materialize(few.mapInArrow(post, row), "permutations")
+    indexed = materialize(few.drop("_n").mapInArrow(post, row), "permutations")
     asked = materialize(every.filter(is_query(F.col("vec_id"))).repartition(_width(spark), "vec_id")
                         .mapInArrow(ask, row + ", bound double"), "queries")
     # files are cut into blocks of vectors and their queries into blocks of queries: one row per pivot decides how many
