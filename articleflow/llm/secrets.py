@@ -1,7 +1,8 @@
 """Secret scan: candidates by shape and by assignment, then a random forest that removes false positives.
 
 Candidates are long tokens of key characters that hold a digit, values assigned to a name (``password=...``,
-``token: "..."``) and private-key headers. A candidate's features are its length, its mix of characters, entropy, character
+``token: "..."``) and private keys, from the BEGIN line through the matching END line (where that is missing, to
+the last base64 line). A candidate's features are its length, its mix of characters, entropy, character
 transitions (changes of character class, and the mean log-probability of its letter pairs in ordinary words),
 dictionary coverage (share of its letters inside known words), its path (test, example and documentation folders; whether
 it is itself part of a path or URL) and the words before and after it.
@@ -14,7 +15,7 @@ parameter), and the letter pairs and the dictionary come from about ``dictionary
 reach the driver; tasks apply them to every candidate of every whole text.
 
 Defined results: null and empty texts have no findings and stay as they are; overlapping candidates are one finding, the
-assigned value if there is one, else the longer; repeated rows are scanned each on its own; without positive or
+private key if there is one, then the assigned value, else the longer; repeated rows are scanned each on its own; without positive or
 without negative training findings every candidate in a published format is a secret and no other.
 """
 
@@ -35,7 +36,12 @@ from articleflow.session import materialize
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 ASSIGNED = re.compile(r"([A-Za-z_\-][A-Za-z0-9_\-]{1,39})[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}[\"']?([^\s\"'<>]{6,})")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----")
+#: What follows a header whose END line is missing: RFC 1421 headers, base64 lines, and a last line of any length.
+PEM_BODY = re.compile(
+    r"(?:[ \t]*(?:\r?\n|\\n)[ \t>#*]*(?:Proc-Type|DEK-Info|Key-Info|MIC-Info|Version|Comment):[ \t][^\n\\]*)*"
+    r"(?:(?:[ \t\"'>#*]|\\[nr]|\r?\n)+[A-Za-z0-9+/]{16,}={0,2})+"
+    r"(?:[ \t\"']*(?:\r?\n|(?:\\r)?\\n)[ \t\"'>#*]*[A-Za-z0-9+/]+={0,2}(?=[ \t\"']*(?:[\r\n\\]|\Z)))?")
 DIGIT = re.compile(r"[0-9]")
 # Names that announce a secret, words that speak against one, and issuers' published formats.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth",
@@ -45,7 +51,7 @@ PLAIN_NAMES = ("example", "sample", "dummy", "test", "phone", "tel", "uuid", "co
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|1234567|0000000|\$\{|todo")
 FORMATS = re.compile(
     r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
-    r"|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}.*|-----BEGIN [A-Z ]*PRIVATE KEY-----)\Z")
+    r"|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}.*|-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*))\Z")
 PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
                       r"|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"
                       r"(?:\.[A-Za-z0-9_\-]+)?)(?![A-Za-z0-9])")
@@ -56,6 +62,18 @@ FEATURES = ("length", "digits", "upper", "lower", "symbols", "distinct", "entrop
             "dictionary", "in_path", "path_plain", "name_secret", "name_plain", "after_plain", "assigned", "quoted", "longest_run")
 
 
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every private key: header, body and END line."""
+    heads = list(PEM.finditer(text))
+    out = []
+    for m, until in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
+        last = f"-----END {m.group(1)}PRIVATE KEY-----"
+        at = text.find(last, m.end(), until)
+        body = PEM_BODY.match(text, m.end(), until) if at < 0 else None
+        out.append((m.start(), at + len(last) if at >= 0 else body.end() if body else m.end()))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, detector) of the candidates of a text, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
@@ -64,8 +82,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             name = m.group(1).lower()
             if any(s in name for s in SECRET_NAMES) and not m.group(2).startswith("//"):
                 found.append((m.start(2), m.start(2) + len(m.group(2).rstrip(".,;)")), "assigned"))
-    if "PRIVATE KEY" in text:
-        found += [(m.start(), m.end(), "format") for m in PEM.finditer(text)]
+    keys = private_keys(text) if "PRIVATE KEY" in text else []
     if any(p in text for p in PREFIX_TEXT):
         found += [(m.start(), m.end(), "format") for m in PREFIXED.finditer(text)]
     if DIGIT.search(text):
@@ -73,7 +90,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             if DIGIT.search(m.group()):
                 found.append((m.start(), m.end(), "format" if FORMATS.match(m.group()) else "token"))
     rank = {"assigned": 0, "format": 1, "token": 2}
-    kept: list[tuple[int, int, str]] = []
+    kept = [(s, e, "format") for s, e in keys]  # a key is one finding, whatever its lines look like
     for c in sorted(found, key=lambda c: (rank[c[2]], c[0] - c[1], c[0])):
         if c[1] > c[0] and all(c[1] <= k[0] or c[0] >= k[1] for k in kept):
             kept.append(c)
@@ -91,9 +108,15 @@ def looks_generated(value: str) -> bool:
     return len(value) >= 8 and digits >= 2 and letters >= 2 and len(set(value)) >= 6
 
 
+def whole_key(value: str) -> bool:
+    """Whether a private key comes with its body, not as a bare header."""
+    return bool((m := PEM.match(value)) and PEM_BODY.match(value, m.end()))
+
+
 def label_of(value: str, detector: str, path: str) -> int:
     """The label a finding gets where nobody labelled it: published format, or an assigned value that looks generated."""
-    if PLACEHOLDER.search(value) or PATH_PLAIN.search(path):
+    # a key's base64 letters can spell a placeholder by chance
+    if PATH_PLAIN.search(path) or (not whole_key(value) and PLACEHOLDER.search(value)):
         return 0
     return int(bool(FORMATS.match(value)) or (detector == "assigned" and looks_generated(value)))
 
@@ -284,7 +307,9 @@ def judge(text: str, path: str, model: tuple[Lexicon, Forest | None]) -> list[tu
     for s, e, d in found:
         value, before, after, quoted, touching = describe(text, s, e)
         rows.append(vector(value, d, before, after, path, quoted, touching, lexicon))
-    return [(s, e, d, float(p)) for (s, e, d), p in zip(found, forest.scores(np.array(rows)))]
+    # a key with its body needs no forest, which may have met none in training
+    return [(s, e, d, 1.0 if d == "format" and whole_key(text[s:e]) and label_of(text[s:e], d, path) else float(p))
+            for (s, e, d), p in zip(found, forest.scores(np.array(rows)))]
 
 
 def scan(docs: DataFrame, model: tuple[Lexicon, Forest | None], id_col: str = "doc_id", text_col: str = "text",

@@ -39,6 +39,26 @@ def test_candidates_and_overlaps():
     assert secrets.candidates("-----BEGIN RSA PRIVATE KEY-----")[0][2] == "format"
 
 
+def key_body():
+    return "\n".join([*(token(64, HEX + "GHIJKLMNOP+/") for _ in range(12)), token(22) + "=="])
+
+
+def test_a_private_key_is_masked_whole(spark, secret_corpus):
+    body, plain = key_body(), "-----BEGIN PRIVATE KEY-----"
+    rsa = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = rsa.replace(body, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + body)
+    inline = f"{plain}\n{body}\n-----END PRIVATE KEY-----".replace("\n", "\\n")
+    rows = {f"before\n{rsa}\nafter": "before\n[SECRET]\nafter", f"before\n{locked}\nafter": "before\n[SECRET]\nafter",
+            f"before\n{plain}\n{body}\n\nplain words after it": "before\n[SECRET]\n\nplain words after it",
+            f'private_key = "{rsa}" after': 'private_key = "[SECRET]" after',
+            f'{{"private_key": "{inline}\\n"}}': '{"private_key": "[SECRET]\\n"}',
+            f"a {rsa} and {rsa} b": "a [SECRET] and [SECRET] b"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    for model in (secrets.train_on_corpus(secret_corpus), (secrets.learn_lexicon(secret_corpus), None)):
+        assert [r.text for r in secrets.redact(df, model).orderBy("doc_id").collect()] == list(rows.values())
+    assert secrets.private_keys(f"{plain} is the first line of a key") == [(0, len(plain))]
+
+
 @pytest.fixture(scope="module")
 def secret_corpus(spark):
     rows = []
