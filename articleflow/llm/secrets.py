@@ -35,7 +35,6 @@ from articleflow.llm.common import slices, texts
 from articleflow.session import materialize
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
-ASSIGNED = re.compile(r"([A-Za-z_\-][A-Za-z0-9_\-]{1,39})[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}[\"']?([^\s\"'<>]{6,})")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----")
 #: What follows a header whose END line is missing: RFC 1421 headers, base64 lines, and a last line of any length.
 PEM_BODY = re.compile(
@@ -46,6 +45,11 @@ DIGIT = re.compile(r"[0-9]")
 # Names that announce a secret, words that speak against one, and issuers' published formats.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth",
                 "credential", "private_key", "client_secret", "bearer", "passphrase")
+#: Only a name that announces a secret takes a value, so a plain ``name: value`` hides no assignment inside it. A quoted
+#: value reaches to its closing quote.
+ASSIGNED = re.compile(
+    r"(?i:" + "|".join(SECRET_NAMES) + r")[A-Za-z0-9_\-]{0,39}[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}"
+    r"(?:\"(?!//)((?:[^\"\\\n]|\\.){6,})\"|'(?!//)((?:[^'\\\n]|\\.){6,})'|[\"']?(?!//)([^\s\"'<>]{6,}))")
 PLAIN_NAMES = ("example", "sample", "dummy", "test", "phone", "tel", "uuid", "commit", "sha", "md5", "hash", "version",
                "isbn", "card", "order", "invoice", "id", "url", "http", "https", "date", "checksum")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|1234567|0000000|\$\{|todo")
@@ -79,9 +83,9 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "=" in text or ":" in text:
         for m in ASSIGNED.finditer(text):
-            name = m.group(1).lower()
-            if any(s in name for s in SECRET_NAMES) and not m.group(2).startswith("//"):
-                found.append((m.start(2), m.start(2) + len(m.group(2).rstrip(".,;)")), "assigned"))
+            at = m.start(m.lastindex)
+            found.append((at, m.end(3) - len(m.group(3)) + len(m.group(3).rstrip(".,;)")) if m.lastindex == 3
+                          else m.end(m.lastindex), "assigned"))
     keys = private_keys(text) if "PRIVATE KEY" in text else []
     if any(p in text for p in PREFIX_TEXT):
         found += [(m.start(), m.end(), "format") for m in PREFIXED.finditer(text)]

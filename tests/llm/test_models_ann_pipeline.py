@@ -39,6 +39,19 @@ def test_candidates_and_overlaps():
     assert secrets.candidates("-----BEGIN RSA PRIVATE KEY-----")[0][2] == "format"
 
 
+def test_assignments_inside_other_values_and_quotes():
+    def found(text):
+        return [text[a:b] for a, b, d in secrets.candidates(text) if d == "assigned"]
+
+    for text in ("INFO:password=Hunter2!x9", "note: password=Hunter2!x9", 'login: password = "Hunter2!x9"'):
+        assert found(text) == ["Hunter2!x9"], text
+    assert found("https://h.io/a?user=bob&token=Ab3$xy!9z") == ["Ab3$xy!9z"]
+    assert found("secret://host/?password=Hunter2!x9") == ["Hunter2!x9"]
+    assert found("passphrase: 'four words 77 here', password=\"a \\\"b\\\" c9\" end") == ["four words 77 here", 'a \\"b\\" c9']
+    assert found('password="Hunter2!x9 and no closing quote') == ["Hunter2!x9"]
+    assert found("DB_PASSWORD_OLD := Hunter2!x9).") == ["Hunter2!x9"] and found("name: value12345, url: http://x/y") == []
+
+
 def key_body():
     return "\n".join([*(token(64, HEX + "GHIJKLMNOP+/") for _ in range(12)), token(22) + "=="])
 
@@ -92,6 +105,18 @@ def test_forest_learns_labels_and_redacts(spark, secret_corpus):
     assert secrets.scan(rows.limit(0), model).count() == 0
 
 
+def test_assignments_inside_other_values_are_redacted(spark, secret_corpus):
+    rows = ["INFO:password=Hunter2!x9", "note: password=Hunter2!x9", 'login: password = "Hunter2!x9"',
+            "https://h.io/a?user=bob&token=Ab3$xy!9z"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    learnt = spark.createDataFrame([(1000 + i, f"{sentence()} INFO:password={token(10, HEX + '!$XYZ')} {sentence()}")
+                                    for i in range(80)], "doc_id long, text string")
+    model = secrets.train_on_corpus(secret_corpus.select("doc_id", "text").union(learnt))
+    clean = [r.text for r in secrets.redact(df, model).orderBy("doc_id").collect()]
+    assert clean == ["INFO:password=[SECRET]", "note: password=[SECRET]", 'login: password = "[SECRET]"',
+                     "https://h.io/a?user=bob&token=[SECRET]"]
+
+
 def test_training_without_both_labels(spark, secret_corpus):
     none = secret_corpus.filter("kind in (3, 7)")
     model = secrets.train_on_corpus(none)
