@@ -21,8 +21,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents", ["doc_id", "text", "source"])
-    return secrets.scan(docs, secrets.train_on_corpus(docs, path_col="source"), path_col="source")
+    docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
+    return secrets.scan(docs, secrets.train_on_corpus(docs))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

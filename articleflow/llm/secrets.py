@@ -10,13 +10,13 @@ it is itself part of a path or URL) and the words before and after it.
 The forest is trained from labelled findings (``train``): a table with the candidate's text, its neighbours, its path and a label. Where a
 corpus has no labelled findings, ``labelled_findings`` takes them from the corpus: candidates in an issuer's published
 format and assigned values that look generated are positive; placeholders, plain numbers, identifiers, versions, digests in paths and
-everything else are negative. At most about ``train_rows`` findings, chosen by hash, are used (a bounded sample; the bound is that
-parameter), and the letter pairs and the dictionary come from about ``dictionary_docs`` documents. Only the forest's nodes
-reach the driver; tasks apply them to every candidate of every whole text.
+everything else are negative. At most about ``train_rows`` different findings, chosen by hash within each label, are used (a
+bounded sample; the bound is that parameter) and weighted by what they stand for; copies count once. The letter pairs and
+the dictionary come from the words of all documents. Only the forest's nodes reach the driver; tasks apply them to every candidate of every whole text.
 
 Defined results: null and empty texts have no findings and stay as they are; overlapping candidates are one finding, the
 private key if there is one, then the assigned value, else the longer; repeated rows are scanned each on its own; without positive or
-without negative training findings every candidate in a published format is a secret and no other.
+without negative training findings the rule of ``label_of`` decides on every candidate.
 """
 
 from __future__ import annotations
@@ -205,14 +205,10 @@ def labelled_findings(docs: DataFrame, text_col: str = "text", path_col: str | N
     return docs.select(_paths(docs, path_col).alias("path"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, FINDING)
 
 
-def learn_lexicon(docs: DataFrame, text_col: str = "text", key: str = "doc_id", dictionary_docs: int = 4000,
-                  words: int = 5000) -> Lexicon:
-    """Letter pairs and frequent words of about ``dictionary_docs`` documents chosen by hash."""
-    n = max(1, docs.count())
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(13)), F.lit(1_000_003))
-    sample = docs.filter(slot * F.lit(n) < F.lit(1_000_003 * dictionary_docs))
+def learn_lexicon(docs: DataFrame, text_col: str = "text", words: int = 5000) -> Lexicon:
+    """Letter pairs and frequent words of all documents, counted within tasks first."""
     split = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit("([a-z]{3,16})"))
-    counted = materialize(sample.select(F.explode(split).alias("w")).groupBy("w").count(), "lexicon")
+    counted = materialize(docs.select(F.explode(split).alias("w")).groupBy("w").count(), "lexicon")
     listed = [(r["w"], r["count"]) for r in counted.orderBy(F.desc("count"), "w").limit(words).collect()]
     pairs = np.ones((27, 27))
     for w, c in listed:
@@ -247,14 +243,20 @@ class Forest:
 
 def train(findings: DataFrame, lexicon: Lexicon, train_rows: int = 20_000, trees: int = 24, depth: int = 7,
           seed: int = 7) -> Forest | None:
-    """A forest from labelled findings (columns of ``FINDING``); None where one of the labels is missing."""
+    """A forest from labelled findings (columns of ``FINDING``); None where one of the labels is missing. A label with fewer
+    than half of ``train_rows`` different findings gives all of them."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = findings.sparkSession
-    n = max(1, findings.count())
-    slot = F.pmod(F.xxhash64("value", F.array_join("before", " "), F.array_join("after", " "), F.lit(seed)), F.lit(1_000_003))
-    sample = findings.filter(slot * F.lit(n) < F.lit(1_000_003 * train_rows))
+    different = materialize(findings.distinct(), "different-findings")
+    counts = {r["label"]: r["count"] for r in different.groupBy("label").count().collect()}
+    if not counts.get(0) or not counts.get(1):
+        return None
+    quota = {k: max(train_rows // 2, train_rows - counts[1 - k]) for k in (0, 1)}
+    rate = {k: min(1.0, quota[k] / counts[k]) for k in (0, 1)}
+    slot = F.pmod(F.xxhash64(*different.columns, F.lit(seed)), F.lit(1_000_003))
+    sample = different.filter(slot < F.when(F.col("label") == 1, rate[1]).otherwise(rate[0]) * 1_000_003)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -264,10 +266,11 @@ def train(findings: DataFrame, lexicon: Lexicon, train_rows: int = 20_000, trees
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("label")], names=["x", "label"])
 
     data = materialize(sample.mapInArrow(run, "x array<double>, label int"), "findings")
-    if data.select("label").distinct().count() < 2:
-        return None
-    few = data.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=2).fit(few)
+    # weights restore the labels' shares where one was sampled more thinly
+    few = data.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"),
+                      F.when(F.col("label") == 1, 1 / rate[1]).otherwise(1 / rate[0]).alias("weight"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, minInstancesPerNode=2,
+                                   weightCol="weight").fit(few)
     feature, threshold, left, right, share, roots = [], [], [], [], [], []
 
     def walk(node) -> int:
@@ -291,9 +294,9 @@ def train(findings: DataFrame, lexicon: Lexicon, train_rows: int = 20_000, trees
     return Forest(lexicon, np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(share), np.array(roots))
 
 
-def train_on_corpus(docs: DataFrame, text_col: str = "text", path_col: str | None = None, key: str = "doc_id",
-                    train_rows: int = 20_000, dictionary_docs: int = 4000) -> tuple[Lexicon, Forest | None]:
-    lexicon = learn_lexicon(docs, text_col, key, dictionary_docs)
+def train_on_corpus(docs: DataFrame, text_col: str = "text", path_col: str | None = None,
+                    train_rows: int = 20_000) -> tuple[Lexicon, Forest | None]:
+    lexicon = learn_lexicon(docs, text_col)
     found = materialize(labelled_findings(docs, text_col, path_col), "labelled-findings")
     return lexicon, train(found, lexicon, train_rows)
 
@@ -306,7 +309,7 @@ def judge(text: str, path: str, model: tuple[Lexicon, Forest | None]) -> list[tu
     if not found:
         return []
     if forest is None:
-        return [(s, e, d, float(d == "format")) for s, e, d in found]
+        return [(s, e, d, float(label_of(text[s:e], d, path))) for s, e, d in found]
     rows = []
     for s, e, d in found:
         value, before, after, quoted, touching = describe(text, s, e)

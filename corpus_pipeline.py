@@ -31,8 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = secrets.train_on_corpus(docs, path_col="source")
-    clean = secrets.redact(docs, model, path_col="source")
+    clean = secrets.redact(docs, secrets.train_on_corpus(docs))
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"]))
 
 

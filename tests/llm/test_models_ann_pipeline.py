@@ -126,6 +126,36 @@ def test_training_without_both_labels(spark, secret_corpus):
     assert keyed and all(r.is_secret for r in keyed)
 
 
+def test_only_positive_findings_are_masked_by_the_rule(spark):
+    df = spark.createDataFrame([(i, f"password=Hunter2!x{i}9") for i in range(9)], "doc_id long, text string")
+    model = secrets.train_on_corpus(df)
+    assert model[1] is None and {r.text for r in secrets.redact(df, model).collect()} == {"password=[SECRET]"}
+
+
+def test_copies_do_not_push_rare_labels_out_of_the_sample(spark, secret_corpus):
+    corpus = secret_corpus.select("doc_id", "text")
+    hot = spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.lit("card 4565410125667261 again").alias("text"))
+    model = secrets.train_on_corpus(corpus.union(hot), train_rows=400)
+    assert model[1] is not None
+    kinds = {r.doc_id: r.kind for r in secret_corpus.collect()}
+    hits = {r.doc_id for r in secrets.scan(corpus, model).filter("is_secret").collect()}
+    assert hits == {i for i, k in kinds.items() if k in (0, 1, 2)}
+    assert not secrets.scan(hot.limit(50), model).filter("is_secret").count()
+
+
+def test_words_of_all_documents_reach_the_lexicon(spark):
+    own = ["".join(p) for p in product("abcdefghijklmnopqrst", repeat=3)]
+    df = spark.createDataFrame([(i, f"common word{w}") for i, w in enumerate(own)], "doc_id long, text string")
+    assert secrets.learn_lexicon(df, words=10_000).words == {"common", *(f"word{w}" for w in own)}
+
+
+def test_source_names_are_no_paths(spark):
+    words = " ".join(WORDS)
+    rows = [(i, f"{words} password={token(18)} {words} order {token(16, '0123456789')}", "en", "docs", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert all("password=[SECRET]" in r.text for r in corpus_pipeline.secret_scan(spark, df, SF).collect())
+
+
 def test_labelled_findings_can_come_from_a_table(spark, secret_corpus):
     found = secrets.labelled_findings(secret_corpus, path_col="source")
     turned = found.withColumn("label", (F.length("value") == 16).cast("int"))  # other labels, another forest
