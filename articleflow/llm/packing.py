@@ -36,13 +36,13 @@ from articleflow.session import materialize
 #: Fixed value: the public byte-level pattern that splits a text before byte pairs are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[object, object] = {}
 _SHIFT = 40
 
 
 def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file as a tiktoken encoding, which gives the same ids and is several times
-    as fast; loaded once per Python worker. Special tokens' strings are ordinary text."""
+    """The byte-level BPE of a tokenizers JSON file as a tiktoken encoding, which is several times as fast; loaded once
+    per Python worker. Special tokens' strings are ordinary text; ``token_ids`` gives the library's ids for every text."""
     if path not in _ENCODERS:
         import tiktoken
 
@@ -57,6 +57,29 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def library(path: str):
+    """The tokenizers JSON file in its own library, and the strings of its added tokens; loaded once per Python worker."""
+    if ("library", path) not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        _ENCODERS["library", path] = Tokenizer.from_file(path), added
+    return _ENCODERS["library", path]
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids that the tokenizers library gives with ``add_special_tokens=False``: through ``encoder`` where that is the
+    same, and from the library where a text holds an added token's string or white space too long for tiktoken's pattern."""
+    plain, added = library(path)
+    if not any(t in text for t in added):
+        try:
+            return encoder(path).encode_to_numpy(text)
+        except ValueError:  # the pattern's stack is used up by a run of white space
+            pass
+    return np.array(plain.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: the remainder first, then full pieces."""
     first = n % capacity or capacity
@@ -69,11 +92,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     kind = dict(docs.select(id_col).dtypes)[id_col]
 
     def run(batches):
-        enc = encoder(tokenizer)
         for part in slices(batches, 1):
             at, rows, ids = [], [], []
             for i, raw in enumerate(texts(part.column(1))):
-                tokens = np.append(enc.encode_to_numpy(raw.decode("utf-8", "replace")), end_id).astype("<u4")
+                tokens = np.append(token_ids(tokenizer, raw.decode("utf-8", "replace")), end_id).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(tokens), capacity)):
                     own = tokens[start:start + length]
                     at.append(i)

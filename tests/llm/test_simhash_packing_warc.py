@@ -144,6 +144,21 @@ def test_encoder_gives_the_tokenizers_ids():
         assert own.encode_ordinary(t) == other.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_have_the_ids_of_the_default_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    rows = ["a<|endoftext|>b", "<|endoftext|>", " x  <|endoftext|> \n<|endoftext|>y", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000,
+            " \t\n" * 400_000 + "<|endoftext|>", "größer don't 北京 12", ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in packing.pieces(df, tokenizer_path(), with_ids=True).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] += r.ids
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids))
+    for i, t in enumerate(rows):
+        assert got[i] == [*plain.encode(t, add_special_tokens=False).ids, 0], t[:30]
+
+
 def test_cut_and_plan():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(1, 4) == [(0, 1)]
     rng = np.random.default_rng(3)
