@@ -8,7 +8,8 @@ neither judged nor counted. A line fails when one of these holds (thresholds are
   than a share of its words end in a doubled ``!``/``?``, or it has many ASCII capitals and few small letters;
 * navigation: at least ``separators`` stand-alone separators (``| > » ·``) making up a share of its words;
 * boilerplate: a short line holding one of the phrases, a line of many words with few different ones, or a line
-  equal to an earlier line of the document.
+  equal to an earlier line of the document. The share of different words that a long line needs falls with the root of its
+  length, as it does in clean prose; up to ``varied_scale`` words it is constant.
 
 Defined results: a null or empty text has zero counts, ``base_failed`` true and ``kept`` false. Repeated rows are judged
 each on its own; null ids are carried through. Other columns of the input are ignored by ``judge``.
@@ -16,6 +17,7 @@ each on its own; null ids are carried through. Other columns of the input are ig
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -46,6 +48,7 @@ class LineRules:
     phrase_words: int = 12
     varied_words: int = 10
     distinct_share: float = 0.4
+    varied_scale: int = 500
     max_lost: float = 0.5  # rejected when more than this share of the words is in failing lines
 
 
@@ -68,7 +71,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> str:
         return "navigation"
     if n <= rules.phrase_words and any(p in low for low in [line.translate(_LOWER)] for p in PHRASES):
         return "boilerplate"
-    if n >= rules.varied_words and len(set(words)) < rules.distinct_share * n:
+    if n >= rules.varied_words and len(set(words)) < rules.distinct_share * min(n, math.sqrt(n * rules.varied_scale)):
         return "monotone"
     return ""
 

@@ -65,6 +65,29 @@ def test_clean_documents_drops_lines_and_documents(spark):
     assert quality.clean_documents(df.limit(0)).count() == 0 and quality.judge(df.limit(0)).count() == 0
 
 
+def prose(n, seed):
+    """``n`` words whose frequencies fall with their rank, as in a text of about 0.3 different words at 3,000."""
+    import random
+
+    rng = random.Random(seed)
+    return [f"w{int(4_000 ** rng.random())}" for _ in range(n)]
+
+
+def test_long_clean_lines_stay_and_long_monotone_lines_go(spark):
+    clean = {n: " ".join(prose(n, n)) for n in (1_000, 5_000, 20_000)}
+    assert all(len(set(t.split())) < 0.4 * n for n, t in clean.items() if n > 1_000)
+    junk = [" ".join(prose(30, 1) * 100), "wort " * 5_000, " ".join(f"v{i % 200}" for i in range(600))]
+    df = spark.createDataFrame([*clean.items(), *enumerate(junk)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(got[n].kept and got[n].kept_words == n and not got[n].failed_lines for n in clean)
+    assert all(got[i].failed_lines == 1 and not got[i].kept for i in range(len(junk)))
+    assert sorted(r.text for r in quality.clean_documents(df).collect()) == sorted(clean.values())
+    rules = quality.LineRules()
+    for n, d in ((10, 3), (10, 4), (500, 199), (500, 200)):  # a constant share up to the scale
+        words = [b"%d" % (i % d) for i in range(n)]
+        assert (quality.line_fails(b" ".join(words), words, rules) == "monotone") == (d < 0.4 * n)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
