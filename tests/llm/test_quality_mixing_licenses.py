@@ -158,6 +158,107 @@ def test_license_sentences_rules_and_order(spark):
     assert licenses.scan(df.filter(F.col("doc_id") == 6)).first().licenses == "NONE"
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""}
+
+
+def test_canonical_notices_are_found_wrapped_or_not(spark):
+    bsd3, gpl = NOTICES["BSD-3-Clause"], NOTICES["GPL-3.0-or-later"]
+    at = bsd3.index("3. Neither")
+    texts = [*NOTICES.items(), ("BSD-2-Clause", bsd3[:at] + bsd3[bsd3.index("THIS"):]),
+             ("BSD-3-Clause", bsd3.replace("the copyright holder nor", "Example University nor").replace(
+                 "BY THE COPYRIGHT HOLDERS AND", "BY THE REGENTS AND").replace("SHALL THE COPYRIGHT HOLDER OR", "SHALL THE REGENTS OR").replace("\n1. ", "\n* ")),
+             ("GPL-2.0-or-later", gpl.replace("software: you", "software; you").replace("version 3", "version 2")),
+             ("MIT", "\n".join(" * " + x for x in NOTICES["MIT"].split("\n"))),
+             ("MIT", NOTICES["MIT"].replace("\n", "\r\n")),
+             ("MIT AND Proprietary", "All rights reserved.\n\nSome words.\nReleased under\nthe MIT License\nMore words")]
+    texts += [(k, re.sub(r"(?<!\n)\n(?!\n)[ *#]*", " ", t)) for k, t in NOTICES.items()]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [k for k, _ in texts]
+    assert [r.n_unmatched for r in got] == [0] * len(texts), [(r.licenses, r.sentence_ids) for r in got if r.n_unmatched]
+    apart = spark.createDataFrame([(1, "Released under\n\nthe MIT License"), (2, "Released under. the MIT License")], df.schema)
+    assert [r.licenses for r in licenses.scan(apart).collect()] == ["NONE", "NONE"]
+
+
 def test_slices_bound_the_bytes_and_keep_all_rows():
     import pyarrow as pa
 
