@@ -274,6 +274,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard as zstd
         from pyarrow import fs
 
         rows: list[tuple] = []
@@ -294,7 +295,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                         if held > 4 << 20:
                             yield pack(rows)
                             rows, held = [], 0
-                except Exception as e:  # a frame that cannot be decoded ends its archive
+                # a frame that cannot be decoded ends its archive; a failed read fails the task, which Spark repeats
+                except (zstd.ZstdError, ValueError, struct.error) as e:
                     rows.append((path, position, None, None, None, None, None, None, f"{type(e).__name__}: {e}", None))
         if rows:
             yield pack(rows)

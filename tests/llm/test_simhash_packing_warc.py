@@ -262,3 +262,19 @@ def test_reader_loads_plain_dictionaries_and_reports_damage(spark):
     found = errors("bad", head + b"".join(map(codec.compress, bad)))
     assert found[0] is None and all(found[1:]) and "digest" in found[1] and "warc-date" in found[2]
     assert errors("empty", b"") == []
+
+
+def test_a_failed_read_fails_the_task(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="warc-test-")
+    with open(f"{folder}/a.warc.zst", "wb") as f:
+        f.write(b"no frame at all")
+    paths = spark.createDataFrame([(f"file://{folder}/a.warc.zst",)], "archive string")
+    assert [bool(r.error) for r in warc.read_archives(paths).collect()] == [True]
+    for lost in (OSError, MemoryError):
+        def frames(stream, lost=lost):
+            yield 0, b"a record before the failure"
+            raise lost("the store went away")
+
+        monkeypatch.setattr(warc, "frames", frames)
+        with pytest.raises(Exception, match="the store went away"):
+            warc.read_archives(paths).collect()
