@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import ann, langid, licenses, mixing, packing, quality, secrets, simhash, toxicity, warc
+from articleflow.llm import (alignment, ann, langid, licenses, mixing, packing, prefix_bpe, quality, secrets, simhash, toxicity, warc,
+                             whitening)
 from articleflow.llm.common import fold, read
 from articleflow.session import scratch_path
 
@@ -73,5 +74,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), components=16, scale=64, offset=1_000_000)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", ["doc_id", "text"])
+    return alignment.measures(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digests(read(spark, sf_dir, "documents", ["doc_id", "text"]), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_mix_sources, op4_simhash_near_dedup, op5_permutation_index, op6_toxicity,
-                                   op7_warc_zstd, op8_quality_rules, op9_language_id, op10_license_scan)}
+                                   op7_warc_zstd, op8_quality_rules, op9_language_id, op10_license_scan,
+                                   op11_embedding_whitening, op12_token_alignment, op13_prefix_bpe)}
