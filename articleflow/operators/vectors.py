@@ -7,11 +7,11 @@
   that can hold a neighbour (distance to its pivot ≤ distance to the own pivot + 2r, by the triangle inequality), and
   each cell is compared in blocks of bounded size. High thresholds visit few cells; as t falls the cells overlap more and the
   work approaches comparing all blocks with all blocks, which is what an exact answer costs there. No cap, no second method.
-* ``similar_links`` – the same relation with a star instead of all pairs for copies: enough for components, and linear in
-  the number of copies.
+* ``similar_links`` – links with the same components: stars for copies and a forest per pair of blocks, so a dense group
+  gives links in proportion to its rows.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
-* ``connected_components`` – min-label propagation with pointer jumping; each round's labels are written to
-  the shared checkpoint folder (lineage stays short, a lost executor recomputes one round only).
+* ``connected_components`` – star contraction (``operators.graph``); each step's links are written to the shared checkpoint
+  folder (lineage stays short, a lost executor recomputes one step only).
 * ``merge_components`` – one row per group (``dedup.semantic_dedup`` merges items by component).
 * ``ivf_index`` / ``ivf_search`` – KMeans lists over unit vectors stored by list, probe the nearest lists, exact re-rank.
 """
@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.operators.graph import star_components
 from articleflow.schemas import IVF_LISTS, SIMILARITY_THRESHOLD
 from articleflow.session import materialize, scratch_path
 
@@ -120,9 +121,26 @@ def _representatives(members: DataFrame, vec_col: str) -> DataFrame:
                        .filter(F.col("u").isNotNull()), "unit-vectors")
 
 
-def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int) -> DataFrame:
+def _merged(root, i, j):
+    """Labels ``root`` (each the first row of its component) after the rows ``i`` and ``j`` were linked: minimum labels with jumps."""
+    import numpy as np
+
+    while True:
+        new = root.copy()
+        low = np.minimum(new[i], new[j])
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int, links: bool = False) -> DataFrame:
     """All pairs (id_a < id_b, similarity) of representatives: home rows of a cell against all rows of the cell, block by
-    block. A pair is reported where its smaller id is at home, so it comes once."""
+    block. A pair is reported where its smaller id is at home, so it comes once. With ``links`` a block pair returns, in place of
+    its pairs, one link (id_a, id_b) per row to the first row of the row's component in this block pair: what is
+    connected stays so, and a dense group gives no more links than rows."""
     import numpy as np
     import pandas as pd
 
@@ -146,6 +164,17 @@ def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int) ->
             return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "similarity": []})
         a, b = np.stack(left["u"].to_numpy()), np.stack(right["w"].to_numpy())
         ia, ib = left["id"].to_numpy(), right["other"].to_numpy()
+        if links:  # in parts, so that no more than a part's pairs are held at once
+            found = np.arange(len(ia) + len(ib))
+            for at in range(0, len(ia), 256):
+                part = a[at:at + 256]
+                i, j = np.nonzero(np.einsum("ij,kj->ik", part, b) >= threshold - 1e-9)
+                exact = (part[i] * b[j]).sum(axis=1) >= threshold
+                i, j = i[exact] + at, j[exact]
+                found = _merged(found, i, j + len(ia))
+            ids = np.concatenate([ia, ib])
+            own = np.flatnonzero(ids != ids[found])
+            return pd.DataFrame({"id_a": ids[found[own]], "id_b": ids[own], "similarity": np.nan})
         i, j = np.nonzero(np.einsum("ij,kj->ik", a, b) >= threshold - 1e-9)
         keep = ia[i] < ib[j]
         i, j = i[keep], j[keep]
@@ -154,18 +183,19 @@ def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int) ->
     kind = dict(reps.dtypes)["id"]
     found = home.groupBy("cell", "hb", "vb").cogroup(every.groupBy("in_cell", "in_hb", "in_vb")).applyInPandas(
         compare, f"id_a {kind}, id_b {kind}, similarity double")
-    return found.filter(F.col("similarity") >= threshold)
+    return found.select("id_a", "id_b") if links else found.filter(F.col("similarity") >= threshold)
 
 
 def similar_links(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
                   vec_col: str = "embedding", pivots: int = 64, block: int = 2048) -> DataFrame:
-    """Edges that connect what ``similar_pairs`` connects: all pairs of different vectors, and each copy of a vector with the
-    smallest id of its copies."""
+    """Links (id_a, id_b) that connect exactly what the pairs of ``similar_pairs`` connect: a forest per pair of blocks, and each copy of
+    a vector with the smallest id of its copies. The links of a dense group stay in proportion to its rows."""
     members = materialize(collapse_identical(df, id_col, vec_col), "representatives")
-    pairs = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block)
+    forest = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block, links=True)
     stars = members.filter((F.col("id") != F.col("rep")) & (norm(vec_col) > 0)).select(
-        F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
-    return pairs.unionByName(stars)
+        F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    both = forest.unionByName(stars).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return both.distinct()
 
 
 def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
@@ -206,28 +236,15 @@ def pair_search_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "id_a", dst: str = "id_b",
                          max_rounds: int = 100) -> DataFrame:
-    """(id, component) with component = smallest id reachable (V3). Vertices without edges are their own
-    component. Each round: every vertex takes the smallest label among itself and its neighbours, then jumps
-    to its label's label (pointer jumping), which halves path lengths and bounds the rounds by O(log n) on
-    chains. Stops when no label changed; raises if ``max_rounds`` is exceeded (never returns a partial answer)."""
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    und = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    ids = und.select(F.col("u").alias("id"))
-    if vertices is not None:
-        ids = ids.unionByName(vertices.select(F.col(vertices.columns[0]).alias("id")))
-    labels = materialize(ids.distinct().select("id", F.col("id").alias("label")), "cc-labels")
-    for _ in range(max_rounds):
-        msgs = und.join(labels.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id"), "label")
-        step = (labels.withColumn("old", F.col("label")).unionByName(msgs, allowMissingColumns=True)
-                .groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        heads = step.select(F.col("id").alias("_head"), F.col("label").alias("_next"))
-        jumped = (step.join(heads, F.col("label") == F.col("_head"), "left")
-                  .select("id", F.least("label", F.coalesce("_next", "label")).alias("label"), "old"))
-        stored = materialize(jumped.select("id", "label", (F.col("label") != F.col("old")).alias("changed")), "cc-labels")
-        labels = stored.select("id", "label")
-        if not stored.agg(F.count_if("changed")).first()[0]:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+    """(id, component) with component = smallest id reachable (V3), by star contraction (``graph``). Vertices without
+    edges are their own component. Raises if ``max_rounds`` is exceeded (never returns a partial answer)."""
+    found = star_components(edges, src, dst, max_rounds)
+    own = edges.select(F.col(src).alias("id")).unionByName(edges.select(F.col(dst).alias("id"))) if vertices is None \
+        else vertices.select(F.col(vertices.columns[0]).alias("id"))
+    if vertices is not None:  # nodes that only links name stay, too
+        own = own.unionByName(found.select(F.col("node").alias("id"))).unionByName(found.select(F.col("root").alias("id")))
+    return (own.distinct().join(found, F.col("id") == F.col("node"), "left")
+            .select("id", F.coalesce("root", "id").alias("component")))
 
 
 def merge_components(components: DataFrame, items: DataFrame, id_col: str = "vec_id",

@@ -602,6 +602,13 @@ def q_vector_components(spark, sf_dir):
     return comp.select(F.col("id").alias("vec_id"), "component")
 
 
+def q_vector_components_planted(spark, sf_dir):
+    """Components at the default threshold over vectors with copies and near copies, every vector listed (V3)."""
+    vectors = planted_vectors(spark, sf_dir)
+    comp = V.connected_components(V.similar_links(vectors), vectors.select("vec_id"))
+    return comp.select(F.col("id").alias("vec_id"), "component")
+
+
 def q_vector_group_merge(spark, sf_dir):
     emb, comp = _components(spark, sf_dir)
     g = V.merge_components(comp, emb)
@@ -994,6 +1001,7 @@ QUERIES = {
     "trace_runs": q_trace_runs,
     "full_run": q_full_run,
     "vector_pairs_planted": q_vector_pairs_planted,
+    "vector_components_planted": q_vector_components_planted,
     "semantic_dedup": q_semantic_dedup,
     "vector_ivf_full": q_vector_ivf_full,
     "stream_upsert_updates": q_stream_upsert_updates,

@@ -601,11 +601,17 @@ SELECT c.component, count(*) AS n_members, min(c.vec_id) AS first_member, max(c.
 FROM comp c JOIN embeddings m ON c.vec_id = m.vec_id
 GROUP BY c.component"""
 
-Q["vector_pairs_planted"] = """
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+PLANTED = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (
   SELECT * FROM e UNION ALL SELECT vec_id + 10000000, v FROM e WHERE vec_id % 5 = 0
-  UNION ALL SELECT vec_id + 20000000, list_transform(v, lambda x, i: x + 0.02::DOUBLE * ((i - 1) % 3 - 1)) FROM e WHERE vec_id % 7 = 0)
+  UNION ALL SELECT vec_id + 20000000, list_transform(v, lambda x, i: x + 0.02::DOUBLE * ((i - 1) % 3 - 1)) FROM e WHERE vec_id % 7 = 0)"""
+Q["vector_components_planted"] = "WITH RECURSIVE " + PLANTED.strip() + """,
+pairs AS (SELECT a.vec_id AS u, b.vec_id AS w FROM p a JOIN p b
+          ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.85),
+reach(id, r) AS (SELECT vec_id, vec_id FROM p UNION SELECT reach.id, pairs.w FROM reach JOIN pairs ON reach.r = pairs.u)
+SELECT id AS vec_id, min(r) AS component FROM reach GROUP BY id"""
+Q["vector_pairs_planted"] = "WITH " + PLANTED.strip() + """
 SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
 FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.85"""
 

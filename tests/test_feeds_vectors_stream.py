@@ -127,7 +127,7 @@ def test_copies_give_all_pairs_and_links_a_star(spark):
     pairs = {(r.id_a, r.id_b) for r in V.similar_pairs(df, 0.9).collect()}
     assert pairs == {(r.id_a, r.id_b) for r in V.similar_pairs_exact(df, 0.9).collect()} and len(pairs) == 15 + 6
     links = V.similar_links(df, 0.9)
-    assert links.count() == 6
+    assert links.count() == 6 and links.columns == ["id_a", "id_b"]
     comp = {r.id: r.component for r in V.connected_components(links, df.select("vec_id")).collect()}
     assert comp["v5"] == comp["x"] == "v0" and comp["w"] == "w" and comp["z"] == "z"
     merged = {r.component: r for r in V.merge_components(V.connected_components(links, df.select("vec_id")), df).collect()}
@@ -177,6 +177,62 @@ def test_components_on_chain(spark):
     assert comp.select("component").distinct().collect()[0].component == 0 and comp.count() == 41
 
 
+def _plain_components(edges):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_star_contraction_against_union_find(spark):
+    import random
+
+    from articleflow.operators.graph import star_components
+
+    rng = random.Random(4)
+    chain = list(range(300))
+    rng.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(1000 + rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(350)]
+    edges += [(2000, 2000 + i) for i in range(200)] + [(3000, 3000), (2600, 2500), (2600, 2500)]
+    want = _plain_components(edges)
+    df = spark.createDataFrame(edges, "id_a long, id_b long")
+    sizes = []
+    got = {r.node: r.root for r in star_components(df, sizes=sizes).collect()}
+    assert got == {x: r for x, r in want.items() if x != r}
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) < 20
+    every = {r.id: r.component for r in V.connected_components(df).collect()}
+    assert every == want
+    names = df.selectExpr("concat('n', id_a) id_a", "concat('n', id_b) id_b")
+    assert {r.node for r in star_components(names).collect()} >= {"n2001"}
+    assert star_components(df.limit(0)).count() == 0 and V.connected_components(df.limit(0)).count() == 0
+
+
+def test_links_of_a_dense_group_stay_in_proportion(spark):
+    import numpy as np
+
+    from articleflow.operators.graph import star_components
+
+    rng = np.random.default_rng(2)
+    shares = []
+    for n in (200, 1600):
+        centre = rng.normal(size=16)
+        rows = [(i, (centre + .01 * rng.normal(size=16)).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        links = V.similar_links(df, 0.85, pivots=4, block=400)
+        sizes = []
+        assert {r.root for r in star_components(links, sizes=sizes).collect()} == {0}
+        shares.append((links.count() / n, sizes[0] / n))
+    assert all(later <= 30 for later, _ in shares) and all(first <= 1.0 for _, first in shares)
+
+
 def test_topk_and_ivf(vecs):
     q = [float(x) for x in vecs.orderBy("vec_id").first().embedding]
     top = V.cosine_topk(vecs, q, 5).collect()
