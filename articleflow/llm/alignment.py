@@ -3,16 +3,17 @@
 Both tokenizers read a space and the text: ``A`` (a byte-level BPE file) is given it, ``B`` (a piece model with byte fallback) adds
 it. A token's bytes are the vocabulary's; running sums give each side's ends.
 
-1. ``gallop``: the shorter end list drives. For each of its ends the search in the longer list starts where the last one stopped,
-   doubles its step until it has passed the end, and finishes by halving. It gives every end's rank in the longer list and
-   whether the list holds it.
+1. ``gallop``: the shorter end list drives, a block of ends at a time. The search in the longer list starts where the last block
+   stopped and doubles its step until it has passed the block's last end; halving inside that window finds every end of the block.
+   It gives each end's rank in the longer list and whether the list holds it.
 2. Common ends cut both token lists into groups, the slices between their indices. A driving token overlaps the longer list's tokens
    from the rank of its start to the rank of its end: their difference counts them (``overlaps``).
-3. Two tokens that end together are linked. One's bytes are then a suffix of the other's, so the pairs that can ever be
-   linked are known from the two vocabularies (``Pair codes``: a token has fewer suffixes than bytes): a table with that bound
-   holds the corpus-wide counts, and only it is collected and sent to tasks. Links themselves stay with their document.
+3. Two tokens that end together are linked. One's bytes are then a suffix of the other's, so a pair is one token and a length of its
+   suffix (``Tokenizers.slot``): there are no more pairs than the two vocabularies have token bytes, twice for A, as B has a byte
+   token beside a piece of one byte. A table with that bound holds the corpus-wide counts, and only it is collected and sent to
+   tasks. Links themselves stay with their document.
 
-A text is read in blocks cut before a blank that follows something else. No token of either vocabulary reaches over such a place
+A text is read in blocks cut before a blank between other characters. No token of either vocabulary reaches over such a place
 (checked when the vocabularies are loaded), so a text of any length takes bounded memory but for its ids.
 
 Defined results: a null or empty text, and one whose joined bytes on either side differ from the space and the text, has no tokens:
@@ -25,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +37,12 @@ from articleflow.llm.packing import encoder, library
 from articleflow.session import materialize
 
 BLOCK = 1 << 20
-_BORDER = re.compile(r"(?<=\S) ")
+_BORDER = re.compile(r"(?<=\S) (?=[\s\S])")
 _LOADED: dict[object, object] = {}
 
 
 class Tokenizers:
-    """Two vocabularies: token bytes, lengths, and the pairs that can end together."""
+    """Two vocabularies: token bytes, lengths, names, and a numbering of the pairs that can end together."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -61,8 +61,20 @@ class Tokenizers:
             raise ValueError("a piece reaches over a blank that follows something else")
         self.a_size = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
-        self.a_name, self.b_name = [list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes)]
-        self.codes = self._pair_codes()
+        self.b_is_byte = np.array([self.model.is_byte(i) for i in range(len(self.b_bytes))], dtype=np.int64)
+        self.from_b = np.cumsum(self.b_size) - self.b_size
+        self.from_a = int(self.b_size.sum()) + 2 * (np.cumsum(self.a_size) - self.a_size)
+        self.slots = int(self.b_size.sum() + 2 * self.a_size.sum())
+        # decimal ids with what follows them: a comma inside a group, else the sign that ends the side
+        self.a_inner, self.a_last = self._names(len(self.a_bytes), b","), self._names(len(self.a_bytes), b"|")
+        self.b_inner, self.b_last = self._names(len(self.b_bytes), b","), self._names(len(self.b_bytes), b";")
+
+    @staticmethod
+    def _names(n: int, after: bytes) -> np.ndarray:
+        """Eight bytes per id, filled up with zero bytes."""
+        if n > 9_999_999:
+            raise ValueError("ids have at most seven digits")
+        return np.array([str(i).encode() + after for i in range(n)], dtype="S8").view(np.uint64)
 
     def _piece(self, i: int) -> bytes:
         if self.model.is_control(i) or self.model.is_unknown(i):
@@ -70,23 +82,27 @@ class Tokenizers:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _pair_codes(self) -> np.ndarray:
-        """Sorted ``a * size of B + b`` of all pairs of which one's bytes are a suffix of the other's."""
-        def by_bytes(tokens: list[bytes]) -> dict[bytes, list[int]]:
-            out: dict[bytes, list[int]] = {}
-            for i, t in enumerate(tokens):
-                if t:
-                    out.setdefault(t, []).append(i)
-            return out
-
-        in_a, in_b, width = by_bytes(self.a_bytes), by_bytes(self.b_bytes), len(self.b_bytes)
-        codes = {a * width + b for t, own in in_a.items() for k in range(len(t)) for b in in_b.get(t[k:], ()) for a in own}
-        codes |= {a * width + b for t, own in in_b.items() for k in range(1, len(t)) for a in in_a.get(t[k:], ()) for b in own}
-        return np.array(sorted(codes), dtype=np.int64)
-
-    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The pairs' places in ``codes``."""
-        return np.searchsorted(self.codes, a.astype(np.int64) * len(self.b_bytes) + b).astype(np.int32)
+    def slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of pairs that end together: a B token and the length of its suffix A, or a longer A token, the length of
+        its suffix B and whether B is a byte token."""
+        size_a, size_b = self.a_size[a], self.b_size[b]
+        return np.where(size_a <= size_b, self.from_b[b] + size_a - 1, self.from_a[a] + 2 * (size_b - 1) + self.b_is_byte[b]).astype(np.int32)
+
+    def b_of(self, slots: np.ndarray) -> np.ndarray:
+        """The B tokens of pair numbers."""
+        pieces = {t: i for i, t in enumerate(self.b_bytes) if t and not self.b_is_byte[i]}
+        raw = {t: i for i, t in enumerate(self.b_bytes) if t and self.b_is_byte[i]}
+        out = np.searchsorted(self.from_b, slots, "right") - 1
+        while (self.b_size[out] == 0).any():  # tokens without bytes have no numbers
+            out = np.where(self.b_size[out] == 0, out - 1, out)
+        longer = np.flatnonzero(slots >= self.b_size.sum())
+        owners = np.searchsorted(self.from_a, slots[longer], "right") - 1
+        for k, a in zip(longer.tolist(), owners.tolist()):
+            while not self.a_size[a]:
+                a -= 1
+            size, is_byte = divmod(int(slots[k] - self.from_a[a]), 2)
+            out[k] = (raw if is_byte else pieces)[self.a_bytes[a][-size - 1:]]
+        return out
 
     def ids(self, block: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of a space and ``block`` on both sides, or null if joined token bytes differ from it."""
@@ -100,7 +116,8 @@ class Tokenizers:
             plain.encode_special_tokens = before
         b = np.array(self.model.encode(block), dtype=np.int64)
         raw = spaced.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
+        # A cuts the bytes themselves, so equal lengths are equal bytes there
+        if self.a_size[a].sum() != len(raw) or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return None
         return a, b
 
@@ -112,31 +129,28 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _LOADED[a_path, b_path]
 
 
-def gallop(driver: list[int], other: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """For rising lists: the rank of every ``driver`` value in ``other`` (how many are smaller), and the indices, in both lists, of the
-    values that both hold."""
-    ranks, mine, its = [], [], []
+def gallop(driver: np.ndarray, other: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """For rising arrays: the rank of every ``driver`` value in ``other`` (how many are smaller), and whether ``other`` holds it."""
+    ranks = np.empty(len(driver), dtype=np.int64)
     at, n = 0, len(other)
-    for i, x in enumerate(driver):
-        step, low, high = 1, at, at
-        while high < n and other[high] < x:
-            low = high + 1
+    for i in range(0, len(driver), block):
+        part = driver[i:i + block]
+        high, step = at, 1
+        while high < n and other[high] < part[-1]:
             high += step
             step += step
-        at = bisect_left(other, x, low, min(high, n))
-        ranks.append(at)
-        if at < n and other[at] == x:
-            mine.append(i)
-            its.append(at)
-    return ranks, mine, its
+        found = at + np.searchsorted(other[at:high + 1], part)
+        ranks[i:i + block] = found
+        at = int(found[-1])
+    held = ranks < n
+    held[held] = other[ranks[held]] == driver[held]
+    return ranks, held
 
 
-def overlaps(ranks: list[int], mine: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def overlaps(ranks: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and the last token of the longer list that each driving token overlaps, from the ranks of its start and end."""
-    last = np.array(ranks, dtype=np.int64)
-    after = last.copy()
-    after[np.array(mine, dtype=np.int64)] += 1  # a common end is passed
-    return np.concatenate([[0], after[:-1]]).astype(np.int64)[:len(last)], last
+    after = ranks + held  # a common end is passed
+    return np.concatenate([np.zeros(1, np.int64), after[:-1]])[:len(ranks)], ranks
 
 
 class Aligned:
@@ -147,22 +161,26 @@ class Aligned:
         ends_a, ends_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
         self.driver = "a" if len(a) <= len(b) else "b"
         short, long = (ends_a, ends_b) if self.driver == "a" else (ends_b, ends_a)
-        ranks, mine, its = gallop(short.tolist(), long.tolist())
-        self.first, self.last = overlaps(ranks, mine)
+        ranks, held = gallop(short, long)
+        self.first, self.last = overlaps(ranks, held)
+        mine, its = np.flatnonzero(held), ranks[held]
         self.cut_a, self.cut_b = (mine, its) if self.driver == "a" else (its, mine)
-        self.ends = short[np.array(mine, dtype=np.int64)]
+        self.ends = short[mine]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.a[np.array(self.cut_a, dtype=np.int64)], self.b[np.array(self.cut_b, dtype=np.int64)]
+        return self.a[self.cut_a], self.b[self.cut_b]
 
-    def groups(self, t: Tokenizers) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        a, b = [t.a_name[i] for i in self.a.tolist()], [t.b_name[i] for i in self.b.tolist()]
-        out, i, j = [], 0, 0
-        for m, n in zip(self.cut_a, self.cut_b):
-            out.append(",".join(a[i:m + 1]) + "|" + ",".join(b[j:n + 1]))
-            i, j = m + 1, n + 1
-        return ";".join(out)
+    def groups(self, t: Tokenizers) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group. Both sides' tokens are put at their places, group by group."""
+        sizes_a, sizes_b = np.diff(self.cut_a, prepend=-1), np.diff(self.cut_b, prepend=-1)
+        before = self.cut_b + 1 - sizes_b  # B tokens of the groups before
+        at_a = np.arange(len(self.a)) + np.repeat(before, sizes_a)
+        at_b = np.arange(len(self.b)) + np.repeat(self.cut_a + 1, sizes_b)
+        out = np.empty(len(self.a) + len(self.b), dtype=np.uint64)
+        out[at_a], out[at_b] = t.a_inner[self.a], t.b_inner[self.b]
+        out[at_a[self.cut_a]], out[at_b[self.cut_b]] = t.a_last[self.a[self.cut_a]], t.b_last[self.b[self.cut_b]]
+        characters = out.view(np.uint8)
+        return characters[characters != 0].tobytes()[:-1]
 
 
 def blocks(text: str):
@@ -214,7 +232,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
 
 def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_overlaps, groups_sha256, links) per row; ``links`` holds the pairs' places in ``codes``."""
+    """(id, n_a, n_b, n_groups, n_overlaps, groups_sha256, links) per row; ``links`` holds the pairs' numbers (``slot``)."""
     def run(batch: list[bytes]) -> list[pa.Array]:
         t, rows, links = tokenizers(a_path, b_path), [], []
         for raw in batch:
@@ -225,10 +243,10 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                 continue
             digest = hashlib.sha256()
             for k, one in enumerate(found):
-                digest.update((";" * bool(k) + one.groups(t)).encode())
+                digest.update(b";" * bool(k) + one.groups(t))
             rows.append((sum(len(x.a) for x in found), sum(len(x.b) for x in found), sum(len(x.cut_a) for x in found),
                          sum(int((x.last - x.first + 1).sum()) for x in found), digest.hexdigest()))
-            links.append(np.concatenate([t.pair(*x.links()) for x in found]))
+            links.append(np.concatenate([t.slot(*x.links()) for x in found]))
         cols = list(zip(*rows))
         return [*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4]), pa.array(links, pa.list_(pa.int32()))]
 
@@ -237,7 +255,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """(pair, n): how many links of all rows hold a pair. At most as many rows as ``codes`` has."""
+    """(pair, n): how many links of all rows hold a pair. At most ``Tokenizers.slots`` rows."""
     return links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -246,13 +264,13 @@ def measures(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
     of its B token; ties included), count_sum (the counts of its links), groups_sha256, n_overlaps (overlapping token pairs)."""
     stored = materialize(linked(docs, a_path, b_path, id_col, text_col), "alignment-links")
     t = tokenizers(a_path, b_path)
-    counts = np.zeros(len(t.codes), dtype=np.int64)
+    counts, best = np.zeros(t.slots, dtype=np.int64), np.zeros(t.slots, dtype=bool)
     found = materialize(pair_counts(stored), "alignment-counts").toArrow()  # bounded by the two vocabularies, see above
-    counts[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    of_b = t.codes % len(t.b_bytes)
-    highest = np.zeros(len(t.b_bytes), dtype=np.int64)
-    np.maximum.at(highest, of_b, counts)
-    table = docs.sparkSession.sparkContext.broadcast((counts, (counts == highest[of_b]) & (counts > 0)))
+    pairs, n = found.column("pair").to_numpy(), found.column("n").to_numpy()
+    of_b, highest = t.b_of(pairs), np.zeros(len(t.b_bytes), dtype=np.int64)
+    np.maximum.at(highest, of_b, n)
+    counts[pairs], best[pairs] = n, n == highest[of_b]
+    table = docs.sparkSession.sparkContext.broadcast((counts, best))
     names = [id_col, "n_a", "n_b", "n_groups", "groups_sha256", "n_overlaps"]
 
     def run(batches):

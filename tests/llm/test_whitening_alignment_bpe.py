@@ -160,9 +160,23 @@ def test_gallop_against_sets():
     for _ in range(500):
         a = sorted(RNG.sample(range(1, 400), RNG.randint(0, 40)))
         b = sorted(RNG.sample(range(1, 400), RNG.randint(0, 200)))
-        ranks, mine, its = alignment.gallop(a, b)
-        assert ranks == [sum(y < x for y in b) for x in a]
-        assert [a[i] for i in mine] == [b[i] for i in its] == sorted(set(a) & set(b))
+        ranks, held = alignment.gallop(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), RNG.choice([1, 3, 1024]))
+        assert ranks.tolist() == [sum(y < x for y in b) for x in a]
+        assert held.tolist() == [x in set(b) for x in a]
+
+
+def test_numbers_of_linked_pairs():
+    t = alignment.tokenizers(A_FILE, B_FILE)
+    by_bytes = defaultdict(lambda: ([], []))
+    for side, tokens in enumerate((t.a_bytes, t.b_bytes)):
+        for i, token in enumerate(tokens):
+            for k in range(len(token)):
+                by_bytes[token[k:]][side].append((i, k))
+    pairs = {(a, b) for own, its in by_bytes.values() for a, k in own for b, m in its if not k or not m}
+    a, b = np.array(sorted(pairs)).T
+    slots = t.slot(a, b)
+    assert len(set(slots.tolist())) == len(pairs) and 0 <= slots.min() and slots.max() < t.slots
+    assert (t.b_of(slots) == b).all()
 
 
 def test_alignment_against_brute_force(spark):
@@ -193,7 +207,7 @@ def test_alignment_in_blocks_and_overlap_ranges(spark, monkeypatch):
         monkeypatch.setattr(alignment, "BLOCK", 40)
         cut = alignment.aligned_blocks(t, text)
         monkeypatch.undo()
-        assert ";".join(x.groups(t) for x in cut) == whole[0].groups(t)
+        assert b";".join(x.groups(t) for x in cut) == whole[0].groups(t)
     row = alignment.align(spark.createDataFrame([(1, "unbelievable harbourmaster 12")], "doc_id long, text string"), A_FILE, B_FILE).first()
     sizes = {"a": [int(t.a_size[i]) for i in row.a_ids], "b": [int(t.b_size[i]) for i in row.b_ids]}
     mine, other = (sizes["a"], sizes["b"]) if row.driver == "a" else (sizes["b"], sizes["a"])
