@@ -1,34 +1,20 @@
-"""Connected components of a link table by minimum labels and pointer jumping."""
+"""Connected components of a link table, by the star contraction of the library."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.operators.graph import star_components
 from articleflow.session import materialize
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); ``root`` is the smallest node of the node's component.
 
-    A round takes the smallest label among the neighbours and then jumps to that label's own label, so labels travel
-    twice as far each time. Every round is written to the shared folder: lineage stays one round long and nothing but
-    the number of changed labels reaches the driver. Hubs are harmless: labels are partial minima, and the joins are
-    plain equi-joins that Spark splits when skewed."""
-    edges = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_m"))
-                         .select("node", F.least("node", "_m").alias("root")), "labels")
-    for _ in range(max_rounds):
-        near = (edges.join(labels.select(F.col("node").alias("b"), "root"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_m")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("root").alias("_old"), F.least("root", "_m").alias("root")))
-        heads = labels.select(F.col("node").alias("_n"), F.col("root").alias("_head"))
-        moved = (step.join(heads, step["root"] == heads["_n"])
-                 .select("node", F.least("root", "_head").alias("root"),
-                         (F.least("root", "_head") != F.col("_old")).alias("_changed")))
-        stored = materialize(moved, "labels")
-        labels = stored.select("node", "root")
-        if not stored.agg(F.count_if("_changed")).first()[0]:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    Every step is written to the shared folder: lineage stays one step long and nothing but the number of changed links
+    reaches the driver. A step never adds links, and its joins read the links once each, so their rows are bounded by the links
+    given; a group in which everything is linked to everything should come contracted (``simhash.links``)."""
+    found = materialize(star_components(links, "a", "b", max_rounds), "components")
+    roots = found.select("root").distinct().select(F.col("root").alias("node"), "root")
+    return found.unionByName(roots)

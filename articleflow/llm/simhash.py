@@ -123,8 +123,9 @@ def meeting(distinct: DataFrame, max_bits: int = 3, groups: int = 3) -> DataFram
             .filter(F.col("_lo") != F.col("_hi")).select("fp").distinct())
 
 
-def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b) links that connect exactly the components of the relation "at most ``max_bits`` bits differ"."""
+def hub_links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(a, b): every fingerprint with the hubs of its variants. They connect exactly the components of the relation "at most
+    ``max_bits`` bits differ", but a fingerprint in a dense group has a hub for nearly every variant."""
     radius = max_bits // 2
     spots = _table(ball_variants(max_bits), "flip", "n")
     spread = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
@@ -133,7 +134,25 @@ def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
     hub = F.min(F.when(F.col("n") <= radius, F.col("fp"))).over(Window.partitionBy("variant"))
     return (emitted.withColumn("hub", hub).filter(F.col("hub") != F.col("fp"))
             .filter(F.bit_count(F.col("hub").bitwiseXOR(F.col("fp"))) <= max_bits)
-            .select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
+            .select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+
+
+def links(candidates: DataFrame, max_bits: int = 3) -> DataFrame:
+    """``hub_links`` without repeats."""
+    return hub_links(candidates, max_bits).distinct()
+
+
+def contracted(near: DataFrame, times: int = 2) -> DataFrame:
+    """(a, b) links with the components of hub links, fewer where groups are dense: a fingerprint and all its hubs are linked to the
+    smallest of them, and the same again with the links so made. Members of a dense group share their small hubs, so its links
+    shrink to a few per fingerprint before any join. The lists are bounded: a fingerprint has at most as many hubs as variants (1,057
+    for three bits), and then at most one smallest one for each fingerprint that may link to it (43,745)."""
+    for _ in range(times):
+        hubs = near.groupBy("a").agg(F.collect_set("b").alias("hubs"))
+        least = hubs.select("a", "hubs", F.least("a", F.array_min("hubs")).alias("least"))
+        star = F.transform(F.array_append("hubs", F.col("a")), lambda x: F.struct(x.alias("a"), F.col("least").alias("b")))
+        near = least.select(F.inline(star)).filter(F.col("a") != F.col("b")).distinct()
+    return near
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, groups: int) -> DataFrame:
@@ -142,7 +161,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     fps = materialize(fingerprints(own, "doc_id", "text", shingle), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     survivors = materialize(meeting(distinct, max_bits, groups), "simhash-meeting")
-    roots = components(links(survivors, max_bits)).withColumnRenamed("node", "fp")
+    roots = components(contracted(hub_links(survivors, max_bits))).withColumnRenamed("node", "fp")
     smallest = roots.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("cid"))
     grouped = roots.join(smallest, "root").select("fp", "root", "cid")
     # stored, so that the last join is a plain one of two tables, which Spark can split where a group of copies is large

@@ -15,6 +15,7 @@ import xxhash
 from articleflow.llm import packing, simhash, warc
 from articleflow.llm.components import components
 from articleflow.llm.queries import tokenizer_path
+from articleflow.operators.graph import star_components
 
 RNG = random.Random(5)
 VOCAB = ["wort" + str(i) for i in range(400)]
@@ -134,6 +135,22 @@ def test_components_of_chains_and_stars(spark):
 
 
 # ---------------------------------------------------------------------------------------------------- packing
+def test_links_of_dense_groups_are_contracted(spark):
+    """Links per fingerprint do not grow with a group in which all are near copies, and the components stay."""
+    shares = []
+    for n in (60, 600):
+        centre = RNG.getrandbits(64)
+        group = {centre} | {centre ^ (1 << a) ^ (1 << b) for a, b in (RNG.sample(range(64), 2) for _ in range(n))}
+        group |= {RNG.getrandbits(64) for _ in range(20)}
+        df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in group], "fp long")
+        plain, fewer = simhash.links(df, 3), simhash.contracted(simhash.hub_links(df, 3))
+        assert {r.node: r.root for r in components(fewer).collect()} == {r.node: r.root for r in components(plain).collect()}
+        sizes = []
+        star_components(fewer, "a", "b", sizes=sizes).count()
+        shares.append((fewer.count() / len(group), sizes[0] / len(group)))
+    assert shares[1][0] <= 5 and shares[1][1] <= 1, shares
+
+
 def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
