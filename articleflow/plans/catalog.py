@@ -741,7 +741,8 @@ def messy_documents(documents: DataFrame) -> DataFrame:
     """Documents as feed documents of the kinds found in the wild: named entities and bare ampersands, CDATA that holds
     ``</item>``, unclosed tags, Atom entries, a feed title in CDATA. One document per (source, kind, id range)."""
     from articleflow.functions.dates import hours_after
-    from articleflow.sources.feeds import _cdata, _escaped
+    from articleflow.sources.feeds import _cdata
+    from articleflow.sources.markup import escaped as _escaped
     from articleflow.sources.tables import BINDING_BASE
 
     n, text, kind = F.col("doc_id").cast("string"), F.col("text"), F.col("doc_id") % 5
@@ -779,6 +780,57 @@ def q_feed_parse_messy(spark, sf_dir):
                         plain_ts("published_at").alias("published_at"))
 
 
+def dialect_documents(documents: DataFrame) -> DataFrame:
+    """Documents as feed documents of several dialects: RSS in upper case with a commented-out item, Atom under a prefix with xhtml content,
+    RSS 1.0 with Dublin Core under a prefix of its own, RSS 2.0 with HTML references and a permanent guid in place of a link.
+    One document per (source, kind, id range)."""
+    from articleflow.functions.dates import hours_after
+    from articleflow.sources.feeds import _cdata
+    from articleflow.sources.markup import escaped
+    from articleflow.sources.tables import BINDING_BASE
+
+    n, text, kind = F.col("doc_id").cast("string"), F.col("text"), F.col("doc_id") % 4
+    when = F.date_format(hours_after(BINDING_BASE, F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    link = F.concat(F.lit("https://d.example/"), n)
+
+    def joined(*parts) -> F.Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    item = (F.when(kind == 0, joined("<!-- <ITEM><TITLE>gone</TITLE></ITEM> --><ITEM><TITLE>Upper ", n, "</TITLE><LINK>", link, "</LINK><PUBDATE>", when,
+                                     "</PUBDATE><DESCRIPTION>", _cdata(text), "</DESCRIPTION><DC:CREATOR>Ann</DC:CREATOR></ITEM>"))
+            .when(kind == 1, joined("<a:entry><a:title type='text'>Atom ", n, "</a:title><a:author><a:name>Bo &amp; Co</a:name></a:author><a:link href='", link,
+                                    "'/><a:updated>", when, "</a:updated><a:content type='xhtml'><h:div><h:p>", escaped(text), "</h:p></h:div></a:content></a:entry>"))
+            .when(kind == 2, joined('<item rdf:about="', link, '"><title>Old ', n, "</title><link>", link, "</link><meta:date>", when, "</meta:date><full:encoded>",
+                                    _cdata(text), "</full:encoded><description>short</description><meta:creator>Cy</meta:creator></item>"))
+            .otherwise(joined("<item><title>&Eacute;t&eacute; &times; &rarr; &yen; &#128512; &#x1F600; ", n, '</title><guid isPermaLink="true">', link,
+                              "</guid><pubDate>", when, "</pubDate><description>", escaped(text), "</description><author>Di</author></item>")))
+    rows = documents.select("source", kind.alias("kind"), F.expr("doc_id div 1000").alias("part"), "doc_id", item.alias("item"))
+    bodies = rows.groupBy("source", "kind", "part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "").alias("items"),
+        F.min("doc_id").alias("seq"))
+    at = F.col("kind")
+    body = (F.when(at == 0, joined("<?XML version='1.0'?><RSS><CHANNEL><TITLE>", F.col("source"), "</TITLE>", F.col("items"), "</CHANNEL></RSS>"))
+            .when(at == 1, joined("<a:feed xmlns:a='http://www.w3.org/2005/Atom' xmlns:h='http://www.w3.org/1999/xhtml'><a:title>", F.col("source"),
+                                  "</a:title>", F.col("items"), "</a:feed>"))
+            .when(at == 2, joined('<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+                                  'xmlns:meta="http://purl.org/dc/elements/1.1/" xmlns:full="http://purl.org/rss/1.0/modules/content/"><channel><title>',
+                                  F.col("source"), "</title></channel>", F.col("items"), "</rdf:RDF>"))
+            .otherwise(joined("<rss version='2.0'><channel><title>", F.col("source"), "</title>", F.col("items"), "</channel></rss>")))
+    return bodies.select(F.col("source").alias("feed_name"), joined("https://d.example/feed/", F.col("source"), "/", at.cast("string")).alias("feed_url"),
+                         F.lit(200).alias("status"), F.lit("OK").alias("reason"), body.alias("body"),
+                         F.lit(None).cast("string").alias("fetch_error"), F.col("seq").cast("long").alias("seq"))
+
+
+def q_feed_parse_dialects(spark, sf_dir):
+    """RSS 0.9x/1.0/2.0 and Atom in any case and under any prefix, xhtml, references, Dublin Core dates."""
+    from articleflow.sources.feeds import collect_feeds
+
+    items, _ = collect_feeds(dialect_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])), ctx())
+    return items.select("item_id", "url", "title", "author", F.col("raw_metadata.feed_title").alias("feed_title"),
+                        F.col("raw_metadata.entry_id").alias("entry_id"), F.sha2("content", 256).alias("content_sha"),
+                        plain_ts("published_at").alias("published_at"))
+
+
 def q_feed_errors_all(spark, sf_dir):
     """Every way a landed document can fail, from the events (S15, U2): HTTP statuses, a missing status, transport errors with
     and without a type, a body that is no feed, an incomplete entry. Good documents give no row."""
@@ -1006,6 +1058,7 @@ QUERIES = {
     "vector_ivf_full": q_vector_ivf_full,
     "stream_upsert_updates": q_stream_upsert_updates,
     "feed_parse_messy": q_feed_parse_messy,
+    "feed_parse_dialects": q_feed_parse_dialects,
     "landed_documents": q_landed_documents,
     "feed_errors_all": q_feed_errors_all,
     "dedup_landed_feeds": q_dedup_landed_feeds,

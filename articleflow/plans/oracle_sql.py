@@ -633,6 +633,20 @@ Q["stream_upsert_updates"] = with_ctes(*BASE_PROCESSED) + """
 SELECT item_id, '2024-03-01 00:00:00.000000' AS created_at, '2024-03-02 00:00:00.000000' AS updated_at
 FROM processed WHERE list_contains(source_types, 'gmail')"""
 
+Q["feed_parse_dialects"] = """
+WITH d AS (
+  SELECT source, doc_id % 4 AS kind, CAST(doc_id AS VARCHAR) AS n, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published,
+         'https://d.example/' || CAST(doc_id AS VARCHAR) AS url, text, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS clean
+  FROM documents)
+SELECT substr(sha256(url), 1, 32) AS item_id, url,
+       CASE kind WHEN 0 THEN 'Upper ' WHEN 1 THEN 'Atom ' WHEN 2 THEN 'Old ' ELSE 'Été × → ¥ 😀 😀 ' END || n AS title,
+       CASE kind WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo & Co' WHEN 2 THEN 'Cy' ELSE 'Di' END AS author, source AS feed_title,
+       CASE WHEN kind >= 2 THEN url END AS entry_id,
+       sha256(CASE WHEN kind = 1 THEN '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>'
+                   WHEN kind = 2 AND length(clean) < 5 THEN 'short' ELSE clean END) AS content_sha,
+       """ + ts("published") + """ AS published_at
+FROM d WHERE published >= TIMESTAMP '2024-01-01 00:00:00' AND (kind IN (1, 2) OR length(clean) > 0)"""
+
 Q["feed_parse_messy"] = """
 WITH d AS (
   SELECT doc_id, source, text, doc_id % 5 AS kind, CAST(doc_id AS VARCHAR) AS n,

@@ -1,14 +1,14 @@
 """Feed documents: landing table, RSS 2.0 / Atom parsing, collection errors.
 
-A landed feed document is one row (feed_name, feed_url, status, reason, body, fetch_error, seq). Parsing is lenient and loses
-nothing without an error row:
+A landed feed document is one row (feed_name, feed_url, status, reason, body, fetch_error, seq). Parsing is lenient (RSS 0.9x, 1.0, 2.0
+and Atom, any case and any namespace prefix; see ``markup``) and loses nothing without an error row:
 
-1. ``tidy_body`` turns CDATA sections into escaped text (so ``</item>`` inside one is text), named HTML entities into their
-   characters and bare ``&`` into ``&amp;``;
-2. the entries are cut out as complete ``<item>…</item>`` / ``<entry>…</entry>`` fragments; a truncated tail loses only the
-   incomplete entry, which becomes an error row;
-3. each fragment is read with ``from_xml`` and a per-dialect schema; a fragment that is no well-formed XML (unclosed tags) is
-   read tag by tag instead.
+1. the body becomes canonical: a token stream without comments, CDATA as escaped text (so ``</item>`` inside one is text), tags in lower
+   case under fixed prefixes;
+2. the entries are cut out as complete ``<item>…</item>`` / ``<entry>…</entry>`` fragments; what is opened and not closed loses only
+   itself and is counted in an error row;
+3. a state machine folded over a fragment's tokens gives its fields. References are decoded in field values, once; the value
+   of an ``xhtml`` element is its markup.
 
 Failed fetches (transport errors, statuses outside 2xx, a missing status), bodies that are no feed, incomplete entries and
 files that no configured feed names become collection errors. Feeds are independent rows, so one failing feed never
@@ -28,25 +28,16 @@ from articleflow.functions.text import longest_text
 from articleflow.operators.collect import backfill_filter, drop_empty_content, with_item_id
 from articleflow.schemas import FEED_DOCUMENTS
 from articleflow.session import compute_once
+from articleflow.sources import markup as M
 
-RSS_ITEM = ("title string, link string, guid string, description string, pubDate string, author string, "
-            "category array<string>, `content:encoded` string, `dc:creator` string, _broken string")
-ATOM_ENTRY = ("title string, id string, published string, updated string, summary string, "
-              "content struct<_VALUE:string, _type:string>, link array<struct<_href:string, _rel:string>>, "
-              "category array<struct<_term:string>>, author struct<name:string>, _broken string")
-FRAGMENT = r"(?s)<(item|entry)[\s>].*?</\1>"
-OPENING = r"<(item|entry)[\s>]"
-FEED_ROOT = r"(?is)<(rss|feed|rdf:rdf|channel)[\s>]"
+FRAGMENT = r"(?s)<(item|entry)(?:\s[^>]*)?(?<!/)>.*?</\1\s*>"
+OPENING = r"<(?:item|entry)(?:[\s/][^>]*)?>"
+FEED_ROOT = r"<(rss|feed|rdf:rdf|channel)[\s>]"
 FEED_TITLE = r"(?s)^.*?<title[^>]*>(.*?)</title>"
-# Named entities that feeds use although XML does not define them.
-ENTITIES = {"nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–",
-            "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•",
-            "middot": "·", "euro": "€", "pound": "£", "deg": "°", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß",
-            "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç",
-            "ntilde": "ñ", "oacute": "ó", "iacute": "í", "aacute": "á", "uacute": "ú"}
-BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});)"
-CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-FIELD_TAGS = "title|link|guid|id|description|summary|content|content:encoded|pubDate|published|updated|author|dc:creator|category"
+# The fields of an entry, by canonical name.
+CONTENTS, SUMMARIES = ["content", "content:encoded"], ["summary", "description"]
+PUBLISHED, UPDATED = ["pubdate", "published", "issued", "dcterms:issued"], ["updated", "modified", "dc:date", "dcterms:modified"]
+FIELDS = ["title", "link", "guid", "id", "author", "dc:creator", "category", "dc:subject", *CONTENTS, *SUMMARIES, *PUBLISHED, *UPDATED]
 SEQ_BITS = 28
 
 
@@ -82,44 +73,10 @@ def read_landed_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------------------------------ lenient parsing
-def _escaped(text: F.Column) -> F.Column:
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                     F.lit(">"), F.lit("&gt;"))
-
-
-def tidy_body(body: F.Column) -> F.Column:
-    """The body with CDATA as escaped text, known entities as characters, bare ampersands escaped, control
-    characters dropped."""
-    def opened(part: F.Column, i: F.Column) -> F.Column:
-        end = F.instr(part, "]]>")
-        inside = F.when(end > 0, F.substring(part, F.lit(1), end - 1)).otherwise(part)
-        after = F.when(end > 0, F.substring(part, end + 3, F.length(part))).otherwise(F.lit(""))
-        return F.when(i == 0, part).otherwise(F.concat(_escaped(inside), after))
-
-    text = F.array_join(F.transform(F.split(body, r"<!\[CDATA\[", -1), opened), "")
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(text, BARE_AMPERSAND, "&amp;"), CONTROL, "")
-
-
-def decode_entities(text: F.Column) -> F.Column:
-    """Character references (up to U+FFFF) and the five XML entities of ``text`` as characters."""
-    def numeric(t: F.Column, pattern: str, prefix: str, number) -> F.Column:
-        codes = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
-        return F.aggregate(codes, t, lambda acc, c: F.replace(acc, F.concat(F.lit(prefix), c, F.lit(";")), F.decode(
-            F.unhex(F.lpad(number(c), 4, "0")), "UTF-16BE")))
-
-    text = numeric(text, r"&#([0-9]{1,5});", "&#", lambda c: F.conv(c, 10, 16))
-    text = numeric(text, r"&#x([0-9a-fA-F]{1,4});", "&#x", lambda c: c)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return text
-
-
-def _tag(fragment: F.Column, tag: str) -> F.Column:
-    """Content of the first ``tag``, up to its end tag or, if that is missing, the next field; null when absent."""
-    found = F.regexp_extract(fragment, rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|<(?:{FIELD_TAGS})[\s>]|</(?:item|entry)\s*>|\z)", 1)
-    return F.nullif(F.regexp_replace(decode_entities(found), r"\A\s+|\s+\z", ""), F.lit(""))
+def _canonical(docs: DataFrame, body: F.Column) -> DataFrame:
+    """``docs`` with the canonical body as ``_tidy`` (null where ``body`` is null)."""
+    named = compute_once(docs, [M.prefixes(body).alias("_names")])
+    return compute_once(named, [M.canonical(body, F.col("_names")).alias("_tidy")]).drop("_names")
 
 
 def _feed_like(docs: DataFrame) -> F.Column:
@@ -137,13 +94,10 @@ def collection_errors(docs: DataFrame, now) -> DataFrame:
                       .otherwise(F.col("fetch_error")))
     http = error(F.lit("HTTPStatusError"), F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("unknown")),
                                                     F.lit(": "), F.coalesce("reason", F.lit(""))))
-    body = F.coalesce(F.col("body"), F.lit(""))
-    rootless = ~body.rlike(FEED_ROOT)
     fine = _feed_like(docs)
-    # the tidied body of good documents is made once and read by both counts
-    tidied = compute_once(docs, [F.when(fine & ~rootless, tidy_body(body)).alias("_tidy")])
-    counted = compute_once(tidied, [(F.regexp_count("_tidy", F.lit(OPENING)) - F.size(
-        F.regexp_extract_all("_tidy", F.lit(FRAGMENT), F.lit(0)))).alias("_lost")])
+    tidied = _canonical(docs, F.when(fine, F.coalesce(F.col("body"), F.lit(""))))
+    rootless = ~F.col("_tidy").rlike(FEED_ROOT)
+    counted = compute_once(tidied, [(F.regexp_count("_tidy", F.lit(OPENING)) - F.regexp_count("_tidy", F.lit(FRAGMENT))).alias("_lost")])
     lost = F.col("_lost")
     picked = counted.select("feed_name", "feed_url", F.when(F.col("fetch_error").isNotNull(), transport).when(~fine, http)
                          .when(rootless, error(F.lit("ParseError"), F.lit("the body is no feed")))
@@ -156,52 +110,56 @@ def collection_errors(docs: DataFrame, now) -> DataFrame:
 
 def feed_entries(docs: DataFrame) -> DataFrame:
     """One row per complete entry of every fetched document, with its position and the feed title."""
-    tidy = compute_once(docs.filter(_feed_like(docs)), [tidy_body(F.col("body")).alias("_tidy")])
-    head = F.regexp_extract(F.col("_tidy"), r"(?s)^(.*?)<(item|entry)[\s>]", 1)
+    tidy = _canonical(docs.filter(_feed_like(docs)), F.col("body"))
+    head = F.regexp_extract(F.col("_tidy"), r"(?s)^(.*?)<(?:item|entry)[\s>/]", 1)
     title = F.regexp_extract(F.when(head != "", head).otherwise(F.col("_tidy")), FEED_TITLE, 1)
-    return tidy.select(
-        "feed_name", "feed_url", F.col("seq").alias("doc_seq"), F.nullif(F.trim(decode_entities(title)), F.lit("")).alias("feed_title"),
+    rooted = tidy.filter(F.col("_tidy").rlike(FEED_ROOT))
+    return rooted.select(
+        "feed_name", "feed_url", F.col("seq").alias("doc_seq"), M.trimmed(M.decode_entities(title)).alias("feed_title"),
         F.posexplode(F.regexp_extract_all(F.col("_tidy"), F.lit(FRAGMENT), F.lit(0))).alias("pos", "fragment"),
     )
 
 
-def entries_to_items(entries: DataFrame, now) -> DataFrame:
-    """Entry fragments → raw item columns (P2, P3, P4). RSS and Atom fragments use their own schema; a fragment that is not
-    well formed is read tag by tag."""
-    is_atom, fragment = F.col("fragment").startswith("<entry"), F.col("fragment")
-    options = {"columnNameOfCorruptRecord": "_broken"}
-    # each fragment is parsed once; the window/content filters that follow cannot copy the parse (compute_once)
-    e = compute_once(entries, [F.when(~is_atom, F.from_xml(fragment, RSS_ITEM, options)).alias("r"),
-                               F.when(is_atom, F.from_xml(fragment, ATOM_ENTRY, options)).alias("a")])
-    atom_link = F.coalesce(
-        F.try_element_at(F.filter(F.col("a.link"), lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-                         .getField("_href"), F.lit(1)),
-        F.try_element_at(F.col("a.link").getField("_href"), F.lit(1)))
-    broken = F.coalesce(F.when(is_atom, F.col("a._broken")).otherwise(F.col("r._broken"))).isNotNull()
-    href = F.nullif(F.regexp_extract(fragment, r"(?s)<link[^>]*?href=[\"']([^\"']*)[\"']", 1), F.lit(""))
-    by_attribute = F.regexp_extract_all(fragment, F.lit(r"<category[^>]*?term=[\"']([^\"']*)[\"']"), F.lit(1))
-    by_tag = F.regexp_extract_all(fragment, F.lit(r"(?s)<category(?:\s[^>]*)?>(.*?)</category\s*>"), F.lit(1))
-
-    def either(xml: F.Column, loose: F.Column) -> F.Column:
-        return F.when(broken, loose).otherwise(xml)
+def _value(field: F.Column) -> F.Column:
+    """A field's text: characters, or the markup of an xhtml element without the ``div`` around it."""
+    xhtml = M.trimmed(F.regexp_replace(field["text"], r"(?s)\A\s*<div(?:\s[^>]*)?>(.*)</div\s*>\s*\z", "$1"))
+    return F.when(F.lower(M.attribute(field["tag"], "type")).isin("xhtml", "application/xhtml+xml"), xhtml).otherwise(
+        M.trimmed(M.decode_entities(field["text"])))
 
+
+def entries_to_items(entries: DataFrame, now) -> DataFrame:
+    """Entry fragments → raw item columns."""
+    # the fold runs once per fragment; the window/content filters that follow cannot copy it (compute_once)
+    e = compute_once(entries, [M.fields(F.col("fragment"), FIELDS).alias("_fields"),
+                               F.regexp_extract("fragment", r"^<[^>]*>", 0).alias("_open")])
+
+    def every(*names: str) -> F.Column:
+        return F.filter("_fields", lambda f: f["name"].isin(*names))
+
+    def values(*names: str) -> F.Column:
+        return F.filter(F.transform(every(*names), _value), lambda v: v.isNotNull())
+
+    def first(*names: str) -> F.Column:
+        return F.coalesce(*[F.try_element_at(values(n), F.lit(1)) for n in names])
+
+    linked = F.filter(every("link"), lambda f: M.attribute(f["tag"], "href").isNotNull())
+    alternate = F.filter(linked, lambda f: F.coalesce(F.lower(M.attribute(f["tag"], "rel")), F.lit("alternate")) == "alternate")
+    href = F.coalesce(*[F.try_element_at(F.transform(found, lambda f: M.attribute(f["tag"], "href")), F.lit(1))
+                        for found in (alternate, linked)])
+    permanent = F.filter(every("guid"), lambda f: F.coalesce(F.lower(M.attribute(f["tag"], "ispermalink")), F.lit("true")) == "true")
+    named = F.transform(every("author"), lambda f: M.trimmed(M.decode_entities(F.regexp_extract(f["text"], r"(?s)<name[^>]*>(.*?)</name", 1))))
+    plain = F.transform(F.filter(every("author"), lambda f: ~F.contains(f["text"], F.lit("<"))), _value)
+    people = F.filter(F.concat(named, plain), lambda v: v.isNotNull())
     e = compute_once(e, [
-        either(F.when(is_atom, F.col("a.title")).otherwise(F.col("r.title")), _tag(fragment, "title")).alias("_title"),
-        either(F.when(is_atom, atom_link).otherwise(F.col("r.link")),
-               F.when(is_atom, decode_entities(href)).otherwise(_tag(fragment, "link"))).alias("_url"),
-        either(F.when(is_atom, F.array(F.col("a.content._VALUE"), F.col("a.summary"))).otherwise(
-            F.array(F.col("r.`content:encoded`"), F.col("r.description"))),
-            F.array(*[_tag(fragment, t) for t in ("content:encoded", "content", "description", "summary")])).alias("_texts"),
-        either(F.when(is_atom, F.col("a.published")).otherwise(F.col("r.pubDate")),
-               F.when(is_atom, _tag(fragment, "published")).otherwise(_tag(fragment, "pubDate"))).alias("_published"),
-        F.when(is_atom, either(F.col("a.updated"), _tag(fragment, "updated"))).alias("_updated"),
-        either(F.when(is_atom, F.col("a.author.name")).otherwise(F.coalesce(F.col("r.author"), F.col("r.`dc:creator`"))),
-               F.when(is_atom, _tag(fragment, "name")).otherwise(F.coalesce(_tag(fragment, "author"), _tag(fragment, "dc:creator")))
-               ).alias("_author"),
-        either(F.when(is_atom, F.col("a.id")).otherwise(F.col("r.guid")),
-               F.when(is_atom, _tag(fragment, "id")).otherwise(_tag(fragment, "guid"))).alias("_entry"),
-        either(F.when(is_atom, F.transform(F.col("a.category"), lambda c: c["_term"])).otherwise(F.col("r.category")),
-               F.transform(F.when(is_atom, by_attribute).otherwise(by_tag), decode_entities)).alias("_tags"),
+        first("title").alias("_title"),
+        F.coalesce(first("link"), href, F.try_element_at(F.transform(permanent, _value), F.lit(1))).alias("_url"),
+        F.concat(values(*CONTENTS), values(*SUMMARIES)).alias("_texts"),
+        first(*PUBLISHED).alias("_published"),
+        first(*UPDATED).alias("_updated"),
+        F.coalesce(F.try_element_at(people, F.lit(1)), first("dc:creator")).alias("_author"),
+        F.coalesce(first("id", "guid"), M.attribute(F.col("_open"), "[a-z]+:about")).alias("_entry"),
+        F.filter(F.transform(every("category", "dc:subject"), lambda f: F.coalesce(M.attribute(f["tag"], "term"), _value(f))),
+                 lambda v: v.isNotNull()).alias("_tags"),
     ])
     published = F.coalesce(parse_feed_date("_published"), parse_feed_date("_updated"), F.lit(now).cast("timestamp"))
     e = compute_once(e, [longest_text("_texts").alias("_content"), published.alias("_when")])

@@ -91,6 +91,26 @@ def test_messy_entries_are_all_there(spark):
     assert errors.count() == 0 and len({r.seq for r in rows}) == 4
 
 
+def test_case_prefixes_comments_and_references(spark):
+    """Upper case, a prefixed feed, a commented-out item, every HTML reference, quoted brackets in attributes."""
+    upper = ("<RSS><CHANNEL><TITLE>Up</TITLE><!-- <ITEM><TITLE>no</TITLE></ITEM> --><ITEM><TITLE a='x>y'>&times; &Eacute; &#128512; &amp;lt; &nope;</TITLE>"
+             "<LINK>https://u.example/1</LINK><DESCRIPTION>body &lt;b&gt;bold&lt;/b&gt; &#150; &#0;</DESCRIPTION></ITEM><ITEM/></CHANNEL></RSS>")
+    atom = ("<atom:feed xmlns:atom='http://www.w3.org/2005/Atom'><atom:title>At</atom:title><atom:entry><atom:title>E</atom:title>"
+            "<atom:source><atom:title>other</atom:title></atom:source><atom:content type='xhtml'><div><p>a &amp; <i>b</i></p><p>c</p></div>"
+            "</atom:content><atom:category term='t1'/></atom:entry></atom:feed>")
+    rdf = ("<rdf:RDF xmlns='http://purl.org/rss/1.0/' xmlns:rdf='http://www.w3.org/1999/02/22-rdf-syntax-ns#' xmlns:x='http://purl.org/dc/elements/1.1/'>"
+           "<channel rdf:about='c'><title>R</title><items><rdf:Seq><rdf:li resource='i'/></rdf:Seq></items></channel>"
+           "<item rdf:about='https://r.example/i'><title>I</title><link>https://r.example/i</link><description>d</description>"
+           "<x:date>2024-03-05T06:07:08Z</x:date><x:subject>s1</x:subject></item></rdf:RDF>")
+    docs = landed(spark, [(n, f"https://f/{n}", 200, "OK", body, None, i) for i, (n, body) in enumerate([("u", upper), ("a", atom), ("r", rdf)])])
+    items, errors = collect_feeds(docs, ctx(ts(2024, 1, 1)))
+    u, a, r = items.orderBy("seq").collect()
+    assert (u.title, u.content) == ("× É 😀 &lt; &nope;", "body <b>bold</b> – &#0;")
+    assert (a.title, a.content, a.raw_metadata.tags, a.raw_metadata.feed_title) == ("E", "<p>a &amp; <i>b</i></p><p>c</p>", ["t1"], "At")
+    assert (r.title, r.raw_metadata.tags, r.published_at.isoformat()[:19]) == ("I", ["s1"], "2024-03-05T06:07:08")
+    assert [(e.source_id, e.error_message) for e in errors.collect()] == [("https://f/u", "1 incomplete entries")]
+
+
 def test_same_link_in_two_feeds_is_one_item(spark):
     from articleflow.operators.dedup import dedup_exact
 
