@@ -111,13 +111,13 @@ def collection_errors(docs: DataFrame, now) -> DataFrame:
 def feed_entries(docs: DataFrame) -> DataFrame:
     """One row per complete entry of every fetched document, with its position and the feed title."""
     tidy = _canonical(docs.filter(_feed_like(docs)), F.col("body"))
-    head = F.regexp_extract(F.col("_tidy"), r"(?s)^(.*?)<(?:item|entry)[\s>/]", 1)
-    title = F.regexp_extract(F.when(head != "", head).otherwise(F.col("_tidy")), FEED_TITLE, 1)
-    rooted = tidy.filter(F.col("_tidy").rlike(FEED_ROOT))
-    return rooted.select(
-        "feed_name", "feed_url", F.col("seq").alias("doc_seq"), M.trimmed(M.decode_entities(title)).alias("feed_title"),
-        F.posexplode(F.regexp_extract_all(F.col("_tidy"), F.lit(FRAGMENT), F.lit(0))).alias("pos", "fragment"),
-    )
+    head = compute_once(tidy, [F.regexp_extract("_tidy", r"(?s)^(.*?)<(?:item|entry)[\s>/]", 1).alias("_head")])
+    title = F.regexp_extract(F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_tidy")), FEED_TITLE, 1)
+    # all that is read from the body comes before the entries are spread to rows, which do not carry the body
+    found = compute_once(head, [
+        M.trimmed(M.decode_entities(title)).alias("feed_title"),
+        F.when(F.col("_tidy").rlike(FEED_ROOT), F.regexp_extract_all(F.col("_tidy"), F.lit(FRAGMENT), F.lit(0))).alias("_fragments")])
+    return found.select("feed_name", "feed_url", F.col("seq").alias("doc_seq"), "feed_title", F.posexplode("_fragments").alias("pos", "fragment"))
 
 
 def _value(field: F.Column) -> F.Column:
@@ -129,15 +129,16 @@ def _value(field: F.Column) -> F.Column:
 
 def entries_to_items(entries: DataFrame, now) -> DataFrame:
     """Entry fragments → raw item columns."""
-    # the fold runs once per fragment; the window/content filters that follow cannot copy it (compute_once)
-    e = compute_once(entries, [M.fields(F.col("fragment"), FIELDS).alias("_fields"),
-                               F.regexp_extract("fragment", r"^<[^>]*>", 0).alias("_open")])
+    # the fold runs once per fragment, and so does the decoding; filters that follow cannot copy them (compute_once)
+    folded = compute_once(entries, [M.fields(F.col("fragment"), FIELDS).alias("_raw"), F.regexp_extract("fragment", r"^<[^>]*>", 0).alias("_open")])
+    e = compute_once(folded, [F.transform("_raw", lambda f: F.named_struct(
+        F.lit("name"), f["name"], F.lit("tag"), f["tag"], F.lit("text"), f["text"], F.lit("value"), _value(f))).alias("_fields")]).drop("_raw")
 
     def every(*names: str) -> F.Column:
         return F.filter("_fields", lambda f: f["name"].isin(*names))
 
     def values(*names: str) -> F.Column:
-        return F.filter(F.transform(every(*names), _value), lambda v: v.isNotNull())
+        return F.filter("_fields", lambda f: f["name"].isin(*names) & f["value"].isNotNull()).getField("value")
 
     def first(*names: str) -> F.Column:
         return F.coalesce(*[F.try_element_at(values(n), F.lit(1)) for n in names])
@@ -148,17 +149,17 @@ def entries_to_items(entries: DataFrame, now) -> DataFrame:
                         for found in (alternate, linked)])
     permanent = F.filter(every("guid"), lambda f: F.coalesce(F.lower(M.attribute(f["tag"], "ispermalink")), F.lit("true")) == "true")
     named = F.transform(every("author"), lambda f: M.trimmed(M.decode_entities(F.regexp_extract(f["text"], r"(?s)<name[^>]*>(.*?)</name", 1))))
-    plain = F.transform(F.filter(every("author"), lambda f: ~F.contains(f["text"], F.lit("<"))), _value)
+    plain = F.filter(every("author"), lambda f: ~F.contains(f["text"], F.lit("<"))).getField("value")
     people = F.filter(F.concat(named, plain), lambda v: v.isNotNull())
     e = compute_once(e, [
         first("title").alias("_title"),
-        F.coalesce(first("link"), href, F.try_element_at(F.transform(permanent, _value), F.lit(1))).alias("_url"),
+        F.coalesce(first("link"), href, F.try_element_at(permanent.getField("value"), F.lit(1))).alias("_url"),
         F.concat(values(*CONTENTS), values(*SUMMARIES)).alias("_texts"),
         first(*PUBLISHED).alias("_published"),
         first(*UPDATED).alias("_updated"),
         F.coalesce(F.try_element_at(people, F.lit(1)), first("dc:creator")).alias("_author"),
         F.coalesce(first("id", "guid"), M.attribute(F.col("_open"), "[a-z]+:about")).alias("_entry"),
-        F.filter(F.transform(every("category", "dc:subject"), lambda f: F.coalesce(M.attribute(f["tag"], "term"), _value(f))),
+        F.filter(F.transform(every("category", "dc:subject"), lambda f: F.coalesce(M.attribute(f["tag"], "term"), f["value"])),
                  lambda v: v.isNotNull()).alias("_tags"),
     ])
     published = F.coalesce(parse_feed_date("_published"), parse_feed_date("_updated"), F.lit(now).cast("timestamp"))
