@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from articleflow.llm.common import WORD, map_texts, texts
 from articleflow.session import materialize
 
-LETTER = re.compile(r"[^\W\d_]")
 _MIX, _RADIX = np.uint32(2654435761), np.uint64(1099511628211)
 CHUNK_BYTES = 1 << 20
 
@@ -297,7 +296,7 @@ def label_texts(batch: list[bytes], model: Model) -> list[tuple[np.ndarray, np.n
             pending.clear()
 
     for i, raw in enumerate(batch):
-        if not model.labels or not LETTER.search(raw.decode("utf-8", "replace")):
+        if not model.labels or not has_letter(raw):
             continue
         pending.append((i, chains_of(raw)))
         held += len(raw)
@@ -308,13 +307,17 @@ def label_texts(batch: list[bytes], model: Model) -> list[tuple[np.ndarray, np.n
     return out
 
 
+def has_letter(raw: bytes) -> bool:
+    """Whether UTF-8 holds a letter; numbers such as ``½`` and ``③`` are none."""
+    return _ASCII_LETTER.search(raw) is not None or (not raw.isascii() and any(map(str.isalpha, raw.decode("utf-8", "replace"))))
+
+
 def _lettered(lines: list[list[bytes]]) -> np.ndarray:
-    """Whether a word may hold a letter: an ASCII letter or a byte outside ASCII."""
-    table = _LETTER_BYTES
-    return np.array([len(w.translate(None, table)) < len(w) for line in lines for w in line], dtype=bool)
+    """Whether a word holds a letter."""
+    return np.array([has_letter(w) for line in lines for w in line], dtype=bool)
 
 
-_LETTER_BYTES = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
