@@ -162,7 +162,7 @@ def _joined(marked: Column) -> Column:
     """Known sentences, however wrapped, as ``_KNOWN`` and their identifier, longest first."""
     forms = []
     for code, sentence in sorted([*SENTENCES.items(), *VARIANTS], key=lambda x: -len(x[1])):
-        pattern = sentence.replace(" ", "[ \n]").replace("|", _STOP).replace("*", "[^\x01]{1,200}?")
+        pattern = sentence.replace(" ", "[ \n]").replace("|", _STOP).replace("*", "[^\x01]+?")
         literal = max(sentence.replace("|", _STOP).split("*"), key=len)
         forms.append(F.struct(F.lit(literal.strip()).alias("literal"), F.lit(_KNOWN + code).alias("code"),
                               F.lit(f"(?<=[\n\x01]){pattern}(?=[\n\x01])").alias("pattern")))

@@ -269,3 +269,9 @@ def test_slices_bound_the_bytes_and_keep_all_rows():
     parts = list(slices(iter([batch, batch.slice(0, 0)]), 1))
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(sizes)))
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= SLICE_BYTES for p in parts)
+
+
+def test_a_holder_of_any_length_keeps_the_licence(spark):
+    holder = "the " + "Very Long Institute of Sciences " * 30
+    text = NOTICES["BSD-3-Clause"].replace("the copyright holder nor", holder.strip() + " nor")
+    assert [r.licenses for r in licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == ["BSD-3-Clause"]
