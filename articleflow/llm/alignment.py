@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from articleflow.llm.common import map_texts
 from articleflow.llm.packing import encoder, library
-from articleflow.session import materialize
+from articleflow.session import materialize, scratch_path
 
 BLOCK = 1 << 20
 _BORDER = re.compile(r"(?<=\S) (?=[\s\S])")
@@ -262,7 +262,10 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def measures(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_a, n_b, n_groups, n_links, n_best (links whose pair is, by its count over all rows, the most frequent
     of its B token; ties included), count_sum (the counts of its links), groups_sha256, n_overlaps (overlapping token pairs)."""
-    stored = materialize(linked(docs, a_path, b_path, id_col, text_col), "alignment-links")
+    path = scratch_path(docs.sparkSession, "alignment-links")
+    # small row groups: a writing task holds one in memory
+    linked(docs, a_path, b_path, id_col, text_col).write.option("parquet.block.size", 16 << 20).parquet(path)
+    stored = docs.sparkSession.read.parquet(path)
     t = tokenizers(a_path, b_path)
     counts, best = np.zeros(t.slots, dtype=np.int64), np.zeros(t.slots, dtype=bool)
     found = materialize(pair_counts(stored), "alignment-counts").toArrow()  # bounded by the two vocabularies, see above
