@@ -46,10 +46,12 @@ DIGIT = re.compile(r"[0-9]")
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth",
                 "credential", "private_key", "client_secret", "bearer", "passphrase")
 #: Only a name that announces a secret takes a value, so a plain ``name: value`` hides no assignment inside it. A quoted
-#: value reaches to its closing quote.
-ASSIGNED = re.compile(
-    r"(?i:" + "|".join(SECRET_NAMES) + r")[A-Za-z0-9_\-]{0,39}[\"']?[ \t]{0,3}(?:=|:=|:)[ \t]{0,3}"
-    r"(?:\"(?!//)((?:[^\"\\\n]|\\.){6,})\"|'(?!//)((?:[^'\\\n]|\\.){6,})'|[\"']?(?!//)([^\s\"'<>]{6,}))")
+#: value reaches to its closing quote. Names and blanks have any length.
+ASSIGNED_NAME = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)[\"']?[ \t]*+(?:=|:=|:)[ \t]*+")
+ASSIGNED_VALUE = re.compile(
+    r"\"(?!//)((?:[^\"\\\n]|\\.){6,})\"|'(?!//)((?:[^'\\\n]|\\.){6,})'|[\"']?(?!//)([^\s\"'<>]{6,})")
+LOGIN = re.compile(r"://[^\s/:@\"'<>]+:([^\s/@\"'<>]{6,})@")
+ELEMENT = re.compile(r"<([A-Za-z0-9_:.\-]++)(?:\s[^<>]*)?>([^<>\s]{6,})</")
 PLAIN_NAMES = ("example", "sample", "dummy", "test", "phone", "tel", "uuid", "commit", "sha", "md5", "hash", "version",
                "isbn", "card", "order", "invoice", "id", "url", "http", "https", "date", "checksum")
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|\*\*\*|1234567|0000000|\$\{|todo")
@@ -78,14 +80,34 @@ def private_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def announces(name: str) -> bool:
+    low = name.lower()
+    return any(n in low for n in SECRET_NAMES)
+
+
+def assigned(text: str) -> list[tuple[int, int]]:
+    """(start, end) of values given to a name that announces a secret, of passwords in addresses and of secret elements' texts."""
+    out, until = [], 0
+    if "=" in text or ":" in text:
+        for name in ASSIGNED_NAME.finditer(text):
+            if name.start() < until or not announces(name.group(1)):
+                continue
+            m = ASSIGNED_VALUE.match(text, name.end())
+            if m:
+                until = m.end()
+                out.append((m.start(m.lastindex), m.end(3) - len(m.group(3)) + len(m.group(3).rstrip(".,;)")) if m.lastindex == 3
+                            else m.end(m.lastindex)))
+    if "://" in text:
+        out += [m.span(1) for m in LOGIN.finditer(text)]
+    if "</" in text:
+        out += [m.span(2) for m in ELEMENT.finditer(text) if announces(m.group(1))]
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, detector) of the candidates of a text, in order and without overlaps."""
     found: list[tuple[int, int, str]] = []
-    if "=" in text or ":" in text:
-        for m in ASSIGNED.finditer(text):
-            at = m.start(m.lastindex)
-            found.append((at, m.end(3) - len(m.group(3)) + len(m.group(3).rstrip(".,;)")) if m.lastindex == 3
-                          else m.end(m.lastindex), "assigned"))
+    found += [(a, b, "assigned") for a, b in assigned(text)]
     keys = private_keys(text) if "PRIVATE KEY" in text else []
     if any(p in text for p in PREFIX_TEXT):
         found += [(m.start(), m.end(), "format") for m in PREFIXED.finditer(text)]

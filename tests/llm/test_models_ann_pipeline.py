@@ -52,6 +52,17 @@ def test_assignments_inside_other_values_and_quotes():
     assert found("DB_PASSWORD_OLD := Hunter2!x9).") == ["Hunter2!x9"] and found("name: value12345, url: http://x/y") == []
 
 
+def test_assignments_of_any_width():
+    def found(text):
+        return [text[a:b] for a, b, d in secrets.candidates(text) if d == "assigned"]
+
+    assert found('password        = "Hunter2!x9y"') == ["Hunter2!x9y"]
+    assert found("db_password_for_the_primary_reporting_replica_in_frankfurt = Hunter2x9yQ") == ["Hunter2x9yQ"]
+    assert found("postgres://user:Hunter2x9yQ@host/db") == ["Hunter2x9yQ"]
+    assert found("<password>Hunter2x9yQ</password><port>123456</port>") == ["Hunter2x9yQ"]
+    assert found("token" * 200_000) == [] and found("a" * 500_000 + " " * 500_000 + "=") == []
+
+
 def key_body():
     return "\n".join([*(token(64, HEX + "GHIJKLMNOP+/") for _ in range(12)), token(22) + "=="])
 
@@ -245,6 +256,15 @@ def test_training_gradient_lowers_the_loss_and_labels_switches(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "the harbour opened late and the boats came in", "en") for i in range(40)]
+                                 + [(100 + i, "der Hafen wurde erst am Abend geöffnet", "de") for i in range(40)], "doc_id long, text string, lang string")
+    texts = {0: "½ ² ③ 12 –", 1: "½ ² ③ the harbour", 2: None, 3: "", 4: "é", 5: "_ 7"}
+    model = langid.train(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert {i for i, lang in got.items() if lang == "und"} == {0, 2, 3, 5} and got[1] == "en"
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in QUERIES["op9_language_id"](spark, sf).collect()}
