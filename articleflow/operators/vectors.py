@@ -9,6 +9,8 @@
   work approaches comparing all blocks with all blocks, which is what an exact answer costs there. No cap, no second method.
 * ``similar_links`` – links with the same components: stars for copies and a forest per pair of blocks, so a dense group
   gives links in proportion to its rows.
+* ``hashed_pairs`` – random sign bits in bands with multi-probe, then exact verification: the work grows with the rows and the pairs
+  found, at a stated recall.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
 * ``connected_components`` – star contraction (``operators.graph``); each step's links are written to the shared checkpoint
   folder (lineage stays short, a lost executor recomputes one step only).
@@ -217,6 +219,66 @@ def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col
     return between.unionByName(within)
 
 
+# ------------------------------------------------------------------------------------------- hashing search
+def band_hit_rate(threshold: float, bits: int) -> float:
+    """The chance that two vectors at the threshold differ in at most two of a band's sign bits."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi  # a random hyperplane parts them with this chance
+    return sum(math.comb(bits, d) * p ** d * (1 - p) ** (bits - d) for d in range(3))
+
+
+def hash_plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bits of a band, bands): bits grow with the logarithm of the rows, so buckets stay small, and there are as many bands as pairs
+    at the threshold need to be met with the chance ``recall`` (pairs above it are met more often)."""
+    bits = max(8, min(40, math.ceil(math.log2(max(n, 2))) + 4))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(band_hit_rate(threshold, bits), 1 - 1e-9))))
+
+
+def _signatures(reps: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """(id, band, sig): the sign bits of random projections, a band at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        planes = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(u.shape[1], bands * bits))
+            signs = (np.einsum("ij,jk->ik", u, planes) > 0).reshape(len(u), bands, bits)
+            sig = (signs << np.arange(bits, dtype=np.int64)).sum(axis=2)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(u)),
+                                "sig": sig.ravel()})
+
+    return reps.mapInPandas(run, f"id {dict(reps.dtypes)['id']}, band int, sig long")
+
+
+def hashed_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding",
+                 recall: float = 0.97, seed: int = 7) -> DataFrame:
+    """Pairs (id_a < id_b, similarity) of different vectors with cosine ≥ threshold, by hashing (V2 at scale): every returned pair is
+    right, and a pair is found with at least the chance ``recall``.
+
+    Every vector has one signature of random sign bits per band. It visits its own bucket and those one bit away (multi-probe), so
+    two vectors meet where their signatures differ in at most two bits. Of the buckets where a pair meets one is chosen
+    by its two signatures, so a band reports it once. Candidates carry ids only; vectors come back by joins on the id.
+    Copies of a vector are one vector here, named by its smallest id (``collapse_identical`` maps the others)."""
+    reps = _representatives(materialize(collapse_identical(df, id_col, vec_col), "representatives"), vec_col)
+    bits, bands = hash_plan(reps.count(), threshold, recall)
+    probes = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(bits))]])
+    placed = materialize(_signatures(reps, bits, bands, seed), "signatures").select(
+        "id", "band", "sig", F.explode(F.transform(probes, lambda flip: F.col("sig").bitwiseXOR(flip))).alias("bucket"))
+    a, b = placed.alias("a"), placed.alias("b")
+    differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
+    lowest = differ.bitwiseAND(-differ)
+    meeting = F.when(F.bit_count(differ) <= 1, F.least("a.sig", "b.sig")).otherwise(F.col("a.sig").bitwiseXOR(lowest))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
+                 & (F.col("a.bucket") == meeting)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    left, right = (reps.select(F.col("id").alias(name), F.col("u").alias(vector)) for name, vector in (("id_a", "ua"), ("id_b", "ub")))
+    return (met.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", dot("ua", "ub").alias("similarity"))
+            .filter(F.col("similarity") >= threshold))
+
+
 def pair_search_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
                       vec_col: str = "embedding", pivots: int = 64) -> DataFrame:
     """What the pair search costs at a threshold (one row): different vectors, comparisons (from cell sizes, not by

@@ -586,6 +586,19 @@ def q_vector_pairs_planted(spark, sf_dir):
     return pairs.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
+def q_vector_pairs_hashed(spark, sf_dir):
+    """The hashing search against the exact one over vectors with near copies (V2): pairs of different vectors, whether 95 % of them
+    are found, and found pairs that are none."""
+    vectors = planted_vectors(spark, sf_dir)
+    distinct = V.collapse_identical(vectors).filter(F.col("id") == F.col("rep")).select(F.col("id").alias("vec_id"), "embedding")
+    exact = V.similar_pairs(distinct).select("id_a", "id_b", F.lit(1).alias("exact"))
+    found = V.hashed_pairs(vectors).select("id_a", "id_b", F.lit(1).alias("found"))
+    both = exact.join(found, ["id_a", "id_b"], "full_outer")
+    return both.agg(F.count("exact").alias("exact_pairs"),
+                    (F.count_if(F.col("exact").isNotNull() & F.col("found").isNotNull()) >= 0.95 * F.count("exact")).alias("recall_reached"),
+                    F.count_if(F.col("exact").isNull()).alias("wrong_pairs"))
+
+
 def q_semantic_dedup(spark, sf_dir):
     """Newsletter items merged where their embeddings are similar: pairs on item ids, components, the merge rule of
     dedup (V2–V4). An item's embedding is the vector with its sequence number; items without one stay as they are."""
@@ -1054,6 +1067,7 @@ QUERIES = {
     "full_run": q_full_run,
     "vector_pairs_planted": q_vector_pairs_planted,
     "vector_components_planted": q_vector_components_planted,
+    "vector_pairs_hashed": q_vector_pairs_hashed,
     "semantic_dedup": q_semantic_dedup,
     "vector_ivf_full": q_vector_ivf_full,
     "stream_upsert_updates": q_stream_upsert_updates,

