@@ -215,6 +215,7 @@ def _call(provider: BatchProvider, rows: pd.DataFrame) -> pd.DataFrame:
     for col in ["title", "summary", "key_points", "topics", "article_type", "error"]:
         if col not in out.columns:
             out[col] = None
+    out = out[out["item_id"].isin(rows["item_id"])].drop_duplicates("item_id")  # one answer per row that was asked for
     missing = rows.loc[~rows["item_id"].isin(out["item_id"]), ["item_id"]]  # rows the provider gave no answer for
     return pd.concat([out, missing], ignore_index=True) if len(missing) else out
 

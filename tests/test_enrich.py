@@ -97,3 +97,19 @@ def test_one_raising_row_costs_one_row(raw_df):
     rows = [raw_row(item_id=i, seq=n, content=LONG) for n, i in enumerate(["x9", *[f"ok{k}" for k in range(60)], "x8"])]
     e = {r.item_id: r for r in E.enrich(dedup_exact(raw_df(rows)), Flaky(), max_concurrent=1, pause_seconds=0).collect()}
     assert {i for i, r in e.items() if r.enrich_error} == {"x8", "x9"} and e["x8"].enrich_error.startswith("RuntimeError")
+
+
+class Repeating(Flaky):
+    """Names every id twice, and one that nobody asked for."""
+
+    def __call__(self, batch):
+        import pandas as pd
+
+        out = super().__call__(batch)
+        return pd.concat([out, out, out.head(1).assign(item_id="other")], ignore_index=True)
+
+
+def test_an_answer_that_repeats_ids_gives_one_row_each(raw_df):
+    rows = [raw_row(item_id=i, seq=n, content=LONG) for n, i in enumerate(["ok1", "ok2", "bad1"])]
+    got = E.enrich(dedup_exact(raw_df(rows)), Repeating(), max_concurrent=1, pause_seconds=0).collect()
+    assert sorted(r.item_id for r in got) == ["bad1", "ok1", "ok2"]
