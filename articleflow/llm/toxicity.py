@@ -118,9 +118,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
            .groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label")))
     n = max(1, own.count())
     slot = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_003))
-    chosen = own.filter(slot * F.lit(n) < F.lit(1_000_003 * train_rows)).limit(2 * train_rows)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(
-        F.col("_id"), F.col("_label"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    chosen = own.filter(slot * F.lit(n) < F.lit(1_000_003 * train_rows)).orderBy(slot, "_id").limit(2 * train_rows)
+    texts_of = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    return texts_of.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

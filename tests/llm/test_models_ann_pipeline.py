@@ -200,6 +200,8 @@ def test_counterfactual_penalty_evens_out_identity_terms(spark):
     assert fair[None].predicted == 1 and fair[9004].predicted == 1 and fair[9002].score == fair[9003].score
     gap = {k: abs(s[9000].score - s[9001].score) for k, s in scores.items()}
     assert gap[50.0] < 0.5 * gap[0.0] and fair[9000].score < plain[9000].score and fair[9000].predicted == 0
+    clash = d.withColumn("_id", F.lit(1)).withColumn("_label", F.lit(0)).withColumn("_text", F.lit("x"))
+    assert toxicity.train(clash, lab, fairness=1.0) is not None
     empty = toxicity.train(d, lab.limit(0))
     assert {r.score for r in toxicity.score(d, empty).collect()} == {0.5}
     assert toxicity.score(d.limit(0), model).count() == 0
