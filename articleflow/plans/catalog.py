@@ -710,6 +710,31 @@ def q_stream_daily_counts(spark, sf_dir):
     return final.select(plain_ts("day").alias("day"), "topic", "n")
 
 
+def q_stream_daily_final(spark, sf_dir):
+    """Final counts per day and source over several arrivals (T4): documents arrive in three files in order of time, every tenth of the
+    first third only in a fourth one, after its days have closed (rows are late by the watermark that the batch before had); a fifth
+    file closes the last days."""
+    from articleflow.functions.dates import hours_after
+    from articleflow.session import scratch_path
+    from articleflow.sources.tables import BINDING_BASE
+    from articleflow.streaming.ingest import run_final
+
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    n = docs.agg(F.max("doc_id")).first()[0] + 1
+    late = (F.col("doc_id") % 10 == 0) & (F.col("doc_id") < n // 3)
+    arrival = F.when(late, 3).when(F.col("doc_id") < n // 3, 0).when(F.col("doc_id") < 2 * n // 3, 1).otherwise(2)
+    rows = docs.select(hours_after(BINDING_BASE, F.col("doc_id")).alias("published_at"), F.array("source").alias("topics"), arrival.alias("arrival"))
+    landed = scratch_path(spark, "arrivals")
+    for i in range(4):
+        rows.filter(F.col("arrival") == i).drop("arrival").coalesce(1).write.mode("append").parquet(landed)
+    end = hours_after(BINDING_BASE, F.lit(n + 24 * 30)).alias("published_at")  # a row without topics would not move the watermark
+    spark.range(1).select(end, F.array(F.lit("closing")).alias("topics")).coalesce(1).write.mode("append").parquet(landed)
+    stream = (spark.readStream.schema("published_at timestamp, topics array<string>").option("maxFilesPerTrigger", 1).parquet(landed))
+    counts, arrived = run_final(stream, "daily-final")
+    counted = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.select(plain_ts("day").alias("day"), "topic", "n", F.lit(arrived - counted - 1).cast("long").alias("late_rows"))  # the closing row's day stays open
+
+
 # ------------------------------------------------------------------------------------------------ feeds
 def q_feed_parse(spark, sf_dir):
     """Documents published as RSS feed documents, parsed back into raw items."""
@@ -1058,6 +1083,7 @@ QUERIES = {
     "stream_dedup": q_stream_dedup,
     "stream_upsert": q_stream_upsert,
     "stream_daily_counts": q_stream_daily_counts,
+    "stream_daily_final": q_stream_daily_final,
     "feed_parse": q_feed_parse,
     "feed_errors": q_feed_errors,
     "enrich_batch_provider": q_enrich_batch_provider,

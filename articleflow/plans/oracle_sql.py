@@ -549,6 +549,12 @@ Q["stream_daily_counts"] = with_ctes(*BASE, "doc_items AS (SELECT *, 1 AS n_merg
 SELECT {ts("date_trunc('day', published_at)")} AS day, t AS topic, count(*) AS n
 FROM (SELECT published_at, unnest(e_topics) AS t FROM checked) GROUP BY 1, 2"""
 
+Q["stream_daily_final"] = """
+WITH m AS (SELECT max(doc_id) + 1 AS n FROM documents),
+d AS (SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published, source, doc_id % 10 = 0 AND doc_id < n // 3 AS late FROM documents, m)
+SELECT """ + ts("date_trunc('day', published)") + """ AS day, source AS topic, count(*) AS n, (SELECT count(*) FROM d WHERE late) AS late_rows
+FROM d WHERE NOT late GROUP BY 1, 2"""
+
 Q["feed_parse"] = """
 WITH d AS (
   SELECT *, 'https://letters.example/' || source || '/' || CAST(doc_id AS VARCHAR) AS url,

@@ -7,7 +7,8 @@
   touches. A marker per batch id is written after the commit; a batch that is retried between the two is applied again, with
   the same result, because the upsert is keyed.
 * T4 ``daily_topic_counts`` – topic counts per publication day with a watermark, emitted in update mode; the
-  sink keeps, per (day, topic), the count of the latest batch (an idempotent, keyed sink).
+  sink keeps, per (day, topic), the count of the latest batch (an idempotent, keyed sink). ``run_final`` is the append form: final
+  counts as days close, and late rows accounted for.
 
 ``run_available`` drives a query with ``trigger(availableNow=True)`` into Parquet under the shared checkpoint
 folder and returns the written table as a batch DataFrame; nothing is collected on the driver.
@@ -53,12 +54,31 @@ def daily_topic_counts(items_with_topics: DataFrame, watermark: str = "2 days",
             .select(F.col("w.start").alias("day"), "topic", "n"))
 
 
+def run_final(items: DataFrame, name: str, watermark: str = "2 days", event_time: str = "published_at",
+              topics: str = "topics") -> tuple[DataFrame, int]:
+    """Topic counts per day in append mode (T4): a day's counts are written once, when the watermark has passed its end, and never
+    change. Returns the written counts and the number of (row, topic) pairs that arrived, counted by a streaming observation
+    before the aggregation. Days still open when the input ends are not written; what arrived for the others and is in no count came
+    too late. Rows without topics count nowhere and do not move the watermark (Spark drops them before it)."""
+    arrived = items.observe("arrived", F.coalesce(F.sum(F.size(topics)), F.lit(0)).alias("n"))
+    out, progress = _run(daily_topic_counts(arrived, watermark, event_time, topics), name, "append", None, None)
+    if len({p["batchId"] for p in progress}) != max((p["batchId"] for p in progress), default=-1) + 1:
+        raise RuntimeError("the session keeps too few progress reports (spark.sql.streaming.numRecentProgressUpdates) to add them up")
+    total = sum(p["observedMetrics"]["arrived"]["n"] for p in progress if p["numInputRows"])
+    return items.sparkSession.read.schema("day timestamp, topic string, n long").parquet(out), int(total)
+
+
 def run_available(df: DataFrame, name: str, output_mode: str = "append",
                   foreach_batch: Callable[[DataFrame, int], None] | None = None,
                   out_path: str | None = None) -> str:
     """Runs a streaming query until all available input is processed; returns the output folder."""
-    spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}")
+    return _run(df, name, output_mode, foreach_batch, out_path)[0]
+
+
+def _run(df: DataFrame, name: str, output_mode: str, foreach_batch: Callable[[DataFrame, int], None] | None,
+         out_path: str | None) -> tuple[str, list]:
+    """The output folder and the progress reports of a query that has read all available input."""
+    base = scratch_path(df.sparkSession, f"stream-{name}")
     out = out_path or f"{base}/out"
     writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").outputMode(output_mode)
     if foreach_batch is not None:
@@ -68,7 +88,7 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append",
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return out
+    return out, q.recentProgress
 
 
 def keyed_batch_sink(out: str) -> Callable[[DataFrame, int], None]:
