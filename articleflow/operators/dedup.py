@@ -31,7 +31,7 @@ from articleflow.schemas import ENTRY_METADATA
 from articleflow.session import materialize
 
 
-def _entry_meta(col: str = "raw_metadata") -> F.Column:
+def entry_meta(col: str = "raw_metadata") -> F.Column:
     m = F.col(col)
     return F.struct(*[m.getField(f.name).alias(f.name) for f in ENTRY_METADATA.fields])
 
@@ -48,7 +48,7 @@ def _decimal(number: int) -> F.Column:
     return F.lit(str(number)).cast("decimal(38,0)")
 
 
-def _preference() -> F.Column:
+def preference() -> F.Column:
     """One number, larger is better: content length (10 digits), then smaller seq (19), then a hash (8) of the row."""
     tie = F.pmod(F.xxhash64("source_type", "source_id", "title", "content", "url"), F.lit(100_000_000))
     place = F.lit(_SEQ_END) - F.greatest(F.coalesce(F.col("seq"), F.lit(_SEQ_END)), F.lit(0))
@@ -58,14 +58,14 @@ def _preference() -> F.Column:
 
 def numbered(raw: DataFrame) -> DataFrame:
     """The raw rows, stored, with a number per row (``_row``) and their order of preference (``_pref``)."""
-    return materialize(raw.withColumn("_pref", _preference()).withColumn("_row", F.monotonically_increasing_id()), "raw")
+    return materialize(raw.withColumn("_pref", preference()).withColumn("_row", F.monotonically_increasing_id()), "raw")
 
 
 def dedup_groups(rows: DataFrame) -> DataFrame:
     """One row per item id of ``numbered`` rows with the aggregated parts of the merge (slim columns only: no content)."""
     url_ok = F.when(F.col("url").isNotNull() & (F.col("url") != ""), F.col("url"))
     slim = rows.select("item_id", "source_type", "source_id", "seq", "published_at", "_pref", "_row", url_ok.alias("url"),
-                       _entry_meta().alias("meta"))
+                       entry_meta().alias("meta"))
     level1 = slim.groupBy("item_id", "source_type", "source_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("_pref").alias("best"),
@@ -103,7 +103,11 @@ def merge_primary(rows: DataFrame, g: DataFrame) -> DataFrame:
     fat = rows.select("_row", F.col("item_id").alias("p_item_id"), "source_type", "source_id", "title", "content", "author",
                       F.col("url").alias("p_url"), F.col("published_at").alias("p_published_at"),
                       F.col("raw_metadata").alias("p_meta"))
-    j = g.join(fat, g["primary_row"] == fat["_row"])
+    return merged_items(g.join(fat, g["primary_row"] == fat["_row"]))
+
+
+def merged_items(groups: DataFrame) -> DataFrame:
+    """The output row of every group: its merged parts beside the columns of its primary row (``p_*`` where both have one)."""
     single = F.col("n") == 1
     merged_meta = F.struct(
         F.lit(None).cast("string").alias("feed_name"), F.lit(None).cast("string").alias("feed_title"),
@@ -111,7 +115,7 @@ def merge_primary(rows: DataFrame, g: DataFrame) -> DataFrame:
         F.col("merged_from_sources"), F.col("merged_from_ids"), F.col("all_urls"), F.col("source_metadata"),
     )
     own_url = F.when(F.col("p_url").isNotNull() & (F.col("p_url") != ""), F.col("p_url"))
-    return j.select(
+    return groups.select(
         "source_type", "source_id", F.col("p_item_id").alias("item_id"), "title", "content", "author",
         F.when(single, F.col("p_published_at")).otherwise(F.col("published_at")).alias("published_at"),
         F.when(single, F.col("p_url")).otherwise(F.coalesce(own_url, F.try_element_at("all_urls", F.lit(1)))).alias("url"),

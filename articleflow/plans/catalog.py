@@ -241,7 +241,10 @@ def q_error_rows(spark, sf_dir):
 
 # -------------------------------------------------------------------------------------------- dedup
 def q_dedup_exact(spark, sf_dir):
-    d = deduped(spark, sf_dir)
+    return _dedup_out(deduped(spark, sf_dir))
+
+
+def _dedup_out(d: DataFrame) -> DataFrame:
     m = F.col("raw_metadata")
     return d.select(
         "item_id", "source_type", "source_id", "title",
@@ -669,6 +672,30 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+def q_stream_dedup_merged(spark, sf_dir):
+    """Merged items of a stream that is stopped and resumed (T2): the documents land in three arrivals by doc_id, so most copies meet in
+    the state and not in a batch; every arrival is read by a new start from the same checkpoint. The window spans the table; a
+    closing row, whose own group stays open, ends it."""
+    from articleflow.session import scratch_path
+    from articleflow.sources.tables import documents_as_items
+    from articleflow.streaming.ingest import run_available
+    from articleflow.streaming.merge import merge_within_window, use_rocksdb
+
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source", "lang"])
+    n = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    days = n // 24 + 1
+    closing = spark.range(1).select((F.lit(n + 24 * (2 * days + 3))).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+                                    F.lit("closing").alias("text"), F.lit("").alias("source"), F.lit("").alias("lang"))
+    landed, base = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-merged")
+    use_rocksdb(spark)
+    for i in range(3):
+        arrival = docs.filter(F.col("doc_id") % 3 == i)
+        (arrival.unionByName(closing) if i == 2 else arrival).write.mode("append").parquet(landed)
+        items = C.drop_empty_content(C.with_item_id(documents_as_items(spark.readStream.schema(docs.schema).parquet(landed))))
+        out = run_available(merge_within_window(items, days), "merged", base=base)
+    return _dedup_out(spark.read.parquet(out))
+
+
 def q_stream_upsert(spark, sf_dir):
     return _item_out(_streamed_news(spark, sf_dir, [PROCESSED_AT]))
 
@@ -1081,6 +1108,7 @@ QUERIES = {
     "vector_ivf": q_vector_ivf,
     "stream_ingest": q_stream_ingest,
     "stream_dedup": q_stream_dedup,
+    "stream_dedup_merged": q_stream_dedup_merged,
     "stream_upsert": q_stream_upsert,
     "stream_daily_counts": q_stream_daily_counts,
     "stream_daily_final": q_stream_daily_final,

@@ -542,6 +542,7 @@ doc_items AS (SELECT * FROM raw WHERE source_type = 'gmail')"""
 
 Q["stream_ingest"] = DOC_ITEMS + "SELECT item_id, seq, source_id FROM doc_items"
 Q["stream_dedup"] = DOC_ITEMS + "SELECT DISTINCT item_id FROM doc_items"
+Q["stream_dedup_merged"] = Q["dedup_exact"] + " WHERE source_type = 'gmail'"
 Q["stream_upsert"] = with_ctes(*BASE_PROCESSED) + item_out(
     "processed", "list_contains(source_types, 'gmail')", 1000000000)
 Q["stream_daily_counts"] = with_ctes(*BASE, "doc_items AS (SELECT *, 1 AS n_merged FROM raw WHERE source_type = 'gmail')",

@@ -2,7 +2,8 @@
 
 * T1 ``stream_table`` – landed files read once each by the file source (checkpointed offsets).
 * T2 ``dedup_within_window`` – duplicate ids dropped across micro-batches while they are inside the backfill
-  window (watermark on published_at); the state is bounded by the window, rows later than it are dropped.
+  window (watermark on published_at); the state is bounded by the window, rows later than it are dropped. The merging form, which
+  waits for the window to close and writes the merged item, is ``streaming.merge.merge_within_window``.
 * T3 ``upsert_sink`` – each micro-batch is upserted into the day-partitioned news table, which rewrites only the days it
   touches. A marker per batch id is written after the commit; a batch that is retried between the two is applied again, with
   the same result, because the upsert is keyed.
@@ -70,15 +71,16 @@ def run_final(items: DataFrame, name: str, watermark: str = "2 days", event_time
 
 def run_available(df: DataFrame, name: str, output_mode: str = "append",
                   foreach_batch: Callable[[DataFrame, int], None] | None = None,
-                  out_path: str | None = None) -> str:
-    """Runs a streaming query until all available input is processed; returns the output folder."""
-    return _run(df, name, output_mode, foreach_batch, out_path)[0]
+                  out_path: str | None = None, base: str | None = None) -> str:
+    """Runs a streaming query until all available input is processed; returns the output folder. With ``base`` (a folder in shared
+    storage) a later call goes on where the last one stopped; without it the query starts anew."""
+    return _run(df, name, output_mode, foreach_batch, out_path, base)[0]
 
 
 def _run(df: DataFrame, name: str, output_mode: str, foreach_batch: Callable[[DataFrame, int], None] | None,
-         out_path: str | None) -> tuple[str, list]:
+         out_path: str | None, base: str | None = None) -> tuple[str, list]:
     """The output folder and the progress reports of a query that has read all available input."""
-    base = scratch_path(df.sparkSession, f"stream-{name}")
+    base = base or scratch_path(df.sparkSession, f"stream-{name}")
     out = out_path or f"{base}/out"
     writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").outputMode(output_mode)
     if foreach_batch is not None:
