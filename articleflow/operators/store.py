@@ -1,23 +1,22 @@
-"""Article and run tables: versioned Parquet storage, keyed upsert, run log, row rejection, counts
-(S5–S11, S14, S16, J1, J2, A14, A16).
-
-Parquet has no MERGE, so a table is a folder of versions ``v000001, v000002, …``; a version is committed
-when Spark's writer has put ``_SUCCESS`` into it, and readers take the highest committed version. A write never
-touches the version being read. The upsert itself is a pure DataFrame function (``merge_news``) – the same rule
-can be handed to ``MERGE INTO`` where a table format supports it. ``NewsTable`` stores the article table by
-publication day with manifests, so an upsert rewrites only the days it touches.
+"""Article and run tables: keyed upsert, run log, row rejection, counts.
+
+The upsert itself is a pure DataFrame function (``merge_news``) – the same rule can be handed to ``MERGE INTO`` where a table format
+supports it. On plain Parquet, ``NewsTable`` merges the publication days that a batch touches and replaces them by Spark's dynamic
+partition overwrite; ``RunTable`` replaces the row of one run in the same way.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.functions.arrays import from_json_text
 from articleflow.schemas import EMBEDDING_DIM, NEWS_ITEMS, PIPELINE_RUNS
+from articleflow.session import materialize
 
 UPDATED_COLUMNS = ["title", "summary", "key_points", "topics", "article_type", "original_urls", "source_types",
                    "processed_at", "embedding", "relevance_score"]
@@ -164,110 +163,99 @@ def json_columns(news: DataFrame) -> DataFrame:
                                     ["key_points", "topics", "original_urls", "source_types"]])
 
 
-# -------------------------------------------------------------------------------------- versioned table
-class VersionedTable:
-    """A Parquet table as numbered, committed version folders."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        jvm, p, fs = self._fs()
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[1:]))
-        return sorted(out)
-
-    def current(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
-
-    def _dir(self, v: int) -> str:
-        return f"{self.path}/v{v:06d}"
-
-    def create_if_missing(self) -> int:
-        """CREATE TABLE IF NOT EXISTS: an empty committed version 0 when nothing is committed."""
-        cur = self.current()
-        if cur is None:
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self._dir(0))
-            return 0
-        return cur
-
-    def reset(self) -> int:
-        """DROP + CREATE: a new empty version (old versions stay readable for running readers)."""
-        return self.commit(self.spark.createDataFrame([], self.schema))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.current() if version is None else version
-        if v is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._dir(v))
-
-    def commit(self, df: DataFrame) -> int:
-        """Writes the next version; it becomes visible once the write has committed."""
-        nxt = (self.current() or 0) + 1
-        df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(self._dir(nxt))
-        return nxt
-
-
-# ------------------------------------------------------------------------------ day-partitioned news table
-class NewsTable:
-    """The news table stored by publication day with copy-on-write versions (S6 at scale).
+# ------------------------------------------------------------------------------------- tables by partition
+def _overwrite_partitions(df: DataFrame, path: str, column: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
-    A version is a manifest (one JSON line per day: day, folder). An upsert
-    1. finds the stored rows whose item_id arrives again – a scan of the stored ``item_id``/``day`` columns only,
-       semi-joined with the incoming keys (no wide column moves);
-    2. rewrites only the days that hold such rows or receive new rows, with ``merge_news`` over those days;
-    3. writes a manifest that keeps every other day's folder from the previous version.
-    A daily run that re-collects a backfill window touches a few days instead of rewriting the table. Folders are
-    never modified after they are written; a version becomes visible when its manifest is committed."""
+
+class RunTable:
+    """The run log as Parquet by run id (S8–S11): a write replaces the row of its run and leaves the others alone."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._vt = VersionedTable(spark, f"{self.path}/_manifests", T.StructType([
-            T.StructField("day", T.StringType()), T.StructField("folder", T.StringType())]))
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        return self._vt.read(version)
+    def create(self) -> None:
+        """Makes the empty table unless there is one."""
+        self.spark.createDataFrame([], PIPELINE_RUNS).write.mode("ignore").partitionBy("run_id").parquet(self.path)
+
+    def reset(self) -> None:
+        """Drops all runs."""
+        self.spark.createDataFrame([], PIPELINE_RUNS).write.mode("overwrite").partitionBy("run_id").parquet(self.path)
 
-    def current(self) -> int | None:
-        return self._vt.current()
+    def read(self, run_id: str | None = None) -> DataFrame:
+        runs = self.spark.read.schema(PIPELINE_RUNS).parquet(self.path).select(*RUN_COLUMNS)
+        return runs if run_id is None else runs.filter(F.col("run_id") == run_id)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        folders = [r.folder for r in self.manifest(version).select("folder").distinct().collect()]
-        if not folders:
-            return self.spark.createDataFrame([], NEWS_ITEMS)
-        return self.spark.read.schema(NEWS_ITEMS).parquet(*folders)
+    def put(self, run: DataFrame) -> None:
+        """Stores runs, each in place of the row with its id. The rows may come from this table: they are staged first."""
+        _overwrite_partitions(materialize(run, "run"), self.path, "run_id")
+
+
+class NewsTable:
+    """The news table as Parquet by publication day, with a key table beside it (S6, S10, S11 at scale). One writer at a time.
+
+    An upsert
+    1. finds the day of every incoming key that is stored: a join with the key table, which is stored by a hash of item_id, so that a
+       small batch reads only the parts its keys fall into (dynamic partition pruning) and no news row is read for it;
+    2. merges the touched days – those of known keys and those of new rows – with ``merge_news`` into a staged table;
+    3. replaces these days by dynamic partition overwrite and appends the new keys. A day never loses its last row, as an upsert
+       neither removes rows nor moves them.
+    No list of days or keys goes through the driver, only the first and the last touched day.
+
+    The overwrite of several days isn't atomic. The staged table stays until days and keys are written; if the driver is lost in
+    between, the next upsert first writes it again, which has the same result. Reapplying a batch changes nothing either: its rows
+    are found and get the same values. Frames read before an upsert must not be used after it."""
+
+    def __init__(self, spark: SparkSession, path: str, key_buckets: int = 64):
+        self.spark, self.path, self.key_buckets = spark, path.rstrip("/"), key_buckets
+        self.items, self.keys, self.staged = (f"{self.path}/{name}" for name in ("items", "keys", "staged"))
+
+    _KEY = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("day", T.StringType()),
+                         T.StructField("bucket", T.IntegerType())])
+    _ITEM = T.StructType(NEWS_ITEMS.fields + [T.StructField("day", T.StringType())])
+
+    def _empty(self, mode: str) -> None:
+        for path, schema, column in ((self.items, self._ITEM, "day"), (self.keys, self._KEY, "bucket")):
+            self.spark.createDataFrame([], schema).write.mode(mode).partitionBy(column).parquet(path)
+
+    def create(self) -> None:
+        """Makes the empty table unless there is one."""
+        self._empty("ignore")
+
+    def reset(self) -> None:
+        """Drops all rows."""
+        self._drop_staged()
+        self._empty("overwrite")
+
+    def read(self) -> DataFrame:
+        """The stored rows; ``day`` (yyyy-MM-dd, the partition) is there for filters that should prune folders."""
+        return self.spark.read.schema(self._ITEM).parquet(self.items)
+
+    def _day(self) -> F.Column:
+        return F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("none"))
+
+    def _bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64("item_id"), F.lit(self.key_buckets)).cast("int").alias("bucket")
+
+    def touched_days(self, incoming: DataFrame) -> DataFrame:
+        """(day): where rows of ``incoming`` are stored, or will be."""
+        stored = self.spark.read.schema(self._KEY).parquet(self.keys).withColumnRenamed("day", "stored_day")
+        batch = materialize(incoming.select("item_id", self._day().alias("day"), self._bucket()), "batch-keys")
+        # the lower bound holds for every row; Spark prunes partitions by a join only if the other side has such a filter
+        known = batch.filter(F.col("bucket") >= 0).join(stored, ["bucket", "item_id"]).select(F.col("stored_day").alias("day"))
+        return known.unionByName(batch.select("day")).distinct()
 
     def upsert(self, incoming: DataFrame, now: datetime, keep_embedding_if_null: bool = False,
-               unique_keys: bool = False) -> tuple[int, dict]:
-        """Applies one batch; returns (new version, {persisted, inserted, updated, kept_in_rewritten_days})."""
-        import uuid
-
-        from pyspark.sql import Observation
-
-        if incoming.isEmpty():  # nothing to apply: no rewrite, no new version
-            return self.current(), {"persisted": 0, "inserted": 0, "updated": 0, "kept_in_rewritten_days": 0}
-        old = {r.day: r.folder for r in self.manifest().collect()}  # one row per stored day
-        stored_keys = (self.read().select("item_id", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
-                       if old else self.spark.createDataFrame([], "item_id string, day string"))
-        keys = incoming.select("item_id").distinct()
-        hit_days = {r.day for r in stored_keys.join(keys, "item_id", "left_semi").select("day").distinct().collect()}
-        new_days = {r.day for r in incoming.join(stored_keys.select("item_id"), "item_id", "left_anti")
-                    .select(F.date_format("published_at", "yyyy-MM-dd").alias("day")).distinct().collect()}
-        touched = sorted(hit_days | new_days)
-        stored_touched = [old[d] for d in touched if d in old]
-        base = (self.spark.read.schema(NEWS_ITEMS).parquet(*stored_touched) if stored_touched
-                else self.spark.createDataFrame([], NEWS_ITEMS))
+               unique_keys: bool = False) -> dict:
+        """Applies one batch; returns {persisted, inserted, updated, kept_in_rewritten_days}."""
+        self.create()
+        self._finish()
+        if incoming.isEmpty():
+            return {"persisted": 0, "inserted": 0, "updated": 0, "kept_in_rewritten_days": 0}
+        days = materialize(self.touched_days(incoming), "touched-days")
+        first, last = days.agg(F.min("day"), F.max("day")).first()
+        in_range = F.col("day").between(first, last)
+        base = self.read().filter(in_range).join(days.filter(in_range), "day", "left_semi")
         obs = Observation(f"upsert-{uuid.uuid4().hex[:8]}")
         merged = merge_news(base, incoming, now, keep_embedding_if_null, unique_keys).observe(
             obs,
@@ -276,12 +264,30 @@ class NewsTable:
             F.count_if(F.col("change") == "updated").alias("updated"),
             F.count_if(F.col("change") == "kept").alias("kept_in_rewritten_days"),
         )
-        stage = f"{self.path}/data/{uuid.uuid4().hex}"
-        (merged.drop("change").withColumn("day", F.date_format("published_at", "yyyy-MM-dd"))
-         # by day, but a day with many rows is cut into several tasks and files (AQE rebalancing by measured size)
-         .hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(stage))
+        # by day, but a day with many rows is cut into several tasks and files (AQE rebalancing by measured size)
+        merged.withColumn("day", self._day()).hint("rebalance", "day").write.mode("overwrite").parquet(self.staged)
         counts = {k: int(v) for k, v in obs.get.items()}
-        rows = [(d, f) for d, f in old.items() if d not in set(touched)]
-        rows += [(d, f"{stage}/day={d}") for d in touched]
-        version = self._vt.commit(self.spark.createDataFrame(rows, "day string, folder string"))
-        return version, counts
+        self._finish()
+        return counts
+
+    def _finish(self) -> None:
+        """Writes the staged result, if there is a complete one, into the table and removes it."""
+        if not self._exists(f"{self.staged}/_SUCCESS"):
+            return
+        staged = self.spark.read.schema(T.StructType(self._ITEM.fields + [T.StructField("change", T.StringType())])).parquet(self.staged)
+        _overwrite_partitions(staged.drop("change"), self.items, "day")
+        new = staged.filter(F.col("change") == "inserted").select("item_id", "day", self._bucket())
+        new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.keys)
+        self._drop_staged()
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def _drop_staged(self) -> None:
+        p, fs = self._fs(self.staged)
+        fs.delete(p, True)
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())

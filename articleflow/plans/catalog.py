@@ -711,12 +711,10 @@ def _streamed_news(spark, sf_dir, times: list[datetime]) -> DataFrame:
         valid, _ = E.split_valid(E.enrich(D.dedup_exact(batch), E.extractive_provider))
         return E.to_processed(valid, ctx())
 
+    table = S.NewsTable(spark, path)
     for i, now in enumerate(times):
-        table = S.NewsTable(spark, path)
-        sink = upsert_sink(table, now, prepare)
-        run_available(_doc_stream_items(spark, sf_dir, spread=True), f"upsert-{i}",
-                      foreach_batch=lambda batch, n, i=i, sink=sink: sink(batch, i * 1_000_000 + n))
-    return S.NewsTable(spark, path).read()
+        run_available(_doc_stream_items(spark, sf_dir, spread=True), f"upsert-{i}", foreach_batch=upsert_sink(table, now, prepare))
+    return table.read()
 
 
 def q_stream_upsert_updates(spark, sf_dir):
@@ -1034,8 +1032,8 @@ def q_full_run(spark, sf_dir):
     from articleflow.session import scratch_path
 
     store = scratch_path(spark, "store")
-    res = run(spark, ctx(), [raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)], error_rows(spark, sf_dir), store)
-    return _item_out(S.NewsTable(spark, f"{store}/news_items").read(res.news_version))
+    run(spark, ctx(), [raw_pages(spark, sf_dir), raw_docs(spark, sf_dir)], error_rows(spark, sf_dir), store)
+    return _item_out(S.NewsTable(spark, f"{store}/news_items").read())
 
 
 # ---------------------------------------------------------------------------------------------- flagship

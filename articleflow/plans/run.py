@@ -2,8 +2,8 @@
 
 The enriched rows feed both persistence and publication, so they are written once to the run's staging
 folder and read back – the provider is called once per item even though two outputs use the result.
-Counts come from ``Observation``s attached to the writes (no extra pass). The news table is day-partitioned
-copy-on-write (``store.NewsTable``): a run rewrites only the days it touches. The run row is written when the run
+Counts come from ``Observation``s attached to the writes (no extra pass). The news table is stored by
+day (``store.NewsTable``): a run rewrites only the days it touches. The run row is written when the run
 starts and updated at the end – also for empty input and, with the error text, for a failed run.
 """
 
@@ -21,7 +21,6 @@ from articleflow.operators import dedup as D
 from articleflow.operators import enrich as E
 from articleflow.operators import publish as P
 from articleflow.operators import store as S
-from articleflow.schemas import PIPELINE_RUNS
 from articleflow.session import materialize, scratch_scope
 
 
@@ -33,7 +32,6 @@ class RunResult:
     items_processed: int
     items_persisted: int
     collection_errors: int
-    news_version: int | None
     staging: str
     payload_path: str | None
     error_message: str | None = None
@@ -53,10 +51,11 @@ def _run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], erro
          store_dir: str, provider, embed: bool) -> RunResult:
     ctx = ctx.with_run_id()
     store_dir = store_dir.rstrip("/")
-    runs = S.VersionedTable(spark, f"{store_dir}/pipeline_runs", PIPELINE_RUNS)
+    runs = S.RunTable(spark, f"{store_dir}/pipeline_runs")
     news = S.NewsTable(spark, f"{store_dir}/news_items")
-    runs.create_if_missing()
-    runs.commit(S.run_start(runs.read(), ctx.run_id, ctx.run_date, ctx.now))
+    runs.create()
+    news.create()
+    runs.put(S.run_start(runs.read(ctx.run_id), ctx.run_id, ctx.run_date, ctx.now))
     staging = f"{store_dir}/_staging/{ctx.run_id}"
     collected = processed_n = persisted = err_n = 0
     try:
@@ -82,18 +81,18 @@ def _run(spark: SparkSession, ctx: RunContext, collectors: list[DataFrame], erro
         good, rejected = S.split_rejects(processed)
         rejected.write.mode("overwrite").parquet(f"{staging}/rejected")
         good = materialize(good, "storable")  # the batch feeds the upsert's key probe and its merge
-        version, counts = news.upsert(good, ctx.now, unique_keys=True)
+        counts = news.upsert(good, ctx.now, unique_keys=True)
         persisted = counts["persisted"]
         payload = f"{staging}/payload"
         # the payload describes this run's processed items (as the publish stage does), read from staging
         run_items = good
         stats = P.run_stats_long(run_items, persisted, errors)
         P.write_payload(P.payload_lines(spark, ctx, run_items, stats, errors, stored=True), payload)
-        runs.commit(S.run_finish(runs.read(), ctx.run_id, ctx.now, persisted, "completed", collected,
+        runs.put(S.run_finish(runs.read(ctx.run_id), ctx.run_id, ctx.now, persisted, "completed", collected,
                                  processed_n, err_n))
-        return RunResult(ctx.run_id, "completed", collected, processed_n, persisted, err_n, version, staging, payload)
+        return RunResult(ctx.run_id, "completed", collected, processed_n, persisted, err_n, staging, payload)
     except Exception as e:  # noqa: BLE001 - the run row records the failure, then the error is raised again
         msg = f"{type(e).__name__}: {e}"
-        runs.commit(S.run_finish(runs.read(), ctx.run_id, ctx.now, persisted, "failed", collected, processed_n,
+        runs.put(S.run_finish(runs.read(ctx.run_id), ctx.run_id, ctx.now, persisted, "failed", collected, processed_n,
                                  err_n, error_message=msg))
         raise

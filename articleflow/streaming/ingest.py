@@ -4,9 +4,8 @@
 * T2 ``dedup_within_window`` – duplicate ids dropped across micro-batches while they are inside the backfill
   window (watermark on published_at); the state is bounded by the window, rows later than it are dropped. The merging form, which
   waits for the window to close and writes the merged item, is ``streaming.merge.merge_within_window``.
-* T3 ``upsert_sink`` – each micro-batch is upserted into the day-partitioned news table, which rewrites only the days it
-  touches. A marker per batch id is written after the commit; a batch that is retried between the two is applied again, with
-  the same result, because the upsert is keyed.
+* T3 ``upsert_sink`` – each micro-batch is upserted into the news table stored by day, which rewrites only the days it touches. A
+  batch that is retried is applied again, with the same result, because the upsert is keyed.
 * T4 ``daily_topic_counts`` – topic counts per publication day with a watermark, emitted in update mode; the
   sink keeps, per (day, topic), the count of the latest batch (an idempotent, keyed sink). ``run_final`` is the append form: final
   counts as days close, and late rows accounted for.
@@ -109,15 +108,8 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str], value_cols: l
 
 def upsert_sink(table, now: datetime, prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink upserting each batch into a ``store.NewsTable`` (T3). ``prepare`` turns a batch of raw rows into
-    processed rows with unique ids; they are stored once, as the upsert reads them twice. A batch id already
-    applied (marked in ``_batches``) is skipped."""
+    processed rows with unique ids; they are stored once, as the upsert reads them twice. A batch that is retried finds its rows
+    and gives them the same values."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        done = f"{table.path}/_batches/b{batch_id:09d}"
-        jvm = batch.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(done)
-        fs = p.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            return
         table.upsert(materialize(prepare(batch), "stream-batch"), now, unique_keys=True)
-        fs.mkdirs(p)
     return sink

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from articleflow.context import RunContext
 from articleflow.operators import store as S
 from articleflow.plans.run import run
-from articleflow.schemas import PIPELINE_RUNS
 from tests.conftest import raw_row, ts
 
 LONG = ("A new open-source agent framework was released. It plans tasks step by step. The authors share a guide. "
@@ -22,7 +21,7 @@ def collectors(raw_df):
 
 
 def runs_of(spark, store):
-    return {r.run_id: r for r in S.VersionedTable(spark, f"{store}/pipeline_runs", PIPELINE_RUNS).read().collect()}
+    return {r.run_id: r for r in S.RunTable(spark, f"{store}/pipeline_runs").read().collect()}
 
 
 def test_full_run_and_rerun(spark, raw_df):
@@ -30,7 +29,7 @@ def test_full_run_and_rerun(spark, raw_df):
     ctx = RunContext(run_date=ts(2024, 12, 23), backfill_days=7, run_id="r1", now=ts(2024, 12, 23, 12))
     res = run(spark, ctx, collectors(raw_df), None, store)
     assert (res.status, res.items_collected, res.items_processed, res.items_persisted) == ("completed", 7, 6, 6)
-    news = S.NewsTable(spark, f"{store}/news_items").read(res.news_version)
+    news = S.NewsTable(spark, f"{store}/news_items").read()
     merged = news.filter(F.col("item_id") == "i0").collect()[0]
     assert merged.source_types == ["gmail", "rss"]
     assert merged.published_at.replace(tzinfo=None) == ts(2024, 12, 19).replace(tzinfo=None)
@@ -41,7 +40,7 @@ def test_full_run_and_rerun(spark, raw_df):
     # the same run again updates the same rows and keeps their creation time
     ctx2 = RunContext(run_date=ts(2024, 12, 23), backfill_days=7, run_id="r2", now=ts(2024, 12, 24))
     res2 = run(spark, ctx2, collectors(raw_df), None, store)
-    news2 = S.NewsTable(spark, f"{store}/news_items").read(res2.news_version)
+    news2 = S.NewsTable(spark, f"{store}/news_items").read()
     assert news2.count() == 6 and res2.items_persisted == 6
     row = news2.filter(F.col("item_id") == "i1").collect()[0]
     assert row.created_at.replace(tzinfo=None) == ts(2024, 12, 23, 12).replace(tzinfo=None)

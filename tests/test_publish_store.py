@@ -90,17 +90,43 @@ def test_upsert_keeps_published_and_created(spark, processed):
     assert keep["a"].embedding == [pytest.approx(0.1)]
 
 
-def test_versioned_table_and_rerun_idempotent(spark, processed):
-    base = tempfile.mkdtemp()
-    t = S.VersionedTable(spark, base + "/news", NEWS_ITEMS)
-    assert t.create_if_missing() == 0 and t.read().count() == 0
-    now = ts(2024, 12, 24)
-    for _ in range(2):  # the same run twice gives the same table
-        t.commit(S.merge_news(t.read(), processed, now).drop("change"))
-    assert t.versions() == [0, 1, 2] and t.read().count() == 3
-    assert t.read(1).count() == 3
+def test_create_reset_and_rerun_changes_nothing(spark, processed):
+    t, now = S.NewsTable(spark, tempfile.mkdtemp() + "/news"), ts(2024, 12, 24)
+    t.create()
+    assert t.read().count() == 0
+    assert t.upsert(processed, now)["inserted"] == 3
+    t.create()  # an existing table is left alone
+    first = sorted(map(str, t.read().collect()))
+    assert t.upsert(processed, now) == {"persisted": 3, "inserted": 0, "updated": 3, "kept_in_rewritten_days": 0}
+    assert sorted(map(str, t.read().collect())) == first and len(first) == 3
+    assert t.upsert(processed.limit(0), now)["persisted"] == 0
     t.reset()
-    assert t.read().count() == 0 and t.read(2).count() == 3
+    assert t.read().count() == 0 and t.upsert(processed, now)["inserted"] == 3
+
+
+def test_upsert_cut_off_between_stage_and_table_is_finished_by_the_next(spark, processed, monkeypatch):
+    t = S.NewsTable(spark, tempfile.mkdtemp() + "/news")
+    a, rest = processed.filter("item_id = 'a'"), processed.filter("item_id <> 'a'")
+
+    def lost(*args):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "_overwrite_partitions", lost)
+        with pytest.raises(RuntimeError):
+            t.upsert(a, ts(2024, 12, 24))
+    moved = a.withColumn("published_at", F.lit(ts(2025, 1, 9)))  # stored by the next call first: an update, not a second row
+    assert t.upsert(rest.unionByName(moved), ts(2024, 12, 25))["updated"] == 1
+    rows = {r.item_id: r for r in t.read().collect()}
+    assert len(rows) == t.read().count() == 3
+    assert rows["a"].created_at.replace(tzinfo=None) == ts(2024, 12, 24).replace(tzinfo=None)
+
+
+def test_small_batch_reads_only_its_buckets_and_days(spark, processed):
+    t = S.NewsTable(spark, tempfile.mkdtemp() + "/news")
+    t.upsert(processed, ts(2024, 12, 24))
+    plan = t.touched_days(processed.filter("item_id = 'a'"))._jdf.queryExecution().toString()
+    assert "dynamicpruningexpression(bucket" in plan.lower()
 
 
 def test_reject_rows_two_of_three_persisted(spark, processed):
@@ -158,15 +184,34 @@ def test_news_table_rewrites_only_touched_days(spark, processed):
     t = S.NewsTable(spark, tempfile.mkdtemp() + "/news")
     older = processed.withColumn("published_at", F.col("published_at") - F.expr("INTERVAL 10 DAYS")) \
         .withColumn("item_id", F.concat(F.lit("old-"), F.col("item_id")))
-    v1, c1 = t.upsert(older.unionByName(processed), ts(2024, 12, 24))
-    assert c1 == {"persisted": 6, "inserted": 6, "updated": 0, "kept_in_rewritten_days": 0}
-    m1 = {r.day: r.folder for r in t.manifest(v1).collect()}
-    again = processed.filter(F.col("item_id") == "a").withColumn("title", F.lit("new title"))
-    v2, c2 = t.upsert(again, ts(2024, 12, 25))
-    assert c2 == {"persisted": 1, "inserted": 0, "updated": 1, "kept_in_rewritten_days": 2}
-    m2 = {r.day: r.folder for r in t.manifest(v2).collect()}
-    assert m2["2024-12-13"] == m1["2024-12-13"] and m2["2024-12-23"] != m1["2024-12-23"]
+
+    def files():
+        found = {(r.day, r.f) for r in t.read().select("day", F.input_file_name().alias("f")).collect()}
+        return {day: {f for d, f in found if d == day} for day, _ in found}
+
+    assert t.upsert(older.unionByName(processed), ts(2024, 12, 24)) == {
+        "persisted": 6, "inserted": 6, "updated": 0, "kept_in_rewritten_days": 0}
+    before = files()
+    # known under another day than the batch says: the stored day is rewritten, no second row appears
+    again = processed.filter(F.col("item_id") == "a").withColumn("title", F.lit("new title")) \
+        .withColumn("published_at", F.lit(ts(2025, 2, 1)))
+    assert t.upsert(again, ts(2024, 12, 25)) == {"persisted": 1, "inserted": 0, "updated": 1, "kept_in_rewritten_days": 2}
+    after = files()
+    assert set(after) == {"2024-12-13", "2024-12-23"}
+    assert after["2024-12-13"] == before["2024-12-13"] and after["2024-12-23"] != before["2024-12-23"]
     rows = {r.item_id: r for r in t.read().collect()}
     assert len(rows) == 6 and rows["a"].title == "new title" and rows["old-a"].title == "title a"
     assert rows["a"].created_at.replace(tzinfo=None) == ts(2024, 12, 24).replace(tzinfo=None)
-    assert t.read(v1).filter(F.col("item_id") == "a").collect()[0].title == "title a"
+
+
+def test_run_table_replaces_one_run(spark):
+    t = S.RunTable(spark, tempfile.mkdtemp() + "/runs")
+    t.create()
+    for run_id in ("r1", "20240102"):
+        t.put(S.run_start(t.read(run_id), run_id, ts(2024, 1, 1), ts(2024, 1, 1, 1)))
+    t.put(S.run_finish(t.read("r1"), "r1", ts(2024, 1, 1, 3), 5))
+    assert {r.run_id: r.status for r in t.read().collect()} == {"r1": "completed", "20240102": "running"}
+    t.put(S.run_start(t.read("r1"), "r1", ts(2024, 1, 1), ts(2024, 1, 1, 4)))  # a restart
+    assert {r.run_id: r.status for r in t.read().collect()} == {"r1": "running", "20240102": "running"}
+    t.reset()
+    assert t.read().count() == 0
