@@ -2,6 +2,8 @@
 
 * ``cosine_topk`` – exact top-k by cosine similarity to one query vector: one pass over the table and a
   TakeOrderedAndProject (per-task top-k, k rows per task merged). The query side is one row (broadcast).
+* ``topk_many`` – exact top-k for a table of queries: blocks of queries against blocks of rows, k kept per query and block, merged in
+  two levels.
 * ``similar_pairs`` – all pairs with cosine ≥ t, exact at every threshold and also for copies. The vectors are cut into
   cells around pivots (cosine ≥ t ⇔ distance of the unit vectors ≤ r = sqrt(2 − 2t)); a vector visits every other cell
   that can hold a neighbour (distance to its pivot ≤ distance to the own pivot + 2r, by the triangle inequality), and
@@ -70,6 +72,68 @@ def cosine_topk(df: DataFrame, query: list[float], k: int, id_col: str = "vec_id
     return scored.orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
 
 
+def topk_many(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
+              block_rows: int = 20_000, query_block: int = 2_000) -> DataFrame:
+    """(query_id, rank, id, similarity): the ``k`` rows of ``df`` nearest to every row of ``queries`` by cosine, the query's own id left
+    out, nearest first, ties to the smaller id. Both tables have ``id_col`` and ``vec_col`` and may differ; other columns are ignored.
+    Null and zero vectors and those holding null take no part; a query with fewer than ``k`` other rows gets them all. Repeated rows
+    of ``df`` are rows of their own, a repeated query id counts as one query (any of its vectors).
+
+    Rows are dealt evenly to blocks by their number, so neither a repeated id nor copies of one vector fill a block. A task holds one
+    block of rows and one of queries and returns ``k`` candidates per query, found by selection, not by sorting the scores. The
+    candidates of a query are merged first within groups of blocks, then over the groups: a task sees the root of the number of
+    blocks times ``k`` of them. The shuffle before is rows x query blocks + queries x row blocks; larger blocks lower it."""
+    dtype = dict(df.select(id_col).dtypes)[id_col]
+    rows, n = _numbered_units(df, id_col, vec_col)
+    asked, m = _numbered_units(queries.dropDuplicates([id_col]), id_col, vec_col)
+    n_blocks, m_blocks = max(1, -(-n // block_rows)), max(1, -(-m // query_block))
+    left = rows.select("id", "u", F.pmod("number", F.lit(n_blocks)).alias("block"),
+                       F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1))).alias("part"))
+    right = asked.select("id", "u", F.pmod("number", F.lit(m_blocks)).cast("int").alias("part"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(
+        lambda a, b: _nearest_in_block(a, b, k), f"query_id {dtype}, block long, id {dtype}, similarity double")
+    fan = max(1, math.isqrt(n_blocks))
+    nearest = F.struct((-F.col("similarity")).alias("far"), F.col("id").alias("id"))
+    level1 = found.groupBy("query_id", F.pmod("block", F.lit(fan)).alias("group")).agg(
+        F.slice(F.array_sort(F.collect_list(nearest)), 1, k).alias("best"))
+    merged = level1.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return merged.select("query_id", F.posexplode("best").alias("pos", "b")).select(
+        "query_id", (F.col("pos") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.far")).alias("similarity"))
+
+
+def _numbered_units(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
+    """Unit vectors, stored, with a row number, and their count."""
+    u = unit(F.col(vec_col))
+    ok = F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull() | F.isnan(x))
+    stored = materialize(df.select(F.col(id_col).alias("id"), u.alias("u")).filter(ok & F.col("id").isNotNull())
+                         .withColumn("number", F.monotonically_increasing_id()), "units")
+    return stored, stored.count()
+
+
+def _nearest_in_block(rows, queries, k: int):
+    import numpy as np
+    import pandas as pd
+
+    out = pd.DataFrame(columns=["query_id", "block", "id", "similarity"])
+    if rows.empty or queries.empty:
+        return out
+    rows = rows.sort_values("id", kind="stable")
+    ids, a, asked = rows["id"].to_numpy(), np.stack(rows["u"].to_numpy()), queries["id"].to_numpy()
+    b = np.stack(queries["u"].to_numpy())
+    parts = []
+    for start in range(0, len(b), 200):  # the scores held at a time: 200 queries against the block
+        scores = np.einsum("ij,kj->ik", b[start:start + 200], a)
+        for i, row in enumerate(scores, start):
+            row[ids == asked[i]] = -np.inf
+            limit = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            near = np.flatnonzero(row >= limit) if limit > -np.inf else np.flatnonzero(row > -np.inf)
+            # ids are in order and the sort is stable, so ties at the limit go to the smaller id
+            near = near[np.argsort(-row[near], kind="stable")[:k]]
+            parts.append(pd.DataFrame({"query_id": asked[i], "block": rows["block"].iloc[0], "id": ids[near], "similarity": row[near]}))
+    return pd.concat(parts) if parts else out
+
+
 def similar_pairs_exact(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
                         vec_col: str = "embedding") -> DataFrame:
     """All pairs (a < b) with cosine ≥ threshold by comparing every pair – quadratic, small inputs only."""

@@ -558,6 +558,13 @@ def q_vector_topk(spark, sf_dir):
     return top.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def q_vector_topk_many(spark, sf_dir):
+    """Every row whose id is divisible by 20 against all rows (V1 for many queries)."""
+    emb = _embeddings(spark, sf_dir)
+    top = V.topk_many(emb, emb.filter(F.col("vec_id") % 20 == 0), 10)
+    return top.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def q_vector_pairs(spark, sf_dir):
     pairs = V.similar_pairs(_embeddings(spark, sf_dir), VECTOR_THRESHOLD)
     return pairs.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
@@ -1099,6 +1106,7 @@ QUERIES = {
     "relevance_breakdown": q_relevance_breakdown,
     "relevance_rank": q_relevance_rank,
     "vector_topk": q_vector_topk,
+    "vector_topk_many": q_vector_topk_many,
     "vector_pairs": q_vector_pairs,
     "vector_lsh": q_vector_lsh,
     "vector_components": q_vector_components,

@@ -537,6 +537,12 @@ SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((S
          AS similarity
 FROM embeddings ORDER BY similarity DESC, vec_id ASC LIMIT 10"""
 
+Q["vector_topk_many"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.e, v.e) AS c FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(c, 6) AS similarity FROM r WHERE rank <= 10"""
+
 DOC_ITEMS = with_ctes(*BASE) + """,
 doc_items AS (SELECT * FROM raw WHERE source_type = 'gmail')"""
 

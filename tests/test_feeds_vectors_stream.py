@@ -307,6 +307,26 @@ def test_sender_list_with_counts(spark):
     assert got == {"Weekly": 2, "Daily": 0}
 
 
+def test_topk_many_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(150, 6))
+    v[40:90] = v[40]  # a third are copies
+    rows = [(i, [float(x) for x in v[i]]) for i in range(150)] + [(900, None), (901, [0.0] * 6), (902, [None] + [1.0] * 5), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("block", F.lit(1))
+    asked = df.filter("vec_id % 20 = 0 OR vec_id IS NULL")
+    got = {}
+    for r in V.topk_many(df, asked, 5, block_rows=13, query_block=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = np.einsum("ij,kj->ik", u, u)
+    want = {q: sorted((i for i in range(150) if i != q), key=lambda i, q=q: (-scores[q, i], i))[:5] for q in range(0, 150, 20)}
+    assert got == want
+    assert V.topk_many(df, asked.limit(0), 5).count() == 0 and V.topk_many(df.limit(0), asked, 5).count() == 0
+    assert V.topk_many(df.filter("vec_id < 3"), asked.filter("vec_id = 0"), 5).count() == 2
+
+
 def test_list_index_recall(vecs):
     cent, assigned = V.ivf_index(vecs, lists=10)
     hits = total = 0
