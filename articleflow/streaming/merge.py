@@ -7,8 +7,8 @@ day of the batches before are late and dropped. Lateness and closing go by whole
 depend on how rows fall into tasks. A row without a publication time is never late; a group of such rows alone closes
 ``window_days`` after the watermark of its arrival.
 
-State per item: one value (counts, bounds and the primary row with its content) and a map from source to that source's part (urls,
-last metadata). The map is bounded by the item's sources, and the whole state by the rows of ``window_days + delay_days``; it lives in
+State per item: one value (counts, bounds, the primary row with its content, the first source's part) and a map from every other
+source to its part (urls, last metadata), so that an item with one source costs one read and one write. The map is bounded by the item's sources, and the whole state by the rows of ``window_days + delay_days``; it lives in
 the RocksDB state store and is checkpointed with the stream, so a lost executor restores it.
 
 Hot items: before the shuffle each Arrow batch is reduced to one row per (item, source, day), so that a hot item sends a few rows per
@@ -29,8 +29,9 @@ from articleflow.schemas import ENTRY_METADATA, RAW_METADATA
 
 _DAY_MS = 86_400_000
 _PRIMARY = "source_type string, source_id string, title string, content string, author string, url string, p_published long, meta string"
-_TOTALS = "n long, published long, seq long, closes long"
 _PART = "urls array<string>, entry string, entry_seq long"
+_STATE = (f"n long, published long, seq long, closes long, others boolean, own_type string, own_id string, {_PART}, pref string, "
+          f"{_PRIMARY}")
 #: A part: the rows of one item from one source and day, with the best of them. ``pref`` compares as text; times are microseconds and
 #: ``day`` the milliseconds of a day's start, so no time zone of a Python worker matters.
 PARTS = f"item_id string, day long, n long, published long, seq long, pref string, {_PRIMARY}, {_PART}"
@@ -80,6 +81,11 @@ def _least(a, b):
     return b if a is None else a if b is None else min(a, b)
 
 
+def _joined(found: list) -> tuple:
+    """One part from the parts of a source."""
+    return sorted({u for urls, _, _ in found for u in urls}), *_last((entry, seq) for _, entry, seq in found)
+
+
 class MergeItems(StatefulProcessor):
     """State of one item id (see the module text)."""
 
@@ -88,56 +94,60 @@ class MergeItems(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", _TOTALS)
-        self.primary = handle.getValueState("primary", f"pref string, {_PRIMARY}")
+        self.group = handle.getValueState("group", _STATE)
         self.sources = handle.getMapState("sources", "source_type string, source_id string", _PART)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         closed, watermark = [], timerValues.getCurrentWatermarkInMs()
-        n, published, seq, closes = self.totals.get() or (0, None, None, 0)
-        if 0 < closes <= watermark:  # timers fire after a batch's rows, which must not join a closed group
-            self.handle.deleteTimer(closes)
-            closed.append(self._emit(key))
-            n, published, seq, closes = 0, None, None, 0
-        stored = self.primary.get()
-        best, open_until, by_source = stored, closes, {}
+        stored = self.group.get()
+        if stored is not None and stored[3] <= watermark:  # timers fire after a batch's rows, which must not join a closed group
+            self.handle.deleteTimer(stored[3])
+            closed.append(self._emit(key, stored))
+            stored = None
+        n, published, seq, closes, others, own, part, best = 0, None, None, None, False, None, None, None
+        if stored is not None:
+            (n, published, seq, closes, others), own, part, best = stored[:5], tuple(stored[5:7]), tuple(stored[7:10]), tuple(stored[10:])
+        open_until, by_source = closes, {}
         for r in rows:
             if r.day is not None and 0 < watermark and r.day <= watermark:  # Spark's own filter goes by the watermark of the batch before
                 continue
             n, published, seq = n + r.n, _least(published, r.published), _least(seq, r.seq)
             # a day later than the group's last one moves its end
-            since = watermark if r.day is None else r.day + _DAY_MS
-            open_until = max(open_until, since + self.window_ms)
+            end = (watermark if r.day is None else r.day + _DAY_MS) + self.window_ms
+            open_until = end if open_until is None else max(open_until, end)
             if best is None or r.pref > best[0]:
                 best = (r.pref, r.source_type, r.source_id, r.title, r.content, r.author, r.url, r.p_published, r.meta)
-            by_source.setdefault((r.source_type, r.source_id), []).append((list(r.urls), r.entry, r.entry_seq))
-        for source, found in by_source.items():
-            known = self.sources.getValue(source)
-            found += [tuple(known)] if known is not None else []
-            entry, entry_seq = _last((f[1], f[2]) for f in found)
-            self.sources.updateValue(source, (sorted({u for f in found for u in f[0]}), entry, entry_seq))
+            by_source.setdefault((r.source_type, r.source_id), []).append((r.urls, r.entry, r.entry_seq))
         if not by_source:
             return iter(closed)
-        if best is not stored:
-            self.primary.update(best)
-        self.totals.update((n, published, seq, open_until))
+        for source, found in by_source.items():
+            own = source if own is None else own
+            known = part if source == own else self.sources.getValue(source)
+            joined = _joined(found if known is None else [*found, known])
+            if source == own:
+                part = joined
+            else:
+                self.sources.updateValue(source, joined)
+                others = True
+        self.group.update((n, published, seq, open_until, others, *own, *part, *best))
         if open_until != closes:
-            if closes:
+            if closes is not None:
                 self.handle.deleteTimer(closes)
             self.handle.registerTimer(open_until)
         return iter(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return iter([self._emit(key)])
+        return iter([self._emit(key, self.group.get())])
 
-    def _emit(self, key) -> Row:
+    def _emit(self, key, stored) -> Row:
         """The group's row; its state is removed."""
-        n, published, seq, _ = self.totals.get()
-        sources = [Row(source_type=k[0], source_id=k[1], urls=list(v[0]), entry=v[1], entry_seq=v[2]) for k, v in self.sources.iterator()]
-        primary = self.primary.get()
-        for state in (self.totals, self.primary, self.sources):
-            state.clear()
-        return _GROUP_ROW(key[0], n, published, seq, *primary[1:], sources)
+        found = [(tuple(stored[5:7]), stored[7:10])]
+        if stored[4]:
+            found += list(self.sources.iterator())
+            self.sources.clear()
+        self.group.clear()
+        sources = [Row(source_type=k[0], source_id=k[1], urls=list(v[0]), entry=v[1], entry_seq=v[2]) for k, v in found]
+        return _GROUP_ROW(key[0], *stored[:3], *stored[11:], sources)
 
     def close(self) -> None:
         pass
