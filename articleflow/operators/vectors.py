@@ -159,27 +159,31 @@ def _pivots(reps: DataFrame, n: int):
     return np.array([r.u for r in rows], dtype=np.float64).reshape(len(rows), -1)
 
 
-def _cells(reps: DataFrame, threshold: float, n_pivots: int) -> DataFrame:
-    """(id, u, cell, home): each vector in its own cell (``home``) and in every cell that can hold a neighbour."""
+def _near_cells(batches, pivots, reach: float):
+    """Rows of (id, u) with the number of their own cell and the list of the cells that can hold a neighbour, one row per vector. The
+    distances held at a time are those of 1,024 rows."""
     import numpy as np
     import pandas as pd
 
+    for pdf in batches:
+        for at in range(0, len(pdf), 1024):
+            part = pdf.iloc[at:at + 1024]
+            u = np.stack(part["u"].to_numpy()).astype(np.float64)
+            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,kj->ik", u, pivots)))
+            near = dist <= dist.min(axis=1, keepdims=True) + reach
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "u": list(u), "own": dist.argmin(axis=1).astype(np.int32),
+                                "near": [np.flatnonzero(row).astype(np.int32) for row in near]})
+
+
+def _cells(reps: DataFrame, threshold: float, n_pivots: int) -> DataFrame:
+    """(id, u, cell, home): each vector in its own cell (``home``) and in every cell that can hold a neighbour. Python returns a row per
+    vector; Spark copies it to its cells."""
     centres = reps.sparkSession.sparkContext.broadcast(_pivots(reps, n_pivots))
     reach = 2 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
 
-    def run(batches):
-        pivots = centres.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
-            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,kj->ik", u, pivots)))
-            own = dist.argmin(axis=1)
-            rows, cells = np.nonzero(dist <= dist.min(axis=1, keepdims=True) + reach)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "u": [u[i] for i in rows], "cell": cells.astype(np.int32),
-                                "home": own[rows] == cells})
-
-    return reps.mapInPandas(run, f"id {dict(reps.dtypes)['id']}, u array<double>, cell int, home boolean")
+    placed = reps.mapInPandas(lambda batches: _near_cells(batches, centres.value, reach),
+                              f"id {dict(reps.dtypes)['id']}, u array<double>, own int, near array<int>")
+    return placed.select("id", "u", "own", F.explode("near").alias("cell")).select("id", "u", "cell", (F.col("cell") == F.col("own")).alias("home"))
 
 
 def _representatives(members: DataFrame, vec_col: str) -> DataFrame:
@@ -202,14 +206,51 @@ def _merged(root, i, j):
         root = new
 
 
+def _near_in_block(a, b, threshold: float):
+    """(i, j, similarity) of the rows of ``a`` and ``b`` with cosine ≥ threshold, in parts of bounded size: 256 rows of ``a`` are scored
+    at a time, and of the pairs found some megabytes of vectors are multiplied out."""
+    import numpy as np
+
+    step = max(1, (1 << 20) // max(1, a.shape[1]))
+    for at in range(0, len(a), 256):
+        rows, cols = np.nonzero(np.einsum("ij,kj->ik", a[at:at + 256], b) >= threshold - 1e-9)
+        for k in range(0, len(rows), step):
+            i, j = rows[k:k + step] + at, cols[k:k + step]
+            similarity = (a[i] * b[j]).sum(axis=1)
+            exact = similarity >= threshold
+            yield i[exact], j[exact], similarity[exact]
+
+
+def _compare_blocks(left, right, threshold: float, links: bool):
+    """The pairs of two blocks (``id``, ``u`` and ``other``, ``w``), or with ``links`` a forest of them (see ``_rep_pairs``)."""
+    import numpy as np
+    import pandas as pd
+
+    if left.empty or right.empty:
+        return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "similarity": []})
+    a, b = np.stack(left["u"].to_numpy()), np.stack(right["w"].to_numpy())
+    ia, ib = left["id"].to_numpy(), right["other"].to_numpy()
+    if links:
+        found = np.arange(len(ia) + len(ib))
+        for i, j, _ in _near_in_block(a, b, threshold):
+            found = _merged(found, i, j + len(ia))
+        ids = np.concatenate([ia, ib])
+        own = np.flatnonzero(ids != ids[found])
+        return pd.DataFrame({"id_a": ids[found[own]], "id_b": ids[own], "similarity": np.nan})
+    parts = []
+    for i, j, similarity in _near_in_block(a, b, threshold):
+        keep = ia[i] < ib[j]
+        # places in a block fit into 32 bits; the ids are looked up once, at the end
+        parts.append((i[keep].astype(np.int32), j[keep].astype(np.int32), similarity[keep]))
+    i, j, similarity = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+    return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], "similarity": similarity})
+
+
 def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int, links: bool = False) -> DataFrame:
     """All pairs (id_a < id_b, similarity) of representatives: home rows of a cell against all rows of the cell, block by
     block. A pair is reported where its smaller id is at home, so it comes once. With ``links`` a block pair returns, in place of
     its pairs, one link (id_a, id_b) per row to the first row of the row's component in this block pair: what is
     connected stays so, and a dense group gives no more links than rows."""
-    import numpy as np
-    import pandas as pd
-
     placed = materialize(_cells(reps, threshold, n_pivots), "cells")
     sizes = {r.cell: (r.home, r.n) for r in placed.groupBy("cell").agg(
         F.count_if("home").alias("home"), F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
@@ -225,31 +266,10 @@ def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int, lin
                            F.pmod(F.xxhash64("id"), blocks(1)).cast("int").alias("in_vb"), blocks(0).alias("_hbs"))
              .select("other", "w", "in_cell", "in_vb", F.explode(F.sequence(F.lit(0), F.col("_hbs") - 1)).alias("in_hb")))
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id_a": left["id"][:0], "id_b": left["id"][:0], "similarity": []})
-        a, b = np.stack(left["u"].to_numpy()), np.stack(right["w"].to_numpy())
-        ia, ib = left["id"].to_numpy(), right["other"].to_numpy()
-        if links:  # in parts, so that no more than a part's pairs are held at once
-            found = np.arange(len(ia) + len(ib))
-            for at in range(0, len(ia), 256):
-                part = a[at:at + 256]
-                i, j = np.nonzero(np.einsum("ij,kj->ik", part, b) >= threshold - 1e-9)
-                exact = (part[i] * b[j]).sum(axis=1) >= threshold
-                i, j = i[exact] + at, j[exact]
-                found = _merged(found, i, j + len(ia))
-            ids = np.concatenate([ia, ib])
-            own = np.flatnonzero(ids != ids[found])
-            return pd.DataFrame({"id_a": ids[found[own]], "id_b": ids[own], "similarity": np.nan})
-        i, j = np.nonzero(np.einsum("ij,kj->ik", a, b) >= threshold - 1e-9)
-        keep = ia[i] < ib[j]
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], "similarity": (a[i] * b[j]).sum(axis=1)})
-
     kind = dict(reps.dtypes)["id"]
     found = home.groupBy("cell", "hb", "vb").cogroup(every.groupBy("in_cell", "in_hb", "in_vb")).applyInPandas(
-        compare, f"id_a {kind}, id_b {kind}, similarity double")
-    return found.select("id_a", "id_b") if links else found.filter(F.col("similarity") >= threshold)
+        lambda a, b: _compare_blocks(a, b, threshold, links), f"id_a {kind}, id_b {kind}, similarity double")
+    return found.select("id_a", "id_b") if links else found
 
 
 def similar_links(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",

@@ -358,3 +358,32 @@ def test_landed_files_joined_to_feed_list(spark):
     cov = {r.url: r["items"] for r in feed_coverage(feeds, items, feed_key="url").collect()}
     assert cov == {"https://a/rss": 2, "https://b/atom": 1, "https://c/rss": 0}
     assert [r.name for r in feeds_without_items(feeds, items, feed_key="url").collect()] == ["feedC"]
+
+
+@pytest.mark.parametrize("links", [False, True])
+def test_a_dense_pair_of_blocks_stays_in_bounded_memory(links):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    u = np.random.default_rng(3).normal(size=(1500, 64)) * 0.05 + 1  # every pair is similar
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    left, right = pd.DataFrame({"id": np.arange(1500), "u": list(u)}), pd.DataFrame({"other": np.arange(1500), "w": list(u)})
+    tracemalloc.start()
+    found = V._compare_blocks(left, right, 0.9, links)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == (2 * 1499 if links else 1500 * 1499 // 2)  # the forest links every row of either block but id 0 to it
+    assert links or np.allclose(found["similarity"], (u[found["id_a"]] * u[found["id_b"]]).sum(axis=1))
+    assert peak < 200 << 20  # multiplying all pairs out at once takes 3 GB
+
+
+def test_cells_leave_python_as_one_row_per_vector():
+    import numpy as np
+    import pandas as pd
+
+    u = np.eye(4)[np.arange(3000) % 4]
+    got = pd.concat(V._near_cells([pd.DataFrame({"id": np.arange(3000), "u": list(u)}), pd.DataFrame({"id": [], "u": []})], np.eye(4), 2.0))
+    assert got["id"].tolist() == list(range(3000)) and (got["own"] == np.arange(3000) % 4).all()
+    assert all(len(x) == 4 for x in got["near"])
