@@ -1,7 +1,7 @@
 """Article and run tables: keyed upsert, run log, row rejection, counts.
 
 The upsert itself is a pure DataFrame function (``merge_news``) – the same rule can be handed to ``MERGE INTO`` where a table format
-supports it. On plain Parquet, ``NewsTable`` merges the publication days that a batch touches and replaces them by Spark's dynamic
+supports it. On plain Parquet, ``NewsTable`` merges the weeks of the publication days that a batch touches and replaces them by Spark's dynamic
 partition overwrite; ``RunTable`` replaces the row of one run in the same way.
 """
 
@@ -192,30 +192,34 @@ class RunTable:
 
 
 class NewsTable:
-    """The news table as Parquet by publication day, with a key table beside it (S6, S10, S11 at scale). One writer at a time.
+    """The news table as Parquet in a fixed number of slots, with a key table beside it (S6, S10, S11 at scale). One writer at a time.
+
+    A slot holds whole weeks of publication days: the week's number modulo ``slots``. A table of up to ``slots`` weeks has one week a
+    folder, a longer one several, so that folders and files don't grow in number with the days (a folder per day costs a rename, a
+    listing and a file of its own, however few rows a day has).
 
     An upsert
     1. finds the day of every incoming key that is stored: a join with the key table, which is stored by a hash of item_id, so that a
        small batch reads only the parts its keys fall into (dynamic partition pruning) and no news row is read for it;
-    2. merges the touched days – those of known keys and those of new rows – with ``merge_news`` into a staged table;
-    3. replaces these days by dynamic partition overwrite and appends the new keys. A day never loses its last row, as an upsert
+    2. merges the slots of the touched days – those of known keys and those of new rows – with ``merge_news`` into a staged table;
+    3. replaces these slots by dynamic partition overwrite and appends the new keys. A slot never loses its last row, as an upsert
        neither removes rows nor moves them.
-    No list of days or keys goes through the driver, only the first and the last touched day.
+    No list of days or keys goes through the driver, only the numbers of the touched slots.
 
-    The overwrite of several days isn't atomic. The staged table stays until days and keys are written; if the driver is lost in
+    The overwrite of several slots isn't atomic. The staged table stays until slots and keys are written; if the driver is lost in
     between, the next upsert first writes it again, which has the same result. Reapplying a batch changes nothing either: its rows
     are found and get the same values. Frames read before an upsert must not be used after it."""
 
-    def __init__(self, spark: SparkSession, path: str, key_buckets: int = 64):
-        self.spark, self.path, self.key_buckets = spark, path.rstrip("/"), key_buckets
+    def __init__(self, spark: SparkSession, path: str, key_buckets: int = 64, slots: int = 256):
+        self.spark, self.path, self.key_buckets, self.slots = spark, path.rstrip("/"), key_buckets, slots
         self.items, self.keys, self.staged = (f"{self.path}/{name}" for name in ("items", "keys", "staged"))
 
     _KEY = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("day", T.StringType()),
                          T.StructField("bucket", T.IntegerType())])
-    _ITEM = T.StructType(NEWS_ITEMS.fields + [T.StructField("day", T.StringType())])
+    _ITEM = T.StructType(NEWS_ITEMS.fields + [T.StructField("day", T.StringType()), T.StructField("slot", T.IntegerType())])
 
     def _empty(self, mode: str) -> None:
-        for path, schema, column in ((self.items, self._ITEM, "day"), (self.keys, self._KEY, "bucket")):
+        for path, schema, column in ((self.items, self._ITEM, "slot"), (self.keys, self._KEY, "bucket")):
             self.spark.createDataFrame([], schema).write.mode(mode).partitionBy(column).parquet(path)
 
     def create(self) -> None:
@@ -228,12 +232,20 @@ class NewsTable:
         self._empty("overwrite")
 
     def read(self) -> DataFrame:
-        """The stored rows; ``day`` (yyyy-MM-dd, the partition) is there for filters that should prune folders."""
+        """The stored rows; ``day`` (yyyy-MM-dd) is stored beside them, for filters that reach the scan."""
+        return self._stored().drop("slot")
+
+    def _stored(self) -> DataFrame:
         return self.spark.read.schema(self._ITEM).parquet(self.items)
 
     def _day(self) -> F.Column:
         return F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("none"))
 
+    def _slot(self) -> F.Column:
+        """The slot of a ``day``; rows without a publication time have one of their own."""
+        week = F.floor(F.unix_date(F.try_to_timestamp("day", F.lit("yyyy-MM-dd")).cast("date")) / 7)
+        return F.coalesce(F.pmod(week, F.lit(self.slots)), F.lit(self.slots)).cast("int").alias("slot")
+
     def _bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("item_id"), F.lit(self.key_buckets)).cast("int").alias("bucket")
 
@@ -252,10 +264,8 @@ class NewsTable:
         self._finish()
         if incoming.isEmpty():
             return {"persisted": 0, "inserted": 0, "updated": 0, "kept_in_rewritten_days": 0}
-        days = materialize(self.touched_days(incoming), "touched-days")
-        first, last = days.agg(F.min("day"), F.max("day")).first()
-        in_range = F.col("day").between(first, last)
-        base = self.read().filter(in_range).join(days.filter(in_range), "day", "left_semi")
+        touched = [r.slot for r in self.touched_days(incoming).select(self._slot()).distinct().collect()]  # at most slots + 1 numbers
+        base = self._stored().filter(F.col("slot").isin(touched)).drop("slot")
         obs = Observation(f"upsert-{uuid.uuid4().hex[:8]}")
         merged = merge_news(base, incoming, now, keep_embedding_if_null, unique_keys).observe(
             obs,
@@ -264,8 +274,9 @@ class NewsTable:
             F.count_if(F.col("change") == "updated").alias("updated"),
             F.count_if(F.col("change") == "kept").alias("kept_in_rewritten_days"),
         )
-        # by day, but a day with many rows is cut into several tasks and files (AQE rebalancing by measured size)
-        merged.withColumn("day", self._day()).hint("rebalance", "day").write.mode("overwrite").parquet(self.staged)
+        # by slot, but a slot with many rows is cut into several tasks and files (AQE rebalancing by measured size)
+        (merged.withColumn("day", self._day()).withColumn("slot", self._slot()).hint("rebalance", "slot")
+         .write.mode("overwrite").parquet(self.staged))
         counts = {k: int(v) for k, v in obs.get.items()}
         self._finish()
         return counts
@@ -275,7 +286,7 @@ class NewsTable:
         if not self._exists(f"{self.staged}/_SUCCESS"):
             return
         staged = self.spark.read.schema(T.StructType(self._ITEM.fields + [T.StructField("change", T.StringType())])).parquet(self.staged)
-        _overwrite_partitions(staged.drop("change"), self.items, "day")
+        _overwrite_partitions(staged.drop("change"), self.items, "slot")
         new = staged.filter(F.col("change") == "inserted").select("item_id", "day", self._bucket())
         new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(self.keys)
         self._drop_staged()

@@ -215,3 +215,37 @@ def test_run_table_replaces_one_run(spark):
     assert {r.run_id: r.status for r in t.read().collect()} == {"r1": "running", "20240102": "running"}
     t.reset()
     assert t.read().count() == 0
+
+
+def test_news_folders_do_not_grow_with_the_days(spark, processed):
+    one = processed.filter("item_id = 'a'")
+    many = one.drop("item_id", "published_at").crossJoin(spark.range(70).select(
+        F.concat(F.lit("k"), F.col("id").cast("string")).alias("item_id"),
+        F.when(F.col("id") < 69, F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") * 86_400 * 7)).alias("published_at")))
+    t = S.NewsTable(spark, tempfile.mkdtemp() + "/news", slots=8)
+    assert t.upsert(many, ts(2024, 12, 24))["inserted"] == 70
+
+    def folders():
+        found = t.read().select("item_id", F.regexp_extract(F.input_file_name(), r"slot=(\d+)", 1).alias("slot")).collect()
+        return {r.item_id: int(r.slot) for r in found}
+
+    at = folders()
+    assert len(at) == 70 and set(at.values()) == set(range(9)) and at["k69"] == 8  # eight slots, and one for rows without a time
+    assert t.upsert(many.filter("item_id in ('k3', 'k69')"), ts(2024, 12, 25)) == {
+        "persisted": 2, "inserted": 0, "updated": 2, "kept_in_rewritten_days": sum(s == at["k3"] for s in at.values()) - 1}
+    assert folders() == at and t.read().filter("day = 'none'").count() == 1
+
+
+def test_stream_takes_files_by_size(spark):
+    from articleflow.streaming.ingest import _run, stream_table
+
+    d = tempfile.mkdtemp()
+    spark.range(100).repartition(4).write.parquet(f"{d}/documents.parquet")
+    schema = spark.range(1).schema
+
+    def batches(**limit):
+        out, progress = _run(stream_table(spark, d, "documents", schema, **limit), "t", "append", None, None)
+        assert spark.read.parquet(out).count() == 100
+        return sum(p["numInputRows"] > 0 for p in progress)
+
+    assert batches() == 4 and batches(max_bytes=1 << 20) == 1
