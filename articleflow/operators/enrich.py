@@ -220,10 +220,29 @@ def _call(provider: BatchProvider, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, missing], ignore_index=True) if len(missing) else out
 
 
+#: Bytes of an Arrow batch handed to Python, and rows and characters of a batch handed to a provider (a row may have more). Stored
+#: bytes that a calling task gets in a round.
+ARROW_BYTES, CALL_ROWS, CALL_CHARS, TASK_BYTES = 16 << 20, 2_000, 4 << 20, 64 << 20
+
+
+def _call_batches(batches):
+    """Batches cut to ``CALL_ROWS`` rows and ``CALL_CHARS`` characters, so that what a provider holds stays bounded."""
+    for batch in batches:
+        size = (batch["prompt"].str.len().fillna(0) + batch["content"].str.len().fillna(0)).to_numpy()
+        start = held = 0
+        for i, n in enumerate(size):
+            if i > start and (i - start == CALL_ROWS or held + n > CALL_CHARS):
+                yield batch.iloc[start:i]
+                start, held = i, 0
+            held += n
+        if start < len(batch):
+            yield batch.iloc[start:]
+
+
 def _run_batches(provider: BatchProvider, max_retries: int, pause_seconds: float):
     def run(batches):
         provider.setup()
-        for batch in batches:
+        for batch in _call_batches(batches):
             pending, done, attempt = batch, [], 0
             while not pending.empty:
                 attempt += 1
@@ -250,22 +269,44 @@ def _run_batches(provider: BatchProvider, max_retries: int, pause_seconds: float
     return run
 
 
+def _rounds(stored: DataFrame, round_bytes: int) -> list[list[str]]:
+    """The files of a stored frame in groups of about ``round_bytes``."""
+    jvm, conf = stored.sparkSession.sparkContext._jvm, stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    groups, held = [[]], 0
+    for name in sorted(stored.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        size = path.getFileSystem(conf).getFileStatus(path).getLen()
+        if groups[-1] and held + size > round_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += size
+    return groups
+
+
 def enrich_batches(df: DataFrame, provider: BatchProvider, max_concurrent: int = MAX_CONCURRENT,
                    max_retries: int = MAX_RETRIES, pause_seconds: float = 0.5,
                    prompt_template: str | None = None) -> DataFrame:
     """Batch-provider enrichment (N1, N3, N4). ``max_concurrent`` partitions → at most that many tasks call the
-    provider at once. Rows are hash-partitioned by item_id, so a retried task sends the same rows again and an
-    idempotent provider gives the same answer. The answers are stored, and the join back to the input columns runs
-    on all shuffle partitions: the cap holds for the calls alone."""
-    from articleflow.session import materialize
+    provider at once. The rows go through in rounds, one after the other, of whole files of the stored input, so that a
+    task gets about ``TASK_BYTES`` however long the input is. In a round rows are hash-partitioned by item_id, so a retried task sends
+    the same rows again and an idempotent provider gives the same answer. The answers are stored, and the join back to the input
+    columns runs on all shuffle partitions: the cap holds for the calls alone."""
+    from articleflow.session import materialize, scratch_path, setting
 
     # the input feeds the calls and the join back: stored once so upstream work (dedup) is not run twice
     df = materialize(df, "enrich-input")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "enrich-output")
     prompt = prompt_text(prompt_template) if prompt_template else prompt_text()
-    calls = materialize(df.select("item_id", prompt.alias("prompt"), "title", "content")
-                        .repartition(max_concurrent, "item_id")
-                        .mapInPandas(_run_batches(provider, max_retries, pause_seconds), BATCH_OUT), "enrich-output")
-    return df.join(calls, "item_id", "left")
+    rounds = _rounds(df, max_concurrent * TASK_BYTES)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES)):
+        for files in rounds:
+            rows = spark.read.schema(df.schema).parquet(*files) if len(rounds) > 1 else df
+            (rows.select("item_id", prompt.alias("prompt"), "title", "content")
+             .repartition(max_concurrent, "item_id")
+             .mapInPandas(_run_batches(provider, max_retries, pause_seconds), BATCH_OUT).write.mode("append").parquet(path))
+    # rows that share an id may have been asked for in different batches; each gets one answer
+    return df.join(spark.read.schema(BATCH_OUT).parquet(path).dropDuplicates(["item_id"]), "item_id", "left")
 
 
 class ExtractivePandasProvider(BatchProvider):

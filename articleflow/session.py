@@ -87,6 +87,20 @@ def scratch_scope(spark: SparkSession):
             p.getFileSystem(conf).delete(p, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the actions inside; the value of before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df, name: str = "stage"):
     """Writes ``df`` once as Parquet under the shared checkpoint folder and returns the read-back frame.
 

@@ -113,3 +113,33 @@ def test_an_answer_that_repeats_ids_gives_one_row_each(raw_df):
     rows = [raw_row(item_id=i, seq=n, content=LONG) for n, i in enumerate(["ok1", "ok2", "bad1"])]
     got = E.enrich(dedup_exact(raw_df(rows)), Repeating(), max_concurrent=1, pause_seconds=0).collect()
     assert sorted(r.item_id for r in got) == ["bad1", "ok1", "ok2"]
+
+
+class Recording(Flaky):
+    """Tells by the summary how many rows and characters came in the call."""
+
+    def __call__(self, batch):
+        size = int(batch["content"].str.len().sum())
+        return super().__call__(batch).assign(summary=f"{len(batch)} {size}")
+
+
+def test_calls_go_in_rounds_and_bounded_batches(spark, raw_df, monkeypatch):
+    from articleflow.session import materialize
+
+    rows = [raw_row(item_id=f"ok{n}", seq=n, content=LONG * (1 + n % 3)) for n in range(60)] + [raw_row(item_id="ok0", seq=99, content=LONG)]
+    df = materialize(raw_df(rows).repartition(6))
+    assert [len(g) for g in E._rounds(df, 1)] == [1] * 6 and len(E._rounds(df, 1 << 30)) == 1
+    asked = []
+    real = E._rounds
+    monkeypatch.setattr(E, "TASK_BYTES", 1)
+    monkeypatch.setattr(E, "_rounds", lambda *a: asked.append(real(*a)) or asked[-1])
+    got = E.enrich(df, Recording(), max_concurrent=2, pause_seconds=0).collect()
+    assert len(asked[0]) > 1
+    assert sorted(r.item_id for r in got) == sorted(r[2] for r in rows) and all(r.e_title == "t" for r in got)  # a copy is no further row
+
+
+def test_batches_for_a_provider_are_cut_by_rows_and_characters():
+    big = pd.DataFrame({"item_id": [str(i) for i in range(4100)], "prompt": "p", "title": "t", "content": "c"})
+    big.loc[5, "content"] = "x" * (E.CALL_CHARS + 1)
+    parts = list(E._call_batches([big, big.head(0)]))
+    assert [len(p) for p in parts] == [5, 1, 2000, 2000, 94] and pd.concat(parts).equals(big)
