@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 TOKEN = (r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<\?.*?(?:\?>|\z)|<![^>]*+>"
          r"|</?[A-Za-z_](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[A-Za-z_][^<>]*+>|[^<]++|<")
 NAME = r"^</?([^\s/>]+)"
+PLAIN = r"^</?[a-z0-9_.-]+[\s/>]"  # a tag whose name is canonical as it is
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 # The namespaces that feeds use and the prefix that names get here (empty: none), and usual prefixes of documents
@@ -41,6 +42,11 @@ def _struct(**columns: Column) -> Column:
     return F.named_struct(*[x for name, value in columns.items() for x in (F.lit(name), value)])
 
 
+def _bound(value: Column, function) -> Column:
+    """``function`` of a value that is computed once, however often the function names it (lambdas share no common expressions)."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def _references() -> dict[str, str]:
     """Every named reference of HTML, and the numeric ones that stand for another character there (code page 1252)."""
     named = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
@@ -63,8 +69,8 @@ def decode_entities(text: Column) -> Column:
 
     found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))),
                         lambda r: _struct(ref=r, char=character(r)))
-    found = F.filter(found, lambda x: x["char"].isNotNull())
-    ordered = F.concat(F.filter(found, lambda x: x["char"] != "&"), F.filter(found, lambda x: x["char"] == "&"))
+    # an unknown reference compares as null and drops out of both lists
+    ordered = _bound(found, lambda all_: F.concat(F.filter(all_, lambda x: x["char"] != "&"), F.filter(all_, lambda x: x["char"] == "&")))
     replaced = F.aggregate(ordered, text, lambda acc, x: F.replace(acc, F.concat(F.lit("&"), x["ref"], F.lit(";")), x["char"]))
     return F.when(F.contains(text, F.lit("&")), replaced).otherwise(text)
 
@@ -85,18 +91,22 @@ def prefixes(body: Column) -> Column:
         value=F.try_element_at(_map(NAMESPACES), F.lower(F.regexp_extract(d, r"[\"'](.*)[\"']$", 1)))))
     # foreign namespaces keep their prefix
     own = F.transform(bound, lambda x: _struct(key=x["key"], value=F.coalesce(x["value"], F.concat(x["key"], F.lit(":")))))
-    last = F.map_from_entries(F.aggregate(own, F.slice(own, 1, 0), lambda acc, x: F.array_append(
-        F.filter(acc, lambda y: y["key"] != x["key"]), x)))
-    return F.map_concat(F.map_filter(_map(UNDECLARED), lambda k, _: ~F.map_contains_key(last, k)), last)
+    # both are bound: the body would be searched again for every key of the map
+    last = _bound(own, lambda all_: F.map_from_entries(F.aggregate(all_, F.slice(all_, 1, 0), lambda acc, x: F.array_append(
+        F.filter(acc, lambda y: y["key"] != x["key"]), x))))
+    return _bound(last, lambda found: F.map_concat(F.map_filter(_map(UNDECLARED), lambda k, _: ~F.map_contains_key(found, k)), found))
 
 
 def _tag(token: Column, names: Column) -> Column:
-    name = F.lower(F.regexp_extract(token, NAME, 1))
-    prefix = F.regexp_extract(name, r"^([^:]+):", 1)
-    local = F.regexp_replace(name, r"^[^:]+:", "")
-    full = F.when(F.contains(name, F.lit(":")), F.concat(F.coalesce(F.try_element_at(names, prefix), F.concat(prefix, F.lit(":"))),
-                                                          local)).otherwise(name)
-    return F.concat(F.regexp_extract(token, r"^</?", 0), full, F.regexp_replace(token, NAME, ""))
+    def full(name: Column) -> Column:
+        prefix = F.regexp_extract(name, r"^([^:]+):", 1)
+        local = F.regexp_replace(name, r"^[^:]+:", "")
+        return F.when(F.contains(name, F.lit(":")), F.concat(F.coalesce(F.try_element_at(names, prefix), F.concat(prefix, F.lit(":"))),
+                                                             local)).otherwise(name)
+
+    changed = F.concat(F.regexp_extract(token, r"^</?", 0), _bound(F.lower(F.regexp_extract(token, NAME, 1)), full),
+                       F.regexp_replace(token, NAME, ""))
+    return F.when(token.rlike(PLAIN), token).otherwise(changed)
 
 
 def canonical(body: Column, names: Column) -> Column:
@@ -149,8 +159,12 @@ def fields(fragment: Column, known: list[str]) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value; null when absent or empty."""
     found = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
-    return F.nullif(F.trim(decode_entities(F.regexp_replace(found, r"^[\"']|[\"']$", ""))), F.lit(""))
+    return _bound(F.trim(decode_entities(F.regexp_replace(found, r"^[\"']|[\"']$", ""))), _filled)
 
 
 def trimmed(text: Column) -> Column:
-    return F.nullif(F.regexp_replace(text, r"\A\s+|\s+\z", ""), F.lit(""))
+    return _bound(F.regexp_replace(text, r"\A\s+|\s+\z", ""), _filled)
+
+
+def _filled(text: Column) -> Column:
+    return F.when(text != "", text)

@@ -387,3 +387,26 @@ def test_cells_leave_python_as_one_row_per_vector():
     got = pd.concat(V._near_cells([pd.DataFrame({"id": np.arange(3000), "u": list(u)}), pd.DataFrame({"id": [], "u": []})], np.eye(4), 2.0))
     assert got["id"].tolist() == list(range(3000)) and (got["own"] == np.arange(3000) % 4).all()
     assert all(len(x) == 4 for x in got["near"])
+
+
+def test_markup_values_are_computed_once(spark):
+    """The body is searched once for its namespaces and a trimmed text is trimmed once, whatever names them afterwards."""
+    from articleflow.sources import markup as M
+
+    df = spark.createDataFrame([("<a:feed xmlns:A='http://www.w3.org/2005/Atom' xmlns:q='urn:x' xmlns:dc='urn:own'>", "  x  "), (None, "  ")], "b string, t string")
+    out = df.select(M.prefixes(F.col("b")).alias("p"), M.trimmed(F.col("t")).alias("t"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_replace(t") == 1
+    rows = out.collect()
+    assert [r.t for r in rows] == ["x", None] and rows[1].p is None
+    assert (rows[0].p["a"], rows[0].p["q"], rows[0].p["dc"], rows[0].p["content"]) == ("", "q:", "dc:", "content:")
+
+
+def test_canonical_names_of_plain_and_odd_tags(spark):
+    """Tags that are canonical pass as they are; case, prefixes and letters beyond ASCII still go through the full rule."""
+    from articleflow.sources import markup as M
+
+    body = "<item a='B'><TITLE x=Y>T</TITLE><a:Link/><dc:Date >d</dc:Date><É>n</É><x1-y.z/></item>"
+    df = spark.createDataFrame([(body,)], "b string")
+    got = df.select(M.canonical(F.col("b"), M.prefixes(F.col("b"))).alias("c")).first().c
+    assert got == "<item a='B'><title x=Y>T</title><a:link/><dc:date >d</dc:date>&lt;É>n&lt;/É><x1-y.z/></item>"
