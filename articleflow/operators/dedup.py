@@ -103,7 +103,8 @@ def merge_primary(rows: DataFrame, g: DataFrame) -> DataFrame:
     fat = rows.select("_row", F.col("item_id").alias("p_item_id"), "source_type", "source_id", "title", "content", "author",
                       F.col("url").alias("p_url"), F.col("published_at").alias("p_published_at"),
                       F.col("raw_metadata").alias("p_meta"))
-    return merged_items(g.join(fat, g["primary_row"] == fat["_row"]))
+    # the slim side is hashed, so that the rows with their contents are neither sorted nor spilled
+    return merged_items(g.hint("shuffle_hash").join(fat, g["primary_row"] == fat["_row"]))
 
 
 def merged_items(groups: DataFrame) -> DataFrame:

@@ -105,9 +105,10 @@ def materialize(df, name: str = "stage"):
     """Writes ``df`` once as Parquet under the shared checkpoint folder and returns the read-back frame.
 
     Cuts the lineage like ``checkpoint()`` but computes the input only once (a reliable RDD checkpoint of an
-    unpersisted Dataset runs its plan a second time to write the files) and stores it columnar/compressed."""
+    unpersisted Dataset runs its plan a second time to write the files) and stores it columnar/compressed (Zstandard: texts
+    take a good deal fewer bytes than with the default codec)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -1,5 +1,8 @@
+from articleflow.operators import dedup as D
 from articleflow.operators.dedup import dedup_exact, dedup_stats, primary_rows
 from articleflow.operators.ordering import global_rank, rank_within
+from articleflow.schemas import RAW_METADATA
+from articleflow.session import materialize
 from pyspark.sql import functions as F
 from tests.conftest import raw_row, ts
 
@@ -84,3 +87,29 @@ def test_rank_within_hot_group_matches_window(spark):
     assert got.count() == 5000
     g = global_rank(df, [F.asc("v"), F.asc("id")], "r").agg(F.min("r"), F.max("r"), F.count_distinct("r")).collect()[0]
     assert tuple(g) == (1, 5000, 5000)
+
+
+def test_primary_rows_are_fetched_without_sorting_contents(spark):
+    """The join that fetches the primary rows hashes the slim side: contents are not sorted, so they are not spilled."""
+    rows = spark.range(40).select(
+        F.lit("rss").alias("source_type"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source_id"),
+        (F.col("id") % 10).cast("string").alias("item_id"), F.lit("t").alias("title"), F.repeat(F.lit("x"), (F.col("id") + 1).cast("int")).alias("content"),
+        F.lit(None).cast("string").alias("author"), F.lit("2024-01-01").cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast(RAW_METADATA).alias("raw_metadata"), F.col("id").alias("seq"))
+    slim = D.numbered(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = D.merge_primary(slim, D.dedup_groups(slim))
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        found = {r.item_id: (r.n_merged, len(r.content)) for r in merged.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found == {str(i): (4, 31 + i) for i in range(10)}
+
+
+def test_scratch_tables_are_compressed_with_zstd(spark):
+    """Stored stages hold whole texts; they are written in the smaller codec."""
+    stored = materialize(spark.range(10).select(F.repeat(F.lit("text "), 100).alias("t")), "codec")
+    assert stored.count() == 10 and all(".zstd." in f for f in stored.inputFiles())
