@@ -7,9 +7,14 @@ day of the batches before are late and dropped. Lateness and closing go by whole
 depend on how rows fall into tasks. A row without a publication time is never late; a group of such rows alone closes
 ``window_days`` after the watermark of its arrival.
 
-State per item: one value (counts, bounds, the primary row with its content, the first source's part) and a map from every other
-source to its part (urls, last metadata), so that an item with one source costs one read and one write. The map is bounded by the item's sources, and the whole state by the rows of ``window_days + delay_days``; it lives in
-the RocksDB state store and is checkpointed with the stream, so a lost executor restores it.
+State: items are dealt to a fixed number of buckets by a hash of their id, and a bucket is a key of the stream. A call to the state store
+costs far more than what it carries; the calls a key needs besides its values (key, clocks, timer) are made once for a bucket's rows
+of a batch, and closing groups are read in pages. A bucket has a map from item to one value (counts, bounds, the primary row with its
+content, the first source's part) and a map from every other source of its items to that source's part (urls, last metadata), so that
+an item with one source costs one read and one write. A bucket has one timer, at the first end of its groups or before; when it fires, the
+groups that ended are written and removed, and the timer moves to the next end. The sources of an item bound its parts, and the rows of
+``window_days + delay_days`` the whole state; it lives in the RocksDB state store and is checkpointed with the stream, so a lost
+executor restores it.
 
 Hot items: before the shuffle each Arrow batch is reduced to one row per (item, source, day), so that a hot item sends a few rows per
 batch of 10,000 to its state task, however many copies it has. Rows whose item has no copy in the batch pass as they are.
@@ -86,80 +91,137 @@ def _joined(found: list) -> tuple:
     return sorted({u for urls, _, _ in found for u in urls}), *_last((entry, seq) for _, entry, seq in found)
 
 
+class _Arrived:
+    """What a batch brings for one item."""
+
+    __slots__ = ("n", "published", "seq", "end", "best", "by_source")
+
+    def __init__(self):
+        self.n, self.published, self.seq, self.end, self.best, self.by_source = 0, None, None, None, None, {}
+
+    def add(self, r, end: int) -> None:
+        self.n, self.published, self.seq = self.n + r.n, _least(self.published, r.published), _least(self.seq, r.seq)
+        self.end = end if self.end is None else max(self.end, end)
+        if self.best is None or r.pref > self.best[0]:
+            self.best = (r.pref, r.source_type, r.source_id, r.title, r.content, r.author, r.url, r.p_published, r.meta)
+        self.by_source.setdefault((r.source_type, r.source_id), []).append((r.urls, r.entry, r.entry_seq))
+
+
 class MergeItems(StatefulProcessor):
-    """State of one item id (see the module text)."""
+    """State of the items of one bucket (see the module text)."""
 
     def __init__(self, window_days: int):
         self.window_ms = int(window_days) * _DAY_MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.group = handle.getValueState("group", _STATE)
-        self.sources = handle.getMapState("sources", "source_type string, source_id string", _PART)
+        self.groups = handle.getMapState("groups", "item_id string", _STATE)
+        self.sources = handle.getMapState("sources", "item_id string, source_type string, source_id string", _PART)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        closed, watermark = [], timerValues.getCurrentWatermarkInMs()
-        stored = self.group.get()
-        if stored is not None and stored[3] <= watermark:  # timers fire after a batch's rows, which must not join a closed group
-            self.handle.deleteTimer(stored[3])
-            closed.append(self._emit(key, stored))
-            stored = None
-        n, published, seq, closes, others, own, part, best = 0, None, None, None, False, None, None, None
-        if stored is not None:
-            (n, published, seq, closes, others), own, part, best = stored[:5], tuple(stored[5:7]), tuple(stored[7:10]), tuple(stored[10:])
-        open_until, by_source = closes, {}
+        watermark, arrived = timerValues.getCurrentWatermarkInMs(), {}
         for r in rows:
             if r.day is not None and 0 < watermark and r.day <= watermark:  # Spark's own filter goes by the watermark of the batch before
                 continue
-            n, published, seq = n + r.n, _least(published, r.published), _least(seq, r.seq)
             # a day later than the group's last one moves its end
             end = (watermark if r.day is None else r.day + _DAY_MS) + self.window_ms
-            open_until = end if open_until is None else max(open_until, end)
-            if best is None or r.pref > best[0]:
-                best = (r.pref, r.source_type, r.source_id, r.title, r.content, r.author, r.url, r.p_published, r.meta)
-            by_source.setdefault((r.source_type, r.source_id), []).append((r.urls, r.entry, r.entry_seq))
-        if not by_source:
-            return iter(closed)
-        for source, found in by_source.items():
+            arrived.setdefault(r.item_id, _Arrived()).add(r, end)
+        closed, known, first_end = [], None, None
+        for item, new in arrived.items():
+            stored = self.groups.getValue((item,))
+            if stored is not None and stored[3] <= watermark:  # timers fire after a batch's rows, which must not join a closed group
+                if stored[4] and known is None:
+                    known = self._others(arrived)
+                closed.append(self._emit(item, stored, known[item] if stored[4] else []))
+                stored = None
+            first_end = _least(first_end, self._merge(item, stored, new))
+        if first_end is not None:
+            timer = min(self.handle.listTimers(), default=None)
+            if timer is None or first_end < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first_end)
+        return iter(closed)
+
+    def _merge(self, item, stored, new: _Arrived) -> int:
+        """Stores the group of an item with what arrived for it, and returns its end."""
+        n, published, seq, end, others, own, part, best = 0, None, None, new.end, False, None, None, None
+        if stored is not None:
+            (n, published, seq, end, others), own, part, best = stored[:5], tuple(stored[5:7]), tuple(stored[7:10]), tuple(stored[10:])
+        if best is None or new.best[0] > best[0]:
+            best = new.best
+        for source, found in new.by_source.items():
             own = source if own is None else own
-            known = part if source == own else self.sources.getValue(source)
-            joined = _joined(found if known is None else [*found, known])
+            before = part if source == own else self.sources.getValue((item, *source))
+            joined = _joined(found if before is None else [*found, before])
             if source == own:
                 part = joined
             else:
-                self.sources.updateValue(source, joined)
+                self.sources.updateValue((item, *source), joined)
                 others = True
-        self.group.update((n, published, seq, open_until, others, *own, *part, *best))
-        if open_until != closes:
-            if closes is not None:
-                self.handle.deleteTimer(closes)
-            self.handle.registerTimer(open_until)
-        return iter(closed)
+        end = max(end, new.end)
+        self.groups.updateValue((item,), (n + new.n, _least(published, new.published), _least(seq, new.seq), end, others, *own, *part, *best))
+        return end
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return iter([self._emit(key, self.group.get())])
-
-    def _emit(self, key, stored) -> Row:
+        watermark, ended, several, next_end = timerValues.getCurrentWatermarkInMs(), [], {}, None
+        for (item,), stored in self.groups.iterator():
+            if stored[3] > watermark:
+                next_end = _least(next_end, stored[3])
+                continue
+            ended.append(item)
+            if stored[4]:
+                several[item] = stored
+            else:
+                yield self._row(item, stored, [])
+        known = self._others(several) if several else {}
+        if next_end is None:
+            for item, stored in several.items():
+                yield self._row(item, stored, known[item])
+            self.groups.clear()
+            if several:
+                self.sources.clear()
+            return
+        for item, stored in several.items():
+            yield self._emit(item, stored, known[item])
+        for item in ended:
+            if item not in several:
+                self.groups.removeKey((item,))
+        self.handle.registerTimer(next_end)
+
+    def _others(self, items) -> dict:
+        """The parts of the items' further sources, from one pass over the bucket's."""
+        found = {}
+        for k, part in self.sources.iterator():
+            if k[0] in items:
+                found.setdefault(k[0], []).append((k[1:], part))
+        return found
+
+    def _emit(self, item, stored, others: list) -> Row:
         """The group's row; its state is removed."""
-        found = [(tuple(stored[5:7]), stored[7:10])]
-        if stored[4]:
-            found += list(self.sources.iterator())
-            self.sources.clear()
-        self.group.clear()
+        for source, _ in others:
+            self.sources.removeKey((item, *source))
+        self.groups.removeKey((item,))
+        return self._row(item, stored, others)
+
+    @staticmethod
+    def _row(item, stored, others: list) -> Row:
+        found = [(tuple(stored[5:7]), stored[7:10]), *others]
         sources = [Row(source_type=k[0], source_id=k[1], urls=list(v[0]), entry=v[1], entry_seq=v[2]) for k, v in found]
-        return _GROUP_ROW(key[0], *stored[:3], *stored[11:], sources)
+        return _GROUP_ROW(item, *stored[:3], *stored[11:], sources)
 
     def close(self) -> None:
         pass
 
 
-def merge_within_window(items: DataFrame, window_days: int, delay_days: int | None = None) -> DataFrame:
+def merge_within_window(items: DataFrame, window_days: int, delay_days: int | None = None, buckets: int = 2048) -> DataFrame:
     """A stream of raw items → one merged row per item and window (T2); columns as ``dedup.dedup_exact``. ``delay_days`` (default: the
-    window) is how far a row may be behind the latest publication day. Needs the RocksDB state store (``use_rocksdb``) and append mode."""
+    window) is how far a row may be behind the latest publication day. Needs the RocksDB state store (``use_rocksdb``) and append mode.
+    ``buckets`` is the number of keys of the state and stays the same for a checkpoint."""
     delay = window_days if delay_days is None else delay_days
     timed = items.withColumn("published_at", F.col("published_at").cast("timestamp"))
     grouped = (parts(timed).withColumn("event_day", F.timestamp_millis("day")).withWatermark("event_day", f"{int(delay)} days")
-               .groupBy("item_id"))
+               .withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(int(buckets))).cast("int")).groupBy("bucket"))
     return _finished(grouped.transformWithState(MergeItems(window_days), _GROUP, "append", "eventTime"))
 
 

@@ -3,6 +3,7 @@
 import tempfile
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from articleflow.operators.dedup import dedup_exact
@@ -62,3 +63,69 @@ def test_row_without_time_and_empty_batch(spark):
     assert M.parts(no_time.limit(0)).collect() == []
     empty = pd.DataFrame({c.split()[0]: [] for c in M.PARTS.split(", ")})
     assert [len(p) for p in M._reduced(iter([empty]))] == [0]
+
+
+class _Map(dict):
+    def __init__(self, calls):
+        self.calls = calls
+        self.getValue = lambda k: calls.append("get") or self.get(k)
+        self.updateValue = lambda k, v: calls.append("update") or self.__setitem__(k, v)
+        self.removeKey = lambda k: calls.append("remove") or self.pop(k, None)
+        self.iterator = lambda: calls.append("iterator") or iter(list(self.items()))
+
+
+class _Handle:
+    """A state store of one key that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.timers = [], set()
+        self.getMapState = lambda *_: _Map(self.calls)
+        self.listTimers = lambda: self.calls.append("timers") or iter(sorted(self.timers))
+        self.registerTimer = lambda t: self.calls.append("register") or self.timers.add(t)
+        self.deleteTimer = lambda t: self.calls.append("delete") or self.timers.remove(t)
+
+
+class _Clock:
+    def __init__(self, watermark):
+        self.getCurrentWatermarkInMs = lambda: watermark
+
+
+def _part(item, day, seq, source="s"):
+    return Row(item_id=item, day=day * 86_400_000, n=1, published=day, seq=seq, pref=f"{seq:05d}", source_type="rss", source_id=source, title=None,
+               content="c", author=None, url=None, p_published=None, meta=None, urls=[f"u{seq}"], entry=None, entry_seq=seq)
+
+
+def test_a_bucket_pays_two_state_calls_per_item_and_few_besides():
+    handle, merge = _Handle(), M.MergeItems(7)
+    merge.init(handle)
+    first = [_part(f"i{n}", 100 + n, n) for n in range(100)]
+    assert list(merge.handleInputRows((0,), iter(first), _Clock(0))) == []
+    assert handle.calls.count("get") == handle.calls.count("update") == 100 and len(handle.calls) <= 203
+    assert handle.timers == {108 * 86_400_000}  # the first end of the bucket's groups
+    # two groups that ended before their timer fired, and a further source that moves an end
+    again = [_part("i0", 170, 500), _part("i60", 160, 501, "t"), _part("i60", 170, 502, "t"), _part("i1", 180, 503)]
+    closed = list(merge.handleInputRows((0,), iter(again), _Clock(109 * 86_400_000)))
+    assert [(r.item_id, r.n, r.seq) for r in closed] == [("i0", 1, 0), ("i1", 1, 1)]
+    handle.timers.clear()  # the stream removes a timer that has fired
+    ended = {r.item_id: r for r in merge.handleExpiredTimer((0,), _Clock(175 * 86_400_000), None)}
+    assert set(ended) == {f"i{n}" for n in range(2, 100) if n <= 67 and n != 60}
+    assert handle.timers == {(168 + 8) * 86_400_000} and {k[0] for k in merge.groups} == {"i0", "i1", "i60", *(f"i{n}" for n in range(68, 100))}
+    last = {r.item_id: r for r in merge.handleExpiredTimer((0,), _Clock(300 * 86_400_000), None)}
+    assert (last["i0"].seq, last["i1"].seq, last["i60"].n, last["i60"].seq) == (500, 503, 3, 60)
+    assert [(s.source_id, s.urls) for s in last["i60"].sources] == [("s", ["u60"]), ("t", ["u501", "u502"])]
+    assert not merge.groups and not merge.sources and len(last) == 35
+
+
+def test_items_of_one_bucket_close_apart(spark):
+    days = {"a": 2, "b": 3, "c": 9, None: 2}
+    first = [raw_row(item_id=i, seq=n, source_id=f"http://feed/{n}", published_at=ts(2024, 12, d)) for i, d in days.items() for n in range(3)]
+    between = [raw_row(item_id="far", seq=50, published_at=ts(2024, 12, 12))]  # ends a, b and the one without an id, not c
+    second = [raw_row(item_id="c", seq=60, content="A longer one of c.", published_at=ts(2024, 12, 16)),
+              raw_row(item_id="a", seq=61, published_at=ts(2024, 12, 17))]
+    last = [raw_row(item_id="end", seq=90, published_at=ts(2025, 6, 1))]
+    M.use_rocksdb(spark)
+    stream = arrivals(spark, [first, between, second, last])
+    got = spark.read.parquet(run_available(M.merge_within_window(stream, 7, delay_days=0, buckets=1), "merge-bucket"))
+    want = dedup_exact(spark.createDataFrame(first + between + second[:1], RAW_DDL)).unionByName(
+        dedup_exact(spark.createDataFrame(second[1:], RAW_DDL)))
+    assert flat(got) == flat(want) and got.count() == 6
