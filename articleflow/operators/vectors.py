@@ -352,7 +352,8 @@ def hashed_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col:
     probes = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(bits))]])
     placed = materialize(_signatures(reps, bits, bands, seed), "signatures").select(
         "id", "band", "sig", F.explode(F.transform(probes, lambda flip: F.col("sig").bitwiseXOR(flip))).alias("bucket"))
-    a, b = placed.alias("a"), placed.alias("b")
+    # Spark's estimate for an exploded table is that of the table before; joined by it, all buckets would be sent through the driver
+    a, b = placed.hint("merge").alias("a"), placed.alias("b")
     differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     lowest = differ.bitwiseAND(-differ)
     meeting = F.when(F.bit_count(differ) <= 1, F.least("a.sig", "b.sig")).otherwise(F.col("a.sig").bitwiseXOR(lowest))

@@ -410,3 +410,13 @@ def test_canonical_names_of_plain_and_odd_tags(spark):
     df = spark.createDataFrame([(body,)], "b string")
     got = df.select(M.canonical(F.col("b"), M.prefixes(F.col("b"))).alias("c")).first().c
     assert got == "<item a='B'><title x=Y>T</title><a:link/><dc:date >d</dc:date>&lt;É>n&lt;/É><x1-y.z/></item>"
+
+
+def test_hashing_search_sends_no_buckets_through_the_driver(spark):
+    import numpy as np
+
+    v = np.random.default_rng(11).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    plan = V.hashed_pairs(df, 0.85)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "band" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)  # the table before it is exploded is small enough to be broadcast
