@@ -4,13 +4,13 @@
   TakeOrderedAndProject (per-task top-k, k rows per task merged). The query side is one row (broadcast).
 * ``topk_many`` – exact top-k for a table of queries: blocks of queries against blocks of rows, k kept per query and block, merged in
   two levels.
-* ``similar_pairs`` – all pairs with cosine ≥ t, exact at every threshold and also for copies. The vectors are cut into
-  cells around pivots (cosine ≥ t ⇔ distance of the unit vectors ≤ r = sqrt(2 − 2t)); a vector visits every other cell
-  that can hold a neighbour (distance to its pivot ≤ distance to the own pivot + 2r, by the triangle inequality), and
-  each cell is compared in blocks of bounded size. High thresholds visit few cells; as t falls the cells overlap more and the
-  work approaches comparing all blocks with all blocks, which is what an exact answer costs there. No cap, no second method.
-* ``similar_links`` – links with the same components: stars for copies and a forest per pair of blocks, so a dense group
-  gives links in proportion to its rows.
+* ``similar_pairs`` – all pairs with cosine ≥ t, exact at every threshold and also for copies. The vectors are packed into
+  blocks by nearest pivot, and every two blocks are compared that can hold a pair (cosine ≥ t ⇔ distance of the unit vectors ≤
+  r = sqrt(2 − 2t), and by the triangle inequality the distances of a pair to any pivot differ by r at most). The blocks are stored once
+  and read for each comparison, so nothing is copied or shuffled per pair of blocks; the work is that of comparing all blocks with all
+  blocks where the pivots part none, which is what an exact answer costs there. No cap, no second method.
+* ``similar_links`` – links with the same components: stars for copies and a forest per task (all the pairs of blocks it
+  compares), so a dense group gives links in proportion to its rows.
 * ``hashed_pairs`` – random sign bits in bands with multi-probe, then exact verification: the work grows with the rows and the pairs
   found, at a stated recall.
 * ``similar_pairs_exact`` – the quadratic reference; only for small inputs and tests.
@@ -155,8 +155,19 @@ def _pivots(reps: DataFrame, n: int):
     """At most ``n`` unit vectors, the first by hash (a bounded sample; results do not depend on it)."""
     import numpy as np
 
-    rows = reps.select("u").orderBy(F.xxhash64("u"), "u").limit(n).collect()
-    return np.array([r.u for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    rows = _finite(reps).select("u").orderBy(F.xxhash64("u"), "u").limit(n).collect()
+    return np.array([r.u for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
+
+
+def _finite(reps: DataFrame) -> DataFrame:
+    """Without the vectors that hold NaN: they are similar to none."""
+    return reps.filter(~F.exists("u", F.isnan))
+
+
+def _distances(u, pivots):
+    import numpy as np
+
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ pivots.T)))
 
 
 def _near_cells(batches, pivots, reach: float):
@@ -169,17 +180,22 @@ def _near_cells(batches, pivots, reach: float):
         for at in range(0, len(pdf), 1024):
             part = pdf.iloc[at:at + 1024]
             u = np.stack(part["u"].to_numpy()).astype(np.float64)
-            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,kj->ik", u, pivots)))
+            dist = _distances(u, pivots)
             near = dist <= dist.min(axis=1, keepdims=True) + reach
             yield pd.DataFrame({"id": part["id"].to_numpy(), "u": list(u), "own": dist.argmin(axis=1).astype(np.int32),
                                 "near": [np.flatnonzero(row).astype(np.int32) for row in near]})
 
 
+def _reach(threshold: float) -> float:
+    """The distance of two unit vectors whose cosine is the threshold, and a little for rounding."""
+    return math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+
+
 def _cells(reps: DataFrame, threshold: float, n_pivots: int) -> DataFrame:
     """(id, u, cell, home): each vector in its own cell (``home``) and in every cell that can hold a neighbour. Python returns a row per
     vector; Spark copies it to its cells."""
     centres = reps.sparkSession.sparkContext.broadcast(_pivots(reps, n_pivots))
-    reach = 2 * math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
+    reach = 2 * _reach(threshold)
 
     placed = reps.mapInPandas(lambda batches: _near_cells(batches, centres.value, reach),
                               f"id {dict(reps.dtypes)['id']}, u array<double>, own int, near array<int>")
@@ -207,13 +223,16 @@ def _merged(root, i, j):
 
 
 def _near_in_block(a, b, threshold: float):
-    """(i, j, similarity) of the rows of ``a`` and ``b`` with cosine ≥ threshold, in parts of bounded size: 256 rows of ``a`` are scored
-    at a time, and of the pairs found some megabytes of vectors are multiplied out."""
+    """(i, j, similarity) of the rows of ``a`` and ``b`` with cosine ≥ threshold, in parts of bounded size: 128 rows of ``a`` are scored
+    at a time, in single precision with its rounding error to spare, and of the pairs found some megabytes of vectors are multiplied out
+    in double precision, which decides."""
     import numpy as np
 
     step = max(1, (1 << 20) // max(1, a.shape[1]))
-    for at in range(0, len(a), 256):
-        rows, cols = np.nonzero(np.einsum("ij,kj->ik", a[at:at + 256], b) >= threshold - 1e-9)
+    low = threshold - 1e-9 - 1.2e-7 * (a.shape[1] + 4)
+    rough = np.ascontiguousarray(b, dtype=np.float32).T
+    for at in range(0, len(a), 128):
+        rows, cols = np.divmod(np.flatnonzero((a[at:at + 128].astype(np.float32) @ rough).ravel() >= low), len(b))
         for k in range(0, len(rows), step):
             i, j = rows[k:k + step] + at, cols[k:k + step]
             similarity = (a[i] * b[j]).sum(axis=1)
@@ -222,7 +241,8 @@ def _near_in_block(a, b, threshold: float):
 
 
 def _compare_blocks(left, right, threshold: float, links: bool):
-    """The pairs of two blocks (``id``, ``u`` and ``other``, ``w``), or with ``links`` a forest of them (see ``_rep_pairs``)."""
+    """The pairs of two blocks (``id``, ``u`` and ``other``, ``w``) with id < other, or with ``links`` a forest of them: one link per
+    row to the first row of its component. In one process, with plain frames; the search itself works on packed blocks (``_compared``)."""
     import numpy as np
     import pandas as pd
 
@@ -246,38 +266,149 @@ def _compare_blocks(left, right, threshold: float, links: bool):
     return pd.DataFrame({"id_a": ia[i], "id_b": ib[j], "similarity": similarity})
 
 
-def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int, links: bool = False) -> DataFrame:
-    """All pairs (id_a < id_b, similarity) of representatives: home rows of a cell against all rows of the cell, block by
-    block. A pair is reported where its smaller id is at home, so it comes once. With ``links`` a block pair returns, in place of
-    its pairs, one link (id_a, id_b) per row to the first row of the row's component in this block pair: what is
-    connected stays so, and a dense group gives no more links than rows."""
-    placed = materialize(_cells(reps, threshold, n_pivots), "cells")
-    sizes = {r.cell: (r.home, r.n) for r in placed.groupBy("cell").agg(
-        F.count_if("home").alias("home"), F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
+#: Bytes of vectors in a block (on average): long vectors make blocks of fewer rows.
+_BLOCK_BYTES = 4 << 20
 
-    def blocks(at: int) -> Column:
-        if not sizes:
-            return F.lit(1)
-        return F.element_at(F.create_map(*[F.lit(x) for c, v in sizes.items() for x in (c, max(1, -(-v[at] // block)))]), F.col("cell"))
 
-    home = (placed.filter("home").select("id", "u", "cell", F.pmod(F.xxhash64("id"), blocks(0)).cast("int").alias("hb"))
-            .select("*", F.explode(F.sequence(F.lit(0), blocks(1) - 1)).alias("vb")))
-    every = (placed.select(F.col("id").alias("other"), F.col("u").alias("w"), F.col("cell").alias("in_cell"),
-                           F.pmod(F.xxhash64("id"), blocks(1)).cast("int").alias("in_vb"), blocks(0).alias("_hbs"))
-             .select("other", "w", "in_cell", "in_vb", F.explode(F.sequence(F.lit(0), F.col("_hbs") - 1)).alias("in_hb")))
+def _blocks(reps: DataFrame, pivots, block: int) -> DataFrame:
+    """(no, ids, u, lo, hi), stored: the vectors of a cell (those nearest to one pivot) dealt by hash to blocks of about ``block`` rows, a
+    row per block with its vectors packed and the range of their distances to every pivot."""
+    import numpy as np
+    import pandas as pd
 
-    kind = dict(reps.dtypes)["id"]
-    found = home.groupBy("cell", "hb", "vb").cogroup(every.groupBy("in_cell", "in_hb", "in_vb")).applyInPandas(
-        lambda a, b: _compare_blocks(a, b, threshold, links), f"id_a {kind}, id_b {kind}, similarity double")
-    return found.select("id_a", "id_b") if links else found
+    spark, kind = reps.sparkSession, dict(reps.dtypes)["id"]
+    centres = spark.sparkContext.broadcast(pivots)
+    rows = max(1, min(block, _BLOCK_BYTES // max(8, 8 * pivots.shape[1])))
+
+    def own(batches):
+        for part in _near_cells(batches, centres.value, 0.0):
+            yield part[["id", "u", "own"]]
+
+    def pack(key, pdf):
+        u = np.stack(pdf["u"].to_numpy()).astype(np.float64)
+        far = _distances(u, centres.value)
+        return pd.DataFrame({"no": [int(key[0]) << 32 | int(key[1])], "ids": [pdf["id"].to_numpy()], "u": [u.tobytes()],
+                             "lo": [far.min(axis=0)], "hi": [far.max(axis=0)]})
+
+    # a cell's rows are counted before they are dealt: the vectors are placed twice, but stored once
+    finite = _finite(reps)
+    counted = finite.mapInPandas(lambda batches: (p[["own"]] for p in own(batches)), "own int").groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.own: r.n for r in counted.collect()} if len(pivots) else {}  # one row per pivot
+    if not sizes:
+        return materialize(spark.createDataFrame([], f"no long, ids array<{kind}>, u binary, lo array<double>, hi array<double>"), "blocks")
+    slots = F.element_at(F.create_map(*[F.lit(x).cast("int") for c, n in sizes.items() for x in (c, max(1, -(-n // rows)))]), F.col("own"))
+    dealt = finite.mapInPandas(own, f"id {kind}, u array<double>, own int").withColumn("slot", F.pmod(F.xxhash64("u"), slots).cast("int"))
+    return materialize(dealt.groupBy("own", "slot").applyInPandas(pack, f"no long, ids array<{kind}>, u binary, lo array<double>, hi array<double>"),
+                       "blocks")
+
+
+def _unpacked(batches, pivots, reach: float):
+    """(numbers, ids, vectors) of both blocks of every pair of blocks, without the rows that can have no neighbour in the other block."""
+    import numpy as np
+
+    def side(batch, at: int, k: int):
+        no, ids, u, lo, hi = (batch.column(at + c)[k] for c in range(5))
+        ids = ids.values
+        return no.as_py(), ids, np.frombuffer(u.as_buffer()).reshape(len(ids), -1), lo.values.to_numpy(), hi.values.to_numpy()
+
+    def near(own, other):
+        low, high = other[3] - reach, other[4] + reach
+        parted = np.flatnonzero((own[3] < low) | (own[4] > high))  # the pivots that can tell a row of the one from all of the other
+        far = _distances(own[2], pivots[parted])
+        return np.flatnonzero(((far >= low[parted]) & (far <= high[parted])).all(axis=1))
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, b = side(batch, 0, k), side(batch, 5, k)
+            yield a, near(a, b), b, near(b, a)
+
+
+def _compared(batches, pivots, threshold: float):
+    """(a, b, i, j, similarity): the places of similar rows in two blocks. A pair inside a block comes once."""
+    for a, at_a, b, at_b in _unpacked(batches, pivots, _reach(threshold)):
+        for i, j, similarity in _near_in_block(a[2][at_a], b[2][at_b], threshold):
+            i, j = at_a[i], at_b[j]
+            if a[0] == b[0]:
+                once = i < j
+                i, j, similarity = i[once], j[once], similarity[once]
+            if len(i):
+                yield a, b, i, j, similarity
+
+
+def _pairs_of_blocks(batches, pivots, threshold: float, count: bool):
+    """Arrow batches of (id_a, id_b, similarity) with id_a < id_b, or with ``count`` of (n). Rows with the same id are no pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    for a, b, i, j, similarity in _compared(batches, pivots, threshold):
+        ia, ib = (x[1].to_numpy(zero_copy_only=False)[at] for x, at in ((a, i), (b, j)))
+        less, differ = ia < ib, ia != ib
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([int(differ.sum())], pa.int64())], ["n"])
+            continue
+        ids = pa.concat_arrays([a[1], b[1]])
+        low, high = np.where(less, i, j + len(a[1]))[differ], np.where(less, j + len(a[1]), i)[differ]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(low)), ids.take(pa.array(high)), pa.array(similarity[differ])],
+                                         ["id_a", "id_b", "similarity"])
+
+
+def _links_of_blocks(batches, pivots, threshold: float):
+    """Arrow batches of (id_a, id_b): a forest of all the pairs of the task. It holds the ids and a label per row of the blocks that the
+    task compares, which are those of two partitions."""
+    import numpy as np
+    import pyarrow as pa
+
+    first, ids, root, waiting, n = {}, [], np.zeros(0, np.int64), [], 0
+
+    def joined(root):
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        new = root[i] != root[j]
+        return _merged(root, i[new], j[new])
+
+    for a, b, i, j, _ in _compared(batches, pivots, threshold):
+        for no, members, *_ in (a, b):
+            if no not in first:
+                first[no] = len(root)
+                ids.append(members.take(pa.array(np.arange(len(members)))))  # a copy, which does not keep the batch
+                root = np.concatenate([root, np.arange(len(root), len(root) + len(members))])
+        waiting.append((i + first[a[0]], j + first[b[0]]))
+        n += len(i)
+        if n > 1 << 18:  # a pass over the labels for that many links
+            root, n = joined(root), 0
+    if not ids:
+        return
+    root, every = joined(root) if waiting else root, pa.concat_arrays(ids)
+    own = np.flatnonzero(root != np.arange(len(root)))
+    for k in range(0, len(own), 1 << 16):
+        part = own[k:k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([every.take(pa.array(root[part])), every.take(pa.array(part))], ["id_a", "id_b"])
+
+
+def _rep_pairs(reps: DataFrame, threshold: float, n_pivots: int, block: int, give: str = "pairs") -> DataFrame:
+    """All pairs (id_a < id_b, similarity) of representatives, each once; with ``give`` = "links" (id_a, id_b) that connect what the pairs
+    connect, a forest per task; with "count" their number, as (n) in several rows.
+
+    The stored blocks meet in a plain product of the table with itself: a task reads two partitions of it and takes every two blocks that
+    can hold a pair. Nothing is written for that, whatever the number of blocks."""
+    kind, pivots, reach = dict(reps.dtypes)["id"], _pivots(reps, n_pivots), _reach(threshold)
+    blocks = _blocks(reps, pivots, block)
+    centres = reps.sparkSession.sparkContext.broadcast(pivots)
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in ("no", "ids", "u", "lo", "hi")]) for x in "ab")
+    meet = F.forall(F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"),
+                    lambda x: (x["lo_a"] - x["hi_b"] <= reach) & (x["lo_b"] - x["hi_a"] <= reach))
+    both = a.join(b.hint("shuffle_replicate_nl"), (F.col("no_a") <= F.col("no_b")) & meet)
+    if give == "links":
+        return both.mapInArrow(lambda batches: _links_of_blocks(batches, centres.value, threshold), f"id_a {kind}, id_b {kind}")
+    return both.mapInArrow(lambda batches: _pairs_of_blocks(batches, centres.value, threshold, give == "count"),
+                           "n long" if give == "count" else f"id_a {kind}, id_b {kind}, similarity double")
 
 
 def similar_links(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col: str = "vec_id",
                   vec_col: str = "embedding", pivots: int = 64, block: int = 2048) -> DataFrame:
-    """Links (id_a, id_b) that connect exactly what the pairs of ``similar_pairs`` connect: a forest per pair of blocks, and each copy of
-    a vector with the smallest id of its copies. The links of a dense group stay in proportion to its rows."""
+    """Links (id_a, id_b) that connect exactly what the pairs of ``similar_pairs`` connect: a forest per task, and each copy of a vector with the smallest id of its copies. The links of a dense group stay in proportion to its rows."""
     members = materialize(collapse_identical(df, id_col, vec_col), "representatives")
-    forest = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block, links=True)
+    forest = _rep_pairs(_representatives(members, vec_col), threshold, pivots, block, "links")
     stars = members.filter((F.col("id") != F.col("rep")) & (norm(vec_col) > 0)).select(
         F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
     both = forest.unionByName(stars).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
@@ -294,9 +425,11 @@ def similar_pairs(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id_col
     copies = members.filter(norm(vec_col) > 0).select("id", "rep")
     several = copies.join(copies.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "rep").select("id", "rep")
     same = several.select("id", F.col("rep").alias("ra"), F.col("rep").alias("rb"))
-    a, b = copies.alias("a"), copies.alias("b")
-    between = (pairs.join(a, F.col("id_a") == F.col("a.rep")).join(b, F.col("id_b") == F.col("b.rep"))
-               .select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"), "similarity"))
+    # a vector without copies stands for itself, so the pairs meet the rows that have copies only
+    a, b = (several.select(F.col("id").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+    x, y = F.coalesce("a", "id_a"), F.coalesce("b", "id_b")
+    between = (pairs.join(a, F.col("id_a") == F.col("rep_a"), "left").join(b, F.col("id_b") == F.col("rep_b"), "left")
+               .select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"), "similarity"))
     x, y = same.alias("x"), same.alias("y")
     within = (x.join(y, (F.col("x.ra") == F.col("y.ra")) & (F.col("x.id") < F.col("y.id")))
               .select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), F.lit(1.0).alias("similarity")))
@@ -377,7 +510,7 @@ def pair_search_stats(df: DataFrame, threshold: float = SIMILARITY_THRESHOLD, id
         return df_.select(*[(vals[c] if c in vals else F.lit(None)).cast("long").alias(c) for c in cols])
 
     parts = (part(reps, vectors=F.lit(1)).unionByName(part(cells, candidate_pairs=F.col("h") * F.col("n"), largest_bucket=F.col("n")))
-             .unionByName(part(_rep_pairs(reps, threshold, pivots, 2048), verified_pairs=F.lit(1))))
+             .unionByName(part(_rep_pairs(reps, threshold, pivots, 2048, "count"), verified_pairs=F.col("n"))))
     return parts.agg(*[F.coalesce((F.max if c == "largest_bucket" else F.sum)(c), F.lit(0)).alias(c) for c in cols])
 
 

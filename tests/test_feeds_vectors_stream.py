@@ -420,3 +420,72 @@ def test_hashing_search_sends_no_buckets_through_the_driver(spark):
     plan = V.hashed_pairs(df, 0.85)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "band" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)  # the table before it is exploded is small enough to be broadcast
+
+
+def _clustered(n: int, dim: int = 8, seed: int = 12):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = np.eye(dim)[rng.integers(0, dim, n)] * np.where(rng.random(n) < .5, 1, -1)[:, None]
+    return centres + .1 * rng.normal(size=(n, dim))
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.95])
+def test_every_pair_of_blocks_is_compared_once(spark, threshold):
+    import numpy as np
+
+    v = _clustered(400)
+    rows = [(f"n{i:03d}", [float(x) for x in row]) for i, row in enumerate(v)]
+    rows += [rows[7], ("nan", [float("nan")] * 8), ("copy", rows[9][1]), ("zero", [0.0] * 8), ("none", None)]  # a row that comes twice, too
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = [(a, b) for a in range(400) for b in range(a + 1, 400) if (u[a] * u[b]).sum() >= threshold]
+    want = []
+    for a, b in near:
+        # the row that comes twice is its vector's smallest row twice over, so its pairs come as often as it meets itself: 4 times
+        want += [(f"n{a:03d}", f"n{b:03d}")] * (4 if 7 in (a, b) else 1)
+        if 9 in (a, b):
+            want += [tuple(sorted(("copy", f"n{(b if a == 9 else a):03d}")))] * (4 if 7 in (a, b) else 1)
+    got = [(r.id_a, r.id_b) for r in V.similar_pairs(df, threshold, pivots=8, block=40).collect()]
+    assert sorted(got) == sorted([*want, ("copy", "n009")])
+    links = [(r.id_a, r.id_b) for r in V.similar_links(df, threshold, pivots=8, block=40).collect()]
+    assert _plain_components(links) == _plain_components([*want, ("copy", "n009")])
+
+
+def test_the_pair_search_shuffles_each_vector_once(spark):
+    reps = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(_clustered(100, 4))], "id long, u array<double>")
+    found = V._rep_pairs(reps, 0.4, 4, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in found and "Exchange" not in found and "Generate" not in found  # the blocks themselves are stored
+
+
+def test_blocks_apart_are_not_compared(spark):
+    import numpy as np
+
+    pivots = np.eye(4)
+    u = np.repeat(pivots, 5, axis=0)
+    reps = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(u)], "id long, u array<double>")
+    counts = V._rep_pairs(reps, 0.9, 4, 5, "count").collect()
+    assert sum(r.n for r in counts) == 4 * 10
+    assert V._rep_pairs(reps.limit(0), 0.9, 4, 5, "links").count() == 0 and V.pair_search_stats(
+        reps.limit(0).withColumnsRenamed({"id": "vec_id", "u": "embedding"})).first().asDict() == {
+            "vectors": 0, "candidate_pairs": 0, "verified_pairs": 0, "largest_bucket": 0}
+
+
+def test_a_task_gives_one_forest_for_all_its_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    u = rng.normal(size=(600, 8)) * .02 + 1
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    far = V._distances(u, u[:2])
+    sides = []
+    for k in range(6):
+        at = slice(100 * k, 100 * k + 100)
+        sides.append([pa.array([k]), pa.array([list(range(at.start, at.stop))]), pa.array([u[at].tobytes()], pa.binary()),
+                      pa.array([list(far[at].min(axis=0))]), pa.array([list(far[at].max(axis=0))])])
+    batches = [pa.RecordBatch.from_arrays(sides[a] + sides[b], [str(c) for c in range(10)]) for a in range(6) for b in range(a, 6)]
+    links = pa.Table.from_batches(V._links_of_blocks(batches, u[:2], 0.9)).to_pylist()
+    assert len(links) == 599 and {r["id_a"] for r in links} == {0}  # a forest per pair of blocks has 21 times 99 or 199 links
+    pairs = pa.Table.from_batches(V._pairs_of_blocks(batches, u[:2], 0.9, False))
+    assert len(pairs) == 600 * 599 // 2
