@@ -267,7 +267,7 @@ def _compare_blocks(left, right, threshold: float, links: bool):
 
 
 #: Bytes of vectors in a block (on average): long vectors make blocks of fewer rows.
-_BLOCK_BYTES = 4 << 20
+_BLOCK_BYTES = 1 << 20
 
 
 def _blocks(reps: DataFrame, pivots, block: int) -> DataFrame:
